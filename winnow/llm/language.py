@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 UND = "und"
@@ -188,10 +189,10 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, documents: int = DOCUMENTS)
 _parsers: dict[int, Parser] = {}
 
 
-def identify(docs: DataFrame, model: dict[str, str], sample: int = SAMPLE) -> DataFrame:
-    """doc_id, lang_pred and score of each row."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def identify(docs: DataFrame, model: dict[str, str], sample: int = SAMPLE, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with two more columns, the language of each text and how sure that is."""
     key = hash((sample, *sorted(model.items())))
+    at_text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parsers.get(key)
@@ -199,7 +200,7 @@ def identify(docs: DataFrame, model: dict[str, str], sample: int = SAMPLE) -> Da
             _parsers.clear()
             parser = _parsers[key] = Parser(model, sample=sample)
         for batch in batches:
-            texts, names, scores, at = batch.column(1).to_pylist(), [], [], 0
+            texts, names, scores, at = batch.column(at_text).to_pylist(), [], [], 0
             while at < len(texts):
                 to, size = at, 0
                 while to < len(texts) and (size < _CHUNK or to == at):
@@ -209,9 +210,11 @@ def identify(docs: DataFrame, model: dict[str, str], sample: int = SAMPLE) -> Da
                 names += n
                 scores.append(s)
                 at = to
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(np.concatenate([np.zeros(0), *scores]))], names=["doc_id", "lang_pred", "score"])
+            more = [pa.array(names, pa.string()), pa.array(np.concatenate([np.zeros(0), *scores]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, pred, score])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    schema = StructType([*docs.schema.fields, StructField(pred, StringType()), StructField(score, DoubleType())])
+    return docs.mapInArrow(run, schema)
 
 
 def held_out_id(folds: int = 5):
@@ -222,4 +225,4 @@ def held_out_id(folds: int = 5):
 def predict_languages(docs: DataFrame, folds: int = 5, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred and score: learnt from the documents outside the held-out fold."""
     model = learn(docs.where(~held_out_id(folds)), sample)
-    return identify(docs, model, sample).select("doc_id", held_out_id(folds).alias("held_out"), "lang_pred", "score")
+    return identify(docs.select("doc_id", "text"), model, sample).select("doc_id", held_out_id(folds).alias("held_out"), "lang_pred", "score")

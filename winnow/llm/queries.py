@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import ann, chat, embedding_dedup, language, mixing, near_dup, packing, sharding, token_cache
+from winnow.llm import ann, chat, embedding_dedup, html_text, language, mixing, near_dup, packing, sharding, token_cache
 from winnow.llm.shared import shared_dir
 
 
@@ -25,6 +25,10 @@ def op2_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op3_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_chat_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(_table(spark, sf_dir, "conversations"))
 
@@ -58,6 +62,7 @@ def op10_vector_bin_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     op1_harmonic_packing,
     op2_learned_partitions,
+    op3_crf_main_text,
     op4_chat_snapshot_collapse,
     op5_cross_parsing_language,
     op6_token_digest_cache,
@@ -112,18 +117,18 @@ select doc_id, cast(size as bigint) as size, source_size, target, cast(passes *
 """
 
 _OP2 = """
-with v as (select vec_id, list_transform(embedding, x -> x::double) as v from embeddings
+with v as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings
            where vec_id is not null and embedding is not null and len(embedding) > 0
-             and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0),
+             and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 p as (select q.vec_id as query_id, c.vec_id, list_distance(q.v, c.v) as score from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v)),
 r as (select *, row_number() over (partition by query_id order by score, vec_id) as rank from p)
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10
 """
 
 _OP7 = """
-with recursive v as (select vec_id, label, list_transform(embedding, x -> x::double) as v from embeddings
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings
            where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
-             and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0),
+             and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 e as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_cosine_similarity(a.v, b.v) >= 0.93),
 r as (select vec_id as a, vec_id as b from embeddings union select r.a, e.b from r join e on r.b = e.a),
 c as (select a, min(b) as component_id from r group by a),
@@ -134,10 +139,10 @@ from embeddings m join c on c.a = m.vec_id left join n on n.a = m.vec_id
 
 _OP9 = r"""
 with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
-s as (select distinct doc_id, unnest(case when len(w) > 1 then list_transform(range(1, len(w)), i -> w[i::int] || ' ' || w[(i + 1)::int]) when len(w) = 1 then w else [] end) as s from w),
+s as (select distinct doc_id, unnest(case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i::int] || ' ' || w[(i + 1)::int]) when len(w) = 1 then w else [] end) as s from w),
 n as (select doc_id, count(*) as n from s group by doc_id),
-p as (select a.doc_id as a, b.doc_id as b, count(*) as both from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
-l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * both >= 80 * (x.n + y.n - both)),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as common from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= 80 * (x.n + y.n - common)),
 e as (select a, b from l union select b, a from l),
 r as (select doc_id as a, doc_id as b from documents union select r.a, e.b from r join e on r.b = e.a),
 c as (select a, min(b) as component_id from r group by a)
