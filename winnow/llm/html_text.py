@@ -252,7 +252,8 @@ _PART_TAGS = {"menu": "nav", "header": "header", "footer": "footer", "sidebar":
 class _Maker:
     """Makes one labelled page: main text is marked by letters that no other text has."""
 
-    MAIN = ""
+    MAIN = "\ue000"
+    SUFFIXES = ("", "", " box", " clearfix", " wrapper", "-inner")
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
