@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from winnow.plans import queries_dedup, queries_media, queries_relational, queries_state, queries_video  # noqa: F401
+from winnow.plans.registry import ORACLES, QUERIES, Query
 
 FLAGSHIP = "s2_dedup_assessment"
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
