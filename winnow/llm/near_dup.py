@@ -5,11 +5,13 @@ samples; their bands give candidates, and their parity bitmap (odd sketch), by
 the population count of the XOR of two, an estimate of the similarity that is
 precise where it is high. What it lets pass is confirmed on the full sets.
 
-No pairs within a bucket are listed to begin with: each class is first compared
-with the smallest class it shares a bucket with. Only in buckets whose classes
-aren't in one component after that are the classes of different components
-compared, so that every candidate pair is either within a component or confirmed
-or refuted on the full sets, and links between different texts are not lost.
+The pairs within a bucket are never listed: each class is first compared with the
+smallest class it shares a bucket with. Buckets whose classes aren't in one
+component after that are gathered by their most frequent component; there the
+classes of different components are compared block by block, by sketches and then
+by exact intersections of the full sets as products of matrices. So every
+candidate pair is either within a component or confirmed or refuted on the full
+sets, and links between different texts are not lost.
 
 Cases: texts without words, and null texts, have an empty set and link with
 nothing. A text with fewer words than a shingle has its whole sequence as its
@@ -37,6 +39,8 @@ BANDS, ROWS = 30, 5
 BITS = 512
 #: The sketch lets pass what it puts at this much below the threshold, over five standard deviations of k samples.
 MARGIN = 0.18
+#: Classes and shingles of a block, and rows of a tile, where classes of different components are compared.
+BLOCK, BLOCK_SHINGLES, TILE = 2048, 1_000_000, 256
 #: Bytes of text taken at a time.
 _CHUNK = 1 << 20
 
@@ -213,6 +217,95 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").withColumn("both", both).where(100 * F.col("both") >= percent * all_).select("a", "b")
 
 
+def _blocked(anchored: DataFrame, about: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (anchor, cls, label) with size, sketch and full set, dealt to pairs of blocks (i, j).
+
+    Blocks of classes that bear the anchor's label are set against blocks of
+    others, and these against each other. A block is bounded in rows and shingles.
+    """
+    rows = anchored.join(about.select(F.col("a").alias("cls"), F.col("an").alias("n"), F.col("ask").alias("sketch")), "cls")
+    rows = rows.withColumn("own", F.col("label") == F.col("anchor"))
+    many = lambda own: F.greatest(F.ceil(F.count_if(own) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
+    blocks = rows.groupBy("anchor").agg(many(F.col("own")).alias("own_blocks"), many(~F.col("own")).alias("other_blocks"))
+    rows = rows.join(written(blocks, "blocks"), "anchor")
+    # own blocks have negative numbers, others those from 0
+    at = F.pmod(F.xxhash64("cls", F.lit("block")), F.when(F.col("own"), F.col("own_blocks")).otherwise(F.col("other_blocks"))).cast("int")
+    rows = rows.withColumn("block", F.when(F.col("own"), -1 - at).otherwise(at))
+    others = F.sequence(F.lit(0), F.col("other_blocks") - 1)
+    to = F.when(F.col("own") | (F.col("own_blocks") == 0), others).otherwise(F.concat(F.sequence(F.lit(-1), -F.col("own_blocks"), F.lit(-1)), others))
+    rows = rows.where("other_blocks > 0").withColumn("to", F.explode(to)).join(sets, "cls")
+    return rows.select("anchor", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), "block", "cls", "label", "n", "sketch", "shingles")
+
+
+def common(a: list[np.ndarray], b: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets of a and b, exactly; only where wanted."""
+    out = np.zeros(wanted.shape, dtype=np.int64)
+    if wanted.sum() <= 4 * sum(wanted.shape):
+        for r, c in zip(*np.nonzero(wanted), strict=True):
+            x, y = (a[r], b[c]) if len(a[r]) <= len(b[c]) else (b[c], a[r])
+            out[r, c] = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+        return out
+    both = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)), assume_unique=True)
+    for at in range(0, len(both), 16_384):
+        part = both[at : at + 16_384]
+
+        def incidence(sets: list[np.ndarray], part: np.ndarray = part) -> np.ndarray:
+            m = np.zeros((len(sets), len(part)), dtype=np.float32)
+            for k, s in enumerate(sets):
+                place = np.minimum(np.searchsorted(part, s), len(part) - 1)
+                m[k, place[part[place] == s]] = 1
+            return m
+
+        out += (incidence(a) @ incidence(b).T).astype(np.int64)
+    return out
+
+
+def _cross_links(anchored: DataFrame, about: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes of different labels under one anchor: of each pair of
+    blocks as many as join what its links join, never all of them."""
+    bound = sketch_bound(percent / 100)
+
+    def run(table: pa.Table) -> pa.Table:
+        cls, label, n, block = (table.column(c).to_numpy() for c in ("cls", "label", "n", "block"))
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(cls), -1).view(_U)
+        lists = table.column("shingles").combine_chunks()
+        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(_U)
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        root = {x: x for x in label.tolist()}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        edges = []
+        for p in range(0, len(left), TILE):
+            for q in range(0, len(right), TILE):
+                if i == j and q < p:
+                    continue
+                r, c = left[p : p + TILE], right[q : q + TILE]
+                apart = np.bitwise_count(sketch[r][:, None, :] ^ sketch[c][None, :, :]).sum(axis=2, dtype=np.int64)
+                wanted = (apart <= bound) & (label[r][:, None] != label[c][None, :])
+                wanted &= 100 * np.minimum(n[r][:, None], n[c][None, :]) >= percent * np.maximum(n[r][:, None], n[c][None, :])
+                if not wanted.any():
+                    continue
+                r, c = r[wanted.any(axis=1)], c[wanted.any(axis=0)]
+                wanted = wanted[np.ix_(wanted.any(axis=1), wanted.any(axis=0))]
+                shared = common([flat[offsets[k] : offsets[k + 1]] for k in r], [flat[offsets[k] : offsets[k + 1]] for k in c], wanted)
+                linked = wanted & (100 * shared >= percent * (n[r][:, None] + n[c][None, :] - shared))
+                for x, y in zip(*np.nonzero(linked), strict=True):
+                    u, v = find(int(label[r[x]])), find(int(label[c[y]]))
+                    if u != v:
+                        root[u] = v
+                        edges.append((int(cls[r[x]]), int(cls[c[y]])))
+        e = np.array(edges, dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": e[:, 0], "b": e[:, 1]})
+
+    return _blocked(anchored, about, sets).groupBy("anchor", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links reach, itself
     included) and kept (whether that is its own) for each row.
@@ -244,14 +337,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # then, in buckets that hold more than one component, the classes of different ones
     held = members.select("key", "cls").join(labels, members.cls == labels.node, "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
     held = written(held, "held")
-    mixed = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    held = held.join(written(mixed, "mixed"), "key").join(about, held.cls == about.a).select("key", "cls", "label", "an", "ask")
-    held = written(held, "held")
-    other = held.select("key", F.col("cls").alias("b"), F.col("label").alias("other"), F.col("an").alias("bn"), F.col("ask").alias("bsk"))
-    more = held.join(other, "key").where((F.col("cls") < F.col("b")) & (F.col("label") != F.col("other")) & _near(percent))
-    more = written(more.select(F.col("cls").alias("a"), "b").distinct(), "more")
+    counts = held.groupBy("key", "label").agg(F.count("*").alias("times")).groupBy("key")
+    counts = counts.agg(F.max_by("label", F.struct("times", -F.col("label"))).alias("anchor"), F.count("*").alias("labels")).where("labels > 1")
+    anchored = held.join(written(counts.select("key", "anchor"), "anchors"), "key").select("anchor", "cls", "label").distinct()
+    more = written(_cross_links(written(anchored, "anchored"), about, sets, percent), "more")
     if not more.isEmpty():
-        labels = components(linked.union(_confirmed(more, sets, percent)))
+        labels = components(linked.union(more))
     placed = classes.select("d1", "d2", "n", "cls", "least").join(labels, F.col("cls") == F.col("node"), "left").select("d1", "d2", "n", "least", F.coalesce("label", "cls").alias("label"))
     placed = written(placed, "placed")
     lowest = written(placed.groupBy("label").agg(F.min("least").alias("component_id")), "lowest")
