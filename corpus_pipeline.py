@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from winnow.llm import language, mixing, near_dup, packing
 from winnow.llm.shared import free_name, written
+from winnow.sources.packages import ship
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,6 +20,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     The language models are learnt from these documents outside the held-out fold.
     """
+    ship(spark)
     model = language.learn(docs.where(~language.held_out_id()))
     pred, score = free_name(docs, "lang_pred"), free_name(docs, "score")
     told = language.identify(docs, model, pred=pred, score=score)
@@ -27,6 +29,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: 5-word shingles, similarity 0.8 or more."""
+    ship(spark)
     told = near_dup.near_duplicates(docs, width=5, percent=80)
     gone = written(told.where(~F.col("kept")).select("doc_id").distinct(), "gone")
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -50,6 +53,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into sequences: a row for each piece."""
+    ship(spark)
     return packing.pack(docs)
 
 

@@ -3,31 +3,19 @@ executors see, exact ranks and running sums over skewed keys, and components."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of one key are dealt over so many buckets for ranks and running sums.
-BUCKETS = 256
-
+from winnow.operators.graph import components
+from winnow.sources.shared import shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, as in tests, one in the warehouse."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return top.rstrip("/")
+__all__ = ["bucket_of", "components", "free_name", "shared_dir", "with_starts", "written"]
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: cuts lineage, and what was
-    computed isn't computed again if an executor is lost."""
-    path = f"{shared_dir(df.sparkSession)}/winnow/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows of one key are dealt over so many buckets for ranks and running sums.
+BUCKETS = 256
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -60,27 +48,3 @@ def with_starts(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence
     out = out.join(totals, [*keys, bucket])
     both = {n: F.col(f"_i_{n}").bitwiseXOR(F.col(f"_b_{n}")) if f is F.bit_xor else F.col(f"_i_{n}") + F.col(f"_b_{n}") for n, (f, _, _) in starts.items()}
     return out.withColumns(both).drop(*[f"_i_{n}" for n in starts], *[f"_b_{n}" for n in starts])
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """The component of each end of an edge.
-
-    edges has columns a and b (long, a != b). Returns node and label, the
-    smallest node that can be reached. Each round lowers a label to the least
-    among the neighbours of all nodes that bear it, and then to the label of that
-    label, so that long chains take few rounds. Labels are written to the shared
-    folder each round. Raises RuntimeError if the rounds don't suffice.
-    """
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
-    for _ in range(rounds):
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        low = written(labels.join(near, labels.node == near.a).select("node", "label", F.least("label", "near").alias("low")), "low")
-        hooked = low.where("low < label").groupBy(F.col("label").alias("root")).agg(F.min("low").alias("root_low"))
-        if (hooked := written(hooked, "hooked")).isEmpty():
-            return labels
-        mid = F.coalesce(F.least("low", "root_low"), F.col("low"))
-        moved = written(low.join(hooked, low.label == hooked.root, "left").select("node", mid.alias("mid")), "moved")
-        up = moved.select(F.col("node").alias("up"), F.col("mid").alias("up_label"))
-        labels = written(moved.join(up, moved.mid == up.up, "left").select("node", F.coalesce(F.least("mid", "up_label"), F.col("mid")).alias("label")), "labels")
-    raise RuntimeError("components: more rounds are needed")
