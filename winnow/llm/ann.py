@@ -35,7 +35,7 @@ from winnow.llm.shared import written
 from winnow.llm.vectors import is_usable, matrix, sample_vectors
 
 #: Vectors of the sample that partitions and classifier are fitted to, at most.
-SAMPLE = 10_000
+SAMPLE = 8_000
 #: Vectors for each partition, and partitions, at most.
 ROWS, PARTITIONS = 2_500, 256
 K, RECALL = 10, 0.97
@@ -47,10 +47,12 @@ def neighbours(x: np.ndarray, q: np.ndarray, k: int, own: np.ndarray | None = No
     """The k rows of x nearest to each row of q; own: a row of x that a query may not find."""
     out = []
     xx = (x * x).sum(axis=1)
-    for i in range(0, len(q), 1024):
-        d = xx[None, :] - 2 * q[i : i + 1024] @ x.T
+    for i in range(0, len(q), 128):
+        d = q[i : i + 128] @ x.T
+        d *= -2
+        d += xx
         if own is not None:
-            d[np.arange(len(d)), own[i : i + 1024]] = np.inf
+            d[np.arange(len(d)), own[i : i + 128]] = np.inf
         out.append(np.argpartition(d, min(k, d.shape[1] - 1), axis=1)[:, :k])
     return np.concatenate(out)
 

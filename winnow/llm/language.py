@@ -11,8 +11,8 @@ language from whole documents in the order of a hash; the texts to be told are
 parsed whole, in runs of RUN symbols, as if each run started a phrase.
 
 Cases: null texts, and texts without letters, get `und` and the score 0. If there
-is no labelled text at all, so do all. Letters that occur in no language's text
-are phrases of their own. Ties go to the language that is first by name. An empty
+is no labelled text at all, so do all. A letter that doesn't occur in
+a language's text ends a phrase there, and the next starts after it. Ties go to the language that is first by name. An empty
 table gives an empty result. Null and repeated doc_ids pass through. Columns
 beside doc_id, text and, for learning, lang aren't read.
 """

@@ -32,11 +32,10 @@ def sample_vectors(df: DataFrame, key: str, vector: str, size: int) -> dict[int,
     n = df.count()
     draw = F.pmod(F.xxhash64(key, vector, F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     rows = df.select(F.col(vector).cast("array<double>").alias("v"), draw.alias("draw"))
-    drawn = rows.where(F.col("draw") < min(1.0, 2 * size / max(n, 1))).orderBy("draw", "v").limit(size).collect()
-    by_length: dict[int, list] = {}
-    for r in drawn:
-        by_length.setdefault(len(r["v"]), []).append(r["v"])
-    return {k: np.array(v) for k, v in by_length.items()}
+    drawn = rows.where(F.col("draw") < min(1.0, 2 * size / max(n, 1))).orderBy("draw", "v").limit(size).select("v").toArrow()
+    column = drawn.column("v").combine_chunks()
+    lengths = np.asarray(column.value_lengths())
+    return {int(k): matrix(column.take(pa.array(np.flatnonzero(lengths == k)))) for k in np.unique(lengths)}
 
 
 def unit(x: np.ndarray) -> np.ndarray:
