@@ -329,7 +329,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     stars = written(stars.select("a", "b"), "stars")
     # the full sets of all classes that share a bucket with another
     wanted = written(members.select("cls").distinct().join(classes.select("cls", "least", F.col("d1").alias("w1"), F.col("d2").alias("w2")), "cls"), "wanted")
-    texts = docs.select(F.col("doc_id").alias("least"), "text").join(wanted.select("least", "cls"), "least")
+    # there is no bound on how many these are: joined alike at every size, never by broadcast
+    texts = docs.select(F.col("doc_id").alias("least"), "text").hint("merge").join(wanted.select("least", "cls"), "least")
     sets = full_sets(texts, width).join(wanted.select("cls", "w1", "w2"), "cls").where("d1 = w1 and d2 = w2").dropDuplicates(["cls"])
     sets = written(sets.select("cls", "shingles"), "sets")
     linked = written(_confirmed(stars, sets, percent), "linked")
