@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from winnow.config import DedupThresholds, VideoThresholds, from_env
-from winnow.functions import hashing, media_types, scores, text
+from winnow.functions import hashing, media_types, pixels, scores, text
 from winnow.operators import classify, graph, relational, selection, similarity, state, video
 from winnow.plans import dedup
 from winnow.sources import files, schemas
@@ -325,3 +325,30 @@ def test_first_seen_stream(spark, tmp_path):
     q = progress.first_seen(events, ["user_id", "event_type"]).writeStream.format("memory").queryName("first_seen").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("first_seen").count() == 2
+
+
+def test_measures_of_images(spark, tmp_path):
+    board = [[255 * ((i // 8 + j // 8) % 2) for j in range(64)] for i in range(64)]
+    for name, p in (("flat", [[128] * 64] * 64), ("black", [[0] * 64] * 64), ("board", board)):
+        (tmp_path / f"{name}.png").write_bytes(png(p))
+    got = {r.origin.rsplit("/", 1)[1][:-4]: r.measures for r in pixels.measured(files.images(spark, str(tmp_path))).collect()}
+    assert got["flat"].sharpness == 0 and got["board"].sharpness > 100 and got["board"].centre_sharpness > 100
+    assert (got["flat"].brightness, got["flat"].contrast, got["flat"].cast_r, got["black"].brightness) == (128, 0, 0, 0)
+    assert got["board"].exposure_stddev == pytest.approx(127.5) and got["board"].noise > got["flat"].noise == 0
+    assert got["flat"].phash == "0" * 16 and got["board"].phash == "55aa" * 4
+    assert one(spark, scores.exposure_score(F.lit(got["flat"].exposure_mean), F.lit(got["flat"].exposure_stddev))) == 50.0
+    assert one(spark, scores.exposure_score(F.lit(got["black"].exposure_mean), F.lit(0.0))) == 0.0
+
+
+def test_broken_images_measure_null(rows):
+    df = rows([(4, 4, 3, b"x"), (0, 0, 1, None), (2, 1, 1, b"ab")], "width int, height int, channels int, data binary")
+    assert [r.measures.sharpness is None for r in pixels.measured(df).orderBy("width").collect()] == [True, False, True]
+
+
+def test_edits_and_frames():
+    import numpy as np
+
+    x = pixels.channels(1, 1, 3, bytes([30, 20, 10]))
+    assert x.tolist() == [[[10.0, 20.0, 30.0]]]
+    assert pixels.edited(x, 1.0, 300.0, 1.0).max() == 255 and len(set(pixels.edited(x, 1.0, 0.0, 0.0).ravel().tolist())) == 1
+    assert pixels.frame_difference(np.zeros((80, 80)), np.full((80, 80), 7.0)) == 7.0
