@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 UND = "und"
 #: Symbols of labelled text for each language, documents they are taken from, and languages, at most.
-SAMPLE, DOCUMENTS, LANGUAGES = 60_000, 400, 500
+SAMPLE, DOCUMENTS, LANGUAGES = 30_000, 400, 500
 #: Symbols told apart: a blank, an unknown letter, and the most frequent letters.
 ALPHABET = 64
 RUN = 512
@@ -108,6 +108,7 @@ class Parser:
         texts = [folded([model[n]])[0][:sample] for n in self.names]
         seen, times = np.unique(np.concatenate([np.zeros(0, dtype=np.uint32), *texts]), return_counts=True)
         known = [int(c) for _, c in sorted(zip(-times, seen, strict=True)) if c][: alphabet - 2]
+        alphabet = len(known) + 2
         self._symbol = np.ones(sys.maxunicode + 1, dtype=np.uint8)
         self._symbol[0] = 0
         self._symbol[known] = np.arange(2, len(known) + 2)
@@ -200,13 +201,13 @@ def identify(docs: DataFrame, model: dict[str, str], sample: int = SAMPLE, pred:
             _parsers.clear()
             parser = _parsers[key] = Parser(model, sample=sample)
         for batch in batches:
-            texts, names, scores, at = batch.column(at_text).to_pylist(), [], [], 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (size < _CHUNK or to == at):
-                    size += len(texts[to] or "")
-                    to += 1
-                n, s = parser.predict(texts[at:to])
+            names, scores = [], []
+            sizes = batch.column(at_text).fill_null("").cast(pa.large_string())
+            ends = np.frombuffer(sizes.buffers()[1], dtype=np.int64)[sizes.offset : sizes.offset + batch.num_rows + 1] if batch.num_rows else np.zeros(1, dtype=np.int64)
+            at = 0
+            while at < batch.num_rows:  # about a chunk of text at a time
+                to = min(batch.num_rows, max(at + 1, int(np.searchsorted(ends, ends[at] + _CHUNK, side="right")) - 1))
+                n, s = parser.predict(batch.column(at_text).slice(at, to - at).to_pylist())
                 names += n
                 scores.append(s)
                 at = to
