@@ -66,10 +66,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen, known = TaskContext.get().partitionId(), {}, {}
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             at, rows = [], []
-            for i in range(0, len(texts), 256):
-                for j, ids in enumerate(encoder(path).encode(texts[i : i + 256]), i):
+            for i in range(0, batch.num_rows, 256):
+                for j, ids in enumerate(encoder(path).encode(batch.column(1).slice(i, 256).to_pylist()), i):
                     if end_id is not None:
                         ids = np.append(ids, end_id)
                     raw, n, start = ids.astype("<u4").tobytes(), len(ids), 0

@@ -84,7 +84,7 @@ class Encoder:
             tokenizer = Tokenizer.from_file(path)
             self._plain = lambda texts: [np.array(e.ids, dtype=np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             if (fast := _as_tiktoken(path)) and all(np.array_equal(a, fast.encode_to_numpy(t, allowed_special="all")) for t, a in zip(_PROBES, self._plain(_PROBES), strict=True)):
-                self._fast = fast
+                self._fast, self._plain = fast, None
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; None counts as empty."""
