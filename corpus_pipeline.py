@@ -47,7 +47,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A document that the mix takes twice is there twice.
     """
     taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    rows = docs.join(written(taken, "taken"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    # there is no bound on how many these are: joined alike at every size, never by broadcast
+    rows = docs.hint("merge").join(written(taken, "taken"), F.col("doc_id").eqNullSafe(F.col("_id")))
     return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
