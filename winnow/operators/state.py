@@ -106,6 +106,23 @@ def promoted(users: DataFrame, where: Column) -> DataFrame:
     return update(users, where & (F.col("status") == "active") & (F.col("role") == "regular"), {"role": F.lit("admin")})
 
 
+#: Ends of upload sessions: action -> (session, media) states; only active sessions end.
+SESSION_ACTIONS = {"complete": ("completed", "uploaded"), "abort": ("aborted", "cancelled"), "expire": ("expired", "expired")}
+
+
+def session_action(sessions: DataFrame, action: str, where: Column) -> DataFrame:
+    """Sessions after an action, with the state that their media take (null where nothing changed)."""
+    session, media = SESSION_ACTIONS[action]
+    out = update(sessions, where & (F.col("status") == "active"), {"status": F.lit(session)})
+    return out.withColumn("media_status", F.when(F.col("changed"), media))
+
+
+def first_decisions(decisions: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """One decision for each key: the first in order."""
+    rn = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return decisions.withColumn("rn", rn).where("rn = 1").drop("rn")
+
+
 def set_member(parents: DataFrame, chosen: DataFrame, members: DataFrame, column: str, key: str) -> DataFrame:
     """parents (id, column) after a choice (id, choice) that counts only if it is a member (key, id) of that parent."""
     sound = chosen.join(members.select(F.col(key).alias("id"), F.col("id").alias("choice")).distinct(), ["id", "choice"], "left_semi")

@@ -64,10 +64,6 @@ def assess(rows: DataFrame, t: DedupThresholds = DedupThresholds(), mode: str =
     labels = graph.components(confirmed)
     narrow = rows.drop("v")
     grouped = narrow.join(labels, narrow.seq == labels.node, "left").withColumn("label", F.coalesce("label", "seq")).drop("node")
-    best = selection.keep_best(grouped.join(confirmed_nodes(labels), "seq", "left_semi"))
+    best = selection.keep_best(grouped.join(labels.select(F.col("node").alias("seq")), "seq", "left_semi"))
     images = grouped.join(best, "label", "left").select("trip_id", "seq", "label", (F.coalesce("keep", "seq") == F.col("seq")).alias("kept"))
     return Assessment(evidence, images)
-
-
-def confirmed_nodes(labels: DataFrame) -> DataFrame:
-    return labels.select(F.col("node").alias("seq"))

@@ -177,3 +177,31 @@ def listed_active(spark, d):
 def tab_other(spark, d):
     return src.media(spark, d).where((F.coalesce(F.nullif("category", F.lit("")), F.lit("other")) == "other") & (F.col("status") == "active")).select("id")
 
+
+
+_SESSIONS = "select c_custkey as id, case when c_custkey % 4 = 0 then 'completed' else 'active' end as status from customer"
+
+
+@query("a20_upload_sessions", f"with s as ({_SESSIONS}) select id, 'complete' as action, case when status = 'active' and id % 3 = 0 then 'completed' else status end as status, coalesce(case when status = 'active' and id % 3 = 0 then 'uploaded' end, '') as media_status from s union all select id, 'abort', case when status = 'active' and id % 3 = 0 then 'aborted' else status end, coalesce(case when status = 'active' and id % 3 = 0 then 'cancelled' end, '') from s")
+def upload_sessions(spark, d):
+    s = src.table(spark, d, "customer").selectExpr("c_custkey as id", "case when c_custkey % 4 = 0 then 'completed' else 'active' end as status")
+    outs = [state.session_action(s, a, F.col("id") % 3 == 0).select("id", F.lit(a).alias("action"), "status", F.coalesce("media_status", F.lit("")).alias("media_status")) for a in ("complete", "abort")]
+    return outs[0].unionByName(outs[1])
+
+
+@query("h5_unique_decisions", "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts, event_id) as rn from events) where rn = 1")
+def unique_decisions(spark, d):
+    return state.first_decisions(src.table(spark, d, "events"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query("e6_blur_counts", sql("media", "select trip_id, count(*) filter (where coalesce(blur_status, 'suspect') = 'clear') as clear, count(*) filter (where coalesce(blur_status, 'suspect') = 'suspect') as suspect, count(*) filter (where blur_status = 'blurry') as blurry from media group by trip_id"))
+def blur_counts(spark, d):
+    s = F.coalesce("blur_status", F.lit("suspect"))
+    return src.media(spark, d).groupBy("trip_id").agg(*[F.count_if(s == x).alias(x) for x in ("clear", "suspect", "blurry")])
+
+
+@query("b9_analysis_errors", sql("media", "select id, coalesce(category, '') <> '' or coalesce(blur_status, '') <> '' as failed, coalesce(category, blur_status, '') as message from media"))
+def analysis_errors(spark, d):
+    """A result has failed if either of two messages is not empty; its message is the first that is not null."""
+    a, b = F.col("category"), F.col("blur_status")
+    return src.media(spark, d).select("id", ((F.coalesce(a, F.lit("")) != "") | (F.coalesce(b, F.lit("")) != "")).alias("failed"), F.coalesce(a, b, F.lit("")).alias("message"))
