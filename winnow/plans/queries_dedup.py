@@ -13,8 +13,8 @@ from winnow.plans.prelude import sql
 from winnow.plans.registry import query
 from winnow.sources import adapters as src
 
-#: Distance of hashes at which the synthetic vectors have pairs.
-HASH_DISTANCE = 18
+#: Distance of hashes; the synthetic vectors are all farther apart, so that MD5 and cosines give the pairs.
+HASH_DISTANCE = 10
 
 
 @query("j7_exact_duplicates", "select md5(text) as md5, min(doc_id) as first, count(*) as n from documents group by md5(text) having count(*) > 1")
@@ -148,7 +148,7 @@ def keep_by_pairs(spark, d):
     return selection.keep_by_pairs(_grouped(spark, d))
 
 
-_EVIDENCE = """ev as (select trip_id, i, j, 'hash' as source, null::double as score, true as confirmed from dist where pd <= 18 and dd <= 18
+_EVIDENCE = f"""ev as (select trip_id, i, j, 'hash' as source, null::double as score, true as confirmed from dist where pd <= {HASH_DISTANCE} and dd <= {HASH_DISTANCE}
 union all select trip_id, i, j, 'tiered', sim, true from t where tier = 'confirmed' union all select trip_id, i, j, 'gray', sim, sim >= 0.42 from t where tier = 'gray')"""
 
 
