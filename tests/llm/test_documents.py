@@ -274,6 +274,22 @@ def test_sainte_lague_brute_force(rows):
     assert all(r.quota >= 0 for r in got)
 
 
+def test_mixing_meets_targets_of_rare_sources(spark):
+    # 10 million words; blocks are of some 1,900 words, more than all of source r0, which has 0.001 % of them
+    rare = {"r0": 5, "r1": 200, "r2": 5000}
+    docs = spark.range(500).select("id", F.repeat(F.lit("w "), 20_000).alias("text"), F.concat(F.lit("a"), F.col("id") % 5).alias("source"))
+    for k, (source, size) in enumerate(rare.items()):
+        docs = docs.union(spark.range(1000 * (k + 1), 1000 * (k + 1) + 20).select("id", F.repeat(F.lit("w "), size), F.lit(source)))
+    docs = docs.withColumnRenamed("id", "doc_id")
+    # weights by code point of sources: a0 to a4, then r0, r1, r2; r2 gets a target under its size
+    mixed = mixing.mix(docs, weights=(5.0, 2.0, 1.0, 5.0, 2.0, 1.0, 1.0, 0.01)).join(docs.select("doc_id", "source"), "doc_id")
+    got = mixed.groupBy("source", "target").agg(F.sum("taken").alias("taken"), F.max("copies").alias("copies")).collect()
+    assert len(got) == 8
+    for x in got:
+        assert x.target > 0 and abs(x.taken - x.target) <= max(1, 0.004 * x.target), x
+        assert x.copies >= 1
+
+
 def test_mixing_odd_rows(rows):
     got = mixing.mix(documents(rows, ODD)).collect()
     assert len(got) == len(ODD)

@@ -4,7 +4,8 @@ Built-in DataFrame functions only. Each source's documents form a stream in a
 seeded order, cut into blocks of equal words. Blocks are dealt to sources by
 highest quotients target / (2 n + 1), for each shard of the mix; a source's
 quota is then met by whole passes over its stream and, for what remains, by
-blocks spread evenly over the stream from a seeded start.
+blocks spread evenly over the stream from a seeded start. Blocks grow with the
+mix, so a source of few of them is given its target in words instead.
 
 Cases: a null text has size 0 and is taken 0 words. Null is a source of its own,
 last in order; null and repeated doc_ids are documents like others, told apart by
@@ -30,6 +31,8 @@ SEED = "mix-1"
 SHARDS = 8
 #: Blocks in the mix for each source: a source's quota is exact to one of them.
 BLOCKS_A_SOURCE = 2000
+#: A source whose stream has less than this part of BLOCKS_A_SOURCE blocks is settled in words.
+FEW = 0.25
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -108,7 +111,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     rows = written(rows.withColumn("bucket", F.conv(F.substring("draw", 1, 2), 16, 10).cast("int")), "sizes")
     wanted = written(targets(rows.groupBy("key").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     quota = quotas(wanted, shards, blocks_a_source).groupBy("key").agg(F.sum("quota").alias("quota"), F.first("block").alias("block"))
-    plan = wanted.join(quota, "key").withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")))
+    plan = wanted.join(quota, "key")
+    few = (F.col("block") > 1) & (F.col("source_size") < FEW * blocks_a_source * F.col("block"))
+    plan = plan.withColumn("quota", F.when(few, F.round("target").cast("long")).otherwise(F.col("quota")))
+    plan = plan.withColumn("block", F.when(few, F.lit(1).cast("long")).otherwise(F.col("block")))
+    plan = plan.withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")))
     plan = plan.withColumn("quota", F.least(F.col("quota"), F.floor(F.col("blocks") * most)))
     some = F.col("blocks") > 0
     plan = plan.withColumn("passes", F.when(some, F.floor(F.col("quota") / F.col("blocks"))).otherwise(F.lit(0)))
