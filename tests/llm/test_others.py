@@ -193,6 +193,22 @@ def test_queries_are_registered():
     assert set(llm_queries.oracle_sql()) <= names
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<p>a</p><svg-icon></svg-icon><p>b</p><svg><title>t</title></svg><p>c</p>", ["a", "b", "c"]),
+        ("<p>a</p><audio-player></audio-player><button-group></button-group><p>b</p>", ["a", "b"]),
+        ('<p>a</p><svg viewBox="0 0 1 1"/><script src="x"/><p>b</p>', ["a", "b"]),
+        ("<p>a <math><mi>x</mi><annotation>tex</annotation></math> c</p>", ["a x c"]),
+        ("<p>a</p><button><p>b</p><button>more</button><p>c</p>", ["a", "b", "c"]),
+        ("<p>a</p><object>o<object>i</object>o</object><p>b</p><object><p>c</p>", ["a", "b", "c"]),
+        ("<p>a</p><script>'</svg><p>b</p>'</script><p>c</p><style>d", ["a", "c"]),
+    ],
+)
+def test_unread_elements_end_where_they_do(page, texts):
+    assert [b.text for b in html_text.blocks(page)] == texts
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

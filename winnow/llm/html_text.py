@@ -27,8 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-# Fixed values of HTML: elements by how their content is read.
-_UNREAD = "script|style|noscript|template|textarea|select|iframe|object|svg|math|title|button|canvas|audio|video"
+# Fixed values of HTML: elements by how their content is read. Raw text runs to its end tag or the
+# page's end; the unread are left out from start tag to end tag, and without one are read like others.
+_RAW = "script|style|textarea|title"
+_UNREAD = frozenset("annotation annotation-xml audio button canvas iframe noscript object select svg template video".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset(
     "html head body address article aside blockquote caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -45,7 +47,7 @@ _ENDS = {
 }
 _AREAS = frozenset("article aside figure footer form header main nav".split())
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_UNREAD})\b[^>]*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+>|<(/?)([a-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-z][^\s/>]*+)([^>]*+)>",
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])[^>]*+>(?<!/>).*?(?:</\1\s*>|\Z)|<[!?][^>]*+>|<(/?)([a-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-z][^\s/>]*+)([^>]*+)>",
     re.I | re.S,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -75,6 +77,22 @@ def _names(attributes: str) -> frozenset[str]:
     return frozenset(w.lower() for m in _ATTRIBUTE.finditer(attributes) for w in _PART.findall(m[2] or m[3] or m[4] or "") if len(w) > 1)
 
 
+def _unread(tokens: list[re.Match[str]]) -> dict[int, int]:
+    """Where the unread elements that have an end tag start and end, as positions in the page."""
+    starts: dict[str, list[int]] = {}
+    out: dict[int, int] = {}
+    for m in tokens:
+        name = (m[3] or m[6] or "").lower()
+        if name not in _UNREAD:
+            continue
+        if not (m[2] or m[5]):
+            if not (m[4] or m[7] or "").endswith("/"):
+                starts.setdefault(name, []).append(m.start())
+        elif starts.get(name):
+            out[starts[name].pop()] = m.end()
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page, in order; those without text are left out."""
     out: list[Block] = []
@@ -97,12 +115,19 @@ def blocks(page: str) -> list[Block]:
         links -= sum(x[0] == "a" for x in open_[to:])
         del open_[to:]
 
-    for m in _TOKEN.finditer(page):
+    tokens = list(_TOKEN.finditer(page))
+    unread = _unread(tokens)
+    for m in tokens:
+        if m.start() < at:
+            continue
         if m.start() > at:
             text.append(page[at : m.start()])
             if links:
                 linked += m.start() - at
-        at = m.end()
+        at = unread.get(m.start(), m.end())
+        if at > m.end():
+            text.append(" ")
+            continue
         name = (m[3] or m[6] or "").lower()
         if not name:
             if m[1]:
