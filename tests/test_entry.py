@@ -50,3 +50,11 @@ OWN = [n for n in entry.catalog.oracle_sql() if n not in ("h3_kept_and_removed",
 @pytest.mark.parametrize("name", OWN)
 def test_against_sql(spark, duck, name):
     assert same_rows(entry.queries()[name](spark, SF).toPandas()) == same_rows(duck.execute(entry.oracle_sql()[name]).df())
+
+
+def test_hash_pairs_are_found(spark):
+    """The smaller tables have none within the distance."""
+    d, con = "/root/testdata/sf0.1", duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{d}/embeddings.parquet'")
+    got = entry.queries()["j3_hash_pairs"](spark, d).toPandas()
+    assert len(got) == 4 and same_rows(got) == same_rows(con.execute(entry.oracle_sql()["j3_hash_pairs"]).df())

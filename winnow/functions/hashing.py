@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _hex(bits: Column, size: int) -> Column:
     """Bits (booleans, first is highest) as hexadecimal digits."""
-    digit = lambda i: F.hex(sum(((F.get(bits, i * 4 + F.lit(j))).cast("int") * (8 >> j) for j in range(4)), F.lit(0)))
-    return F.lower(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(size // 4 - 1)), digit), ""))
+    digit = lambda b, i: F.hex(sum(((F.get(b, i * 4 + F.lit(j))).cast("int") * (8 >> j) for j in range(4)), F.lit(0)))
+    digits = _once(bits, lambda b: F.transform(F.sequence(F.lit(0), F.lit(size // 4 - 1)), lambda i: digit(b, i)))
+    return F.lower(F.array_join(digits, ""))
 
 
 def mean_hash(values: Column, size: int = 64) -> Column:
     """A bit for each value: whether it is over their mean."""
     v = values.cast("array<double>")
     mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)
-    return _hex(F.transform(v, lambda x: x > mean), size)
+    return _hex(_once(mean, lambda m: F.transform(v, lambda x: x > m)), size)
 
 
 def gradient_hash(values: Column, rows: int = 8, columns: int = 8) -> Column:

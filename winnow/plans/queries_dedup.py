@@ -13,8 +13,8 @@ from winnow.plans.prelude import sql
 from winnow.plans.registry import query
 from winnow.sources import adapters as src
 
-#: Distance of hashes; the synthetic vectors are all farther apart, so that MD5 and cosines give the pairs.
-HASH_DISTANCE = 10
+#: Distance of hashes at which the synthetic vectors have pairs.
+HASH_DISTANCE = 18
 
 
 @query("j7_exact_duplicates", "select md5(text) as md5, min(doc_id) as first, count(*) as n from documents group by md5(text) having count(*) > 1")
