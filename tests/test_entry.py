@@ -58,3 +58,9 @@ def test_hash_pairs_are_found(spark):
     con.execute(f"create view embeddings as select * from '{d}/embeddings.parquet'")
     got = entry.queries()["j3_hash_pairs"](spark, d).toPandas()
     assert len(got) == 4 and same_rows(got) == same_rows(con.execute(entry.oracle_sql()["j3_hash_pairs"]).df())
+
+
+@pytest.mark.parametrize("kind", ["fade", "crossfade"])
+def test_every_segment_has_a_transition(spark, kind):
+    n = entry.queries()["n2_segment_boundaries"](spark, SF).count()
+    assert entry.queries()[f"n8_{kind}_transitions_whole"](spark, SF).count() == n > entry.queries()[f"n8_{kind}_transitions"](spark, SF).count()

@@ -96,6 +96,24 @@ def crossfade_transitions(spark, d):
     return video.transitions(_sample(spark, d), "crossfade", 5.0).withColumn("offset", F.coalesce("offset", F.lit(-1.0)))
 
 
+def _whole(spark, d):
+    return segments(spark, d).select("media_id", F.col("segment_index").alias("pos"), "duration")
+
+
+_ALL = "p as (select media_id, segment_index as pos, duration from segs1)"
+
+
+@query("n8_fade_transitions_whole", sql("segs1", f"with {_ALL} select media_id, pos, case when duration >= 10 then 'fade' else 'none' end as transition, coalesce(case when duration >= 10 then duration - 5 end, -1)::double as \"offset\" from p"))
+def fade_transitions_whole(spark, d):
+    """All segments at their real durations; n8_fade_transitions has the first twelve of each video."""
+    return video.transitions(_whole(spark, d), "fade", 5.0).withColumn("offset", F.coalesce("offset", F.lit(-1.0)))
+
+
+@query("n8_crossfade_transitions_whole", sql("segs1", f"with {_ALL}, q as (select *, lag(duration) over (partition by media_id order by pos) as b from p) select media_id, pos, case when b is null then 'start' when duration >= 10 and b >= 10 then 'crossfade' else 'concat' end as transition, coalesce(case when duration >= 10 and b >= 10 then b - 5 end, -1)::double as \"offset\" from q"))
+def crossfade_transitions_whole(spark, d):
+    return video.transitions(_whole(spark, d), "crossfade", 5.0).withColumn("offset", F.coalesce("offset", F.lit(-1.0)))
+
+
 @query("n9_requested_order", sql("segs1", "with o as (select media_id, unnest([3, 0, 5000]) as segment_index, unnest([0, 1, 2]) as pos from (select distinct media_id from segs1)) select o.media_id, o.pos, o.segment_index, s.media_id is not null as there from o left join segs1 s on s.media_id = o.media_id and s.segment_index = o.segment_index"))
 def requested_order(spark, d):
     s = segments(spark, d)
