@@ -10,7 +10,7 @@ from winnow.operators import state
 from winnow.plans.prelude import sql
 from winnow.plans.registry import query
 from winnow.sources import adapters as src
-from winnow.sources.shared import shared_dir
+from winnow.sources.shared import run_dir
 from winnow.streaming import progress
 
 _SEQ = "q as (select *, row_number() over (partition by job_id order by created_at, id) as seq from jobev)"
@@ -151,7 +151,7 @@ def streamed_states(spark, d):
     path = f"{d}/events.parquet"
     # as a pattern, as the table may be one file or a folder of them
     events = progress.event_stream(spark, f"{d}/events.parque[t]", spark.read.parquet(path).schema)
-    top = f"{shared_dir(spark)}/winnow/states-{uuid.uuid4().hex}"
+    top = f"{run_dir(spark)}/states-{uuid.uuid4().hex}"
 
     def push(batch, number):
         batch.write.mode("overwrite").parquet(f"{top}/out")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -18,6 +20,7 @@ def ship(spark: SparkSession) -> None:
         return
     package = Path(__file__).resolve().parent.parent
     path = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+    atexit.register(shutil.rmtree, path.parent, ignore_errors=True)  # executors that come later still fetch it
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
