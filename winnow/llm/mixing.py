@@ -5,13 +5,19 @@ seeded order, cut into blocks of equal words. Blocks are dealt to sources by
 highest quotients target / (2 n + 1), for each shard of the mix; a source's
 quota is then met by whole passes over its stream and, for what remains, by
 blocks spread evenly over the stream from a seeded start. Blocks grow with the
-mix, so a source of few of them is given its target in words instead.
+mix, so a source of few of them is given its target in words instead. What a
+document gives depends on its source's quota in all shards together; `quotas`
+has them by shard.
+
+Quotas and targets are worked out over one row for each source, in one task: for
+millions of sources, not for as many as there are documents.
 
 Cases: a null text has size 0 and is taken 0 words. Null is a source of its own,
-last in order; null and repeated doc_ids are documents like others, told apart by
-their texts. Repeated rows each count. Sources without words get the target 0.
-An empty table gives an empty result. Columns beside doc_id, text and source
-aren't read.
+last in order. Rows are documents of their own, whatever ids they repeat; those
+with a null doc_id are drawn by text and place in the table, so that a rerun
+agrees if it reads the same files. Sources without words get the target 0. An
+empty table gives an empty result. Columns beside doc_id, text and source aren't
+read by `mix`, and pass through `mixed`.
 """
 
 from __future__ import annotations
@@ -102,13 +108,12 @@ def _phase(seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("key"))), 1, 8), 16, 10).cast("long") / float(2**32)
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, shards: int = SHARDS, blocks_a_source: int = BLOCKS_A_SOURCE) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words, repeats counted), first
-    (where the document starts in its source's stream) and copies: how often the
-    mix takes it if it takes documents whole."""
-    who = F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit(""))
-    rows = docs.select("doc_id", source_key(F.col("source")).alias("key"), n_words(F.col("text")).alias("size"), F.md5(F.concat_ws("|", F.lit(seed), who)).alias("draw"))
-    rows = written(rows.withColumn("bucket", F.conv(F.substring("draw", 1, 2), 16, 10).cast("int")), "sizes")
+def _mix(docs: DataFrame, carried: list[Column], weights: Sequence[float], share: float, most: float, seed: str, shards: int, blocks_a_source: int) -> DataFrame:
+    """The columns of `mix`, and those carried."""
+    nameless = F.concat_ws("~", F.lit(""), F.md5("text"), F.monotonically_increasing_id().cast("string"))
+    draw = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), nameless)))
+    rows = docs.select(*carried, source_key(F.col("source")).alias("key"), n_words(F.col("text")).alias("size"), draw.alias("draw"))
+    rows = written(rows.withColumn("bucket", F.conv(F.substring("draw", 1, 3), 16, 10).cast("int")), "sizes")
     wanted = written(targets(rows.groupBy("key").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     quota = quotas(wanted, shards, blocks_a_source).groupBy("key").agg(F.sum("quota").alias("quota"), F.first("block").alias("block"))
     plan = wanted.join(quota, "key")
@@ -121,7 +126,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     plan = plan.withColumn("passes", F.when(some, F.floor(F.col("quota") / F.col("blocks"))).otherwise(F.lit(0)))
     plan = plan.withColumn("rate", F.when(some, (F.col("quota") - F.col("passes") * F.col("blocks")) / F.col("blocks")).otherwise(F.lit(0.0)))
     plan = written(plan.withColumn("phase", _phase(seed)).select("key", "source_size", "target", "block", "passes", "rate", "phase"), "plan")
-    placed = with_starts(rows, ["key"], "bucket", ["draw", "doc_id", "size"], {"first": (F.sum, F.col("size"), 0)}).join(plan, "key")
+    placed = with_starts(rows, ["key"], "bucket", ["draw", "size"], {"first": (F.sum, F.col("size"), 0)}).join(plan, "key")
 
     def chosen(b: Column) -> Column:
         """How many of the blocks before the b-th are chosen, besides the passes."""
@@ -135,4 +140,18 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     taken = F.col("passes") * F.col("size") + words(F.col("first") + F.col("size")) - words(F.col("first"))
     at = F.floor(F.col("first") / F.col("block"))
     copies = F.col("passes") + chosen(at + 1) - chosen(at)
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "first", copies.cast("int").alias("copies"))
+    return placed.withColumns({"taken": taken.cast("long"), "copies": copies.cast("int")})
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, shards: int = SHARDS, blocks_a_source: int = BLOCKS_A_SOURCE) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words, repeats counted), first
+    (where the document starts in its source's stream) and copies: how often the
+    mix takes it if it takes documents whole."""
+    out = _mix(docs, [F.col("doc_id")], weights, share, most, seed, shards, blocks_a_source)
+    return out.select("doc_id", "size", "source_size", "target", "taken", "first", "copies")
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, shards: int = SHARDS, blocks_a_source: int = BLOCKS_A_SOURCE) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it if it takes documents whole."""
+    out = _mix(docs, [F.struct("*").alias("row")], weights, share, most, seed, shards, blocks_a_source).where("copies > 0")
+    return out.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

@@ -9,16 +9,18 @@ The pairs within a bucket are never listed: each class is first compared with th
 smallest class it shares a bucket with. Buckets whose classes aren't in one
 component after that are gathered by their most frequent component; there the
 classes of different components are compared block by block, by sketches and then
-by exact intersections of the full sets as products of matrices. So every
-candidate pair is either within a component or confirmed or refuted on the full
-sets, and links between different texts are not lost.
+by exact intersections of the full sets as products of matrices. Blocks are cut
+by the size of sets, and those whose sizes rule out a link aren't compared. So
+every candidate pair is either within a component or confirmed or refuted on the
+full sets, and links between different texts are not lost.
 
 Cases: texts without words, and null texts, have an empty set and link with
 nothing. A text with fewer words than a shingle has its whole sequence as its
 one shingle. Rows with a null doc_id link with nothing, have a null component_id
 and are kept. Rows with the same doc_id are told apart by their sets, and each is
 given the component of its own set. An empty table gives an empty result. Columns
-beside doc_id and text aren't read.
+beside doc_id and text aren't read by `near_duplicates`, and pass through
+`distinct_documents`.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.shared import components, written
+from winnow.llm.shared import Scratch, components, dropped, free_name, written
 
 #: Bands and rows of a band: a pair of similarity 0.8 shares none with a chance of 7e-6.
 BANDS, ROWS = 30, 5
@@ -156,8 +158,13 @@ def sketch_bound(similarity: float, count: int = BANDS * ROWS, bits: int = BITS,
     return int(np.ceil(bits / 2 * (1 - (1 - 2 / bits) ** apart)))
 
 
+def text_digest(text: Column) -> Column:
+    """Tells texts apart; that of a null text is empty, not null."""
+    return F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b""))
+
+
 def features(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n, digest of the set (d1, d2), keys of the bands, and odd sketch of each text."""
+    """doc_id, who (digest of the text), n, digest of the set (d1, d2), keys of the bands, and odd sketch of each text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,9 +187,9 @@ def features(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS)
                 sketches.append(odd_sketch(mins))
             d = np.array(digests, dtype=np.int64).reshape(-1, 2).T
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, sketches)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *map(pa.array, np.ascontiguousarray(d)), *lists], names=["doc_id", "n", "d1", "d2", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), *map(pa.array, np.ascontiguousarray(d)), *lists], names=["doc_id", "who", "n", "d1", "d2", "bands", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, d1 long, d2 long, bands array<long>, sketch array<long>")
+    return docs.select("doc_id", "text", text_digest(F.col("text")).alias("who")).mapInArrow(run, f"doc_id {kind}, who binary, n long, d1 long, d2 long, bands array<long>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -217,23 +224,31 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").withColumn("both", both).where(100 * F.col("both") >= percent * all_).select("a", "b")
 
 
-def _blocked(anchored: DataFrame, about: DataFrame, sets: DataFrame) -> DataFrame:
+def _blocked(anchored: DataFrame, about: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Rows (anchor, cls, label) with size, sketch and full set, dealt to pairs of blocks (i, j).
 
     Blocks of classes that bear the anchor's label are set against blocks of
-    others, and these against each other. A block is bounded in rows and shingles.
+    others, and these against each other. A block is bounded in rows and shingles,
+    and holds sets of one class of sizes: the classes are so wide that sets of
+    sizes two classes apart can't be as similar as is asked.
     """
     rows = anchored.join(about.select(F.col("a").alias("cls"), F.col("an").alias("n"), F.col("ask").alias("sketch")), "cls")
-    rows = rows.withColumn("own", F.col("label") == F.col("anchor"))
+    kind = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("long") if percent < 100 else F.col("n")
+    rows = rows.withColumns({"own": F.col("label") == F.col("anchor"), "kind": kind})
     many = lambda own: F.greatest(F.ceil(F.count_if(own) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
-    blocks = rows.groupBy("anchor").agg(many(F.col("own")).alias("own_blocks"), many(~F.col("own")).alias("other_blocks"))
-    rows = rows.join(written(blocks, "blocks"), "anchor")
+    blocks = rows.groupBy("anchor", "kind").agg(many(F.col("own")).alias("own_blocks"), many(~F.col("own")).alias("other_blocks"))
+    blocks = scratch.written(blocks, "blocks")
+    rows = rows.join(blocks, ["anchor", "kind"])
     # own blocks have negative numbers, others those from 0
     at = F.pmod(F.xxhash64("cls", F.lit("block")), F.when(F.col("own"), F.col("own_blocks")).otherwise(F.col("other_blocks"))).cast("int")
-    rows = rows.withColumn("block", F.when(F.col("own"), -1 - at).otherwise(at))
-    others = F.sequence(F.lit(0), F.col("other_blocks") - 1)
-    to = F.when(F.col("own") | (F.col("own_blocks") == 0), others).otherwise(F.concat(F.sequence(F.lit(-1), -F.col("own_blocks"), F.lit(-1)), others))
-    rows = rows.where("other_blocks > 0").withColumn("to", F.explode(to)).join(sets, "cls")
+    rows = rows.withColumn("at", F.when(F.col("own"), -1 - at).otherwise(at)).drop("own_blocks", "other_blocks")
+    rows = rows.withColumn("near", F.explode(F.array(*[F.col("kind") + k for k in ((-1, 0, 1) if percent < 100 else (0,))])))
+    rows = rows.join(blocks.withColumnRenamed("kind", "near"), ["anchor", "near"])
+    counted = lambda n, first, last, step: F.when(F.col(n) > 0, F.sequence(F.lit(first), last(F.col(n)), F.lit(step))).otherwise(F.array().cast("array<int>"))
+    others = counted("other_blocks", 0, lambda n: n - 1, 1)
+    to = F.when(F.col("own"), others).otherwise(F.concat(counted("own_blocks", -1, lambda n: -n, -1), others))
+    number = lambda kind, block: F.col(kind) * 2**33 + F.col(block) + 2**32
+    rows = rows.withColumn("to", F.explode(to)).withColumns({"block": number("kind", "at"), "to": number("near", "to")}).join(sets, "cls")
     return rows.select("anchor", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), "block", "cls", "label", "n", "sketch", "shingles")
 
 
@@ -260,7 +275,7 @@ def common(a: list[np.ndarray], b: list[np.ndarray], wanted: np.ndarray) -> np.n
     return out
 
 
-def _cross_links(anchored: DataFrame, about: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _cross_links(anchored: DataFrame, about: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) between classes of different labels under one anchor: of each pair of
     blocks as many as join what its links join, never all of them."""
     bound = sketch_bound(percent / 100)
@@ -303,52 +318,87 @@ def _cross_links(anchored: DataFrame, about: DataFrame, sets: DataFrame, percent
         e = np.array(edges, dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": e[:, 0], "b": e[:, 1]})
 
-    return _blocked(anchored, about, sets).groupBy("anchor", "i", "j").applyInArrow(run, "a long, b long")
-
+    return _blocked(anchored, about, sets, percent, scratch).groupBy("anchor", "i", "j").applyInArrow(run, "a long, b long")
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id that links reach, itself
-    included) and kept (whether that is its own) for each row.
 
-    Links have 100 x intersection >= percent x union of the sets of distinct
-    `width`-word shingles; words are lower-cased (A-Z) and end at ASCII white space.
-    """
+def _labelled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The features of each row, and for each set (d1, d2, n) the label of its component and the component's smallest doc_id."""
+    scratch = Scratch()
     shingled = written(features(docs, width), "features")
     named = shingled.where("n > 0 and doc_id is not null")
     classes = named.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    banded = written(classes.select("cls", F.explode("bands").alias("key")), "banded")
+    classes = scratch.written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    banded = scratch.written(classes.select("cls", F.explode("bands").alias("key")), "banded")
     buckets = banded.groupBy("key").agg(F.min("cls").alias("hub"), F.count("*").alias("size")).where("size > 1")
     # a table of its own, so that a bucket that many classes share can be dealt over tasks
-    members = written(banded.join(written(buckets, "buckets"), "key").select("key", "cls", "hub"), "members")
+    members = scratch.written(banded.join(scratch.written(buckets, "buckets"), "key").select("key", "cls", "hub"), "members")
     about = classes.select(F.col("cls").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("ask"))
     about_b = about.withColumnsRenamed({"a": "b", "an": "bn", "ask": "bsk"})
     # first, each class with the smallest that it shares a bucket with and may be like
     stars = members.where("cls > hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
     stars = stars.join(about, "a").join(about_b, "b").where(_near(percent)).groupBy("b").agg(F.min("a").alias("a"))
-    stars = written(stars.select("a", "b"), "stars")
+    stars = scratch.written(stars.select("a", "b"), "stars")
     # the full sets of all classes that share a bucket with another
-    wanted = written(members.select("cls").distinct().join(classes.select("cls", "least", F.col("d1").alias("w1"), F.col("d2").alias("w2")), "cls"), "wanted")
+    wanted = members.select("cls").distinct().join(classes.select("cls", "least", F.col("d1").alias("w1"), F.col("d2").alias("w2")), "cls")
+    wanted = scratch.written(wanted, "wanted")
     # there is no bound on how many these are: joined alike at every size, never by broadcast
     texts = docs.select(F.col("doc_id").alias("least"), "text").hint("merge").join(wanted.select("least", "cls"), "least")
     sets = full_sets(texts, width).join(wanted.select("cls", "w1", "w2"), "cls").where("d1 = w1 and d2 = w2").dropDuplicates(["cls"])
-    sets = written(sets.select("cls", "shingles"), "sets")
-    linked = written(_confirmed(stars, sets, percent), "linked")
-    labels = components(linked)
+    sets = scratch.written(sets.select("cls", "shingles"), "sets")
+    linked = scratch.written(_confirmed(stars, sets, percent), "linked")
+    labels = scratch.own(components(linked))
     # then, in buckets that hold more than one component, the classes of different ones
     held = members.select("key", "cls").join(labels, members.cls == labels.node, "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
-    held = written(held, "held")
+    held = scratch.written(held, "held")
     counts = held.groupBy("key", "label").agg(F.count("*").alias("times")).groupBy("key")
     counts = counts.agg(F.max_by("label", F.struct("times", -F.col("label"))).alias("anchor"), F.count("*").alias("labels")).where("labels > 1")
-    anchored = held.join(written(counts.select("key", "anchor"), "anchors"), "key").select("anchor", "cls", "label").distinct()
-    more = written(_cross_links(written(anchored, "anchored"), about, sets, percent), "more")
+    anchored = held.join(scratch.written(counts.select("key", "anchor"), "anchors"), "key").select("anchor", "cls", "label").distinct()
+    more = scratch.written(_cross_links(scratch.written(anchored, "anchored"), about, sets, percent, scratch), "more")
     if not more.isEmpty():
-        labels = components(linked.union(more))
-    placed = classes.select("d1", "d2", "n", "cls", "least").join(labels, F.col("cls") == F.col("node"), "left").select("d1", "d2", "n", "least", F.coalesce("label", "cls").alias("label"))
-    placed = written(placed, "placed")
-    lowest = written(placed.groupBy("label").agg(F.min("least").alias("component_id")), "lowest")
-    placed = written(placed.join(lowest, "label").select("d1", "d2", "n", "component_id"), "placed")
-    out = shingled.select("doc_id", "n", "d1", "d2").join(placed, ["d1", "d2", "n"], "left")
+        labels = scratch.own(components(linked.union(more)))
+    placed = classes.select("d1", "d2", "n", "cls", "least").join(labels, F.col("cls") == F.col("node"), "left")
+    placed = scratch.written(placed.select("d1", "d2", "n", "least", F.coalesce("label", "cls").alias("label")), "labelled")
+    lowest = scratch.written(placed.groupBy("label").agg(F.min("least").alias("component_id")), "lowest")
+    placed = written(placed.join(lowest, "label").select("d1", "d2", "n", "label", "component_id"), "placed")
+    scratch.drop()
+    return shingled, placed
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id that links reach, itself
+    included) and kept (whether that is its own) for each row.
+
+    Links have 100 x intersection >= percent x union of the sets of distinct
+    `width`-word shingles; words are lower-cased (A-Z) and end at ASCII white space.
+    """
+    shingled, placed = _labelled(docs, width, percent)
+    out = shingled.select("doc_id", "n", "d1", "d2").join(placed.drop("label"), ["d1", "d2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, as they came, but of each component one row alone: that of
+    the smallest doc_id, and of the smallest digest of its text among those.
+
+    Rows are told apart by doc_id and text, so that a doc_id that occurs with
+    several texts loses only those that are in a component with another. Of rows
+    equal in both one stays. Rows that link with nothing all stay.
+    """
+    shingled, placed = _labelled(docs, width, percent)
+    rows = shingled.where("n > 0 and doc_id is not null").select("doc_id", "who", "n", "d1", "d2").join(placed.drop("component_id"), ["d1", "d2", "n"])
+    rows = written(rows.groupBy("doc_id", "who", "label").agg(F.count("*").alias("times")), "rows")
+    first = written(rows.groupBy("label").agg(F.min(F.struct("doc_id", "who")).alias("first")), "first")
+    rows = rows.join(first, "label").select("doc_id", "who", "times", (F.struct("doc_id", "who") == F.col("first")).alias("stays"))
+    i, w = free_name(docs, "_id"), free_name(docs, "_who")
+    told = rows.where("not stays or times > 1").select(F.col("doc_id").alias(i), F.col("who").alias(w), "stays")
+    told = written(told, "told")
+    gone, again = (told.where(x).select(i, w) for x in ("not stays", "stays"))
+    one = None
+    if not again.isEmpty():
+        one = docs.join(again, (docs["doc_id"] == again[i]) & (text_digest(docs["text"]) == again[w]), "left_semi").dropDuplicates(["doc_id", "text"])
+        gone = told.select(i, w)
+    dropped(shingled, placed, rows, first)
+    kept = docs.join(gone, (docs["doc_id"] == gone[i]) & (text_digest(docs["text"]) == gone[w]), "left_anti")
+    return kept if one is None else kept.unionByName(one)

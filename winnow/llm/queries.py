@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.llm import ann, chat, embedding_dedup, html_text, language, mixing, near_dup, packing, sharding, token_cache
-from winnow.llm.shared import shared_dir
+from winnow.llm.shared import run_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op5_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache of its own, so that every distinct text is encoded."""
-    cache = f"{shared_dir(spark)}/winnow/token-cache-{uuid.uuid4().hex}"
+    cache = f"{run_dir(spark)}/token-cache-{uuid.uuid4().hex}"
     return token_cache.count_tokens(_table(spark, sf_dir, "documents"), cache)
 
 
@@ -109,7 +109,7 @@ a as (select *, least(q0, 2 * blocks) as quota from p),
 c as (select *, case when blocks > 0 then quota // blocks else 0 end as passes,
              case when blocks > 0 then (quota - quota // blocks * blocks) / blocks else 0.0 end as rate,
              ('0x' || substr(md5('mix-1|' || coalesce('0' || source, '1')), 1, 8))::bigint / 4294967296.0 as phase from a),
-o as (select d.*, coalesce(sum(size) over (partition by source order by draw, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as first from d),
+o as (select d.*, coalesce(sum(size) over (partition by source order by draw, size rows between unbounded preceding and 1 preceding), 0)::bigint as first from d),
 x as (select o.doc_id, o.size, o.first, c.* exclude (source), first // block as b1, (first + o.size) // block as b2 from o join c on o.source is not distinct from c.source),
 y as (select *, block * floor(b1 * rate + phase) + (first - b1 * block) * (floor((b1 + 1) * rate + phase) - floor(b1 * rate + phase)) as w1,
              block * floor(b2 * rate + phase) + (first + size - b2 * block) * (floor((b2 + 1) * rate + phase) - floor(b2 * rate + phase)) as w2 from x)
