@@ -2,7 +2,8 @@
 to target weights and packed into sequences.
 
 Each stage works on all that the stage before kept. All but the last return the
-columns of `documents`, as they came.
+columns of `documents`, as they came, and further columns pass through. Empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drops documents in no language: null texts, and texts without letters.
 
     The language models are learnt from these documents outside the held-out fold.
+    Null and repeated doc_ids pass, row by row; rows with a null lang are told, but
+    not learnt from. Without any labelled text all documents are dropped, as in no
+    known language.
     """
     ship(spark)
     model = language.learn(docs.where(~language.held_out_id()))
@@ -28,32 +32,31 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: 5-word shingles, similarity 0.8 or more."""
+    """Keeps one document of each group of near-duplicates: 5-word shingles, similarity 0.8 or more.
+
+    Rows are kept or dropped, not ids: a doc_id with several texts loses only those
+    that are near another. Rows with a null doc_id, and texts without words, stay.
+    Of rows equal in doc_id and text one stays. Ties go to the smallest doc_id.
+    """
     ship(spark)
-    told = near_dup.near_duplicates(docs, width=5, percent=80)
-    gone = written(told.where(~F.col("kept")).select("doc_id").distinct(), "gone")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # the same doc_id more than once with the same text: one row of them stays
-    again = written(told.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").select("doc_id"), "again")
-    if again.isEmpty():
-        return kept
-    one = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+    return near_dup.distinct_documents(docs, width=5, percent=80)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each source's documents, whole, as often as brings it near its target words.
 
-    A document that the mix takes twice is there twice.
+    A document that the mix takes twice is there twice. Each row is taken by its own
+    place in the mix, whatever its doc_id; null is a source like others. Documents
+    without words are taken with those beside them.
     """
-    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    # there is no bound on how many these are: joined alike at every size, never by broadcast
-    rows = docs.hint("merge").join(written(taken, "taken"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return mixing.mixed(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences: a row for each piece."""
+    """Packs the documents into sequences: a row for each piece.
+
+    A null text is packed as empty; each row is a document of its own.
+    """
     ship(spark)
     return packing.pack(docs)
 
