@@ -1,9 +1,12 @@
 """Token counts by way of a digest cache (operator 6).
 
-Stored counts are a Parquet table with one row for each digest of a content and
-tokenizer version. A run joins the digests of its texts to the stored counts,
-encodes one text for each digest that is missing, and appends what it encoded,
-so that a text is encoded once however often it occurs, in this run or another.
+Stored counts are a Parquet table, partitioned by tokenizer version, with one row
+for each digest of a content. A run joins the distinct digests of its texts to the
+stored counts, fetches and encodes one text for each digest that is missing, and
+appends what it encoded, so that a text is encoded once however often it occurs,
+in this run or another. Digests are made distinct before the join, and copies
+before texts are dealt, so that no text moves more than once a task, however many
+rows have it; where few digests are missing only their texts move.
 
 Cases: a null text counts as empty, which has no tokens. Null or repeated
 doc_ids pass through, one row for each input row. An empty table gives an empty
@@ -22,8 +25,10 @@ from pyspark.sql import functions as F
 from winnow.llm.shared import written
 from winnow.llm.tokens import encoder, file_digest, tokenizer_path
 
-CACHE_SCHEMA = "digest binary, version string, n_tokens long"
+CACHE_SCHEMA = "digest binary, n_tokens long, version string"
 LIMIT = 1024
+#: Missing digests, at most, that are sent to every task (some 50 bytes each); beyond that texts go to their digests.
+FEW_MISSES = 100_000
 
 
 def normalised(text: Column) -> Column:
@@ -60,6 +65,15 @@ def encode_counts(texts: DataFrame, path: str) -> DataFrame:
     return texts.select("digest", "text").mapInArrow(run, "digest binary, n_tokens long")
 
 
+def missing(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """digest and text, one row for each digest of docs (text, digest) that isn't known."""
+    misses = written(docs.select("digest").distinct().join(known, "digest", "left_anti"), "misses")
+    if misses.count() <= FEW_MISSES:
+        return docs.join(F.broadcast(misses), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+    # copies meet within each task before they are dealt, and what is known is dropped after
+    return docs.groupBy("digest").agg(F.first("text").alias("text")).hint("merge").join(misses, "digest", "left_semi")
+
+
 def count_tokens(docs: DataFrame, cache: str, path: str | None = None, limit: int = LIMIT) -> DataFrame:
     """Counts the tokens of every whole text.
 
@@ -70,11 +84,9 @@ def count_tokens(docs: DataFrame, cache: str, path: str | None = None, limit: in
     spark, path = docs.sparkSession, path or tokenizer_path()
     version = file_digest(path)
     keyed = docs.select(normalised(F.col("text")).alias("text"), digest(F.col("text")).alias("digest"))
-    misses = keyed.join(stored(spark, cache, version), "digest", "left_anti").dropDuplicates(["digest"])
-    encoded = encode_counts(misses, path).select("digest", F.lit(version).alias("version"), "n_tokens")
-    encoded.write.mode("append").parquet(cache)
-    counts = stored(spark, cache, version)
+    encoded = encode_counts(missing(keyed, stored(spark, cache, version).select("digest")), path)
+    encoded.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(cache)
     rows = docs.select("doc_id", F.octet_length(normalised(F.col("text"))).cast("long").alias("n_bytes"), digest(F.col("text")).alias("digest"))
     # a table of its own, so that a digest that many rows share can be dealt over tasks
-    counts = written(counts, "counts")
+    counts = written(stored(spark, cache, version), "counts")
     return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
