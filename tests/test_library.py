@@ -111,21 +111,27 @@ def test_hamming_counts_flipped_bits(spark, flips, base):
     other = base
     for f in flips:
         other ^= 1 << f
-    assert one(spark, hashing.hamming(F.lit(f"{base:016x}"), F.lit(f"{other:016x}"))) == len(flips)
+    assert one(spark, hashing.hamming(hashing.parsed(F.lit(f"{base:016x}")), hashing.parsed(F.lit(f"{other:016x}")))) == len(flips)
+    assert one(spark, hashing.digits(hashing.parsed(F.lit(f"{base:016X}")))) == f"{base:016x}"
+    # with fewer differences than parts, a part is the same
+    for count in (1, 5, 21):
+        shared = F.arrays_overlap(*[hashing.bands(hashing.parsed(F.lit(f"{x:016x}")), count) for x in (base, other)])
+        assert one(spark, shared) == any((base ^ other) << 64 * i // count & (1 << 64) - 1 >> 64 - (64 * (i + 1) // count - 64 * i // count) << 64 - (64 * (i + 1) // count - 64 * i // count) == 0 for i in range(count))
 
 
 def test_hamming_of_odd_hashes_is_null(spark):
-    assert one(spark, hashing.hamming(F.lit("ff"), F.lit("0" * 16))) is None
-    assert one(spark, hashing.hamming(F.lit(None).cast("string"), F.lit("0" * 16))) is None
+    for odd in ("ff", "0" * 15 + "g", "0" * 17, None):
+        assert one(spark, hashing.hamming(hashing.parsed(F.lit(odd).cast("string")), hashing.parsed(F.lit("0" * 16)))) is None
 
 
 def test_gradient_hash(spark):
-    assert one(spark, hashing.gradient_hash(F.array(*[F.lit(float(9 - i % 9)) for i in range(72)]))) == "f" * 16
-    assert one(spark, hashing.gradient_hash(F.array(*[F.lit(1.0)] * 72))) == "0" * 16
+    assert one(spark, hashing.digits(hashing.gradient_hash(F.array(*[F.lit(float(9 - i % 9)) for i in range(72)])))) == "f" * 16
+    assert one(spark, hashing.digits(hashing.gradient_hash(F.array(*[F.lit(1.0)] * 72)))) == "0" * 16
 
 
 def hashed(rows, pairs):
-    return rows([(1, i, p, d, m) for i, (p, d, m) in enumerate(pairs)], "trip_id int, seq long, phash string, dhash string, md5 string")
+    df = rows([(1, i, p, d, m) for i, (p, d, m) in enumerate(pairs)], "trip_id int, seq long, phash string, dhash string, md5 string")
+    return df.withColumns({c: hashing.parsed(F.col(c)) for c in ("phash", "dhash")})
 
 
 def test_hash_pairs_at_the_limit(rows):

@@ -68,7 +68,3 @@ class QualityWeights:
     file_size: float = 0.10
     veto_below: float = 0.15
     veto_cap: float = 0.20
-
-
-#: Thresholds at which the synthetic embeddings have pairs; their cosines are all below those of images.
-SYNTHETIC = DedupThresholds(confirmed=0.45, gray_high=0.40, gray_low=0.35, strict=0.42, dense=0.42)

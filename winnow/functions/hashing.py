@@ -1,58 +1,65 @@
-"""Perceptual hashes as 16 hexadecimal digits, and their distances."""
+"""Perceptual hashes as 64-bit numbers, and their distances."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _once(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is computed once, however often f names it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
-def _hex(bits: Column, size: int) -> Column:
-    """Bits (booleans, first is highest) as hexadecimal digits."""
-    digit = lambda b, i: F.hex(sum(((F.get(b, i * 4 + F.lit(j))).cast("int") * (8 >> j) for j in range(4)), F.lit(0)))
-    digits = _once(bits, lambda b: F.transform(F.sequence(F.lit(0), F.lit(size // 4 - 1)), lambda i: digit(b, i)))
-    return F.lower(F.array_join(digits, ""))
+def _packed(bits: Column) -> Column:
+    """64 bits (booleans, the first is the highest) as one number."""
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b.cast("long")))
 
 
-def mean_hash(values: Column, size: int = 64) -> Column:
-    """A bit for each value: whether it is over their mean."""
+def mean_hash(values: Column) -> Column:
+    """A bit for each of 64 values: whether it is over their mean."""
     v = values.cast("array<double>")
     mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)
-    return _hex(_once(mean, lambda m: F.transform(v, lambda x: x > m)), size)
+    # bound once, as a lambda's body is computed anew for each element
+    both = F.transform(F.array(F.struct(v.alias("v"), mean.alias("mean"))), lambda s: _packed(F.transform(s["v"], lambda x: x > s["mean"])))
+    return F.get(both, F.lit(0))
 
 
 def gradient_hash(values: Column, rows: int = 8, columns: int = 8) -> Column:
     """A bit for each of rows x columns: whether a value is over that to its right, in rows of columns + 1."""
     v = values.cast("array<double>")
     at = lambda i: F.floor(i / columns).cast("int") * (columns + 1) + i % columns
-    return _hex(F.transform(F.sequence(F.lit(0), F.lit(rows * columns - 1)), lambda i: F.get(v, at(i)) > F.get(v, at(i) + 1)), rows * columns)
+    return _packed(F.transform(F.sequence(F.lit(0), F.lit(rows * columns - 1)), lambda i: F.get(v, at(i)) > F.get(v, at(i) + 1)))
 
 
-def sequence_hash(values: Column, size: int = 64) -> Column:
-    """A bit for each value: whether it is over the next; the last has none."""
+def sequence_hash(values: Column) -> Column:
+    """A bit for each of 64 values: whether it is over the next; the last has none."""
     v = values.cast("array<double>")
-    return _hex(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.get(v, i) > F.get(v, i + 1), F.lit(False))), size)
+    return _packed(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.get(v, i) > F.get(v, i + 1), F.lit(False))))
+
+
+def corner_hash(values: Column, width: int = 32, side: int = 8) -> Column:
+    """A bit for each value of the upper left corner of a picture of so many columns: whether it is over the mean of all."""
+    v = values.cast("array<double>")
+    mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)
+    at = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.floor(i / side).cast("int") * width + i % side)
+    both = F.transform(F.array(F.struct(v.alias("v"), mean.alias("mean"))), lambda s: _packed(F.transform(at, lambda i: F.get(s["v"], i) > s["mean"])))
+    return F.get(both, F.lit(0))
+
+
+def digits(hash_: Column) -> Column:
+    """A hash as 16 hexadecimal digits."""
+    return F.lower(F.lpad(F.hex(hash_), 16, "0"))
 
 
-def half(hash_: Column, first: bool) -> Column:
-    """One half of a 16-digit hash as a number."""
-    return F.conv(F.substring(hash_, 1 if first else 9, 8), 16, 10).cast("long")
+def parsed(text: Column) -> Column:
+    """A hash from 16 hexadecimal digits; null from anything else."""
+    half = lambda at: F.conv(F.substring(text, at, 8), 16, 10).cast("long")
+    return F.when(text.rlike("^[0-9a-fA-F]{16}$"), F.shiftleft(half(1), 32).bitwiseOR(half(9)))
 
 
 def hamming(a: Column, b: Column) -> Column:
-    """Bits in which two 16-digit hashes differ; null if either is null or has another length."""
-    d = F.bit_count(half(a, True).bitwiseXOR(half(b, True))) + F.bit_count(half(a, False).bitwiseXOR(half(b, False)))
-    return F.when((F.length(a) == 16) & (F.length(b) == 16), d)
+    """Bits in which two hashes differ; null if either is null."""
+    return F.bit_count(a.bitwiseXOR(b))
 
 
 def bands(hash_: Column, count: int) -> Column:
-    """Disjoint parts of a hash's 64 bits: two hashes with fewer differences than parts share one."""
-    bits = F.concat(*[F.lpad(F.conv(F.substring(hash_, i, 4), 16, 2), 16, "0") for i in (1, 5, 9, 13)])
+    """A number for each of `count` disjoint parts of a hash's 64 bits: two hashes
+    with fewer differences than parts share one."""
     cuts = [64 * i // count for i in range(count + 1)]
-    return F.array(*[F.concat(F.lit(f"{i}:"), F.substring(bits, a + 1, b - a)) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+    return F.array(*[F.xxhash64(F.lit(i), F.shiftrightunsigned(F.shiftleft(hash_, a), 64 - b + a)) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])

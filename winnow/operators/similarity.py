@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 from winnow.config import DedupThresholds
 from winnow.functions import hashing
 
-BLOCK = 1024
+#: Rows of a block at least, numbers in it at most, and blocks of a trip that lies between.
+BLOCK, BLOCK_NUMBERS, BLOCKS = 1024, 1 << 21, 16
 
 
 def exact_duplicates(rows: DataFrame, content: Column, key: str) -> DataFrame:
@@ -19,9 +20,10 @@ def exact_duplicates(rows: DataFrame, content: Column, key: str) -> DataFrame:
     return rows.groupBy(F.md5(content).alias("md5")).agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1")
 
 
-def with_hashes(vectors: DataFrame) -> DataFrame:
-    """Rows with phash (values over their mean) and dhash (values over the next) of their vectors."""
-    return vectors.withColumns({"phash": hashing.mean_hash(F.col("v")), "dhash": hashing.sequence_hash(F.col("v"))})
+def with_hashes(rows: DataFrame) -> DataFrame:
+    """Rows with phash (values over their mean) and dhash (values over the next) of their vectors, where they lack them."""
+    made = {"phash": hashing.mean_hash(F.col("v")), "dhash": hashing.sequence_hash(F.col("v"))}
+    return rows.withColumns({k: v for k, v in made.items() if k not in rows.columns})
 
 
 def hash_pairs(rows: DataFrame, distance: int = 4, md5: str | None = None) -> DataFrame:
@@ -47,9 +49,11 @@ def cosine_pairs(rows: DataFrame, least: float, strict: bool = False, top_k: int
 
     top_k: only pairs in which one is among the k most similar of the other, itself
     among them and ties to the smaller seq. Trips are compared block by block as
-    products of matrices; a zero vector is similar to none.
+    products of matrices; a zero vector is similar to none. Blocks grow with the
+    trip, as a row is sent to as many tasks as its trip has blocks.
     """
-    sizes = rows.groupBy("trip_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    size = F.greatest(F.lit(1), F.least(F.greatest(F.lit(block), F.count("*") / BLOCKS), F.floor(BLOCK_NUMBERS / F.max(F.size("v")))))
+    sizes = rows.groupBy("trip_id").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("seq"), F.col("blocks")).cast("int")
     sent = rows.select("trip_id", "seq", "v").join(sizes, "trip_id").withColumn("own", own)
     sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

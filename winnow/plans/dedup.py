@@ -36,7 +36,8 @@ def review_gray(gray: DataFrame, t: DedupThresholds, reviewer: Callable[[DataFra
 
 
 def pair_evidence(rows: DataFrame, t: DedupThresholds = DedupThresholds(), mode: str = "tiered", reviewer=None) -> DataFrame:
-    """Pairs (trip_id, i, j, source, score, confirmed) of rows (trip_id, seq, v).
+    """Pairs (trip_id, i, j, source, score, confirmed) of rows (trip_id, seq, v), which
+    may have their hashes (phash, dhash); else these are made from the vectors.
 
     mode: `hash` for hashes alone, `dense` for one threshold on vectors, `tiered`
     for three with review of the gray zone.

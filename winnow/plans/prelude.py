@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from winnow.sources.adapters import MEDIA_ID
+from winnow.sources.adapters import MEDIA_ID, SCENE
 
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "users": (
@@ -47,22 +47,32 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         r"""select media_id, regexp_replace(lower(raw), '\s+', '', 'g') as tag_name from (select doc_id as media_id,
         unnest([source, upper(lang), concat('Lang ', lang), 'image', case when doc_id % 3 = 0 then 'Image' else 'video' end]) as raw from documents)""",
     ),
-    "vecs": ((), "select label as trip_id, vec_id as seq, list_transform(embedding, lambda x: x::double) as v from embeddings"),
+    "vecs0": ((), f"select label as trip_id, vec_id as seq, vec_id // {SCENE} as scene, list_transform(embedding, lambda x: x::double) as v from embeddings"),
+    "vecs": (
+        ("vecs0",),
+        """select trip_id, seq, list_transform(list_zip(v, w), lambda z: z[1] * (1 - c) + z[2] * c) as v
+        from (select a.trip_id, a.seq, a.v, b.w, case when a.seq % 2 = 0 then 0.0::double else (60 + a.seq % 7 * 5)::double / 100 end as c
+        from vecs0 a join (select trip_id, scene, arg_min(v, seq) as w from vecs0 group by trip_id, scene) b using (trip_id, scene))""",
+    ),
+    "hashed": (
+        ("vecs",),
+        f"""select trip_id, seq, v, xor(('0x' || substr(md5('p' || trip_id || '~' || seq // {SCENE}), 1, 16))::ubigint, ((1 << (seq * 7 % 9)) - 1)::ubigint) as phash,
+        xor(('0x' || substr(md5('d' || trip_id || '~' || seq // {SCENE}), 1, 16))::ubigint, ((1 << (seq * 5 % 6)) - 1)::ubigint) as dhash from vecs""",
+    ),
     "curated": (
         ("vecs",),
         """select *, case when seq % 11 = 0 then null else cast(seq * 37 % 200 as double) end as sharpness,
         case seq % 5 when 0 then 'suspect' when 1 then null when 4 then 'blurry' else 'clear' end as blur_status,
         cast(seq * 13 % 7 as int) * 100 as width, cast(seq * 7 % 5 as int) * 100 as height, seq * 101 % 1000 as file_size from vecs""",
     ),
-    "hashed": (
+    "bits": (
         ("vecs",),
         """select trip_id, seq, v, list_transform(v, lambda x: x > list_sum(v) / len(v)) as pb,
         list_transform(range(1, 65), lambda i: coalesce(v[i::int] > v[(i + 1)::int], false)) as db from vecs""",
     ),
     "dist": (
         ("hashed",),
-        """select a.trip_id, a.seq as i, b.seq as j, list_cosine_similarity(a.v, b.v) as sim,
-        len(list_filter(list_zip(a.pb, b.pb), lambda x: x[1] <> x[2])) as pd, len(list_filter(list_zip(a.db, b.db), lambda x: x[1] <> x[2])) as dd
+        """select a.trip_id, a.seq as i, b.seq as j, list_cosine_similarity(a.v, b.v) as sim, bit_count(xor(a.phash, b.phash)) as pd, bit_count(xor(a.dhash, b.dhash)) as dd
         from hashed a join hashed b on a.trip_id = b.trip_id and a.seq < b.seq""",
     ),
     "jobev": (

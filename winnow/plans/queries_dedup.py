@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
-from winnow.config import SYNTHETIC
+from winnow.config import DedupThresholds
+from winnow.functions import hashing
 from winnow.operators import graph, selection, similarity
 from winnow.plans import curation, dedup
 from winnow.plans.prelude import sql
 from winnow.plans.registry import query
 from winnow.sources import adapters as src
 
-#: Distance of hashes at which the synthetic vectors have pairs.
-HASH_DISTANCE = 18
+#: The product's distance of hashes.
+HASH_DISTANCE = DedupThresholds().hash_distance
 
 
 @query("j7_exact_duplicates", "select md5(text) as md5, min(doc_id) as first, count(*) as n from documents group by md5(text) having count(*) > 1")
@@ -25,29 +24,29 @@ def exact_duplicates(spark, d):
 @query(
     "j5_perceptual_hashes",
     sql(
-        "hashed",
+        "bits",
         """select seq, array_to_string(list_transform(range(1, 17), lambda k: substr('0123456789abcdef', (1 + 8 * pb[(4 * k - 3)::int]::int + 4 * pb[(4 * k - 2)::int]::int + 2 * pb[(4 * k - 1)::int]::int + pb[(4 * k)::int]::int)::int, 1)), '') as phash,
-        array_to_string(list_transform(range(1, 17), lambda k: substr('0123456789abcdef', (1 + 8 * db[(4 * k - 3)::int]::int + 4 * db[(4 * k - 2)::int]::int + 2 * db[(4 * k - 1)::int]::int + db[(4 * k)::int]::int)::int, 1)), '') as dhash from hashed""",
+        array_to_string(list_transform(range(1, 17), lambda k: substr('0123456789abcdef', (1 + 8 * db[(4 * k - 3)::int]::int + 4 * db[(4 * k - 2)::int]::int + 2 * db[(4 * k - 1)::int]::int + db[(4 * k)::int]::int)::int, 1)), '') as dhash from bits""",
     ),
 )
 def perceptual_hashes(spark, d):
-    return similarity.with_hashes(src.vectors(spark, d)).select("seq", "phash", "dhash")
+    return similarity.with_hashes(src.vectors(spark, d)).select("seq", hashing.digits(F.col("phash")).alias("phash"), hashing.digits(F.col("dhash")).alias("dhash"))
 
 
 @query("j3_hash_pairs", sql("dist", f"select trip_id, i, j from dist where pd <= {HASH_DISTANCE} and dd <= {HASH_DISTANCE}"))
 def hash_pairs(spark, d):
-    return similarity.hash_pairs(similarity.with_hashes(src.vectors(spark, d)), HASH_DISTANCE)
+    return similarity.hash_pairs(src.hashed(src.vectors(spark, d)), HASH_DISTANCE)
 
 
 @query("d10_hash_or_md5_pairs", sql("dist", f"select trip_id, i, j from dist where (pd <= {HASH_DISTANCE} and dd <= {HASH_DISTANCE}) or i % 50 = j % 50"))
 def hash_or_md5_pairs(spark, d):
-    rows = similarity.with_hashes(src.vectors(spark, d)).withColumn("file_md5", F.md5((F.col("seq") % 50).cast("string")))
+    rows = src.hashed(src.vectors(spark, d)).withColumn("file_md5", F.md5((F.col("seq") % 50).cast("string")))
     return similarity.hash_pairs(rows, HASH_DISTANCE, md5="file_md5")
 
 
-@query("d11_cosine_pairs", sql("dist", "select trip_id, i, j, round(sim, 6) as sim from dist where sim >= 0.35"))
+@query("d11_cosine_pairs", sql("dist", "select trip_id, i, j, round(sim, 6) as sim from dist where sim >= 0.86"))
 def cosine_pairs(spark, d):
-    return similarity.cosine_pairs(src.vectors(spark, d), 0.35).withColumn("sim", F.round("sim", 6))
+    return similarity.cosine_pairs(src.vectors(spark, d), 0.86).withColumn("sim", F.round("sim", 6))
 
 
 _TOP = """with b as (select trip_id, i, j, sim from dist union all select trip_id, j, i, sim from dist union all select trip_id, seq, seq, 1.0 from vecs),
@@ -63,29 +62,30 @@ def cosine_top_k(spark, d):
 _TIERS = """with b as (select trip_id, i, j, sim from dist union all select trip_id, j, i, sim from dist union all select trip_id, seq, seq, 1.0 from vecs),
 r as (select *, row_number() over (partition by trip_id, i order by sim desc, j) as rn from b),
 n as (select distinct trip_id, least(i, j) as i, greatest(i, j) as j from r where rn <= 51 and i <> j),
-t as (select dist.*, case when sim >= 0.45 then 'confirmed' when sim >= 0.40 then 'gray' when sim >= 0.35 and abs(j - i) <= 60 and (pd <= 28 or dd <= 28) then 'gray' else 'skip' end as tier from dist join n using (trip_id, i, j))"""
+t as (select dist.*, case when sim >= 0.93 then 'confirmed' when sim >= 0.90 then 'gray' when sim >= 0.86 and abs(j - i) <= 60 and (pd <= 8 or dd <= 8) then 'gray' else 'skip' end as tier from dist join n using (trip_id, i, j))"""
 
 
 def _tiers():
-    return replace(SYNTHETIC, gray_seq_distance=60, gray_hash_distance=28)
+    """The product's thresholds; images of one trip are some ten numbers apart here."""
+    return DedupThresholds(gray_seq_distance=60)
 
 
 @query("d13_tiered_pairs", sql("vecs dist", _TIERS + " select trip_id, i, j, round(sim, 6) as sim, tier from t where tier <> 'skip'"))
 def tiered_pairs(spark, d):
-    rows = similarity.with_hashes(src.vectors(spark, d))
+    rows = src.hashed(src.vectors(spark, d))
     return similarity.tiered_pairs(rows, _tiers()).withColumn("sim", F.round("sim", 6))
 
 
-@query("j12_strict_gray_pairs", sql("vecs dist", _TIERS + " select trip_id, i, j from t where tier = 'gray' and sim >= 0.42"))
+@query("j12_strict_gray_pairs", sql("vecs dist", _TIERS + " select trip_id, i, j from t where tier = 'gray' and sim >= 0.92"))
 def strict_gray_pairs(spark, d):
-    rows = similarity.with_hashes(src.vectors(spark, d))
+    rows = src.hashed(src.vectors(spark, d))
     gray = similarity.tiered_pairs(rows, _tiers()).where("tier = 'gray'")
     return dedup.review_gray(gray, _tiers()).where("confirmed").select("trip_id", "i", "j")
 
 
 @query("d19_gray_pair_ends", sql("vecs dist curated", _TIERS + " select i, j, a.file_size as size_i, b.file_size as size_j from t join curated a on a.seq = i join curated b on b.seq = j where tier = 'gray'"))
 def gray_pair_ends(spark, d):
-    gray = similarity.tiered_pairs(similarity.with_hashes(src.vectors(spark, d)), _tiers()).where("tier = 'gray'")
+    gray = similarity.tiered_pairs(src.hashed(src.vectors(spark, d)), _tiers()).where("tier = 'gray'")
     c = src.curated(spark, d).select("seq", "file_size")
     a, b = c.withColumnsRenamed({"seq": "i", "file_size": "size_i"}), c.withColumnsRenamed({"seq": "j", "file_size": "size_j"})
     return gray.join(a, "i").join(b, "j").select("i", "j", "size_i", "size_j")
@@ -96,20 +96,20 @@ reach as (select a, a as b from e union select reach.a, e.b from reach join e on
 comp as (select a as node, min(b) as label from reach group by a)"""
 
 
-@query("d14_strict_groups", sql("dist", f"with recursive {_COMPONENTS.format(t=0.35)} select label, count(*) as size, array_to_string(list_sort(list(node)), ',') as members from comp group by label"))
+@query("d14_strict_groups", sql("dist", f"with recursive {_COMPONENTS.format(t=0.86)} select label, count(*) as size, array_to_string(list_sort(list(node)), ',') as members from comp group by label"))
 def strict_groups(spark, d):
-    pairs = similarity.cosine_pairs(src.vectors(spark, d), 0.35, strict=True).select(F.col("i").alias("a"), F.col("j").alias("b"))
+    pairs = similarity.cosine_pairs(src.vectors(spark, d), 0.86, strict=True).select(F.col("i").alias("a"), F.col("j").alias("b"))
     return graph.groups(pairs).select("label", "size", F.array_join("members", ",").alias("members"))
 
 
-@query("k2_components", sql("dist", f"with recursive {_COMPONENTS.format(t=0.3)} select node, label from comp"))
+@query("k2_components", sql("dist", f"with recursive {_COMPONENTS.format(t=0.8)} select node, label from comp"))
 def components(spark, d):
-    return graph.components(similarity.cosine_pairs(src.vectors(spark, d), 0.3, strict=True).select(F.col("i").alias("a"), F.col("j").alias("b")))
+    return graph.components(similarity.cosine_pairs(src.vectors(spark, d), 0.8, strict=True).select(F.col("i").alias("a"), F.col("j").alias("b")))
 
 
-@query("k4_group_similarities", sql("dist", f"with recursive {_COMPONENTS.format(t=0.35)} select label, count(*) as edges, round(max(sim), 6) as most, round(min(sim), 6) as least from dist join comp on node = i where sim > 0.35 group by label"))
+@query("k4_group_similarities", sql("dist", f"with recursive {_COMPONENTS.format(t=0.86)} select label, count(*) as edges, round(max(sim), 6) as most, round(min(sim), 6) as least from dist join comp on node = i where sim > 0.86 group by label"))
 def group_similarities(spark, d):
-    pairs = similarity.cosine_pairs(src.vectors(spark, d), 0.35, strict=True)
+    pairs = similarity.cosine_pairs(src.vectors(spark, d), 0.86, strict=True)
     labels = graph.components(pairs.select(F.col("i").alias("a"), F.col("j").alias("b")))
     g = pairs.join(labels, F.col("i") == F.col("node")).groupBy("label")
     return g.agg(F.count("*").alias("edges"), F.round(F.max("sim"), 6).alias("most"), F.round(F.min("sim"), 6).alias("least"))
@@ -149,17 +149,17 @@ def keep_by_pairs(spark, d):
 
 
 _EVIDENCE = f"""ev as (select trip_id, i, j, 'hash' as source, null::double as score, true as confirmed from dist where pd <= {HASH_DISTANCE} and dd <= {HASH_DISTANCE}
-union all select trip_id, i, j, 'tiered', sim, true from t where tier = 'confirmed' union all select trip_id, i, j, 'gray', sim, sim >= 0.42 from t where tier = 'gray')"""
+union all select trip_id, i, j, 'tiered', sim, true from t where tier = 'confirmed' union all select trip_id, i, j, 'gray', sim, sim >= 0.92 from t where tier = 'gray')"""
 
 
 def _assess(spark, d, images=None):
     rows = src.curated(spark, d) if images is None else images
-    return dedup.assess(rows, replace(_tiers(), hash_distance=HASH_DISTANCE))
+    return dedup.assess(rows, _tiers())
 
 
 @query("j13_pair_evidence", sql("vecs dist", f"{_TIERS}, {_EVIDENCE} select trip_id, i, j, source, coalesce(round(score, 6), -1) as score, confirmed from ev"))
 def pair_evidence(spark, d):
-    e = dedup.pair_evidence(src.vectors(spark, d), replace(_tiers(), hash_distance=HASH_DISTANCE))
+    e = dedup.pair_evidence(src.hashed(src.vectors(spark, d)), _tiers())
     return e.withColumn("score", F.coalesce(F.round("score", 6), F.lit(-1.0)))
 
 
@@ -186,10 +186,13 @@ def kept_and_removed(spark, d):
     return images.groupBy("trip_id").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("removed"))
 
 
-@query("j10_dense_assessment", sql("dist curated", f"""with recursive {_COMPONENTS.format(t=0.38)}, g as (select c.*, label, coalesce(sharpness, 0) as sh, width::bigint * height as px from curated c join comp on node = seq), keepers as (with {_FOLD})
+@query("j10_dense_assessment", sql("dist curated", f"""with recursive e as (select i as a, j as b from dist where sim >= 0.9 or (pd <= {HASH_DISTANCE} and dd <= {HASH_DISTANCE}) union select j, i from dist where sim >= 0.9 or (pd <= {HASH_DISTANCE} and dd <= {HASH_DISTANCE})),
+reach as (select a, a as b from e union select reach.a, e.b from reach join e on reach.b = e.a),
+comp as (select a as node, min(b) as label from reach group by a),
+g as (select c.*, label, coalesce(sharpness, 0) as sh, width::bigint * height as px from curated c join comp on node = seq), keepers as (with {_FOLD})
 select c.trip_id, c.seq, coalesce(k.keep, c.seq) = c.seq as kept from curated c left join g on g.seq = c.seq left join keepers k on k.label = g.label"""))
 def dense_assessment(spark, d):
-    return dedup.assess(src.curated(spark, d), replace(SYNTHETIC, dense=0.38), "dense").images.select("trip_id", "seq", "kept")
+    return dedup.assess(src.curated(spark, d), DedupThresholds(), "dense").images.select("trip_id", "seq", "kept")
 
 
 @query("m10_reduced_decisions", sql("curated", """with i as (select *, case when seq % 6 = 0 then null else 'animal' end as category, seq % 10 = 3 as gone from curated)
@@ -204,4 +207,4 @@ def reduced_decisions(spark, d):
 def curation_summary(spark, d):
     """The whole pipeline; its parts have their SQL above."""
     images = src.curated(spark, d).withColumn("category", F.expr("case seq % 6 when 0 then null when 1 then 'people' when 2 then 'animal' when 3 then 'landscape' else 'other' end"))
-    return curation.summary(curation.curate(images, replace(_tiers(), hash_distance=HASH_DISTANCE)))
+    return curation.summary(curation.curate(images, _tiers()))

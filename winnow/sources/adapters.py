@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from winnow.functions import hashing
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -84,14 +86,32 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.selectExpr("doc_id as media_id", "explode(array(source, upper(lang), concat('Lang ', lang), 'image', case when doc_id % 3 = 0 then 'Image' else 'video' end)) as raw").selectExpr("media_id", r"regexp_replace(lower(raw), '(?U)\\s+', '') as tag_name")
 
 
+#: Images of a trip whose numbers lie in one stretch of so many are shots of one scene.
+SCENE = 60
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images of ten trips with a vector each, in order of seq."""
-    return table(spark, sf_dir, "embeddings").selectExpr("label as trip_id", "vec_id as seq", "transform(embedding, x -> cast(x as double)) as v")
+    """Images of ten trips with a vector each, in order of seq.
+
+    Odd ones are mixed with the first of their trip and scene, by shares of 60 to 90
+    %, so that there are pairs of all degrees of likeness, as there are among shots.
+    """
+    e = table(spark, sf_dir, "embeddings").selectExpr("label as trip_id", "vec_id as seq", "transform(embedding, x -> cast(x as double)) as v", f"vec_id div {SCENE} as scene")
+    first = e.groupBy("trip_id", "scene").agg(F.min_by("v", "seq").alias("w"))
+    share = "case when seq % 2 = 0 then 0.0D else cast(60 + seq % 7 * 5 as double) / 100 end"
+    return e.join(first, ["trip_id", "scene"]).selectExpr("trip_id", "seq", "v", "w", f"{share} as c").selectExpr("trip_id", "seq", "zip_with(v, w, (x, y) -> x * (1 - c) + y * c) as v")
+
+
+def hashed(rows: DataFrame) -> DataFrame:
+    """Images with hashes: those of a trip and scene have one of its own, with 0 to 8 (phash) and 0 to 5 (dhash) bits flipped."""
+    base = lambda kind: hashing.parsed(F.substring(F.md5(F.concat(F.lit(kind), F.col("trip_id"), F.lit("~"), F.expr(f"seq div {SCENE}"))), 1, 16))
+    flipped = lambda kind, n: base(kind).bitwiseXOR(F.expr(f"shiftleft(1L, cast({n} as int)) - 1"))
+    return rows.withColumns({"phash": flipped("p", "seq * 7 % 9"), "dhash": flipped("d", "seq * 5 % 6")})
 
 
 def curated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images of ten trips with vectors and the columns that best-of-group selection reads."""
-    return vectors(spark, sf_dir).selectExpr(
+    """Images of ten trips with vectors, hashes and the columns that best-of-group selection reads."""
+    return hashed(vectors(spark, sf_dir)).selectExpr(
         "*",
         "case when seq % 11 = 0 then null else cast(seq * 37 % 200 as double) end as sharpness",
         "case seq % 5 when 0 then 'suspect' when 1 then null when 4 then 'blurry' else 'clear' end as blur_status",
