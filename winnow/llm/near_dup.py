@@ -228,21 +228,24 @@ def _blocked(anchored: DataFrame, about: DataFrame, sets: DataFrame, percent: in
     """Rows (anchor, cls, label) with size, sketch and full set, dealt to pairs of blocks (i, j).
 
     Blocks of classes that bear the anchor's label are set against blocks of
-    others, and these against each other. A block is bounded in rows and shingles,
-    and holds sets of one class of sizes: the classes are so wide that sets of
-    sizes two classes apart can't be as similar as is asked.
+    others, and these against each other. A block is bounded in rows and shingles.
+    Where there are several, each holds sets of one class of sizes; the classes are
+    so wide that sets two classes apart can't be as similar as is asked.
     """
     rows = anchored.join(about.select(F.col("a").alias("cls"), F.col("an").alias("n"), F.col("ask").alias("sketch")), "cls")
     kind = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("long") if percent < 100 else F.col("n")
     rows = rows.withColumns({"own": F.col("label") == F.col("anchor"), "kind": kind})
     many = lambda own: F.greatest(F.ceil(F.count_if(own) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
+    large = rows.groupBy("anchor").agg(many(F.col("own")).alias("own_blocks"), many(~F.col("own")).alias("other_blocks")).where("own_blocks > 1 or other_blocks > 1")
+    rows = rows.join(scratch.written(large.select("anchor", F.lit(True).alias("large")), "large"), "anchor", "left").withColumn("kind", F.when(F.col("large"), F.col("kind")))
+    rows = scratch.written(rows.withColumn("kind", F.coalesce("kind", F.lit(-9).cast("long"))).drop("large"), "sized")
     blocks = rows.groupBy("anchor", "kind").agg(many(F.col("own")).alias("own_blocks"), many(~F.col("own")).alias("other_blocks"))
     blocks = scratch.written(blocks, "blocks")
     rows = rows.join(blocks, ["anchor", "kind"])
     # own blocks have negative numbers, others those from 0
     at = F.pmod(F.xxhash64("cls", F.lit("block")), F.when(F.col("own"), F.col("own_blocks")).otherwise(F.col("other_blocks"))).cast("int")
     rows = rows.withColumn("at", F.when(F.col("own"), -1 - at).otherwise(at)).drop("own_blocks", "other_blocks")
-    rows = rows.withColumn("near", F.explode(F.array(*[F.col("kind") + k for k in ((-1, 0, 1) if percent < 100 else (0,))])))
+    rows = rows.withColumn("near", F.explode(F.when(F.col("kind") < 0, F.array("kind")).otherwise(F.array(*[F.col("kind") + k for k in ((-1, 0, 1) if percent < 100 else (0,))]))))
     rows = rows.join(blocks.withColumnRenamed("kind", "near"), ["anchor", "near"])
     counted = lambda n, first, last, step: F.when(F.col(n) > 0, F.sequence(F.lit(first), last(F.col(n)), F.lit(step))).otherwise(F.array().cast("array<int>"))
     others = counted("other_blocks", 0, lambda n: n - 1, 1)
@@ -390,9 +393,9 @@ def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     rows = shingled.where("n > 0 and doc_id is not null").select("doc_id", "who", "n", "d1", "d2").join(placed.drop("component_id"), ["d1", "d2", "n"])
     rows = written(rows.groupBy("doc_id", "who", "label").agg(F.count("*").alias("times")), "rows")
     first = written(rows.groupBy("label").agg(F.min(F.struct("doc_id", "who")).alias("first")), "first")
-    rows = rows.join(first, "label").select("doc_id", "who", "times", (F.struct("doc_id", "who") == F.col("first")).alias("stays"))
+    judged = rows.join(first, "label").select("doc_id", "who", "times", (F.struct("doc_id", "who") == F.col("first")).alias("stays"))
     i, w = free_name(docs, "_id"), free_name(docs, "_who")
-    told = rows.where("not stays or times > 1").select(F.col("doc_id").alias(i), F.col("who").alias(w), "stays")
+    told = judged.where("not stays or times > 1").select(F.col("doc_id").alias(i), F.col("who").alias(w), "stays")
     told = written(told, "told")
     gone, again = (told.where(x).select(i, w) for x in ("not stays", "stays"))
     one = None
