@@ -8,13 +8,20 @@ wins. Letters are compared without case, and what lies between words as one blan
 
 The labelled text is a bounded sample, SAMPLE letters and blanks for each
 language from whole documents in the order of a hash; the texts to be told are
-parsed whole, in runs of RUN symbols, as if each run started a phrase.
+parsed whole, in runs of RUN symbols, as if each run started a phrase. Every
+letter of the samples is told apart, whatever their scripts: transitions are kept
+in one row of slots that all states share (`comb`), not in a table of states by
+letters.
+
+The score compares the languages' costs: a language that needs x times the cost
+of the winner weighs exp(-SHARPNESS (x - 1)), and the score is the winner's share.
 
 Cases: null texts, and texts without letters, get `und` and the score 0. If there
-is no labelled text at all, so do all. A letter that doesn't occur in
-a language's text ends a phrase there, and the next starts after it. Ties go to the language that is first by name. An empty
-table gives an empty result. Null and repeated doc_ids pass through. Columns
-beside doc_id, text and, for learning, lang aren't read.
+is no labelled text at all, so do all. A letter that doesn't occur in a language's
+text ends a phrase there, and the next starts after it. Ties go to the language
+that is first by name. An empty table gives an empty result. Null and repeated
+doc_ids pass through. Columns beside doc_id, text and, for learning, lang aren't
+read.
 """
 
 from __future__ import annotations
@@ -31,12 +38,12 @@ from pyspark.sql.window import Window
 
 UND = "und"
 #: Symbols of labelled text for each language, documents they are taken from, and languages, at most.
-SAMPLE, DOCUMENTS, LANGUAGES = 30_000, 400, 500
-#: Symbols told apart: a blank, an unknown letter, and the most frequent letters.
-ALPHABET = 64
+SAMPLE, DOCUMENTS, LANGUAGES = 60_000, 800, 500
 RUN = 512
+#: How fast a language's weight falls as its cost exceeds the winner's.
+SHARPNESS = 8.0
 _CHUNK = 1 << 20
-_FLAG = -(2**31)
+_LOW = (1 << 32) - 1
 
 _letters = None
 
@@ -67,8 +74,9 @@ def folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return low[keep], np.append(0, np.cumsum(keep))[begins]
 
 
-def suffix_automaton(text: np.ndarray, alphabet: int) -> np.ndarray:
-    """Transitions of the suffix automaton of a text: states x alphabet, -1 for none; state 0 is the start."""
+def suffix_automaton(text: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix automaton of a text: how many states (0 is the start), and its
+    transitions as states, symbols and next states."""
     nexts: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text.tolist():
@@ -94,40 +102,89 @@ def suffix_automaton(text: np.ndarray, alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = copy
         last = cur
-    out = np.full((len(nexts), alphabet), -1, dtype=np.int32)
     at = np.repeat(np.arange(len(nexts)), [len(x) for x in nexts])
-    out[at, [c for x in nexts for c in x]] = [s for x in nexts for s in x.values()]
-    return out
+    return len(nexts), at, np.array([c for x in nexts for c in x], dtype=np.int64), np.array([s for x in nexts for s in x.values()], dtype=np.int64)
+
+
+def comb(states: int, at: np.ndarray, symbol: np.ndarray, alphabet: int) -> tuple[np.ndarray, int]:
+    """Places for transitions (at, symbol, in order of at) in one row of slots: a
+    base for each state, so that no two transitions have the same base + symbol;
+    and how many slots that takes, so that any base + symbol is one.
+
+    States with the most transitions come first, each at the first base, from a
+    little before the last, that is free for all of them; those with one alone
+    fill what is left.
+    """
+    degree = np.bincount(at, minlength=states)
+    first = np.append(0, np.cumsum(degree))
+    base = np.zeros(states, dtype=np.int64)
+    used = np.zeros(4 * len(at) + 4 * alphabet + 4096, dtype=bool)
+    last = 0
+    for s in np.argsort(-degree, kind="stable"):
+        if degree[s] < 2:
+            break
+        own = symbol[first[s] : first[s + 1]]
+        b = max(0, last - 1024)
+        while True:
+            if b + 512 + alphabet > len(used):
+                used = np.append(used, np.zeros(len(used), dtype=bool))
+            taken = used[b + own[0] : b + own[0] + 512].copy()
+            for c in own[1:]:
+                taken |= used[b + c : b + c + 512]
+            k = int(taken.argmin())
+            if not taken[k]:
+                break
+            b += 512
+        base[s] = last = b + k
+        used[b + k + own] = True
+    single = np.flatnonzero(degree == 1)
+    used = np.append(used, np.zeros(alphabet + len(single), dtype=bool))
+    slots = alphabet + np.flatnonzero(~used[alphabet:])[: len(single)]
+    base[single] = slots - symbol[first[single]]
+    used[slots] = True
+    return base, int(base.max(initial=0)) + alphabet
 
 
 class Parser:
     """Counts the phrases of texts for each language of a model (name -> labelled text)."""
 
-    def __init__(self, model: dict[str, str], alphabet: int = ALPHABET, sample: int = SAMPLE):
+    def __init__(self, model: dict[str, str], sample: int = SAMPLE):
         self.names = sorted(model)
         texts = [folded([model[n]])[0][:sample] for n in self.names]
-        seen, times = np.unique(np.concatenate([np.zeros(0, dtype=np.uint32), *texts]), return_counts=True)
-        known = [int(c) for _, c in sorted(zip(-times, seen, strict=True)) if c][: alphabet - 2]
-        alphabet = len(known) + 2
-        self._symbol = np.ones(sys.maxunicode + 1, dtype=np.uint8)
-        self._symbol[0] = 0
-        self._symbol[known] = np.arange(2, len(known) + 2)
-        tables, self._starts, base = [], [], 0
+        self._known = np.unique(np.concatenate([np.zeros(1, dtype=np.uint32), *texts]))[1:]
+        alphabet = len(self._known) + 2
+        owner, target, again, self._starts, states, slots = [], [], [], [], 0, 0
         for text in texts:
-            t = suffix_automaton(self._symbol[text], alphabet).astype(np.int64)
-            t[:, 1] = -1
+            n, at, symbol, to = suffix_automaton(self._symbols(text))
+            base, size = comb(n, at, symbol, alphabet)
+            # a state is its number and its base in one number
+            packed = (np.arange(n) + states << 32) + base + slots
+            own, into = np.full(size, -1, dtype=np.int32), np.zeros(size, dtype=np.int64)
+            own[base[at] + symbol] = at + states
+            into[base[at] + symbol] = packed[to]
             # a symbol that doesn't continue a phrase ends it, and starts the next
-            again = np.where(t[0] >= 0, t[0], 0)
-            tables.append(np.where(t >= 0, (t + base) * alphabet, ((again + base) * alphabet)[None, :] + _FLAG).astype(np.int32))
-            self._starts.append(base * alphabet)
-            base += len(t)
-        self._table = np.concatenate(tables).ravel() if tables else np.zeros(0, dtype=np.int32)
+            starts = np.full(alphabet, packed[0])
+            starts[symbol[at == 0]] = packed[to[at == 0]]
+            owner.append(own)
+            target.append(into)
+            again.append(starts)
+            self._starts.append(packed[0])
+            states, slots = states + n, slots + size
+        self._owner = np.concatenate([np.zeros(0, dtype=np.int32), *owner])
+        self._target = np.concatenate([np.zeros(0, dtype=np.int64), *target])
+        self._again = np.array(again, dtype=np.int64).reshape(len(again), alphabet)
         self._cost = np.array([np.log(max(len(t), 2)) for t in texts])
 
+    def _symbols(self, letters: np.ndarray) -> np.ndarray:
+        """0 for a blank, 1 for a letter that no sample has, and from 2 the samples' letters."""
+        place = np.searchsorted(self._known, letters)
+        known = self._known[np.minimum(place, len(self._known) - 1)] == letters if len(self._known) else np.zeros(len(letters), dtype=bool)
+        return np.where(known, place + 2, letters != 0).astype(np.int64)
+
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text (rows) in each language, and the symbols of each text."""
         low, bounds = folded(texts)
-        symbols = self._symbol[low]
+        symbols = self._symbols(low)
         lengths = np.diff(bounds)
         runs = np.maximum(1, -(-lengths // RUN))
         owner = np.repeat(np.arange(len(texts)), runs)
@@ -135,13 +192,15 @@ class Parser:
         size = np.minimum(RUN, bounds[owner + 1] - begins)
         order = np.argsort(-size, kind="stable")
         begins, size, owner = begins[order], size[order], owner[order]
-        state = np.repeat(np.array(self._starts, dtype=np.int32)[:, None], len(owner), axis=1)
-        count = np.ones_like(state)
+        state = np.repeat(np.array(self._starts, dtype=np.int64)[:, None], len(owner), axis=1)
+        count = np.ones(state.shape, dtype=np.int32)
         live = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left")
         for t, m in enumerate(live.tolist()):
-            to = self._table.take(state[:, :m] + symbols[begins[:m] + t])
-            count[:, :m] -= to >> 31
-            state[:, :m] = to & 0x7FFFFFFF
+            now, symbol = state[:, :m], symbols[begins[:m] + t]
+            slot = (now & _LOW) + symbol
+            goes = self._owner.take(slot) == now >> 32
+            count[:, :m] += ~goes
+            state[:, :m] = np.where(goes, self._target.take(slot), self._again.take(symbol, axis=1))
         out = np.stack([np.bincount(owner, weights=c, minlength=len(texts)) for c in count], axis=1) if len(count) else np.zeros((len(texts), 0))
         return out, lengths
 
@@ -153,7 +212,8 @@ class Parser:
             return [UND] * len(texts), np.zeros(len(texts))
         cost = counts * self._cost
         best = cost.argmin(axis=1)
-        score = 1 / np.exp(np.minimum(cost.min(axis=1, keepdims=True) - cost, 0)).sum(axis=1)
+        least = cost.min(axis=1, keepdims=True)
+        score = 1 / np.exp(-SHARPNESS * (cost / least - 1)).sum(axis=1)
         none = lengths < 2  # the blank before a text, and nothing else but blanks
         return [UND if n else self.names[b] for n, b in zip(none, best, strict=True)], np.where(none, 0.0, score)
 
@@ -187,19 +247,11 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, documents: int = DOCUMENTS)
     return {k: " ".join(v) for k, v in out.items()}
 
 
-_parsers: dict[int, Parser] = {}
-
-
 def identify(docs: DataFrame, model: dict[str, str], sample: int = SAMPLE, pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with two more columns, the language of each text and how sure that is."""
-    key = hash((sample, *sorted(model.items())))
-    at_text = docs.columns.index("text")
+    parser, at_text = Parser(model, sample), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = _parsers.get(key)
-        if parser is None:
-            _parsers.clear()
-            parser = _parsers[key] = Parser(model, sample=sample)
         for batch in batches:
             names, scores = [], []
             sizes = batch.column(at_text).fill_null("").cast(pa.large_string())
