@@ -15,7 +15,7 @@ from winnow.sources.shared import Scratch, dropped, run_dir, written
 __all__ = ["Scratch", "bucket_of", "components", "dropped", "free_name", "run_dir", "with_starts", "written"]
 
 #: Rows of one key are dealt over so many buckets for ranks and running sums.
-BUCKETS = 256
+BUCKETS = 1024
 
 
 def free_name(df: DataFrame, name: str) -> str:

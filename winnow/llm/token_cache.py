@@ -15,15 +15,11 @@ result and leaves the cache as it was. Other columns aren't read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.llm.shared import written
-from winnow.llm.tokens import encoder, file_digest, tokenizer_path
+from winnow.llm.tokens import counted, file_digest, tokenizer_path
 
 CACHE_SCHEMA = "digest binary, n_tokens long, version string"
 LIMIT = 1024
@@ -52,19 +48,6 @@ def stored(spark: SparkSession, cache: str, version: str) -> DataFrame:
     return own.groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
 
 
-def encode_counts(texts: DataFrame, path: str) -> DataFrame:
-    """digest and n_tokens of rows with digest and text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[int] = []
-            for i in range(0, batch.num_rows, 256):
-                found += map(len, encoder(path).encode(batch.column(1).slice(i, 256).to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, dtype=np.int64))], names=["digest", "n_tokens"])
-
-    return texts.select("digest", "text").mapInArrow(run, "digest binary, n_tokens long")
-
-
 def missing(docs: DataFrame, known: DataFrame) -> DataFrame:
     """digest and text, one row for each digest of docs (text, digest) that isn't known."""
     misses = written(docs.select("digest").distinct().join(known, "digest", "left_anti"), "misses")
@@ -84,7 +67,7 @@ def count_tokens(docs: DataFrame, cache: str, path: str | None = None, limit: in
     spark, path = docs.sparkSession, path or tokenizer_path()
     version = file_digest(path)
     keyed = docs.select(normalised(F.col("text")).alias("text"), digest(F.col("text")).alias("digest"))
-    encoded = encode_counts(missing(keyed, stored(spark, cache, version).select("digest")), path)
+    encoded = counted(missing(keyed, stored(spark, cache, version).select("digest")), "text", "n_tokens", path)
     encoded.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(cache)
     rows = docs.select("doc_id", F.octet_length(normalised(F.col("text"))).cast("long").alias("n_bytes"), digest(F.col("text")).alias("digest"))
     # a table of its own, so that a digest that many rows share can be dealt over tasks

@@ -13,8 +13,12 @@ import base64
 import hashlib
 import json
 import os
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.types import LongType, StructField, StructType
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -102,3 +106,18 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def counted(df: DataFrame, text: str, name: str, path: str) -> DataFrame:
+    """df with the number of tokens of each text (null: none) as `name` in place of the text."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[int] = []
+            for i in range(0, batch.num_rows, 256):
+                found += map(len, encoder(path).encode(batch.column(at).slice(i, 256).to_pylist()))
+            columns = [c for i, c in enumerate(batch.columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.array(found, dtype=np.int64))], names=[*(n for n in batch.schema.names if n != text), name])
+
+    return df.mapInArrow(run, StructType([*(f for f in df.schema.fields if f.name != text), StructField(name, LongType())]))
