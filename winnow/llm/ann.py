@@ -8,9 +8,13 @@ to as many of its most probable partitions as gave the wanted recall on queries
 of the sample that the classifier hadn't seen; what it meets there is reranked by
 exact distance.
 
-The number of partitions follows the number of vectors and is bounded; each is
-searched block by block, so that neither a large partition nor many queries meet
-in one task.
+The number of partitions grows with the root of the number of vectors, alike at
+every size, up to what the sample can tell apart; each partition is searched block
+by block, so that neither a large partition nor many queries meet in one task. A
+block is as large as a task can well hold, as vectors are sent to as many tasks as
+there are blocks of what they are compared with. Vectors without clusters have
+neighbours everywhere: for these most partitions must be searched to reach a
+recall, and the index saves little.
 
 Cases: vectors that are null, empty or zero, or hold null or non-finite
 components, and rows with a null vec_id, take no part. A query finds only vectors
@@ -36,11 +40,11 @@ from winnow.llm.vectors import is_usable, matrix, sample_vectors
 
 #: Vectors of the sample that partitions and classifier are fitted to, at most.
 SAMPLE = 8_000
-#: Vectors for each partition, and partitions, at most.
-ROWS, PARTITIONS = 2_500, 256
-K, RECALL = 10, 0.97
-#: Rows of a block of candidates and of queries.
-BLOCK, QUERIES = 8_192, 1_024
+#: Partitions: one for so many roots of the number of vectors, at most; and vectors of the sample for each.
+ROOTS, PARTITIONS, LEAST = 5, 256, 30
+K, RECALL = 10, 0.96
+#: Numbers in a block of candidates or queries.
+BLOCK_NUMBERS = 1 << 21
 
 
 def neighbours(x: np.ndarray, q: np.ndarray, k: int, own: np.ndarray | None = None) -> np.ndarray:
@@ -152,14 +156,19 @@ def train(x: np.ndarray, wanted: np.ndarray, hidden: int = 96, epochs: int = 25,
     return Router(mean, scale, *weights)
 
 
-def fit(x: np.ndarray, total: int, k: int = K, recall: float = RECALL, rows: int = ROWS, most: int = PARTITIONS) -> Router:
+def partitions(total: int, sample: int, most: int = PARTITIONS) -> int:
+    """How many partitions `total` vectors are divided into."""
+    return max(1, min(most, sample // LEAST, round(total**0.5 / ROOTS)))
+
+
+def fit(x: np.ndarray, total: int, k: int = K, recall: float = RECALL, most: int = PARTITIONS) -> Router:
     """Partitions and classifier for `total` vectors, from a sample.
 
     A tenth of the sample is held out: its vectors are queries whose neighbours in
     the rest tell how many partitions reach the recall.
     """
     d = x.shape[1]
-    parts = int(min(most, max(1, total // rows), max(1, len(x) // 30)))
+    parts = partitions(total, len(x), most)
     if parts == 1:
         return Router(np.zeros(d), 1.0, np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
     held = np.arange(len(x)) % 10 == 0
@@ -199,13 +208,13 @@ def top(q: np.ndarray, x: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, k: int
     return np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64), np.array(dist, dtype=np.float64)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = RECALL, sample: int = SAMPLE, rows: int = ROWS, most: int = PARTITIONS) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = RECALL, sample: int = SAMPLE, most: int = PARTITIONS) -> DataFrame:
     """The k nearest found for each query row: query_id, rank (from 1), vec_id and score
     (the Euclidean distance in double precision), against all rows but those with its id."""
     good = vectors.select("vec_id", F.col("embedding").alias("v")).where(F.col("vec_id").isNotNull() & is_usable("v"))
     good = written(good.select("vec_id", F.col("v").cast("array<double>").alias("v")), "vectors")
     total = good.count()
-    routers = {d: fit(x, total, k, recall, rows, most) for d, x in sample_vectors(good, "vec_id", "v", sample).items()}
+    routers = {d: fit(x, total, k, recall, most) for d, x in sample_vectors(good, "vec_id", "v", sample).items()}
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,7 +237,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
     sent = written(good.withColumn("q", F.coalesce(is_query, F.lit(False))).select("vec_id", "v", "q").mapInArrow(assign, "vec_id long, v array<double>, dim int, part int, asked boolean"), "routed")
     key = ["dim", "part"]
     counts = sent.groupBy(*key).agg(F.count_if("asked").alias("nq"), F.count_if(~F.col("asked")).alias("nx")).where("nq > 0 and nx > 0")
-    counts = counts.select(*key, F.ceil(F.col("nq") / QUERIES).cast("int").alias("nq"), F.ceil(F.col("nx") / BLOCK).cast("int").alias("nx"))
+    blocks = lambda n: F.ceil(F.col(n) * F.col("dim") / BLOCK_NUMBERS).cast("int").alias(n)
+    counts = counts.select(*key, blocks("nq"), blocks("nx"))
     sent = sent.join(counts, key)
     own = F.pmod(F.xxhash64("vec_id", F.lit("block")), F.when(F.col("asked"), F.col("nq")).otherwise(F.col("nx"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("asked"), F.col("nx")).otherwise(F.col("nq")) - 1))
