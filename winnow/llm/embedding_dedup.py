@@ -7,12 +7,14 @@ farther than such a pair can reach: if x and y are at most r apart, and y is
 nearest to centroid d, then x . (c - d) <= r |c - d| for any c. So no link is
 lost, whatever the cells. How many cells pay off is measured on the sample that
 they are fitted to: where vectors have no clusters, borders are everywhere near,
-and one cell for each label is cheapest.
+and the least number of cells is cheapest.
 
 Vectors with equal label and components are one class, which counts as often as
 it occurs. Cells are compared block by block, as products of matrices in double
 precision; a pair of blocks gives the number of links of each class, and edges
-that span what it links, never the pairs themselves.
+that span what it links, never the pairs themselves. Blocks grow with the cell, so
+that a vector is sent to some BLOCKS tasks at most, until a block is as large as a
+task can well hold.
 
 Cases: vectors that are null, empty or zero, or hold null or non-finite
 components, and rows with a null label or vec_id, link with nothing: they have 0
@@ -24,7 +26,7 @@ read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,12 @@ from winnow.llm.vectors import is_usable, matrix, sample_vectors, spherical_k_me
 
 #: Vectors that cells are fitted to, at most.
 SAMPLE = 8_000
-#: Rows of a block, and numbers of cells that are tried.
-BLOCK, CELLS = 2048, (1, 8, 32, 128, 512)
+#: Rows of a block at least, numbers in it at most, and blocks of a cell that lies between.
+BLOCK, BLOCK_NUMBERS, BLOCKS = 2048, 1 << 21, 16
+#: Numbers of cells that are tried.
+CELLS = (2, 8, 32, 128, 512)
+#: What it costs to send a vector to one cell more, in comparisons.
+SENDING = 1000
 _TILE = 512
 
 
@@ -51,16 +57,16 @@ def guests(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.n
     return home, to & (np.arange(len(c))[None, :] < home[:, None])
 
 
-def fit_cells(x: np.ndarray, least: float, total: int, choices=CELLS) -> np.ndarray:
-    """Centroids, as many as make the comparisons of `total` vectors fewest."""
+def fit_cells(x: np.ndarray, least: float, total: float, choices: Sequence[int] = CELLS) -> np.ndarray:
+    """Centroids, as many as make comparisons and sendings of `total` vectors of a label cheapest."""
     best, cells = np.inf, x[:1]
     for k in choices:
-        if k > 1 and k * 8 > len(x):
+        if k * 8 > len(x):
             break
         c = spherical_k_means(x, k)
         home, to = guests(x, c, least)
         own = np.bincount(home, minlength=len(c)) / len(x)
-        cost = (own * (own + to.mean(axis=0))).sum() * total + 50 * to.sum() / len(x)
+        cost = (own * (own + to.mean(axis=0))).sum() * total + SENDING * to.sum() / len(x)
         if cost < 0.8 * best:
             best, cells = cost, c
     return cells
@@ -106,7 +112,7 @@ def compare(x, y, x_ids, y_ids, x_times, y_times, least: float, same: bool):
     return xs, ys, edges
 
 
-def near_embeddings(vectors: DataFrame, least: float = 0.93, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def near_embeddings(vectors: DataFrame, least: float = 0.93, sample: int = SAMPLE, block: int = BLOCK, choices: Sequence[int] = CELLS) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row; links have equal labels and a cosine of at least `least`."""
     rows = vectors.select("vec_id", "label", F.col("embedding").alias("v"))
     linkable = is_usable("v") & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
@@ -115,7 +121,10 @@ def near_embeddings(vectors: DataFrame, least: float = 0.93, sample: int = SAMPL
     classes = part.groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("times"))
     classes = written(classes.withColumn("cls", F.monotonically_increasing_id()).withColumn("dim", F.size("v")), "classes")
     fitted = sample_vectors(classes, "cls", "v", sample)
-    cells = {k: fit_cells(unit(x), least, classes.count()) for k, x in fitted.items()}
+    # vectors of the label that a vector has on the average
+    by_label = classes.groupBy("label").agg(F.count("*").cast("double").alias("n"))
+    total = by_label.agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("n")).first()["n"] or 0.0
+    cells = {k: fit_cells(unit(x), least, total, choices) for k, x in fitted.items()}
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +144,8 @@ def near_embeddings(vectors: DataFrame, least: float = 0.93, sample: int = SAMPL
     sent = written(sent, "cells")
     key = ["label", "dim", "cell"]
     counts = sent.groupBy(*key).agg(F.count_if(~F.col("guest")).alias("own"), F.count_if("guest").alias("guests"))
-    counts = counts.select(*key, F.greatest(F.lit(1), F.ceil(F.col("own") / block)).cast("int").alias("own"), F.ceil(F.col("guests") / block).cast("int").alias("guests"))
+    size = F.greatest(F.lit(1), F.least(F.greatest(F.lit(block), F.col("own") / BLOCKS), F.floor(BLOCK_NUMBERS / F.col("dim"))))
+    counts = counts.select(*key, F.greatest(F.lit(1), F.ceil(F.col("own") / size)).cast("int").alias("own"), F.ceil(F.col("guests") / size).cast("int").alias("guests"))
     sent = sent.join(counts, key)
     # blocks are numbered from 0 for a cell's own vectors, and on from there for guests
     mine = F.pmod(F.xxhash64("cls", F.lit("block")), F.when(F.col("guest"), F.col("guests")).otherwise(F.col("own"))).cast("int")
