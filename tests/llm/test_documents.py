@@ -81,9 +81,19 @@ def test_empty_tables(rows):
     assert sharding.shard(docs).count() == 0
     assert near_dup.near_duplicates(docs).count() == 0
     assert language.predict_languages(docs).count() == 0
+    assert near_dup.distinct_documents(docs).count() == 0 and mixing.mixed(docs).count() == 0
 
 
-def test_token_cache_encodes_only_misses(spark, rows, tmp_path):
+def test_token_cache_of_an_empty_table(spark, rows, tmp_path):
+    cache = f"{tmp_path}/cache"
+    assert token_cache.count_tokens(documents(rows, []), cache).count() == 0
+    assert token_cache.count_tokens(documents(rows, ODD), cache).count() == len(ODD)
+    assert token_cache.count_tokens(documents(rows, []), cache).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_token_cache_encodes_only_misses(spark, rows, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(token_cache, "FEW_MISSES", few)
     cache = f"{tmp_path}/cache"
     got = token_cache.count_tokens(documents(rows, ODD), cache).collect()
     want = [len(x) for x in encoder(tokenizer_path()).encode([t for _, t, _, _ in ODD])]
@@ -190,7 +200,13 @@ def test_language_odd_rows(rows):
 
 def test_suffix_automaton_is_exact():
     text = np.array([1, 2, 1, 2, 2, 3, 1, 2, 1], dtype=np.int64)
-    t = language.suffix_automaton(text, 4)
+    states, at, symbol, to = language.suffix_automaton(text)
+    t = np.full((states, 4), -1)
+    t[at, symbol] = to
+    # the same transitions in one row of slots
+    base, slots = language.comb(states, at, symbol, 4)
+    where = base[at] + symbol
+    assert len(set(where.tolist())) == len(where) and 0 <= where.min() and base.min() >= 0 and base.max() + 4 <= slots
     s = text.tolist()
     parts = {tuple(s[i:j]) for i in range(len(s)) for j in range(i, len(s) + 1)}
 
@@ -226,6 +242,70 @@ def test_phrases_brute_force():
         assert lengths[k] == len(low)
 
 
+def test_scripts_of_many_letters(rows):
+    """Letters beyond any small alphabet are told apart."""
+    r = random.Random(6)
+    one, two = ([chr(r.randint(a, a + 3000)) for _ in range(900)] for a in (0x4E00, 0x6000))
+    some = lambda letters: " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 5))) for _ in range(60))
+    phrases = {k: [some(letters) for _ in range(6)] for k, letters in (("x", one), ("y", two))}
+    data = [(i, " ".join(r.choice(phrases[k]) for _ in range(3)), k, "a") for i in range(80) for k in "xy"]
+    docs = documents(rows, [(2 * i + (k == "y"), t, k, s) for i, t, k, s in data])
+    got = language.predict_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(got) == 160 and all(x.lang == x.lang_pred and 0.5 < x.score <= 1 for x in got)
+
+
+def test_rows_are_removed_not_ids(rows):
+    t, u = (" ".join(f"{c}{i}" for i in range(60)) for c in "tu")
+    data = [(3, t, "en", "a"), (5, t + " more", "en", "b"), (5, u, "en", "c"), (7, u + " more", "en", "d"), (7, u + " more", "en", "e"), (3, u + " x", "en", "f"), (None, t, "en", "g"), (9, None, "en", "h"), (9, None, "en", "i"), (11, t, None, None), (12, t, None, None), (12, t, None, "j")]
+    got = sorted((x.doc_id or 0, x.text or "", x.source or "") for x in near_dup.distinct_documents(documents(rows, data)).collect())
+    assert got == sorted([(3, t, "a"), (3, u + " x", "f"), (0, t, "g"), (9, "", "h"), (9, "", "i")])
+    twice = near_dup.distinct_documents(documents(rows, [(1, t, "en", "a"), (1, t, "de", "b"), (2, u, "en", "a")]))
+    assert sorted(x.doc_id for x in twice.collect()) == [1, 2] and twice.columns[:4] == ["doc_id", "text", "lang", "source"]
+
+
+def test_near_duplicates_of_many_sizes_brute_force(rows):
+    """Near sets on both sides of the borders of size classes, in buckets that hold several components."""
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(400)]
+    data = []
+    for k in range(120):
+        n = r.choice([4, 5, 6, 8, 10, 12, 15, 40, 50, 62, 63, 78, 97, 120, 300])
+        words = base[:n] if r.random() < 0.5 else base[100 : 100 + n]
+        words = [w if r.random() < 0.97 else f"x{r.randint(0, 9)}" for w in words]
+        data.append((k, " ".join(words), "en", "a"))
+    sets = {k: {tuple(x[i : i + 2]) for i in range(len(x) - 1)} for k, t, _, _ in data for x in [t.split()]}
+    root = {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(documents(rows, data), width=2).collect()}
+    assert got == {k: find(k) for k in sets}
+
+
+def test_mixed_rows_are_taken_one_by_one(rows):
+    r = random.Random(5)
+    # ids repeat, and a tenth are null
+    data = [(r.choice([None, *range(9)]) if i % 2 else i % 40, " ".join(["w"] * r.randint(1, 40)), "en", r.choice("abc")) for i in range(900)]
+    docs = documents(rows, data)
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    want = mixing.mix(docs).select("source_size", "target").distinct().collect()
+    sizes: dict = {}
+    for x in out.collect():
+        sizes[x.source] = sizes.get(x.source, 0) + len(x.text.split())
+    assert len(want) == 3
+    for got, target in zip(sorted(sizes.values()), sorted(x.target for x in want), strict=True):
+        assert abs(got - target) <= 0.08 * target + 80
+
+
 def test_mixing_meets_targets(rows):
     r = random.Random(1)
     data = [(i, " ".join(["w"] * r.randint(0, 60)), "en", r.choice(["a"] * 12 + ["b", "c", "d", None])) for i in range(600)]
@@ -312,7 +392,27 @@ def test_sharding_balances_and_numbers(rows):
     text = {d[0]: d[1] for d in data}
     assert all(x.text_crc32 == zlib.crc32(text[x.doc_id].encode()) and x.size == len(text[x.doc_id]) + 8 for x in got)
     # a group that outweighs a shard is dealt to as few shards as its share needs
-    assert len({x.shard for x in got if x.doc_id >= 2000}) <= 18  # 400 x 6 of some 3,300 words
+    assert len({x.shard for x in got if x.doc_id >= 2000}) <= 18  # 400 x 6 tokens
+
+
+def test_placement_brute_force():
+    """The greedy choice against a plain one, and moves that keep the balance of the other measures."""
+    r = np.random.default_rng(8)
+    loads = r.lognormal(0, 1, (400, 3)) * [1000, 200, 1]
+    part = loads / loads.sum(axis=0) * 7
+    left, want = [[1.0, 1.0, 1.0] for _ in range(7)], [0] * 400
+    for u in sorted(range(400), key=lambda u: (-max(part[u]), u)):
+        dots = [sum(x * y for x, y in zip(shard, part[u], strict=True)) for shard in left]
+        want[u] = dots.index(max(dots))
+        left[want[u]] = [x - y for x, y in zip(left[want[u]], part[u], strict=True)]
+    assert sharding.greedy(part, 7).tolist() == want
+
+    def spread(where):
+        return np.abs(np.stack([np.bincount(where, weights=c, minlength=7) for c in part.T]) - 1).max(axis=1)
+
+    before, after = spread(np.array(want)), spread(sharding.place(loads, 7))
+    assert after[0] < 0.0006 and (after[1:] <= np.maximum(before[1:], 0.0301)).all()
+    assert sharding.place(np.zeros((0, 3)), 7).tolist() == []
 
 
 def test_groups_stay_together(rows):

@@ -29,15 +29,14 @@ def embeddings(rows, data):
     return rows([(i, v, label, 0, 0, 0, 0) for i, v, label in data], SCHEMA)
 
 
-@pytest.mark.parametrize("choices", [(1,), (8,)])
+@pytest.mark.parametrize("choices", [(1,), (8,), embedding_dedup.CELLS])
 def test_near_embeddings_brute_force(rows, monkeypatch, choices):
     monkeypatch.setattr(embedding_dedup, "_TILE", 32)
-    monkeypatch.setattr(embedding_dedup.fit_cells, "__defaults__", (choices,))
     x = clustered(260, groups=8)
     x[200:210] = x[0]
     labels = [int(i) % 3 if i >= 12 else 1 for i in range(260)]
     data = [(i, x[i].tolist(), labels[i]) for i in range(260)]
-    got = {r.vec_id: r for r in embedding_dedup.near_embeddings(embeddings(rows, data + BAD), block=64).collect()}
+    got = {r.vec_id: r for r in embedding_dedup.near_embeddings(embeddings(rows, data + BAD), block=64, choices=choices).collect()}
     u = x.astype(np.float64)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     links = (u @ u.T >= 0.93) & (np.array(labels)[:, None] == np.array(labels)[None, :])
@@ -51,6 +50,52 @@ def test_near_embeddings_brute_force(rows, monkeypatch, choices):
     assert all(got[i].n_links == 0 and got[i].kept and got[i].component_id == i for i, _, _ in BAD)
 
 
+def test_many_cells_and_blocks_at_shipped_settings(spark, monkeypatch):
+    """20,000 clustered vectors: several cells pay off, and every link is found."""
+    n, r = 20_000, np.random.default_rng(12)
+    centres = r.normal(size=(400, 32))
+    x = centres[np.arange(n) % 400] + r.choice([0.05, 0.14, 0.4], size=(n, 1)) * r.normal(size=(n, 32))
+    chosen = []
+    fit = embedding_dedup.fit_cells
+    monkeypatch.setattr(embedding_dedup, "fit_cells", lambda *a: chosen.append(fit(*a)) or chosen[-1])
+    got = embedding_dedup.near_embeddings(wide(spark, x, lambda i: F.lit(1)), block=512).toPandas().sort_values("vec_id")
+    assert len(chosen) == 1 and len(chosen[0]) >= 32
+    u = x.astype(np.float32).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    links = np.concatenate([(u[i : i + 2000] @ u.T >= 0.93).sum(axis=1) - 1 for i in range(0, n, 2000)])
+    assert (got.n_links.to_numpy() == links).all() and links.sum() > 100_000
+    assert (got.component_id <= got.vec_id).all() and (got.kept == (got.component_id == got.vec_id)).all()
+
+
+def wide(spark, x, label):
+    """Vectors as rows, by way of Arrow."""
+    import pyarrow as pa
+
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))}))
+    return df.withColumn("label", label("vec_id").cast("int"))
+
+
+@pytest.mark.parametrize(("spread", "scanned"), [(0.4, 0.25), (None, 1.0)])
+def test_search_at_shipped_settings(spark, monkeypatch, spread, scanned):
+    """50,000 vectors, in clusters and without: recall, and the share of the vectors that a query meets."""
+    n, r = 50_000, np.random.default_rng(4)
+    x = r.normal(size=(n, 24)) if spread is None else r.normal(size=(300, 24))[r.integers(0, 300, n)] + spread * r.normal(size=(n, 24))
+    routers = []
+    fit = ann.fit
+    monkeypatch.setattr(ann, "fit", lambda *a: routers.append(fit(*a)) or routers[-1])
+    got = ann.search(wide(spark, x, lambda i: F.lit(1)), F.col("vec_id") % 100 == 0).toPandas()
+    x = x.astype(np.float32).astype(np.float64)
+    asked = np.arange(0, n, 100)
+    true = ann.neighbours(x, x[asked], 10, asked)
+    found = got.groupby("query_id").vec_id.agg(set)
+    assert np.mean([len(found[q] & set(t.tolist())) / 10 for q, t in zip(asked, true, strict=True)]) >= 0.9
+    assert routers[0].parts == 45 and routers[0].probes / routers[0].parts <= scanned
+
+
+def test_every_table_is_divided():
+    assert [ann.partitions(t, min(t, ann.SAMPLE)) for t in (0, 1, 60, 500, 2000, 50_000, 10**6, 10**9)] == [1, 1, 2, 4, 9, 45, 200, 256]
+
+
 def test_guests_lose_no_link():
     x = clustered(400, groups=20, seed=3)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -64,7 +109,7 @@ def test_guests_lose_no_link():
 def test_search_recall_and_order(rows):
     x = clustered(3000, groups=30, seed=2)
     data = [(i, x[i].tolist(), 0) for i in range(3000)]
-    got = ann.search(embeddings(rows, data + BAD), F.col("vec_id") % 20 == 0, rows=300).collect()
+    got = ann.search(embeddings(rows, data + BAD), F.col("vec_id") % 20 == 0).collect()
     by: dict = {}
     for r in got:
         by.setdefault(r.query_id, []).append(r)
