@@ -44,7 +44,7 @@ def test_entry(spark):
 
 
 #: Queries of the library itself; those of other subpackages have tests of their own.
-OWN = [n for n in entry.catalog.oracle_sql() if n not in ("h3_kept_and_removed", "j14_capabilities")]
+OWN = list(entry.catalog.oracle_sql())
 
 
 @pytest.mark.parametrize("name", OWN)
@@ -52,12 +52,13 @@ def test_against_sql(spark, duck, name):
     assert same_rows(entry.queries()[name](spark, SF).toPandas()) == same_rows(duck.execute(entry.oracle_sql()[name]).df())
 
 
-def test_hash_pairs_are_found(spark):
-    """The smaller tables have none within the distance."""
-    d, con = "/root/testdata/sf0.1", duckdb.connect()
-    con.execute(f"create view embeddings as select * from '{d}/embeddings.parquet'")
-    got = entry.queries()["j3_hash_pairs"](spark, d).toPandas()
-    assert len(got) == 4 and same_rows(got) == same_rows(con.execute(entry.oracle_sql()["j3_hash_pairs"]).df())
+def test_pairs_are_found(spark):
+    """Of every layer, so that the comparisons above are of something."""
+    queries = entry.queries()
+    for name in ("j3_hash_pairs", "d11_cosine_pairs", "j12_strict_gray_pairs"):
+        assert queries[name](spark, SF).count() > 10
+    found = {r.source for r in queries["j13_pair_evidence"](spark, SF).select("source").distinct().collect()}
+    assert found == {"hash", "tiered", "gray"}
 
 
 @pytest.mark.parametrize("kind", ["fade", "crossfade"])

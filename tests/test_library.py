@@ -8,7 +8,6 @@ import zlib
 from datetime import datetime
 from itertools import permutations
 
-import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -249,13 +248,78 @@ def test_labels_and_scores(spark):
     assert one(spark, scores.overall(F.lit(0.1), *[F.lit(1.0)] * 5)) == pytest.approx(0.2)
 
 
+def chosen(segments, target):
+    """Positions chosen of (start, end, overall), in order of start."""
+    return sorted(video.choose(*map(list, zip(*segments, strict=True)), target, VideoThresholds()))
+
+
 def test_greedy_choice_of_segments():
     """The best first, and what would exceed the target by over a tenth is passed over: 10 + 3 + 2."""
-    pool = pd.DataFrame({"start": [0.0, 20.0, 40.0, 60.0], "end": [10.0, 28.0, 43.0, 62.0], "duration": [10.0, 8.0, 3.0, 2.0], "overall": [90.0, 80.0, 70.0, 60.0]})
-    assert sorted(video.choose(pool, 15.0, VideoThresholds())) == [0, 2, 3]
-    assert video.choose(pool, None, VideoThresholds()) == [0, 1, 2, 3]
-    near = pd.DataFrame({"start": [0.0, 11.0, 50.0], "end": [10.0, 15.0, 54.0], "duration": [10.0, 4.0, 4.0], "overall": [90.0, 82.0, 89.0]})
-    assert sorted(video.choose(near, 14.0, VideoThresholds())) == [0, 2] or sorted(video.choose(near, 14.0, VideoThresholds())) == [0, 1]
+    assert chosen([(0.0, 10.0, 90.0), (10.0, 18.0, 80.0), (20.0, 23.0, 70.0), (25.0, 27.0, 60.0)], 15.0) == [0, 2, 3]
+    assert chosen([(0.0, 10.0, 90.0), (20.0, 28.0, 80.0)], None) == [0, 1]
+    # a neighbour of like score goes before a better one elsewhere
+    assert chosen([(0.0, 10.0, 90.0), (11.0, 15.0, 82.0), (50.0, 54.0, 89.0)], 14.0) == [0, 1]
+    # the first may exceed the target
+    assert chosen([(0.0, 50.0, 90.0), (60.0, 61.0, 80.0)], 14.0) == [0]
+
+
+def plainly_chosen(segments, target):
+    """The choice by two nested loops over all segments."""
+    gap, like, over = 2.0, 0.10, 1.1
+    order = sorted(range(len(segments)), key=lambda i: -segments[i][2])
+    got, total = [], 0.0
+    for i in order:
+        (s, e, q), long_ = segments[i], segments[i][1] - segments[i][0]
+        if total >= target or i in got or (got and total + long_ > target * over):
+            continue
+        got.append(i)
+        total += long_
+        for j in order:
+            s2, e2, q2 = segments[j]
+            near = min(abs(s2 - e), abs(s - e2)) <= gap and (max(q, q2) <= 0 or abs(q - q2) / max(q, q2) <= like)
+            if total < target and j not in got and near and total + e2 - s2 <= target * over:
+                got.append(j)
+                total += e2 - s2
+    return sorted(got)
+
+
+def random_segments(r):
+    at, out = 0.0, []
+    for _ in range(r.randint(1, 25)):
+        at += r.choice([0.0, 0.5, 1.0, 2.0, 2.5, 7.0])
+        to = at + r.randint(2, 12)
+        out.append((at, to, float(r.choice([0, 40, 60, 62, 65, 70, 77, 90]))))
+        at = to
+    return out
+
+
+def test_greedy_choice_brute_force():
+    r = random.Random(3)
+    for _ in range(400):
+        segments, target = random_segments(r), float(r.randint(5, 80))
+        assert chosen(segments, target) == plainly_chosen(segments, target)
+
+
+def test_segment_selection_and_plans_brute_force(rows):
+    """n6 and n7 over random videos, many in a task, some of them without a target."""
+    r = random.Random(4)
+    videos = {m: random_segments(r) for m in range(40)}
+    target = {m: None if m % 5 == 0 else float(r.randint(5, 60)) for m in videos}
+    labels = {m: [r.choice(["good", "good", "slightly_shaky", "blurry"]) for _ in v] for m, v in videos.items()}
+    data = [(m, i, *x, x[1] - x[0], labels[m][i]) for m, v in videos.items() for i, x in enumerate(v)]
+    s = rows(data, "media_id int, segment_index int, start double, end double, overall double, duration double, label string").repartition(3)
+    t = rows(list(target.items()), "media_id int, target double")
+    got: dict = {m: [] for m in videos}
+    for x in video.select_segments(s, t).collect():
+        got[x.media_id].append(x.segment_index)
+    plans = {x.media_id: x for x in video.processed(s, t).collect()}
+    for m, v in videos.items():
+        pool = [i for i in range(len(v)) if labels[m][i] != "blurry" and v[i][1] - v[i][0] >= 2]
+        want = pool if target[m] is None else [pool[k] for k in plainly_chosen([v[i] for i in pool], target[m])]
+        assert sorted(got[m]) == want
+        plan = "keep" if target[m] is None and len(want) == len(v) else "compile" if want else "error"
+        assert (plans[m].plan, plans[m].segments, plans[m].selected) == (plan, len(v), len(want))
+        assert plans[m].seconds == pytest.approx(sum(v[i][1] - v[i][0] for i in want))
 
 
 def test_boundaries(rows):
@@ -358,3 +422,84 @@ def test_edits_and_frames():
     assert x.tolist() == [[[10.0, 20.0, 30.0]]]
     assert pixels.edited(x, 1.0, 300.0, 1.0).max() == 255 and len(set(pixels.edited(x, 1.0, 0.0, 0.0).ravel().tolist())) == 1
     assert pixels.frame_difference(np.zeros((80, 80)), np.full((80, 80), 7.0)) == 7.0
+
+
+def plain_edges(g, h, w):
+    """Four neighbours less four times the pixel, borders repeated, by loops."""
+    at = lambda r, c: g[min(max(r, 0), h - 1)][min(max(c, 0), w - 1)]
+    return [[at(r - 1, c) + at(r + 1, c) + at(r, c - 1) + at(r, c + 1) - 4 * g[r][c] for c in range(w)] for r in range(h)]
+
+
+def variance(rows_):
+    flat = [x for r in rows_ for x in r]
+    m = sum(flat) / len(flat)
+    return sum((x - m) ** 2 for x in flat) / len(flat)
+
+
+def test_noise_and_sharpness_by_loops(spark):
+    """The measures that SQL can't express, of pictures of 9 x 8, by plain loops."""
+    import numpy as np
+
+    r = random.Random(2)
+    for _ in range(3):
+        g = [[r.randrange(256) for _ in range(9)] for _ in range(8)]
+        x = np.array(g, dtype=np.float64)
+        got = pixels.measure(9, 8, 1, bytes(v for row in g for v in row))
+        assert got["plain_sharpness"] == pytest.approx(variance([[min(max(v, 0), 255) for v in row] for row in plain_edges(g, 8, 9)]))
+        large = [[g[i * 8 // 256][j * 9 // 256] for j in range(256)] for i in range(256)]
+        assert got["noise"] == pytest.approx(variance(plain_edges(large, 256, 256)) / (variance(large) + 1), rel=1e-9)
+        # a picture this small has tiles of about one pixel, each of which is stretched on its own
+        rows_, columns = ([n * k // 8 for k in range(9)] for n in (8, 9))
+        e = pixels.equalised(x)
+        for a, b in zip(rows_, rows_[1:], strict=False):
+            for c, d in zip(columns, columns[1:], strict=False):
+                tile = [int(g[i][j]) for i in range(a, b) for j in range(c, d)]
+                counts = [tile.count(v) for v in range(256)]
+                top = max(1.0, 2.0 * len(tile) / 256)
+                over = sum(max(n - top, 0) for n in counts)
+                for i in range(a, b):
+                    for j in range(c, d):
+                        below = sum(min(n, top) + over / 256 for n in counts[: g[i][j] + 1])
+                        assert e[i][j] == pytest.approx(below / len(tile) * 255)
+        assert got["sharpness"] == pytest.approx(variance([[min(max(round(v), 0), 255) for v in row] for row in plain_edges(e.tolist(), 8, 9)]))
+        assert got["blur_sharpness"] == pytest.approx(min(variance(plain_edges(e.tolist(), 8, 9)), variance(plain_edges(g, 8, 9))))
+
+
+def test_provider_cascade(rows):
+    """The first sound answer in order counts; what is no verdict is passed over."""
+    from winnow.operators import review
+
+    pairs = rows([(1, 0, k, 0.95 if k == 4 else 0.9) for k in range(1, 6)], "trip_id int, i long, j long, sim double")
+    yes, no = '{"is_duplicate": true, "confidence": 3}', '{"is_duplicate": false, "confidence": 0.2}'
+    data = [(1, 0, 1, "a", yes), (1, 0, 1, "b", no), (1, 0, 2, "a", "hm"), (1, 0, 2, "b", no), (1, 0, 3, "c", yes), (1, 0, 4, "a", None)]
+    got = {r.j: r for r in review.reviewed(pairs, rows(data, "trip_id int, i long, j long, provider string, reply string"), ["a", "b"]).collect()}
+    assert [(got[k].is_duplicate, got[k].confidence, got[k].provider, got[k].fell_back) for k in range(1, 6)] == [(True, 1.0, "a", False), (False, 0.2, "b", False), (False, 0.0, None, True), (True, 0.92, None, True), (False, 0.0, None, True)]
+
+
+def test_routes_fall_back(rows):
+    df = rows([(1, i, [float(i % 2), 1.0], 0, 0) for i in range(4)], "trip_id int, seq long, v array<double>, phash long, dhash long")
+    assert dedup.routed_evidence(df, vectors=False)[0] == "hash"
+    mode, evidence = dedup.routed_evidence(df, dense=lambda r: r)
+    assert mode == "dense" and {r.source for r in evidence.collect()} == {"hash", "dense"}
+    mode, evidence = dedup.routed_evidence(df, dense=lambda r: r.withColumn("v", F.raise_error(F.lit("no")).cast("array<double>")))
+    assert mode == "tiered" and {r.source for r in evidence.collect()} == {"hash", "tiered"}
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark):
+    from winnow.sources import shared
+
+    class Conf:
+        get = staticmethod(lambda name, other=None: other)
+
+    class Cluster:
+        conf, sparkContext = Conf, type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared.shared_dir(Cluster)
+    kept = shared.written(spark.range(3).toDF("x"), "kept")
+    scratch = shared.Scratch()
+    gone = scratch.written(spark.range(3).toDF("x"), "gone")
+    scratch.drop()
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        spark.read.parquet(gone._winnow_path).count()

@@ -88,3 +88,8 @@ def upload_plan(size: Column) -> Column:
         F.when(many, part_size(size)).alias("part_size"),
         F.when(many, F.ceil(size / part_size(size))).cast("long").alias("parts"),
     )
+
+
+def kind_by_prefix(mime: Column) -> Column:
+    """image or video by the first part of a MIME type, else other."""
+    return F.when(mime.startswith("image/"), "image").when(mime.startswith("video/"), "video").otherwise("other")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MEASURES = (
-    "sharpness double, centre_sharpness double, blur_sharpness double, brightness double, contrast double, cast_r double, cast_g double, cast_b double, noise double, "
+    "sharpness double, centre_sharpness double, plain_sharpness double, plain_centre_sharpness double, blur_sharpness double, brightness double, contrast double, cast_r double, cast_g double, cast_b double, noise double, "
     "exposure_mean double, exposure_stddev double, phash string, dhash string, legacy_phash string"
 )
 
@@ -90,6 +90,8 @@ def measure(width: int, height: int, count: int, data: bytes) -> dict | None:
     return {
         "sharpness": sharpness(g),
         "centre_sharpness": sharpness(centre(g)),
+        "plain_sharpness": sharpness(g, False),
+        "plain_centre_sharpness": sharpness(centre(g), False),
         "blur_sharpness": float(min(laplacian(equalised(g)).var(), laplacian(g).var())),
         "brightness": float(means.mean()),
         "contrast": float(rgb.std(axis=(0, 1)).mean()),

@@ -120,3 +120,12 @@ def fit_inside(width: Column, height: Column, box: int) -> Column:
     """Size of an image scaled to fit a square box, never enlarged."""
     scale = F.least(box / width, box / height, F.lit(1.0))
     return F.struct(F.greatest(F.lit(1), F.round(width * scale)).cast("int").alias("width"), F.greatest(F.lit(1), F.round(height * scale)).cast("int").alias("height"))
+
+
+def frame_exposure(mean: Column, stddev: Column) -> Column:
+    """mean, stddev and exposure of a frame, rounded to two places; of one that can't be read 128, 0 and 50."""
+    return F.struct(
+        F.coalesce(F.round(F.round(mean, 9), 2), F.lit(128.0)).alias("mean"),
+        F.coalesce(F.round(F.round(stddev, 9), 2), F.lit(0.0)).alias("stddev"),
+        F.when(mean.isNull(), 50.0).otherwise(F.round(exposure_score(mean, stddev), 2)).alias("exposure"),
+    )

@@ -73,4 +73,30 @@ def pair_verdict(reply: Column) -> Column:
     """A reviewer's verdict, with confidence from 0 to 1; null unless both fields have their types."""
     v = F.from_json(embedded_json(reply), "is_duplicate boolean, confidence double")
     sound = v["is_duplicate"].isNotNull() & v["confidence"].isNotNull()
-    return F.when(sound, F.struct(v["is_duplicate"].alias("is_duplicate"), F.least(F.greatest(v["confidence"], F.lit(0.0)), F.lit(1.0)).alias("confidence")))
+    return F.when(sound, F.struct(v["is_duplicate"].alias("is_duplicate"), clamped(v["confidence"]).alias("confidence")))
+
+
+def clamped(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
+    """x, or the nearer end of a range that it is out of."""
+    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+
+
+def joined_errors(errors: Column) -> Column:
+    """Messages in one line; null if there is none."""
+    return F.nullif(F.array_join(F.filter(errors, lambda e: e.isNotNull() & (e != "")), "; "), F.lit(""))
+
+
+def shell_quoted(path: Column) -> Column:
+    """A path between single quotes, as lists of files to be put together have it."""
+    return F.concat(F.lit("'"), F.replace(path, F.lit("'"), F.lit("'\\''")), F.lit("'"))
+
+
+def last_json_line(output: Column) -> Column:
+    """The last line of a process's output that is JSON; null if there is none."""
+    lines = F.transform(F.split(output, "\n"), F.trim)
+    return F.get(F.reverse(F.filter(lines, lambda x: x.startswith("{") & F.try_parse_json(x).isNotNull())), F.lit(0))
+
+
+def manifest_lines(content: Column) -> Column:
+    """The paths of a list of files, one a line, trimmed; blank lines are left out."""
+    return F.filter(F.transform(F.split(content, "\n"), F.trim), lambda x: x != "")

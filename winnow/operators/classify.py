@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from winnow.functions import vectors
+
 # Label names of each family, lower case.
 FAMILIES = {
     "people": "person human face people man woman child boy girl".split(),
@@ -20,6 +22,19 @@ def by_scores(people: Column, animal: Column, landscape: Column, other: Column)
     return F.when((people >= 0.30) & (people >= animal - 0.03), "people").when((animal >= 0.38) & (animal - people >= 0.05), "animal").when(landscape >= 0.35, "landscape").otherwise(highest)
 
 
+def class_scores(similarities: Column, prompts: list[int]) -> Column:
+    """Scores of classes by likeness to their prompts, which follow each other, so many
+    for each class: the highest in a class, and softmax over classes."""
+    starts = [sum(prompts[:i]) + 1 for i in range(len(prompts))]
+    return vectors.softmax(F.array(*[F.array_max(F.slice(similarities, a, n)) for a, n in zip(starts, prompts, strict=True)]))
+
+
+def families(labels: DataFrame, key: str) -> DataFrame:
+    """Highest confidence and number of labels of each key and family; other labels are left out."""
+    f = labels.withColumn("family", family(F.col("label"))).where("family is not null")
+    return f.groupBy(key, "family").agg(F.max("confidence").alias("top"), F.count("*").alias("n"))
+
+
 def family(label: Column) -> Column:
     out = F.lit(None).cast("string")
     for name, labels in FAMILIES.items():

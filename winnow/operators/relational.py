@@ -117,3 +117,59 @@ def in_order(ids: DataFrame, rows: DataFrame, key: str, missing: dict) -> DataFr
     """Rows of a list of ids (pos, key) in its order; what isn't there takes the values of `missing`."""
     out = ids.join(rows, key, "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in missing.items()}).orderBy("pos")
+
+
+def trip_object(trips: DataFrame) -> DataFrame:
+    """Trips as clients see them: a missing description is empty."""
+    return trips.withColumn("description", F.coalesce("description", F.lit("")))
+
+
+def group_object(groups: DataFrame) -> DataFrame:
+    """Duplicate groups as clients see them: a missing default image is empty."""
+    return groups.withColumn("default_image_id", F.coalesce("default_image_id", F.lit("")))
+
+
+def event_object(events: DataFrame) -> DataFrame:
+    """Job events as clients see them: info unless they say otherwise, and without a step an empty one."""
+    return events.withColumns({"level": text.default(F.col("level"), "info"), "step": F.coalesce("step", F.lit(""))})
+
+
+def cover_urls(trips: DataFrame, media: DataFrame) -> DataFrame:
+    """Trips with the address of their cover, empty if they have none."""
+    c = covers(media)
+    return trips.join(c, trips.id == c.trip_id, "left").withColumn("cover_url", F.coalesce(text.thumbnail_url(F.col("cover_id")), F.lit("")))
+
+
+def members(groups: DataFrame, media: DataFrame) -> DataFrame:
+    """Media of duplicate groups, with group_id and whether they are its default image."""
+    g = groups.select(F.col("id").alias("group_id"), F.col("trip_id").alias("group_trip"), "default_image_id")
+    out = media.join(g, (media.duplicate_group_id == g.group_id) & (media.trip_id == g.group_trip))
+    return out.withColumn("is_default", F.coalesce(F.col("id") == F.col("default_image_id"), F.lit(False))).drop("group_trip", "default_image_id")
+
+
+def classified(media: DataFrame, answers: DataFrame) -> DataFrame:
+    """Media (id) with category and source, by a local model's answers (media_id, local), which may lack some."""
+    out = media.join(answers, media.id == answers.media_id, "left")
+    return out.select("id", F.coalesce("local", F.lit("other")).alias("category"), F.when(F.col("local").isNull(), "fallback").otherwise("local").alias("source"))
+
+
+def indexed(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Rows with seq, from 0 for each key, in order."""
+    return rows.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
+
+
+def batched(rows: DataFrame, size: int) -> DataFrame:
+    """Rows with seq, with the number of the batch of `size` that they are in."""
+    return rows.withColumn("batch", F.floor(F.col("seq") / size))
+
+
+def viewers(requests: DataFrame, users: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Requests (event_id, viewer_id) with the role of their viewer; nobody known is anonymous."""
+    u = users.select(F.col("id").alias("viewer_id"), "role")
+    return requests.join(u, "viewer_id", "left").select("event_id", "viewer_id", F.coalesce("role", F.lit("anonymous")).alias("viewer"), *(keep or []))
+
+
+def guarded(needs: Column) -> Column:
+    """The status of a request by a viewer: who is needed is anonymous (anyone), regular (anyone known) or admin."""
+    unknown = (needs != "anonymous") & (F.col("viewer") == "anonymous")
+    return F.when(unknown, 401).when((needs == "admin") & (F.col("viewer") != "admin"), 403).otherwise(200)

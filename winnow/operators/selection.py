@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from winnow.functions import text
+
 _FIELDS = ("seq", "sharpness", "pixels", "file_size", "blur_status")
 
 
@@ -58,12 +60,17 @@ def keep_by_pairs(rows: DataFrame, group: str = "label", apart: float = 10.0) ->
     return _members(rows, group).select(group, _fold(F.col("m"), better)["seq"].alias("keep"))
 
 
+def flagged(images: DataFrame, removed: DataFrame) -> DataFrame:
+    """Images with `gone`, whether they are among those removed."""
+    gone = removed.select("seq", F.lit(True).alias("gone")).distinct()
+    return images.join(gone, "seq", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+
+
 def reduced(images: DataFrame, removed: DataFrame) -> DataFrame:
     """One decision for each image: trashed for blur, else as a duplicate, else active; what is missing takes its default."""
-    gone = removed.select("seq", F.lit(True).alias("gone")).distinct()
     blurry = F.coalesce(F.col("blur_status") == "blurry", F.lit(False))
     reason = F.when(blurry, "blur").when(F.col("gone"), "duplicate")
-    return images.join(gone, "seq", "left").select(
+    return flagged(images, removed).select(
         "seq",
         F.coalesce("blur_status", F.lit("suspect")).alias("final_blur_status"),
         F.coalesce("category", F.lit("other")).alias("final_category"),
@@ -71,3 +78,27 @@ def reduced(images: DataFrame, removed: DataFrame) -> DataFrame:
         F.when(reason.isNull(), "active").otherwise("trashed").alias("final_status"),
         F.coalesce(reason, F.lit("")).alias("trashed_reason"),
     )
+
+
+def best_among_active(rows: DataFrame, score: str, group: str = "label") -> DataFrame:
+    """seq kept of each group: its one active member, whatever the scores; else, of active
+    members if there are any and of all if not, the best by score, pixels, file and order."""
+    alive = F.col("status") == "active"
+    counted = rows.withColumn("_active", F.count_if(alive).over(Window.partitionBy(group)))
+    pool = counted.where((F.col("_active") == 0) | alive).withColumn(score, F.coalesce(score, F.lit(0.0)))
+    return keep_by_rank(pool.drop("_active"), score, group)
+
+
+def written_best(rows: DataFrame, kept: DataFrame, group: str = "label") -> DataFrame:
+    """rows of groups after the choice (group, keep): the others are trashed as duplicates; those
+    that were trashed before have that added to their reasons."""
+    out = rows.join(kept, group, "left")
+    lost = F.coalesce(F.col("keep") != F.col("seq"), F.lit(False))
+    reason = F.when(F.col("status") == "trashed", text.append_reason(F.col("trashed_reason"), "duplicate")).otherwise("duplicate")
+    return out.withColumns({"trashed_reason": F.when(lost, reason).otherwise(F.col("trashed_reason")), "status": F.when(lost, "trashed").otherwise(F.col("status"))}).drop("keep")
+
+
+def best_listed(lists: DataFrame, scores: DataFrame) -> DataFrame:
+    """The best of each list (list, pos, id) by score (id, score); one that has none counts as 0, and the first of equal ones wins."""
+    s = lists.join(scores, "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return s.groupBy("list").agg(F.max_by("id", F.struct("score", -F.col("pos"))).alias("best"), F.max("score").alias("score"))

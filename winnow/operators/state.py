@@ -136,3 +136,46 @@ def owned(rows: DataFrame, admin_id, column: str = "user_id") -> DataFrame:
 def trashed_reason(rows: DataFrame, where: Column) -> DataFrame:
     """Rows of the older detector: status trashed, and `duplicate` added to the reasons."""
     return update(rows, where, {"trashed_reason": text.append_reason(F.col("trashed_reason"), "duplicate"), "status": F.lit("trashed")})
+
+
+def active(jobs: DataFrame) -> DataFrame:
+    return jobs.where(F.col("status").isin(*ACTIVE_JOB))
+
+
+def latest_active(jobs: DataFrame, order: str) -> DataFrame:
+    """trip_id and id of each trip's active job that was created last."""
+    return active(jobs).groupBy("trip_id").agg(F.max_by("id", order).alias("id"))
+
+
+def inserted(rows: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """rows with new ones whose key they don't have yet; what new ones lack is null."""
+    return rows.unionByName(new.join(rows.select(key), key, "left_anti"), allowMissingColumns=True)
+
+
+def hard_deleted(media: DataFrame, tags: DataFrame, groups: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """media, tags and groups after media (id) are deleted: their tags go, and they are no group's default image."""
+    ids = gone.select("id").distinct()
+    default = ids.select(F.col("id").alias("default_image_id"), F.lit(True).alias("gone"))
+    left = groups.join(default, "default_image_id", "left").withColumn("default_image_id", F.when(F.col("gone").isNull(), F.col("default_image_id"))).drop("gone")
+    return media.join(ids, "id", "left_anti"), tags.join(ids.withColumnRenamed("id", "media_id"), "media_id", "left_anti"), left
+
+
+def expired_uploads(sessions: DataFrame, media: DataFrame, as_of: Column, hours: int) -> tuple[DataFrame, DataFrame]:
+    """sessions (id, media_id, status, updated_at) and media (id, processing_status) after a sweep:
+    active sessions not updated for so long expire, and their media with them."""
+    out = update(sessions, (F.col("status") == "active") & stale(F.col("updated_at"), as_of, hours), {"status": F.lit("expired")})
+    late = out.where("changed").select(F.col("media_id").alias("id"), F.lit(True).alias("late")).distinct()
+    swept = media.join(late, "id", "left").withColumn("processing_status", F.when(F.col("late"), "expired").otherwise(F.col("processing_status"))).drop("late")
+    return out, swept
+
+
+def set_values(rows: DataFrame, where: Column, column: str, value: str, allowed: tuple[str, ...]) -> DataFrame:
+    """rows after a column is set where a condition holds; a value that isn't allowed changes nothing."""
+    return update(rows, where & F.lit(value in allowed), {column: F.lit(value)})
+
+
+def appended(log: DataFrame, new: DataFrame) -> DataFrame:
+    """Events (job_id, seq, …) with new ones (job_id, place, …) numbered on from each job's last."""
+    last = log.groupBy("job_id").agg(F.max("seq").alias("last"))
+    more = new.join(last, "job_id", "left").withColumn("seq", F.coalesce("last", F.lit(0)) + F.col("place")).drop("last", "place")
+    return log.unionByName(more)

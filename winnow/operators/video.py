@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,16 +25,21 @@ def parse_cuts(logs: DataFrame) -> DataFrame:
     return lines.select("media_id", t.alias("t"), F.coalesce(score, F.lit(0.0)).alias("score")).where("t is not null")
 
 
+def cut_points(videos: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Where segments may begin or end (media_id, pos from 0, t): cuts, and the video's own ends, each once, in order."""
+    points = videos.select("media_id", F.explode(F.array(F.lit(0.0), F.col("duration"))).alias("t")).union(cuts.select("media_id", "t")).distinct()
+    return points.withColumn("pos", F.row_number().over(Window.partitionBy("media_id").orderBy("t")) - 1)
+
+
 def boundaries(videos: DataFrame, cuts: DataFrame, t: VideoThresholds = VideoThresholds()) -> DataFrame:
     """Segments (media_id, start, end) of videos (media_id, duration).
 
     Between cuts, ends drawn in by a margin but for the video's own; without cuts,
     in steps of equal length, the last cut short. Empty segments are left out.
     """
-    points = videos.select("media_id", F.explode(F.array(F.lit(0.0), F.col("duration"))).alias("t")).union(cuts.select("media_id", "t")).distinct()
     w = Window.partitionBy("media_id").orderBy("t")
-    between = points.select("media_id", F.col("t").alias("a"), F.lead("t").over(w).alias("b"), F.row_number().over(w).alias("rn"), F.lead("t", 2).over(w).isNull().alias("last")).where("b is not null")
-    start = F.when(F.col("rn") == 1, F.col("a")).otherwise(F.least(F.col("a") + t.cut_margin, F.col("b")))
+    between = cut_points(videos, cuts).select("media_id", F.col("t").alias("a"), F.lead("t").over(w).alias("b"), "pos", F.lead("t", 2).over(w).isNull().alias("last")).where("b is not null")
+    start = F.when(F.col("pos") == 0, F.col("a")).otherwise(F.least(F.col("a") + t.cut_margin, F.col("b")))
     between = between.withColumn("start", start)
     end = F.when(F.col("last"), F.col("b")).otherwise(F.greatest(F.col("b") - t.cut_margin, F.col("start")))
     cut = cuts.select("media_id").distinct()
@@ -58,53 +67,98 @@ def candidates(segments: DataFrame, t: VideoThresholds = VideoThresholds(), excl
     return out.where(~F.col("segment_index").isin(*excluded)) if excluded else out
 
 
-def choose(pool: pd.DataFrame, target: float | None, t: VideoThresholds) -> list[int]:
-    """Positions in pool (start, end, duration, overall) of what a summary of one video takes.
+def choose(start: list[float], end: list[float], overall: list[float], target: float | None, t: VideoThresholds) -> list[int]:
+    """Positions of what a summary of one video takes, of segments in order of start.
 
     The best come first; a segment that would exceed the target by over a tenth is
     passed over, and one that was taken draws in neighbours in time of like score.
     """
+    n = len(start)
     if target is None:
-        return list(range(len(pool)))
-    order = pool.sort_values("overall", ascending=False, kind="stable").index.tolist()
-    start, end, length, score = (pool[c].tolist() for c in ("start", "end", "duration", "overall"))
-    limit, taken, total = target * t.over_target, [], 0.0
-
-    def near(i: int, j: int) -> bool:
-        gap = min(abs(start[j] - end[i]), abs(start[i] - end[j]))
-        top = max(score[i], score[j])
-        return gap <= t.adjacency_gap and (top <= 0 or abs(score[i] - score[j]) / top <= t.score_proximity)
-
-    for i in order:
-        if total >= target:
-            break
-        if i in taken or (taken and total + length[i] > limit):
+        return list(range(n))
+    best = sorted(range(n), key=lambda i: -overall[i])  # stable: the earlier of equal ones
+    rank = {i: k for k, i in enumerate(best)}
+    by_end = sorted(range(n), key=lambda i: end[i])
+    ends = [end[i] for i in by_end]
+    room, used, taken = target * t.over_target, 0.0, set()
+
+    def neighbours(i: int) -> list[int]:
+        """Segments that end near i's start or start near its end, and score like it, the best first."""
+        after = range(bisect_left(start, end[i] - t.adjacency_gap), bisect_right(start, end[i] + t.adjacency_gap))
+        before = by_end[bisect_left(ends, start[i] - t.adjacency_gap) : bisect_right(ends, start[i] + t.adjacency_gap)]
+        top = {j: max(overall[i], overall[j]) for j in {*after, *before} - {i}}
+        return sorted((j for j in top if top[j] <= 0 or abs(overall[i] - overall[j]) / top[j] <= t.score_proximity), key=rank.__getitem__)
+
+    def offer(i: int, anyway: bool) -> bool:
+        nonlocal used
+        fits = i not in taken and used < target and (anyway or used + end[i] - start[i] <= room)
+        if fits:
+            taken.add(i)
+            used += end[i] - start[i]
+        return fits
+
+    for i in best:
+        if offer(i, anyway=not taken):
+            for j in neighbours(i):
+                offer(j, anyway=False)
+    return sorted(taken)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each key, of batches in which they follow each other."""
+    left = None
+    for batch in batches:
+        part = pa.Table.from_batches([batch])
+        left = part if left is None else pa.concat_tables([left, part])
+        if left.num_rows == 0:
             continue
-        taken.append(i)
-        total += length[i]
-        for j in order:
-            if total >= target:
-                break
-            if j not in taken and near(i, j) and total + length[j] <= limit:
-                taken.append(j)
-                total += length[j]
-    return taken
+        keys = left.column(key).combine_chunks()
+        cuts = [0, *(np.flatnonzero(np.array([a != b for a, b in zip(keys[1:].to_pylist(), keys[:-1].to_pylist(), strict=True)])) + 1).tolist()]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield left.slice(a, b - a)
+        left = left.slice(cuts[-1])
+    if left is not None and left.num_rows:
+        yield left
 
 
 def select_segments(segments: DataFrame, targets: DataFrame, t: VideoThresholds = VideoThresholds(), excluded: list[int] | None = None) -> DataFrame:
     """The segments of each video's summary: media_id, segment_index. targets: media_id, target (null: all).
 
-    A video's candidates meet in one task: they are as many as its segments.
+    A video's candidates meet in one task, many videos in each: they are as many as its segments.
     """
-    pool = candidates(segments, t, excluded).join(targets, "media_id").select("media_id", "segment_index", "start", "end", "duration", "overall", "target")
+    pool = candidates(segments, t, excluded).join(targets, "media_id").select("media_id", "segment_index", "start", "end", "overall", "target")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for video in _runs(batches, "media_id"):
+            start, end, overall = (video.column(c).to_pylist() for c in ("start", "end", "overall"))
+            taken = choose(start, end, overall, video.column("target")[0].as_py(), t)
+            yield from video.select(["media_id", "segment_index"]).take(pa.array(taken, pa.int64())).combine_chunks().to_batches()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", "segment_index"]).reset_index(drop=True)
-        target = pdf["target"].iloc[0]
-        return pdf.loc[choose(pdf, None if pd.isna(target) else float(target), t), ["media_id", "segment_index"]]
+    ordered = pool.repartition("media_id").sortWithinPartitions("media_id", "start", "segment_index")
+    return ordered.mapInArrow(run, pool.select("media_id", "segment_index").schema)
 
-    kind = pool.schema["media_id"].dataType.simpleString()
-    return pool.groupBy("media_id").applyInPandas(run, f"media_id {kind}, segment_index int")
+
+def adjacent(segments: DataFrame, t: VideoThresholds = VideoThresholds()) -> DataFrame:
+    """Pairs (media_id, i, j, i < j) of segments that are near in time and of like score.
+
+    One of a pair ends within the gap of where the other starts: segments are dealt
+    by start and by end to steps as long as the gap, so that only those of the same
+    or the next step meet, however long a video is.
+    """
+    step = lambda c: F.floor(F.col(c) / t.adjacency_gap)
+    ends = segments.select("media_id", F.col("segment_index").alias("a"), F.col("end"), F.col("overall").alias("of_a"), F.explode(F.array(step("end") - 1, step("end"), step("end") + 1)).alias("step"))
+    starts = segments.select("media_id", F.col("segment_index").alias("b"), F.col("start"), F.col("overall").alias("of_b"), step("start").alias("step"))
+    met = ends.join(starts, ["media_id", "step"]).where((F.col("a") != F.col("b")) & (F.abs(F.col("start") - F.col("end")) <= t.adjacency_gap))
+    top = F.greatest("of_a", "of_b")
+    met = met.where((top <= 0) | (F.abs(F.col("of_a") - F.col("of_b")) / top <= t.score_proximity))
+    return met.select("media_id", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).distinct()
+
+
+def processed(segments: DataFrame, targets: DataFrame, t: VideoThresholds = VideoThresholds()) -> DataFrame:
+    """Videos in one go, from scored segments: each one's segments, how many are kept, seconds of these and the plan."""
+    chosen = select_segments(segments, targets, t)
+    kept = segments.join(chosen, ["media_id", "segment_index"], "left_semi").groupBy("media_id").agg(F.sum(F.col("end") - F.col("start")).alias("seconds"))
+    return edit_plans(segments, chosen, targets).join(kept, "media_id", "left").withColumn("seconds", F.coalesce("seconds", F.lit(0.0)))
 
 
 def edit_plans(segments: DataFrame, selected: DataFrame, targets: DataFrame) -> DataFrame:
@@ -143,3 +197,15 @@ def requested(order: DataFrame, segments: DataFrame) -> DataFrame:
     """Segments in the order they are asked for (media_id, pos, segment_index), with whether they are there."""
     own = segments.select("media_id", "segment_index", "start", "end", F.lit(True).alias("there"))
     return order.join(own, ["media_id", "segment_index"], "left").withColumn("there", F.coalesce("there", F.lit(False)))
+
+
+def with_choice(segments: DataFrame, choice: DataFrame) -> DataFrame:
+    """Segments (media_id, segment_index, selected) after a choice (the same columns) for some of them."""
+    new = choice.select("media_id", "segment_index", F.col("selected").alias("chosen"))
+    return segments.join(new, ["media_id", "segment_index"], "left").withColumn("selected", F.coalesce("chosen", "selected")).drop("chosen")
+
+
+def probed(videos: DataFrame) -> DataFrame:
+    """Videos with what a probe found of duration, width, height and codec; where it found nothing, 0 and `unknown`."""
+    zero = {"duration": F.lit(0.0), "width": F.lit(0), "height": F.lit(0), "codec": F.lit("unknown")}
+    return videos.withColumns({c: F.coalesce(c, v) for c, v in zero.items()})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from winnow.plans import queries_dedup, queries_media, queries_relational, queries_state, queries_video  # noqa: F401
+from winnow.plans import queries_dedup, queries_files, queries_images, queries_media, queries_relational, queries_review, queries_rows, queries_state, queries_video  # noqa: F401
 from winnow.plans.registry import ORACLES, QUERIES, Query
 
 FLAGSHIP = "s2_dedup_assessment"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -12,6 +13,8 @@ from winnow.config import DedupThresholds
 from winnow.operators import graph, selection, similarity
 from winnow.sources.shared import written
 
+log = logging.getLogger(__name__)
+
 
 @dataclass
 class Assessment:
@@ -58,6 +61,23 @@ def pair_evidence(rows: DataFrame, t: DedupThresholds = DedupThresholds(), mode:
     return out
 
 
+def routed_evidence(rows: DataFrame, t: DedupThresholds = DedupThresholds(), vectors: bool = True, dense: Callable[[DataFrame], DataFrame] | None = None, reviewer=None) -> tuple[str, DataFrame]:
+    """The mode that was taken, and its evidence: hashes alone where there are no
+    vectors; else by dense vectors, if a model gives them for rows; and if it doesn't,
+    or fails, in tiers.
+
+    The dense layer is computed here and now, as a failure shows only then.
+    """
+    if not vectors:
+        return "hash", pair_evidence(rows, t, "hash")
+    if dense is not None:
+        try:
+            return "dense", written(pair_evidence(dense(rows), t, "dense"), "dense")
+        except Exception as e:  # whatever the model's failure is
+            log.warning("dense vectors failed, falling back to tiers: %s", e)
+    return "tiered", pair_evidence(rows, t, "tiered", reviewer)
+
+
 def assess(rows: DataFrame, t: DedupThresholds = DedupThresholds(), mode: str = "tiered", reviewer=None) -> Assessment:
     """Assesses rows (trip_id, seq, v, sharpness, blur_status, width, height, file_size); seq is unique over all trips."""
     evidence = written(pair_evidence(rows, t, mode, reviewer), "evidence")

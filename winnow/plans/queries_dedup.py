@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from winnow.config import DedupThresholds
 from winnow.functions import hashing
 from winnow.operators import graph, selection, similarity
+from winnow.operators.relational import CATEGORIES
 from winnow.plans import curation, dedup
 from winnow.plans.prelude import sql
 from winnow.plans.registry import query
@@ -203,8 +204,16 @@ def reduced_decisions(spark, d):
     return selection.reduced(images, images.where("seq % 10 = 3").select("seq"))
 
 
-@query("s1_curation_summary")
+_GATED = "gdist as (select d.* from dist d join curated a on a.seq = d.i join curated b on b.seq = d.j where a.blur_status is distinct from 'blurry' and b.blur_status is distinct from 'blurry')"
+_SUMMED = f"""gone as (select g.seq from g join keepers k on k.label = g.label where k.keep <> g.seq),
+im as (select *, case seq % 6 when 0 then null when 1 then 'people' when 2 then 'animal' when 3 then 'landscape' else 'other' end as category from curated),
+dec as (select trip_id, seq, coalesce(category, 'other') as c, case when blur_status is not distinct from 'blurry' then 'blur' when seq in (select seq from gone) then 'duplicate' end as reason from im)
+select trip_id, count(*) as total, count(*) filter (where reason is null) as active, count(*) filter (where reason = 'blur') as blurred, count(*) filter (where reason = 'duplicate') as duplicates,
+{', '.join(f"count(*) filter (where reason is null and c = '{c}') as {c}" for c in CATEGORIES)} from dec group by trip_id"""
+
+
+@query("s1_curation_summary", sql("vecs dist curated", f"with recursive {_GATED}, " + f"{_TIERS}, {_EVIDENCE}, {_ASSESS}".removeprefix("with ").replace("from dist", "from gdist").replace("select dist.*", "select gdist.*") + f", {_SUMMED}"))
 def curation_summary(spark, d):
-    """The whole pipeline; its parts have their SQL above."""
+    """The whole pipeline of a trip."""
     images = src.curated(spark, d).withColumn("category", F.expr("case seq % 6 when 0 then null when 1 then 'people' when 2 then 'animal' when 3 then 'landscape' else 'other' end"))
     return curation.summary(curation.curate(images, _tiers()))

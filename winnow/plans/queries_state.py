@@ -21,10 +21,11 @@ def event_sequence(spark, d):
     return state.sequenced(src.job_events(spark, d)).select("id", "job_id", "seq")
 
 
-@query("f3_step_progress", sql("jobev", f"with {_SEQ} select job_id, seq, round(100 * (seq - 1) / 12.0)::int as begin_percent, round(100 * seq / 12.0)::int as end_percent from q where seq <= 12"))
+@query("f3_step_progress", sql("jobev", f"with {_SEQ} select job_id, seq, round(100 * ((seq - 1) % 12) / 12.0)::int as begin_percent, round(100 * ((seq - 1) % 12 + 1) / 12.0)::int as end_percent from q"))
 def step_progress(spark, d):
-    e = state.sequenced(src.job_events(spark, d)).where("seq <= 12")
-    return e.select("job_id", "seq", state.percent(F.col("seq"), 12, False).alias("begin_percent"), state.percent(F.col("seq"), 12, True).alias("end_percent"))
+    """Events as the steps of runs of twelve."""
+    step = (F.col("seq") - 1) % 12 + 1
+    return state.sequenced(src.job_events(spark, d)).select("job_id", "seq", state.percent(step, 12, False).alias("begin_percent"), state.percent(step, 12, True).alias("end_percent"))
 
 
 @query("c12_events_tail", sql("jobev", f"with {_SEQ} select job_id, seq, level from q where seq > 60"))
@@ -205,3 +206,111 @@ def analysis_errors(spark, d):
     """A result has failed if either of two messages is not empty; its message is the first that is not null."""
     a, b = F.col("category"), F.col("blur_status")
     return src.media(spark, d).select("id", ((F.coalesce(a, F.lit("")) != "") | (F.coalesce(b, F.lit("")) != "")).alias("failed"), F.coalesce(a, b, F.lit("")).alias("message"))
+
+
+@query("o1_inserted_tags", sql("tags", """with t as (select media_id || ':' || tag_name as id, media_id, tag_name from tags where media_id % 3 <> 0 group by all), n as (select media_id || ':' || tag_name as id, media_id, tag_name from tags where media_id % 2 = 0 group by all)
+select id, media_id, tag_name from t union all select id, media_id, tag_name from n where id not in (select id from t)"""))
+def inserted_tags(spark, d):
+    """New rows go in unless their id is there."""
+    t = src.tags(spark, d).distinct().select(F.concat_ws(":", "media_id", "tag_name").alias("id"), "media_id", "tag_name")
+    return state.inserted(t.where("media_id % 3 <> 0"), t.where("media_id % 2 = 0"), "id")
+
+
+@query("o6_hard_deleted", sql("media grps", """with gone as (select id from media where width % 500 = 0), left_ as (select 'media' as kind, id from media where id not in (select id from gone)
+union all select 'default', id from grps where default_image_id is not null and default_image_id not in (select id from gone)) select kind, id, count(*) as n from left_ group by all"""))
+def hard_deleted(spark, d):
+    """What is left of media and of groups with a default image."""
+    m, g = src.media(spark, d), src.groups(spark, d)
+    tags = m.select(F.col("id").alias("media_id"), F.lit("x").alias("tag_name"))
+    media, _, groups = state.hard_deleted(m, tags, g, m.where("width % 500 = 0"))
+    left = media.select(F.lit("media").alias("kind"), "id").union(groups.where("default_image_id is not null").select(F.lit("default"), "id"))
+    return left.groupBy("kind", "id").agg(F.count("*").alias("n"))
+
+
+@query("o6_tags_of_deleted", sql("tags", "select media_id, tag_name, count(*) as n from tags where media_id % 4 <> 0 group by all"))
+def tags_of_deleted(spark, d):
+    tags, none = src.tags(spark, d), src.groups(spark, d).where("false")
+    docs = src.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"))
+    left = state.hard_deleted(docs, tags.withColumn("media_id", F.col("media_id").cast("string")), none, docs.where("cast(id as long) % 4 = 0"))[1]
+    return left.groupBy(F.col("media_id").cast("long").alias("media_id"), "tag_name").agg(F.count("*").alias("n"))
+
+
+_UPLOADS = "select id as media_id, 's' || id as id, case when width % 300 = 0 then 'completed' else 'active' end as status, created_at as updated_at, processing_status from media"
+_LATE = "status = 'active' and updated_at < timestamp '1999-06-01' - interval 72 hour"
+
+
+def _swept(spark, d):
+    m = src.media(spark, d)
+    sessions = m.selectExpr("concat('s', id) as id", "id as media_id", "case when width % 300 = 0 then 'completed' else 'active' end as status", "created_at as updated_at")
+    return state.expired_uploads(sessions, m.select("id", "processing_status"), F.lit("1999-06-01").cast("timestamp"), 72)
+
+
+@query("o11_expired_sessions", sql("media", f"select id, case when {_LATE} then 'expired' else status end as status from ({_UPLOADS})"))
+def expired_sessions(spark, d):
+    return _swept(spark, d)[0].select("id", "status")
+
+
+@query("o11_expired_media", sql("media", f"select media_id as id, case when {_LATE} then 'expired' else processing_status end as processing_status from ({_UPLOADS})"))
+def expired_media(spark, d):
+    return _swept(spark, d)[1].select("id", "processing_status")
+
+
+@query("o10_stale_cleanup", sql("trips", """select id, case when visibility = 'public' and created_at < timestamp '1998-01-01 12:00:00' - interval 1 hour then 'failed' when visibility = 'public' then 'queued' else 'completed' end as status from trips"""))
+def stale_cleanup(spark, d):
+    """Jobs that have been queued for an hour have failed."""
+    jobs = src.trips(spark, d).select("id", "created_at", F.when(F.col("visibility") == "public", "queued").otherwise("completed").alias("status"), F.lit(None).cast("string").alias("error_message"))
+    return state.failed_jobs(jobs, state.stale(F.col("created_at"), F.lit("1998-01-01 12:00:00").cast("timestamp"), 1), "stale").select("id", "status")
+
+
+@query("o15_set_categories", sql("media", "select id, case when width % 200 = 0 then 'animal' else category end as category, case when width % 300 = 0 then 'private' else visibility end as visibility from media"))
+def set_categories(spark, d):
+    """A category and a visibility are set; a category that is none changes nothing."""
+    m = src.media(spark, d)
+    categories = ("people", "animal", "landscape", "other")
+    m = state.set_values(m, F.col("width") % 200 == 0, "category", "animal", categories)
+    m = state.set_values(m, F.lit(True), "category", "nonsense", categories)
+    return state.set_values(m, F.col("width") % 300 == 0, "visibility", "private", ("public", "private")).select("id", "category", "visibility")
+
+
+@query("o18_applied_blur", sql("media", "select id, case when width % 200 = 0 then 'blurry' else blur_status end as blur_status from media"))
+def applied_blur(spark, d):
+    return state.update(src.media(spark, d), F.col("width") % 200 == 0, {"blur_status": F.lit("blurry")}).select("id", "blur_status")
+
+
+@query("s8_trashed_for_blur", sql("media", "select id, case when status = 'active' and blur_status = 'blurry' then 'trashed' else status end as status, case when status = 'active' and blur_status = 'blurry' then 'blur' else '' end as reason from media where media_type = 'image'"))
+def trashed_for_blur(spark, d):
+    m = src.media(spark, d).where("media_type = 'image'")
+    out = state.update(m, (F.col("status") == "active") & (F.col("blur_status") == "blurry"), {"status": F.lit("trashed")})
+    return out.select("id", "status", F.when(F.col("changed"), "blur").otherwise("").alias("reason"))
+
+
+@query("p1_appended_events", sql("jobev", "with q as (select *, row_number() over (partition by job_id order by created_at, id) as seq from jobev), o as (select * from q where seq <= 5), n as (select job_id, id, seq - 5 as place from q where seq > 5) select job_id, seq, id from o union all select n.job_id, 5 + place, id from n"))
+def appended_events(spark, d):
+    """A log of five events for each job, and what comes after."""
+    e = state.sequenced(src.job_events(spark, d)).select("job_id", "seq", "id")
+    return state.appended(e.where("seq <= 5"), e.where("seq > 5").select("job_id", (F.col("seq") - 5).alias("place"), "id"))
+
+
+@query("p3_cursor_tails", sql("jobev", "with q as (select *, row_number() over (partition by job_id order by created_at, id) as seq from jobev) select job_id, count(*) as n, min(seq) as least from q where seq > 10 group by job_id"))
+def cursor_tails(spark, d):
+    return progress.after(state.sequenced(src.job_events(spark, d)), 10).groupBy("job_id").agg(F.count("*").alias("n"), F.min("seq").alias("least"))
+
+
+@query("p4_statuses_by_poll", sql("jobev", "select job_id, arg_max(status, [epoch_us(created_at), id]) as status from jobev where created_at < timestamp '2024-01-15' group by job_id"))
+def statuses_by_poll(spark, d):
+    """What a poll at one time sees."""
+    e = src.job_events(spark, d).where(F.col("created_at") < F.lit("2024-01-15").cast("timestamp"))
+    return state.latest(e).select("job_id", "status")
+
+
+@query("p6_nine_step_progress", sql("jobev", "with q as (select *, row_number() over (partition by job_id order by created_at, id) as seq from jobev) select job_id, seq, round(100 * ((seq - 1) % 9) / 9.0)::int as begin_percent, round(100 * ((seq - 1) % 9 + 1) / 9.0)::int as end_percent from q"))
+def nine_step_progress(spark, d):
+    """Events as the steps of runs of nine."""
+    step = (F.col("seq") - 1) % 9 + 1
+    return state.sequenced(src.job_events(spark, d)).select("job_id", "seq", state.percent(step, 9, False).alias("begin_percent"), state.percent(step, 9, True).alias("end_percent"))
+
+
+@query("i9_kept_values", sql("media", "select id, coalesce(quality_score, width / 10000.0) as quality_score from media"))
+def kept_values(spark, d):
+    """An update that keeps what is there."""
+    return src.media(spark, d).select("id", F.coalesce("quality_score", F.col("width") / 10000).alias("quality_score"))

@@ -79,21 +79,22 @@ def reselected(spark, d):
     return video.select_segments(s, none, excluded=[1, 3])
 
 
-def _sample(spark, d):
-    return segments(spark, d).where("segment_index < 12").select("media_id", F.col("segment_index").alias("pos"), F.least("duration", F.lit(40.0)).alias("duration"))
+_CHOSEN = "p as (select media_id, segment_index as pos, duration from segs where {l} in ('good', 'slightly_shaky'))".format(l=_LABEL)
 
 
-_TAKEN = "p as (select media_id, segment_index as pos, least(duration, 40.0) as duration from segs1 where segment_index < 12)"
+def _chosen(spark, d):
+    """The segments that are chosen without any summary."""
+    return segments(spark, d).where("label in ('good', 'slightly_shaky')").select("media_id", F.col("segment_index").alias("pos"), "duration")
 
 
-@query("n8_fade_transitions", sql("segs1", f"with {_TAKEN} select media_id, pos, case when duration >= 10 then 'fade' else 'none' end as transition, coalesce(case when duration >= 10 then duration - 5 end, -1)::double as \"offset\" from p"))
+@query("n8_fade_transitions", sql("segs", f"with {_CHOSEN} select media_id, pos, case when duration >= 10 then 'fade' else 'none' end as transition, coalesce(case when duration >= 10 then duration - 5 end, -1)::double as \"offset\" from p"))
 def fade_transitions(spark, d):
-    return video.transitions(_sample(spark, d), "fade", 5.0).withColumn("offset", F.coalesce("offset", F.lit(-1.0)))
+    return video.transitions(_chosen(spark, d), "fade", 5.0).withColumn("offset", F.coalesce("offset", F.lit(-1.0)))
 
 
-@query("n8_crossfade_transitions", sql("segs1", f"with {_TAKEN}, q as (select *, lag(duration) over (partition by media_id order by pos) as b from p) select media_id, pos, case when b is null then 'start' when duration >= 10 and b >= 10 then 'crossfade' else 'concat' end as transition, coalesce(case when duration >= 10 and b >= 10 then b - 5 end, -1)::double as \"offset\" from q"))
+@query("n8_crossfade_transitions", sql("segs", f"with {_CHOSEN}, q as (select *, lag(duration) over (partition by media_id order by pos) as b from p) select media_id, pos, case when b is null then 'start' when duration >= 10 and b >= 10 then 'crossfade' else 'concat' end as transition, coalesce(case when duration >= 10 and b >= 10 then b - 5 end, -1)::double as \"offset\" from q"))
 def crossfade_transitions(spark, d):
-    return video.transitions(_sample(spark, d), "crossfade", 5.0).withColumn("offset", F.coalesce("offset", F.lit(-1.0)))
+    return video.transitions(_chosen(spark, d), "crossfade", 5.0).withColumn("offset", F.coalesce("offset", F.lit(-1.0)))
 
 
 def _whole(spark, d):
@@ -105,7 +106,7 @@ _ALL = "p as (select media_id, segment_index as pos, duration from segs1)"
 
 @query("n8_fade_transitions_whole", sql("segs1", f"with {_ALL} select media_id, pos, case when duration >= 10 then 'fade' else 'none' end as transition, coalesce(case when duration >= 10 then duration - 5 end, -1)::double as \"offset\" from p"))
 def fade_transitions_whole(spark, d):
-    """All segments at their real durations; n8_fade_transitions has the first twelve of each video."""
+    """All segments; n8_fade_transitions has those that are chosen."""
     return video.transitions(_whole(spark, d), "fade", 5.0).withColumn("offset", F.coalesce("offset", F.lit(-1.0)))
 
 
@@ -121,13 +122,14 @@ def requested_order(spark, d):
     return video.requested(order, s).select("media_id", "pos", "segment_index", "there")
 
 
-@query("n11_upserted_segments", sql("segs1", """with o as (select media_id, segment_index, 'old' || segment_index as id, segment_index % 2 = 0 as selected from segs1 where segment_index < 4), n as (select media_id, segment_index, 'new' || segment_index as id, true as selected from segs1 where segment_index < 6 and media_id % 2 = 0)
+@query("n11_upserted_segments", sql("segs1", """with o as (select media_id, segment_index, 'old' || segment_index as id, segment_index % 2 = 0 as selected from segs1 where segment_index % 5 <> 4), n as (select media_id, segment_index, 'new' || segment_index as id, true as selected from segs1 where segment_index % 3 <> 1 and media_id % 2 = 0)
 select n.media_id, n.segment_index, coalesce(o.id, n.id) as id, coalesce(o.selected, n.selected) as selected from n left join o using (media_id, segment_index) union all select media_id, segment_index, id, selected from o where media_id % 2 <> 0"""))
 def upserted_segments(spark, d):
+    """Two analyses of whole videos that found different segments, the second of even ones."""
     s = segments(spark, d).select("media_id", "segment_index")
     i = F.col("segment_index")
-    old = s.where("segment_index < 4").select("media_id", "segment_index", F.concat(F.lit("old"), i).alias("id"), (i % 2 == 0).alias("selected"))
-    new = s.where("segment_index < 6 and media_id % 2 = 0").select("media_id", "segment_index", F.concat(F.lit("new"), i).alias("id"), F.lit(True).alias("selected"))
+    old = s.where("segment_index % 5 <> 4").select("media_id", "segment_index", F.concat(F.lit("old"), i).alias("id"), (i % 2 == 0).alias("selected"))
+    new = s.where("segment_index % 3 <> 1 and media_id % 2 = 0").select("media_id", "segment_index", F.concat(F.lit("new"), i).alias("id"), F.lit(True).alias("selected"))
     return video.upserted(old, new).select("media_id", "segment_index", "id", "selected")
 
 
@@ -150,3 +152,66 @@ def count_windows(spark, d):
     e = src.table(spark, d, "events")
     rn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     return e.select("user_id", "event_id", F.floor((rn - 1) / 10).alias("win")).groupBy("user_id", "win").agg(F.count("*").alias("n"), F.min("event_id").alias("first")).where("n > 1")
+
+
+@query("d18_adjacent_segments", sql("segs", f"""with c as (select *, 0.4 * sharpness + 0.3 * stability + 0.3 * exposure as overall, {_LABEL} as label from segs)
+select a.media_id, a.segment_index as i, b.segment_index as j from c a join c b on a.media_id = b.media_id and a.segment_index < b.segment_index
+and least(abs(b.start - a.end_), abs(a.start - b.end_)) <= 2 and (greatest(a.overall, b.overall) <= 0 or abs(a.overall - b.overall) / greatest(a.overall, b.overall) <= 0.1)
+where a.label in ('good', 'slightly_shaky') and b.label in ('good', 'slightly_shaky') and a.duration >= 2 and b.duration >= 2"""))
+def adjacent_segments(spark, d):
+    return video.adjacent(video.candidates(segments(spark, d)))
+
+
+@query("b10_segment_details", sql("segs", f"select media_id, segment_index, start as start_time, end_ as end_time, duration, 0.4 * sharpness + 0.3 * stability + 0.3 * exposure as overall_score, {_LABEL} as label from segs"))
+def segment_details(spark, d):
+    return segments(spark, d).select("media_id", "segment_index", F.col("start").alias("start_time"), F.col("end").alias("end_time"), "duration", F.col("overall").alias("overall_score"), "label")
+
+
+@query("g6_segment_orders", sql("segs", """select media_id, segment_index, row_number() over (partition by media_id order by start) as by_start,
+row_number() over (partition by media_id order by 0.4 * sharpness + 0.3 * stability + 0.3 * exposure desc, segment_index) as by_score from segs"""))
+def segment_orders(spark, d):
+    w = Window.partitionBy("media_id")
+    return segments(spark, d).select("media_id", "segment_index", F.row_number().over(w.orderBy("start")).alias("by_start"), F.row_number().over(w.orderBy(F.desc("overall"), "segment_index")).alias("by_score"))
+
+
+@query("g10_cut_points", sql("points", "select media_id, row_number() over (partition by media_id order by t) - 1 as pos, t from points"))
+def cut_points(spark, d):
+    c = src.cuts(spark, d)
+    return video.cut_points(c.select("media_id", "duration").distinct(), c)
+
+
+@query("n12_selected_flags", sql("segs1", "select media_id, segment_index, case when segment_index % 3 = 0 then media_id % 2 = 0 else true end as selected from segs1"))
+def selected_flags(spark, d):
+    s = segments(spark, d).select("media_id", "segment_index", F.lit(True).alias("selected"))
+    choice = s.where("segment_index % 3 = 0").select("media_id", "segment_index", (F.col("media_id") % 2 == 0).alias("selected"))
+    return video.with_choice(s, choice)
+
+
+@query("n14_probed_videos", sql("cuts", "select distinct media_id, case when media_id % 4 = 0 then 0.0 else duration end as duration, case when media_id % 4 = 0 then 0 else 1920 end as width, case when media_id % 4 = 0 then 0 else 1080 end as height, case when media_id % 4 = 0 then 'unknown' else 'h264' end as codec from cuts"))
+def probed_videos(spark, d):
+    v = src.cuts(spark, d).select("media_id", "duration").distinct()
+    ok = F.col("media_id") % 4 != 0
+    return video.probed(v.select("media_id", *[F.when(ok, c).alias(n) for n, c in (("duration", F.col("duration")), ("width", F.lit(1920)), ("height", F.lit(1080)), ("codec", F.lit("h264")))]))
+
+
+@query("n15_videos_after_proxy")
+def videos_after_proxy(spark, d):
+    """From cuts to plans in one go, with summaries of their targets: the choice is greedy, as in n6."""
+    return video.processed(segments(spark, d), _targets(spark, d)).withColumn("seconds", F.round("seconds", 3))
+
+
+@query("n16_videos_kept_whole", sql("segs", f"""with l as (select *, {_LABEL} in ('good', 'slightly_shaky') and duration >= 2 as ok from segs)
+select media_id, count(*) as segments, count(*) filter (where ok) as selected, case when count(*) filter (where ok) = count(*) then 'keep' when count(*) filter (where ok) = 0 then 'error' else 'compile' end as plan,
+round(coalesce(sum(end_ - start) filter (where ok), 0.0), 3) as seconds from l group by media_id"""))
+def videos_kept_whole(spark, d):
+    """Videos that are processed without a target keep all candidates."""
+    s = segments(spark, d)
+    none = s.select("media_id").distinct().withColumn("target", F.lit(None).cast("double"))
+    return video.processed(s, none).select("media_id", "segments", "selected", "plan", F.round("seconds", 3).alias("seconds"))
+
+
+@query("f9_seconds_before", sql("segs", "select media_id, segment_index, round(coalesce(sum(duration) over (partition by media_id order by 0.4 * sharpness + 0.3 * stability + 0.3 * exposure desc, segment_index rows between unbounded preceding and 1 preceding), 0.0), 6) as before from segs"))
+def seconds_before(spark, d):
+    """The running total that the greedy choice starts from, best segments first."""
+    w = Window.partitionBy("media_id").orderBy(F.desc("overall"), "segment_index").rowsBetween(Window.unboundedPreceding, -1)
+    return segments(spark, d).select("media_id", "segment_index", F.round(F.coalesce(F.sum("duration").over(w), F.lit(0.0)), 6).alias("before"))

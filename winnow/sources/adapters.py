@@ -121,6 +121,15 @@ def curated(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pictures(spark: SparkSession, sf_dir: str, width: int, height: int, channels: int) -> DataFrame:
+    """Decoded images of one size, one for each vector, with bytes made of its number."""
+    n = width * height * channels
+    byte = "hex(cast((seq * 7 + i * 13 + (i * i) % 31 * (seq % 5 + 1)) % 256 as int))"
+    data = f"unhex(array_join(transform(sequence(0, {n - 1}), i -> lpad({byte}, 2, '0')), ''))"
+    e = table(spark, sf_dir, "embeddings").selectExpr("label as trip_id", "vec_id as seq")
+    return e.selectExpr("trip_id", "seq", f"{width} as width", f"{height} as height", f"{channels} as channels", f"{data} as data")
+
+
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log of jobs, a job for each user of events."""
     return table(spark, sf_dir, "events").selectExpr(

@@ -88,3 +88,41 @@ def serve_path(media: DataFrame) -> DataFrame:
 def number_events(events: DataFrame, key: str = "job_id") -> DataFrame:
     """events with seq, from 1 for each job, in order of time and id."""
     return events.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy("created_at", "id")).cast("long"))
+
+
+def located(media: DataFrame, kind: str, bucket: str = "") -> DataFrame:
+    """media with the URI of their file in a store of a kind."""
+    prefix = store_uri(kind, bucket)
+    return media.withColumn("uri", F.concat(F.lit(prefix), F.ltrim(text.store_path(F.col("file_path")), F.lit("/"))))
+
+
+def ingested(uploads: DataFrame, trip_id: str) -> DataFrame:
+    """Rows of media for uploads (id, name, mime, content) of a supported kind: path, kind, size, digest and state."""
+    ok = uploads.where(media_types.supported(F.col("mime"), F.col("name")))
+    kind = media_types.classified(F.col("content"), F.col("name"))
+    path = F.concat(F.lit(trip_id + "/originals/"), F.col("id").cast("string"), media_types.file_extension(F.col("name"), F.col("mime")))
+    return ok.select("id", path.alias("file_path"), kind["kind"].alias("media_type"), F.octet_length("content").cast("long").alias("file_size"), F.md5("content").alias("md5"), F.lit("active").alias("status"), F.lit("none").alias("processing_status"))
+
+
+def read_once(reads: DataFrame, order: list[str]) -> DataFrame:
+    """Reads (run, path, …) with `source`: the first of a path in a run downloads it, the others find it cached."""
+    rn = F.row_number().over(Window.partitionBy("run", "path").orderBy(*order))
+    return reads.withColumn("source", F.when(rn == 1, "download").otherwise("cache"))
+
+
+def thumbnail_source(media: DataFrame) -> DataFrame:
+    """media with where their thumbnail comes from: the stored one, else made of the optimised or original file; videos without one have none."""
+    stored = F.nullif("thumbnail_path", F.lit(""))
+    made = F.when(F.col("media_type") == "image", F.coalesce(F.nullif("optimized_path", F.lit("")), F.col("file_path")))
+    return media.withColumns({"thumbnail_from": F.coalesce(stored, made), "made": stored.isNull() & made.isNotNull()})
+
+
+#: Settings that each kind of store needs.
+SETTINGS = {"local": (), "s3": ("BUCKET", "REGION"), "oss": ("BUCKET", "REGION", "KEY", "SECRET"), "cos": ("BUCKET", "REGION", "KEY", "SECRET")}
+
+
+def missing_settings(settings: DataFrame) -> DataFrame:
+    """Kinds of store with what they still need, of settings (kind, name, value): name and value may be missing or empty."""
+    needed = settings.sparkSession.createDataFrame([(k, n) for k, names in SETTINGS.items() for n in names], "kind string, name string")
+    have = settings.where("value is not null and value <> ''").select("kind", "name")
+    return needed.join(have, ["kind", "name"], "left_anti")
