@@ -148,6 +148,17 @@ def test_hash_pairs_brute_force(rows):
     assert got == {(i, j) for j in range(60) for i in range(j) if (mine[i][0] ^ mine[j][0]).bit_count() <= 4 and (mine[i][1] ^ mine[j][1]).bit_count() <= 4}
 
 
+def test_hash_links_join_the_same(rows):
+    """Copies are linked to the first of them alone, and components stay what they are."""
+    r = random.Random(1)
+    base = [(r.getrandbits(64), r.getrandbits(64)) for _ in range(4)]
+    mine = [(p ^ (1 << r.randrange(64) if r.random() < 0.3 else 0), d) for p, d in (r.choice(base) for _ in range(80))]
+    df = hashed(rows, [*((f"{p:016x}", f"{d:016x}", None) for p, d in mine), (None, "0" * 16, None), (None, None, None)])
+    of = lambda pairs: {x.node: x.label for x in graph.components(pairs.select(F.col("i").alias("a"), F.col("j").alias("b"))).collect()}
+    links = similarity.hash_links(df)
+    assert of(links) == of(similarity.hash_pairs(df)) and links.count() < similarity.hash_pairs(df).count() / 2
+
+
 def test_cosine_pairs_brute_force(rows):
     import numpy as np
 

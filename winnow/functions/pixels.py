@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from winnow.sources.packages import ship
+
 MEASURES = (
     "sharpness double, centre_sharpness double, plain_sharpness double, plain_centre_sharpness double, blur_sharpness double, brightness double, contrast double, cast_r double, cast_g double, cast_b double, noise double, "
     "exposure_mean double, exposure_stddev double, phash string, dhash string, legacy_phash string"
@@ -109,6 +111,7 @@ def measure(width: int, height: int, count: int, data: bytes) -> dict | None:
 
 def measured(images: DataFrame) -> DataFrame:
     """images (width, height, channels, data) with a struct `measures`."""
+    ship(images.sparkSession)
 
     @F.pandas_udf(MEASURES)
     def run(width: pd.Series, height: pd.Series, count: pd.Series, data: pd.Series) -> pd.DataFrame:

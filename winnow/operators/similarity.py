@@ -32,7 +32,8 @@ def hash_pairs(rows: DataFrame, distance: int = 4, md5: str | None = None) -> Da
     Hashes that differ in no more bits than `distance` share one of distance + 1
     parts; candidates come from equality of parts, never from all pairs.
     """
-    parts = rows.select("trip_id", "seq", "phash", "dhash", F.explode(hashing.bands(F.col("phash"), distance + 1)).alias("part"))
+    hashed = rows.where("phash is not null and dhash is not null")
+    parts = hashed.select("trip_id", "seq", "phash", "dhash", F.explode(hashing.bands(F.col("phash"), distance + 1)).alias("part"))
     a, b = parts.alias("a"), parts.alias("b")
     near = (hashing.hamming(F.col("a.phash"), F.col("b.phash")) <= distance) & (hashing.hamming(F.col("a.dhash"), F.col("b.dhash")) <= distance)
     found = a.join(b, (F.col("a.trip_id") == F.col("b.trip_id")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.seq") < F.col("b.seq")) & near)
@@ -44,6 +45,15 @@ def hash_pairs(rows: DataFrame, distance: int = 4, md5: str | None = None) -> Da
     return found.distinct()
 
 
+def hash_links(rows: DataFrame, distance: int = 4) -> DataFrame:
+    """Pairs that join all that `hash_pairs` joins, but of rows with equal hashes only
+    those with the first of them: however many copies an image has, each is in one."""
+    hashed = rows.where("phash is not null and dhash is not null").select("trip_id", "seq", "phash", "dhash")
+    first = hashed.groupBy("trip_id", "phash", "dhash").agg(F.min("seq").alias("i"))
+    copies = hashed.join(first, ["trip_id", "phash", "dhash"]).where("seq <> i").select("trip_id", "i", F.col("seq").alias("j"))
+    return hash_pairs(first.withColumnRenamed("i", "seq"), distance).union(copies)
+
+
 def cosine_pairs(rows: DataFrame, least: float, strict: bool = False, top_k: int | None = None, block: int = BLOCK) -> DataFrame:
     """Pairs i < j of a trip with a cosine of at least (strict: over) `least`, in double precision.
 

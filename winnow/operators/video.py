@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from winnow.config import VideoThresholds
 from winnow.functions import scores
+from winnow.sources.packages import ship
 
 DROPPED = ("severely_blurry", "severely_shaky", "severely_exposed", "blurry", "shaky")
 
@@ -126,6 +127,7 @@ def select_segments(segments: DataFrame, targets: DataFrame, t: VideoThresholds
 
     A video's candidates meet in one task, many videos in each: they are as many as its segments.
     """
+    ship(segments.sparkSession)
     pool = candidates(segments, t, excluded).join(targets, "media_id").select("media_id", "segment_index", "start", "end", "overall", "target")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

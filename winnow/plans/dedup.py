@@ -38,18 +38,19 @@ def review_gray(gray: DataFrame, t: DedupThresholds, reviewer: Callable[[DataFra
     return gray.join(verdicts, ["trip_id", "i", "j"], "left").withColumn("confirmed", F.coalesce("is_duplicate", strict)).drop("is_duplicate")
 
 
-def pair_evidence(rows: DataFrame, t: DedupThresholds = DedupThresholds(), mode: str = "tiered", reviewer=None) -> DataFrame:
+def pair_evidence(rows: DataFrame, t: DedupThresholds = DedupThresholds(), mode: str = "tiered", reviewer=None, by_hash=similarity.hash_pairs) -> DataFrame:
     """Pairs (trip_id, i, j, source, score, confirmed) of rows (trip_id, seq, v), which
     may have their hashes (phash, dhash); else these are made from the vectors.
 
     mode: `hash` for hashes alone, `dense` for one threshold on vectors, `tiered`
-    for three with review of the gray zone.
+    for three with review of the gray zone. by_hash: `similarity.hash_links` where
+    it is enough to know what belongs together.
     """
     if mode not in ("hash", "dense", "tiered"):
         raise ValueError(f"unknown mode: {mode}")
     hashed = similarity.with_hashes(rows)
     nothing = F.lit(None).cast("double")
-    out = similarity.hash_pairs(hashed, t.hash_distance).select("trip_id", "i", "j", F.lit("hash").alias("source"), nothing.alias("score"), F.lit(True).alias("confirmed"))
+    out = by_hash(hashed, t.hash_distance).select("trip_id", "i", "j", F.lit("hash").alias("source"), nothing.alias("score"), F.lit(True).alias("confirmed"))
     if mode == "dense":
         dense = similarity.similar(rows, t.dense, t)
         out = out.union(dense.select("trip_id", "i", "j", F.lit("dense"), "sim", F.lit(True)))
@@ -80,7 +81,7 @@ def routed_evidence(rows: DataFrame, t: DedupThresholds = DedupThresholds(), vec
 
 def assess(rows: DataFrame, t: DedupThresholds = DedupThresholds(), mode: str = "tiered", reviewer=None) -> Assessment:
     """Assesses rows (trip_id, seq, v, sharpness, blur_status, width, height, file_size); seq is unique over all trips."""
-    evidence = written(pair_evidence(rows, t, mode, reviewer), "evidence")
+    evidence = written(pair_evidence(rows, t, mode, reviewer, similarity.hash_links), "evidence")
     confirmed = evidence.where("confirmed").select(F.col("i").alias("a"), F.col("j").alias("b"))
     labels = graph.components(confirmed)
     narrow = rows.drop("v")
