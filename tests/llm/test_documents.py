@@ -66,6 +66,32 @@ def test_cut_fills_slots(n):
     assert all(length <= sizes[k] and sizes[k] * k <= 2048 for k, length in pieces)
 
 
+def test_classes_are_numbered_as_by_hand(rows):
+    """Each class fills whole sequences with as many pieces as it has slots; what is left over is fewer than that."""
+    r = random.Random(7)
+    docs = documents(rows, [(i, "word " * r.choice([1, 2, 60, 61, 300, 700, 1500, 2047, 5000]), "en", "a") for i in range(500)]).repartition(5)
+    slots = packing.class_sizes(2048)
+    kinds: dict = {}
+    sequences: dict = {}
+    for x in packing.pack(docs).collect():
+        cuts, at = {}, 0
+        for k, length in packing.cut(x.doc_tokens):
+            cuts[at] = (k, length)
+            at += length
+        k, length = cuts[x.start]
+        assert length == x.length <= slots[k]
+        kinds[k] = kinds.get(k, 0) + 1
+        sequences.setdefault(x.sequence_id, []).append((k, x.length, x.offset))
+    whole = {k: 0 for k in kinds}
+    for pieces in sequences.values():
+        k = pieces[0][0]
+        if {p[0] for p in pieces} == {k} and len(pieces) == k:
+            whole[k] += 1
+    assert whole == {k: n // k for k, n in kinds.items()}
+    rest = [length for pieces in sequences.values() if not ({p[0] for p in pieces} == {pieces[0][0]} and len(pieces) == pieces[0][0]) for _, length, _ in pieces]
+    assert len(rest) == sum(n % k for k, n in kinds.items())
+
+
 def test_packing_wastes_little(rows):
     r = random.Random(3)
     docs = documents(rows, [(i, "word " * r.randint(1, 3000), "en", "a") for i in range(400)])

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from winnow.llm.shared import written
+from winnow.llm.shared import ship, written
 from winnow.llm.vectors import is_usable, matrix, sample_vectors
 
 #: Vectors of the sample that partitions and classifier are fitted to, at most.
@@ -211,6 +211,7 @@ def top(q: np.ndarray, x: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, k: int
 def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = RECALL, sample: int = SAMPLE, most: int = PARTITIONS) -> DataFrame:
     """The k nearest found for each query row: query_id, rank (from 1), vec_id and score
     (the Euclidean distance in double precision), against all rows but those with its id."""
+    ship(vectors.sparkSession)
     good = vectors.select("vec_id", F.col("embedding").alias("v")).where(F.col("vec_id").isNotNull() & is_usable("v"))
     good = written(good.select("vec_id", F.col("v").cast("array<double>").alias("v")), "vectors")
     total = good.count()

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.shared import components, written
+from winnow.llm.shared import components, ship, written
 from winnow.llm.vectors import is_usable, matrix, sample_vectors, spherical_k_means, unit
 
 #: Vectors that cells are fitted to, at most.
@@ -114,6 +114,7 @@ def compare(x, y, x_ids, y_ids, x_times, y_times, least: float, same: bool):
 
 def near_embeddings(vectors: DataFrame, least: float = 0.93, sample: int = SAMPLE, block: int = BLOCK, choices: Sequence[int] = CELLS) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row; links have equal labels and a cosine of at least `least`."""
+    ship(vectors.sparkSession)
     rows = vectors.select("vec_id", "label", F.col("embedding").alias("v"))
     linkable = is_usable("v") & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     # a zero of either sign is one value

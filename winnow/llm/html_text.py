@@ -29,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from winnow.llm.shared import ship
+
 # Fixed values of HTML: elements by how their content is read. Raw text runs to its end tag or the
 # page's end; the unread are left out from start tag to end tag, and without one are read like others.
 _RAW = "script|style|textarea|title"
@@ -443,6 +445,7 @@ def main_text(page: str | None, model: Field) -> str:
 
 def extract(pages: DataFrame, model: Field | None = None) -> DataFrame:
     """page_id, url, text and n_chars (code points) of each page."""
+    ship(pages.sparkSession)
     model = model or trained_field()
     id_kind, url_kind = (pages.schema[c].dataType.simpleString() for c in ("page_id", "url"))
 

@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from winnow.llm.shared import ship
+
 UND = "und"
 #: Symbols of labelled text for each language, documents they are taken from, and languages, at most.
 SAMPLE, DOCUMENTS, LANGUAGES = 60_000, 800, 500
@@ -249,6 +251,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, documents: int = DOCUMENTS)
 
 def identify(docs: DataFrame, model: dict[str, str], sample: int = SAMPLE, pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with two more columns, the language of each text and how sure that is."""
+    ship(docs.sparkSession)
     parser, at_text = Parser(model, sample), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.shared import Scratch, components, dropped, free_name, written
+from winnow.llm.shared import Scratch, components, dropped, free_name, ship, written
 
 #: Bands and rows of a band: a pair of similarity 0.8 shares none with a chance of 7e-6.
 BANDS, ROWS = 30, 5
@@ -326,6 +326,7 @@ def _cross_links(anchored: DataFrame, about: DataFrame, sets: DataFrame, percent
 
 def _labelled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The features of each row, and for each set (d1, d2, n) the label of its component and the component's smallest doc_id."""
+    ship(docs.sparkSession)
     scratch = Scratch()
     shingled = written(features(docs, width), "features")
     named = shingled.where("n > 0 and doc_id is not null")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from winnow.llm.shared import written
+from winnow.llm.shared import ship, written
 from winnow.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
@@ -109,6 +109,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     sequence, without gaps from 0). Sequences are numbered without gaps from 0.
     """
     spark = docs.sparkSession
+    ship(spark)
     cutted = written(pieces(docs, path or tokenizer_path(), capacity, end_id, slack), "pieces")
     by_task = Window.partitionBy("klass").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = cutted.groupBy("klass", "part").agg(F.count("*").alias("n"))

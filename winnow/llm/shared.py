@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from winnow.operators.graph import components
+from winnow.sources.packages import ship
 from winnow.sources.shared import Scratch, dropped, run_dir, written
 
-__all__ = ["Scratch", "bucket_of", "components", "dropped", "free_name", "run_dir", "with_starts", "written"]
+__all__ = ["Scratch", "bucket_of", "components", "dropped", "free_name", "run_dir", "ship", "with_starts", "written"]
 
 #: Rows of one key are dealt over so many buckets for ranks and running sums.
 BUCKETS = 1024

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructField, StructType
 
+from winnow.sources.packages import ship
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Fixed value: the pre-tokenizer's pattern of byte-level files.
@@ -110,6 +112,7 @@ def encoder(path: str) -> Encoder:
 
 def counted(df: DataFrame, text: str, name: str, path: str) -> DataFrame:
     """df with the number of tokens of each text (null: none) as `name` in place of the text."""
+    ship(df.sparkSession)
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
