@@ -173,3 +173,9 @@ def guarded(needs: Column) -> Column:
     """The status of a request by a viewer: who is needed is anonymous (anyone), regular (anyone known) or admin."""
     unknown = (needs != "anonymous") & (F.col("viewer") == "anonymous")
     return F.when(unknown, 401).when((needs == "admin") & (F.col("viewer") != "admin"), 403).otherwise(200)
+
+
+def gallery(media: DataFrame, groups: DataFrame, owner: bool = False) -> DataFrame:
+    """What the galleries of all trips show: images, a group by its default image alone, and videos."""
+    images = gallery_images(media, groups, owner).select("trip_id", "id", F.lit("image").alias("kind"))
+    return images.unionByName(gallery_videos(media, owner).select("trip_id", "id", F.lit("video").alias("kind")))

@@ -211,3 +211,11 @@ def probed(videos: DataFrame) -> DataFrame:
     """Videos with what a probe found of duration, width, height and codec; where it found nothing, 0 and `unknown`."""
     zero = {"duration": F.lit(0.0), "width": F.lit(0), "height": F.lit(0), "codec": F.lit("unknown")}
     return videos.withColumns({c: F.coalesce(c, v) for c, v in zero.items()})
+
+
+def edited(segments: DataFrame, targets: DataFrame, kind: str = "fade", t: VideoThresholds = VideoThresholds()) -> DataFrame:
+    """The segments of each video's summary in order of time (media_id, pos, segment_index, start, end), with their transitions."""
+    chosen = segments.join(select_segments(segments, targets, t), ["media_id", "segment_index"], "left_semi")
+    placed = chosen.withColumn("pos", F.row_number().over(Window.partitionBy("media_id").orderBy("start", "segment_index")) - 1)
+    placed = placed.select("media_id", "pos", "segment_index", "start", "end", "duration")
+    return placed.drop("duration").join(transitions(placed, kind), ["media_id", "pos"])

@@ -248,3 +248,25 @@ def guards(spark, d):
     e = src.table(spark, d, "events").select("event_id", "event_type", F.when(F.col("event_id") % 4 != 0, F.col("user_id")).alias("viewer_id"))
     needs = F.when(F.col("event_type") == "view", "anonymous").when(F.col("event_type") == "purchase", "admin").otherwise("regular")
     return rel.viewers(e, src.users(spark, d).select("id", "role"), keep=["event_type"]).select("event_id", rel.guarded(needs).alias("status"))
+
+
+# ---- whole listings --------------------------------------------------------
+
+_SHOWN = "status = 'active' and visibility = 'public'"
+
+
+@query("s3_public_galleries", sql("media grps", f"""select g.trip_id, m.id, 'image' as kind from grps g join media m on g.default_image_id = m.id where {_SHOWN} and media_type = 'image'
+union all select trip_id, id, 'image' from media where duplicate_group_id is null and media_type = 'image' and {_SHOWN}
+union all select trip_id, id, 'video' from media where media_type = 'video' and {_SHOWN} and (processing_status is null or processing_status not in ('uploading', 'cancelled'))"""))
+def public_galleries(spark, d):
+    return rel.gallery(src.media(spark, d), src.groups(spark, d))
+
+
+@query("s4_trip_lists", sql("trips media", """with c as (select t.*, (select count(*) from media m where m.trip_id = t.id) as n, (select count(*) from media m where m.trip_id = t.id and m.status = 'active') as a from trips t)
+select 'public' as list, id, n as media_count from c where visibility = 'public' union all select 'mine', id, a from c where user_id = 100 union all select 'admin', id, a from c"""))
+def trip_lists(spark, d):
+    """The three lists of trips: public ones, a viewer's own, and an admin's."""
+    t, m = src.trips(spark, d), src.media(spark, d)
+    lists = {"public": rel.trip_listing(t, m), "mine": rel.trip_listing(t, m, viewer=100, active_only=True), "admin": rel.trip_listing(t, m, admin=True, active_only=True)}
+    outs = [x.select(F.lit(n).alias("list"), "id", "media_count") for n, x in lists.items()]
+    return outs[0].union(outs[1]).union(outs[2])

@@ -215,3 +215,24 @@ def seconds_before(spark, d):
     """The running total that the greedy choice starts from, best segments first."""
     w = Window.partitionBy("media_id").orderBy(F.desc("overall"), "segment_index").rowsBetween(Window.unboundedPreceding, -1)
     return segments(spark, d).select("media_id", "segment_index", F.round(F.coalesce(F.sum("duration").over(w), F.lit(0.0)), 6).alias("before"))
+
+
+@query("f6_between_cuts", sql("between0", "select media_id, a, b from between0 where b is not null"))
+def between_cuts(spark, d):
+    """Each cut point with the next."""
+    c = src.cuts(spark, d)
+    p = video.cut_points(c.select("media_id", "duration").distinct(), c)
+    return p.select("media_id", F.col("t").alias("a"), F.lead("t").over(Window.partitionBy("media_id").orderBy("pos")).alias("b")).where("b is not null")
+
+
+@query("n4_label_counts", sql("segs", f"select media_id, {_LABEL} as label, count(*) as n, round(sum(duration), 3) as seconds from segs group by all"))
+def label_counts(spark, d):
+    return segments(spark, d).groupBy("media_id", "label").agg(F.count("*").alias("n"), F.round(F.sum("duration"), 3).alias("seconds"))
+
+
+@query("s6_edited_videos", sql("segs", f"""with c as (select *, row_number() over (partition by media_id order by start, segment_index) - 1 as pos from segs where {_LABEL} in ('good', 'slightly_shaky') and duration >= 2)
+select media_id, pos, segment_index, start, end_ as "end", case when duration >= 1 then 'fade' else 'none' end as transition, duration - 0.5 as "offset" from c"""))
+def edited_videos(spark, d):
+    """From segments to what is rendered, of videos without a target."""
+    s = segments(spark, d)
+    return video.edited(s, s.select("media_id").distinct().withColumn("target", F.lit(None).cast("double")))
