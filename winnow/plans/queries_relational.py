@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from winnow.functions import text
 from winnow.operators import relational as rel
+from winnow.operators import state
 from winnow.plans.prelude import sql
 from winnow.plans.registry import query
 from winnow.sources import adapters as src
@@ -218,7 +219,7 @@ def category_counts(spark, d):
 
 @query("e3_next_sequence", sql("jobev", "select u.c_custkey as job_id, coalesce(max(seq), 0) + 1 as next_seq from customer u left join (select job_id, row_number() over (partition by job_id order by created_at, id) as seq from jobev) e on e.job_id = u.c_custkey group by u.c_custkey"))
 def next_sequence(spark, d):
-    e = files.number_events(src.job_events(spark, d)).groupBy("job_id").agg(F.max("seq").alias("seq"))
+    e = state.sequenced(src.job_events(spark, d)).groupBy("job_id").agg(F.max("seq").alias("seq"))
     u = src.table(spark, d, "customer").select(F.col("c_custkey").alias("job_id"))
     return u.join(e, "job_id", "left").select("job_id", (F.coalesce("seq", F.lit(0)) + 1).alias("next_seq"))
 

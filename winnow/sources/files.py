@@ -85,11 +85,6 @@ def serve_path(media: DataFrame) -> DataFrame:
     return media.withColumn("serve_path", first)
 
 
-def number_events(events: DataFrame, key: str = "job_id") -> DataFrame:
-    """events with seq, from 1 for each job, in order of time and id."""
-    return events.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy("created_at", "id")).cast("long"))
-
-
 def located(media: DataFrame, kind: str, bucket: str = "") -> DataFrame:
     """media with the URI of their file in a store of a kind."""
     prefix = store_uri(kind, bucket)

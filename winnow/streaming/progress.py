@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from winnow.functions.text import default
-
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 50) -> DataFrame:
     """Events from Parquet files as they come; the checkpoint of the query is the cursor."""
@@ -41,7 +39,3 @@ def tail(events: DataFrame, checkpoint: str, push: Callable[[DataFrame, int], No
 def after(events: DataFrame, seq: int) -> DataFrame:
     """Events of a log behind a cursor, in order."""
     return events.where(F.col("seq") > seq).orderBy("job_id", "seq")
-
-
-def level_or_info(events: DataFrame) -> DataFrame:
-    return events.withColumn("level", default(F.col("level"), "info"))
