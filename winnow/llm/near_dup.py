@@ -399,10 +399,12 @@ def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     told = judged.where("not stays or times > 1").select(F.col("doc_id").alias(i), F.col("who").alias(w), "stays")
     told = written(told, "told")
     gone, again = (told.where(x).select(i, w) for x in ("not stays", "stays"))
+    # there is no bound on how many are told: joined alike at every size, never by broadcast
+    by = lambda t: (docs["doc_id"] == t[i]) & (text_digest(docs["text"]) == t[w])
     one = None
     if not again.isEmpty():
-        one = docs.join(again, (docs["doc_id"] == again[i]) & (text_digest(docs["text"]) == again[w]), "left_semi").dropDuplicates(["doc_id", "text"])
+        one = docs.hint("merge").join(again, by(again), "left_semi").dropDuplicates(["doc_id", "text"])
         gone = told.select(i, w)
     dropped(shingled, placed, rows, first)
-    kept = docs.join(gone, (docs["doc_id"] == gone[i]) & (text_digest(docs["text"]) == gone[w]), "left_anti")
+    kept = docs.hint("merge").join(gone, by(gone), "left_anti")
     return kept if one is None else kept.unionByName(one)
