@@ -162,9 +162,9 @@ def adjacent_segments(spark, d):
     return video.adjacent(video.candidates(segments(spark, d)))
 
 
-@query("b10_segment_details", sql("segs", f"select media_id, segment_index, start as start_time, end_ as end_time, duration, 0.4 * sharpness + 0.3 * stability + 0.3 * exposure as overall_score, {_LABEL} as label from segs"))
+@query("b10_segment_details", sql("segs", f"select media_id, segment_index, start as start_time, end_ as end_time, duration, round(0.4 * sharpness + 0.3 * stability + 0.3 * exposure, 6) as overall_score, {_LABEL} as label from segs"))
 def segment_details(spark, d):
-    return segments(spark, d).select("media_id", "segment_index", F.col("start").alias("start_time"), F.col("end").alias("end_time"), "duration", F.col("overall").alias("overall_score"), "label")
+    return segments(spark, d).select("media_id", "segment_index", F.col("start").alias("start_time"), F.col("end").alias("end_time"), "duration", F.round("overall", 6).alias("overall_score"), "label")
 
 
 @query("g6_segment_orders", sql("segs", """select media_id, segment_index, row_number() over (partition by media_id order by start) as by_start,
