@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import ann, chat, embedding_dedup, html_text, language, mixing, near_dup, packing, sharding, token_cache
+from winnow.llm import ann, chat, divergence, embedding_dedup, filter_audit, html_text, language, mixing, near_dup, packing, quality, sharding, token_cache
 from winnow.llm.shared import run_dir
 
 
@@ -59,6 +59,18 @@ def op10_vector_bin_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op11_baseline_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.predict_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_filter_incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 _QUERIES = (
     op1_harmonic_packing,
     op2_learned_partitions,
@@ -70,6 +82,9 @@ _QUERIES = (
     op8_sainte_lague_mixing,
     op9_minhash_odd_sketches,
     op10_vector_bin_sharding,
+    op11_baseline_divergence,
+    op12_additive_quality,
+    op13_filter_incidence,
 )
 
 
@@ -150,6 +165,54 @@ select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id, d.doc_i
 from documents d join c on c.a = d.doc_id left join n on n.doc_id = d.doc_id
 """
 
+_OP11 = r"""
+with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+t as (select id, lang, source, unnest(w) as term from d),
+k as (select lang, term, count(*)::hugeint as times from t group by lang, term having count(distinct id) >= 30),
+l as (select lang, count(*)::hugeint as v, sum(times)::hugeint as n from k group by lang),
+c as (select lang, source, term, count(*)::hugeint as times from t semi join k using (lang, term) group by all),
+g as (select lang, source, coalesce(v, 0) as v, coalesce(l.n, 0) as ln, coalesce(c.n, 0) as n
+      from (select distinct lang, source from d) left join l using (lang) left join (select lang, source, sum(times)::hugeint as n from c group by all) c using (lang, source)),
+p as (select g.lang, g.source, k.term, coalesce(c.times, 0) as times, 1 + 1000000000 * (coalesce(c.times, 0) + 5) // (g.n + 5 * g.v) as p, 1 + 1000000000 * (k.times + 5) // (g.ln + 5 * g.v) as q
+      from g join k using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+f as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+x as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f.value, 0)::bigint as value
+      from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source),
+y as (select lang, source, 'term' as part, term as item, (p - q)::bigint as value from p where times > 0 and p > q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (from x union all from y))
+select lang, source, part, item, value, cast(rank as integer) as rank from r where part = 'pair' or rank <= 50
+"""
+
+_OP13 = r"""
+with w as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+m as (select doc_id, part, len(w) < 200 as a, 100 * len(list_distinct(w)) < 50 * len(w) as b, 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * len(text) as c,
+             regexp_matches(text, '[#$%&*|]') as d, coalesce(min(doc_id) over (partition by text) < doc_id, false) as e from w),
+l as (select doc_id, coalesce(bool_or(quality = 1), false) as good, coalesce(bool_or(toxic = 1), false) as toxic from labels group by doc_id),
+h as (select part, a::int + 2 * b::int + 4 * c::int + 8 * d::int + 16 * e::int as mask, count(*) as n, count(*) filter (where good) as good, count(*) filter (where toxic) as toxic
+      from m left join l using (doc_id) group by all),
+x as (select unnest([1, 2, 3, 4, 5]) as i),
+o as (select chr(64 + a.i) || chr(64 + b.i) || chr(64 + c.i) || chr(64 + d.i) || chr(64 + e.i) as filter_order
+      from x a, x b, x c, x d, x e where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s as (select filter_order, i as step, 1 << (ascii(filter_order[i]) - 65) as bit,
+             list_sum(list_transform(range(1, i), lambda j: 1 << (ascii(filter_order[j]) - 65)))::int as earlier from o, x),
+r as (select part, filter_order, step, bit,
+             sum(case when mask & (bit | coalesce(earlier, 0)) = 0 then n else 0 end) as kept, sum(case when mask & bit > 0 and mask & coalesce(earlier, 0) = 0 then n else 0 end) as removed,
+             sum(case when mask & bit > 0 and mask & coalesce(earlier, 0) > 0 then n else 0 end) as redundant, sum(case when mask = bit then n else 0 end) as unique_fails,
+             sum(case when mask & bit > 0 and mask & coalesce(earlier, 0) = 0 then good else 0 end) as good_lost, sum(case when mask & bit > 0 and mask & coalesce(earlier, 0) = 0 then toxic else 0 end) as toxic_lost
+      from h, s group by all)
+select part, filter_order, cast(step as integer) as step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails,
+       good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, bit))::bigint as shapley from r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_learned_partitions": _OP2, "op7_embedding_near_dedup": _OP7, "op9_minhash_odd_sketches": _OP9, "op4_chat_snapshot_collapse": _OP4, "op8_sainte_lague_mixing": _OP8}
+    return {
+        "op2_learned_partitions": _OP2,
+        "op4_chat_snapshot_collapse": _OP4,
+        "op7_embedding_near_dedup": _OP7,
+        "op8_sainte_lague_mixing": _OP8,
+        "op9_minhash_odd_sketches": _OP9,
+        "op11_baseline_divergence": _OP11,
+        "op13_filter_incidence": _OP13,
+    }
