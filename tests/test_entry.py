@@ -65,3 +65,14 @@ def test_pairs_are_found(spark):
 def test_every_segment_has_a_transition(spark, kind):
     n = entry.queries()["n2_segment_boundaries"](spark, SF).count()
     assert entry.queries()[f"n8_{kind}_transitions_whole"](spark, SF).count() == n > entry.queries()[f"n8_{kind}_transitions"](spark, SF).count()
+
+
+def test_segments_are_chosen(spark):
+    """Videos of every kind of target and plan, fewer segments than there are candidates, and neighbours of like score."""
+    queries, d = entry.queries(), "/root/testdata/sf0.01"
+    assert {r.target for r in queries["n5_target_durations"](spark, d).collect()} == {0.0, 60.0, 300.0}
+    chosen, possible, alone = ({tuple(r) for r in queries[n](spark, d).collect()} for n in ("n6_segment_selection", "n6_segment_candidates", "f9_filled_to_target"))
+    assert chosen < possible and len(chosen) < 0.6 * len(possible)
+    assert not alone <= chosen  # neighbours that are drawn in take the place of better ones
+    assert {r.plan for r in queries["n7_edit_plans"](spark, d).collect()} == {"keep", "compile", "error"}
+    assert queries["d18_adjacent_segments"](spark, d).count() > 1000

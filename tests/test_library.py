@@ -227,6 +227,15 @@ def test_keep_best_folds_in_order(rows):
     assert got == {g: python_fold([m for m in data if m[0] == g]) for g in range(60)}
 
 
+def test_a_segment_that_is_asked_for_but_missing_is_an_error(rows):
+    segments = rows([(1, 0, 0.0, 2.0), (1, 1, 2.0, 5.0)], 'media_id int, segment_index int, start double, `end` double')
+    order = lambda *i: rows([(1, k, x) for k, x in enumerate(i)], "media_id int, pos int, segment_index int")
+    assert [r.there for r in video.requested(order(1, 0), segments, strict=True).orderBy("pos").collect()] == [True, True]
+    assert [r.there for r in video.requested(order(1, 7), segments).orderBy("pos").collect()] == [True, False]
+    with pytest.raises(Exception, match="no segment 7 of 1"):
+        video.requested(order(1, 7), segments, strict=True).collect()
+
+
 def test_quirk_best_depends_on_order(rows):
     """The 20 % band isn't transitive: the order of the same members changes the winner."""
     kinds = [(100.0, 3), (115.0, 2), (130.0, 1)]

@@ -195,10 +195,17 @@ def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
     return out.unionByName(old.join(new.select("media_id").distinct(), "media_id", "left_anti"))
 
 
-def requested(order: DataFrame, segments: DataFrame) -> DataFrame:
-    """Segments in the order they are asked for (media_id, pos, segment_index), with whether they are there."""
+def requested(order: DataFrame, segments: DataFrame, strict: bool = False) -> DataFrame:
+    """Segments in the order they are asked for (media_id, pos, segment_index), with whether they are there.
+
+    strict: a segment that isn't there is an error, which ends the query when it is met.
+    """
     own = segments.select("media_id", "segment_index", "start", "end", F.lit(True).alias("there"))
-    return order.join(own, ["media_id", "segment_index"], "left").withColumn("there", F.coalesce("there", F.lit(False)))
+    out = order.join(own, ["media_id", "segment_index"], "left")
+    missing = F.lit(False)
+    if strict:
+        missing = F.raise_error(F.concat(F.lit("no segment "), F.col("segment_index"), F.lit(" of "), F.col("media_id"))).cast("boolean")
+    return out.withColumn("there", F.when(F.col("there"), True).otherwise(missing))
 
 
 def with_choice(segments: DataFrame, choice: DataFrame) -> DataFrame:

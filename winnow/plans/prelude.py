@@ -81,10 +81,15 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         case event_type when 'purchase' then 'completed' when 'error' then 'failed' when 'signup' then 'queued' else 'running' end as status, event_type as step, value from events""",
     ),
     "cuts0": ((), "select user_id as media_id, floor(floor(epoch(ts)) / 1440.0) as minute, value from events"),
-    "cuts": (
+    "cuts1": (
         ("cuts0",),
-        """select c.media_id, cast(minute - first as double) as t, duration, value from cuts0 c join
-        (select media_id, min(minute) as first, cast(max(minute) - min(minute) + 5 as double) as duration from cuts0 group by media_id) f using (media_id)""",
+        """select *, case media_id % 4 when 2 then 4.0 when 3 then 1.0 else 32.0 end::double as speed, min(minute) over (partition by media_id) as first,
+        max(minute) over (partition by media_id) as last from cuts0""",
+    ),
+    "cuts": (
+        ("cuts1",),
+        """select media_id, case when media_id % 4 = 0 then floor((minute - first) / speed / 16) * 16 else (minute - first) / speed end::double as t,
+        ((last - first + 5) / speed)::double as duration, value from cuts1""",
     ),
     "points": (("cuts",), "select distinct media_id, t from (select media_id, t from cuts union all select distinct media_id, 0.0 from cuts union all select distinct media_id, duration from cuts)"),
     "between0": (
@@ -98,10 +103,40 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         ("segs0",),
         "select *, end_ - start as duration, (row_number() over (partition by media_id order by start) - 1)::int as segment_index from segs0 where end_ > start",
     ),
-    "segs": (
+    "segs2": (
         ("segs1",),
-        """select *, ((media_id * 31 + segment_index * 17) % 120)::double as sharpness, ((media_id * 7 + segment_index * 29) % 101)::double as stability,
-        ((media_id * 13 + segment_index * 5) % 101)::double as exposure from segs1""",
+        """select *, (media_id * 31 + segment_index // 3 * 17 + segment_index % 3) % 120 as s0, (media_id * 7 + segment_index // 3 * 29 + segment_index % 3 * 2) % 101 as b0,
+        (media_id * 13 + segment_index // 3 * 5 + segment_index % 3) % 101 as e0 from segs1""",
+    ),
+    "segs": (
+        ("segs2",),
+        """select * exclude (s0, b0, e0), case when media_id % 3 = 0 then 60 + s0 % 40 else s0 end::double as sharpness, case when media_id % 3 = 0 then 60 + b0 % 40 else b0 end::double as stability,
+        case when media_id % 3 = 0 then 10 + e0 % 90 else e0 end::double as exposure from segs2""",
+    ),
+    "targets": (("cuts",), "select distinct media_id, case when duration < 60 then null when duration <= 600 then 60.0 else 300.0 end::double as target from cuts"),
+    "cands": (
+        ("segs", "targets"),
+        """select *, row_number() over (partition by media_id order by overall desc, start) as rk from (select *, 0.4 * sharpness + 0.3 * stability + 0.3 * exposure as overall from segs) join targets using (media_id)
+        where sharpness >= 50 and stability >= 30 and exposure between 10 and 100 and duration >= 2""",
+    ),
+    "offers": (
+        ("cands",),
+        """select media_id, segment_index, duration, target, drawn, row_number() over (partition by media_id order by rk, drawn, rk2) as n from (
+        select media_id, segment_index, duration, target, rk, 0 as drawn, 0 as rk2 from cands
+        union all select a.media_id, b.segment_index, b.duration, b.target, a.rk, 1, b.rk from cands a join cands b on a.media_id = b.media_id and a.segment_index <> b.segment_index
+        and least(abs(b.start - a.end_), abs(a.start - b.end_)) <= 2 and (greatest(a.overall, b.overall) <= 0 or abs(a.overall - b.overall) / greatest(a.overall, b.overall) <= 0.1)) where target is not null""",
+    ),
+    "steps": (
+        ("offers",),
+        """select distinct media_id, 0::bigint as n, []::integer[] as taken, 0.0::double as used, false as outer_taken from offers
+        union all select media_id, n, case when ok then list_append(taken, segment_index) else taken end, case when ok then used + duration else used end, case when drawn = 0 then ok else outer_taken end from (
+        select o.media_id, o.n, o.segment_index, o.duration, o.drawn, s.taken, s.used, s.outer_taken, not list_contains(s.taken, o.segment_index) and s.used < o.target and (o.drawn = 0 or s.outer_taken)
+        and (o.drawn = 0 and len(s.taken) = 0 or s.used + o.duration <= o.target * 1.1) as ok from steps s join offers o on o.media_id = s.media_id and o.n = s.n + 1)""",
+    ),
+    "chosen": (
+        ("steps",),
+        """select media_id, segment_index from cands where target is null
+        union all select media_id, unnest(taken) as segment_index from (select media_id, arg_max(taken, n) as taken from steps group by media_id)""",
     ),
 }
 
@@ -120,6 +155,8 @@ def sql(names: str, body: str) -> str:
         need(name)
     head = ", ".join(f"{n} as ({CTES[n][1]})" for n in order)
     body = body.strip()
+    if "steps" in order:  # the one that refers to itself
+        head = "recursive " + head
     if body.startswith("with recursive "):
         return f"with recursive {head}, {body.removeprefix('with recursive ')}"
     if body.startswith("with "):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from winnow.config import VideoThresholds
 from winnow.functions import scores
 from winnow.operators import video
 from winnow.plans.prelude import sql
@@ -17,13 +20,11 @@ def segments(spark, d):
     c = src.cuts(spark, d)
     videos = c.select("media_id", "duration").distinct()
     s = video.indexed(video.boundaries(videos, c))
-    m, i = F.col("media_id"), F.col("segment_index")
-    s = s.withColumns({"sharpness": ((m * 31 + i * 17) % 120).cast("double"), "stability": ((m * 7 + i * 29) % 101).cast("double"), "exposure": ((m * 13 + i * 5) % 101).cast("double")})
-    return video.scored(s)
+    return video.scored(src.measured_segments(s))
 
 
 def _targets(spark, d):
-    return src.cuts(spark, d).select("media_id", "duration").distinct().select("media_id", scores.target_duration(F.col("duration") / 60).alias("target"))
+    return src.cuts(spark, d).select("media_id", "duration").distinct().select("media_id", scores.target_duration(F.col("duration")).alias("target"))
 
 
 @query("n2_segment_boundaries", sql("segs1", 'select media_id, start, end_ as "end", segment_index from segs1'))
@@ -46,16 +47,14 @@ def segment_labels(spark, d):
     return segments(spark, d).select("media_id", "segment_index", F.round("overall", 6).alias("overall"), "label")
 
 
-@query("n5_target_durations", sql("cuts", "select distinct media_id, case when duration < 6000 then 0.0 when duration <= 25000 then 60.0 else 300.0 end::double as target from (select media_id, duration * 1.0 as duration from cuts)"))
+@query("n5_target_durations", sql("targets", "select media_id, coalesce(target, 0.0) as target from targets"))
 def target_durations(spark, d):
-    v = src.cuts(spark, d).select("media_id", "duration").distinct()
-    seconds = F.when(F.col("duration") < 6000, 30.0).when(F.col("duration") <= 25000, 300.0).otherwise(900.0)
-    return v.select("media_id", F.coalesce(scores.target_duration(seconds), F.lit(0.0)).alias("target"))
+    return _targets(spark, d).withColumn("target", F.coalesce("target", F.lit(0.0)))
 
 
-@query("n6_segment_selection")
+@query("n6_segment_selection", sql("chosen", "select media_id, segment_index from chosen"))
 def segment_selection(spark, d):
-    """A greedy choice that depends on what was taken before: SQL can't express it."""
+    """A greedy choice that depends on what was taken before; the SQL takes a step for each segment that is offered."""
     return video.select_segments(segments(spark, d), _targets(spark, d))
 
 
@@ -64,9 +63,13 @@ def segment_candidates(spark, d):
     return video.candidates(segments(spark, d)).select("media_id", "segment_index")
 
 
-@query("n7_edit_plans")
+_PLANS = """select media_id, segments, coalesce(selected, 0) as selected, case when target is null and coalesce(selected, 0) = segments then 'keep' when coalesce(selected, 0) = 0 then 'error' else 'compile' end as plan{more}
+from (select media_id, count(*) as segments from segs group by media_id) join targets using (media_id)
+left join (select media_id, count(*) as selected, sum(end_ - start) as seconds from chosen join segs using (media_id, segment_index) group by media_id) using (media_id)"""
+
+
+@query("n7_edit_plans", sql("segs targets chosen", _PLANS.format(more="")))
 def edit_plans(spark, d):
-    """Rests on the greedy selection."""
     s, t = segments(spark, d), _targets(spark, d)
     return video.edit_plans(s, video.select_segments(s, t), t)
 
@@ -194,9 +197,9 @@ def probed_videos(spark, d):
     return video.probed(v.select("media_id", *[F.when(ok, c).alias(n) for n, c in (("duration", F.col("duration")), ("width", F.lit(1920)), ("height", F.lit(1080)), ("codec", F.lit("h264")))]))
 
 
-@query("n15_videos_after_proxy")
+@query("n15_videos_after_proxy", sql("segs targets chosen", _PLANS.format(more=", round(coalesce(seconds, 0.0), 3) as seconds")))
 def videos_after_proxy(spark, d):
-    """From cuts to plans in one go, with summaries of their targets: the choice is greedy, as in n6."""
+    """From cuts to plans in one go, with summaries of their targets."""
     return video.processed(segments(spark, d), _targets(spark, d)).withColumn("seconds", F.round("seconds", 3))
 
 
@@ -217,6 +220,23 @@ def seconds_before(spark, d):
     return segments(spark, d).select("media_id", "segment_index", F.round(F.coalesce(F.sum("duration").over(w), F.lit(0.0)), 6).alias("before"))
 
 
+@query("f9_filled_to_target", sql("cands", """with recursive f as (select distinct media_id, 0::bigint as n, []::integer[] as taken, 0.0::double as used from cands where target is not null
+union all select media_id, n, case when ok then list_append(taken, segment_index) else taken end, case when ok then used + duration else used end from (
+select c.media_id, f.n + 1 as n, f.taken, f.used, c.segment_index, c.duration, f.used < c.target and (len(f.taken) = 0 or f.used + c.duration <= c.target * 1.1) as ok from f join cands c on c.media_id = f.media_id and c.rk = f.n + 1))
+select media_id, unnest(taken) as segment_index from (select media_id, arg_max(taken, n) as taken from f group by media_id)"""))
+def filled_to_target(spark, d):
+    """The best segments until the target is met, passing over what would exceed it by over a tenth; neighbours in time aren't drawn in."""
+    apart = replace(VideoThresholds(), adjacency_gap=-1.0)
+    return video.select_segments(segments(spark, d), _targets(spark, d).where("target is not null"), apart)
+
+
+@query("s6_edited_to_target", sql("segs chosen", """with c as (select *, row_number() over (partition by media_id order by start, segment_index) - 1 as pos from segs join chosen using (media_id, segment_index))
+select media_id, pos, segment_index, start, end_ as "end", case when duration >= 1 then 'fade' else 'none' end as transition, duration - 0.5 as "offset" from c"""))
+def edited_to_target(spark, d):
+    """From segments to what is rendered, of every video to its target."""
+    return video.edited(segments(spark, d), _targets(spark, d))
+
+
 @query("f6_between_cuts", sql("between0", "select media_id, a, b from between0 where b is not null"))
 def between_cuts(spark, d):
     """Each cut point with the next."""
