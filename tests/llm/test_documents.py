@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from winnow.llm import language, mixing, near_dup, packing, sharding, token_cache
+from winnow.llm import queries as llm_queries
 from winnow.llm.tokens import encoder, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, copies int, key string, label long, n long, size long"
@@ -381,7 +382,7 @@ def test_sainte_lague_brute_force(rows):
 
 
 def test_mixing_meets_targets_of_rare_sources(spark):
-    # 10 million words; blocks are of some 1,900 words, more than all of source r0, which has 0.001 % of them
+    # 10 million words; source r0 has 0.001 % of them, so that blocks are single words
     rare = {"r0": 5, "r1": 200, "r2": 5000}
     docs = spark.range(500).select("id", F.repeat(F.lit("w "), 20_000).alias("text"), F.concat(F.lit("a"), F.col("id") % 5).alias("source"))
     for k, (source, size) in enumerate(rare.items()):
@@ -396,6 +397,55 @@ def test_mixing_meets_targets_of_rare_sources(spark):
         assert x.copies >= 1
 
 
+def test_mixing_by_shards(rows):
+    """A shard takes as many blocks of a source as its quota says, but for the part that a last block lacks."""
+    r = random.Random(11)
+    data = [(i, " ".join(["w"] * r.choice([0, 3, 60, 900])), "en", r.choice("aaaabc")) for i in range(700)]
+    docs, shards = documents(rows, data), 5
+    got = mixing.mix(docs, weights=(1.0, 3.0), shards=shards).join(docs.select("doc_id", "source"), "doc_id").collect()
+    targets = {x.source: (x.target, x.source_size) for x in got}
+    quota = mixing.quotas(rows([(k, n, t) for k, (t, n) in targets.items()], "key string, source_size long, target double"), shards).collect()
+    block = quota[0].block
+    assert block > 1 and len(quota) == 3 * shards
+    for q in quota:
+        taken = sum(x.by_shard[q.shard] for x in got if x.source == q.key)
+        assert q.quota * block - 3 * block < taken <= q.quota * block
+    assert all(x.taken == sum(x.by_shard) <= 2 * x.size and len(x.by_shard) == shards for x in got)
+    assert all(sum(n > 0 for n in x.by_shard) <= 4 for x in got)  # two shards for a pass and for the rest at most
+
+
+def test_mixing_reruns_agree(rows):
+    """Whatever the cut of the table into tasks: rows without ids, repeated ids, and copies of both."""
+    r = random.Random(12)
+    texts = [" ".join(["w"] * r.randint(0, 50)) for _ in range(60)]
+    data = [(r.choice([None, None, i % 50]), r.choice(texts), "en", r.choice(["a", "a", "b", None])) for i in range(800)] + [(None, texts[3], "en", "a")] * 400 + [(7, texts[5], "en", "b")] * 300
+    runs = []
+    for parts in (1, 3, 11):
+        r.shuffle(data)
+        out = mixing.mix(documents(rows, data).repartition(parts))
+        runs.append(sorted(map(repr, out.drop("first").collect())))
+        assert len(runs[-1]) == len(data)
+    assert runs[0] == runs[1] == runs[2]
+    assert len({x for x in runs[0]}) > 300
+    assert mixing.mixed(documents(rows, data).repartition(5)).count() == mixing.mixed(documents(rows, data).coalesce(1)).count()
+
+
+def test_mixing_sql_with_rare_sources(spark, tmp_path):
+    """The query and its SQL on sources of 5, 200 and 5,000 words beside 200,000, null ids and a null source."""
+    import duckdb
+
+    docs = spark.range(400).selectExpr("id", "repeat('w ', cast(400 + id % 200 as int)) as text", "concat('a', id % 3) as source")
+    for k, (source, size) in enumerate({"r0": 5, "r1": 200, "r2": 5000}.items()):
+        docs = docs.union(spark.range(5).selectExpr(f"{1000 * (k + 1)} + id", f"repeat('w ', {size})", f"'{source}'"))
+    docs = docs.union(spark.range(30).selectExpr("cast(null as long)", "repeat('v ', cast(id % 7 as int))", "if(id % 2 = 0, null, 'a1')"))
+    docs.withColumnRenamed("id", "doc_id").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = llm_queries.queries()["op8_sainte_lague_mixing"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(llm_queries.oracle_sql()["op8_sainte_lague_mixing"]).fetchall()
+    assert sorted(map(str, (tuple(x) for x in got.collect()))) == sorted(map(str, want)) and len(want) == 445
+
+
 def test_mixing_odd_rows(rows):
     got = mixing.mix(documents(rows, ODD)).collect()
     assert len(got) == len(ODD)

@@ -1,21 +1,21 @@
 """Mixing sources to target weights by Sainte-Lague apportionment (operator 8).
 
 Built-in DataFrame functions only. Each source's documents form a stream in a
-seeded order, cut into blocks of equal words. Blocks are dealt to sources by
-highest quotients target / (2 n + 1), for each shard of the mix; a source's
-quota is then met by whole passes over its stream and, for what remains, by
-blocks spread evenly over the stream from a seeded start. Blocks grow with the
-mix, so a source of few of them is given its target in words instead. What a
-document gives depends on its source's quota in all shards together; `quotas`
-has them by shard.
+seeded order, cut into blocks of equal words: as many words as give the source of
+the least target some thousand blocks, or one. Blocks are dealt to sources by highest
+quotients target / (2 n + 1), for each shard of the mix, which gives whole quotas. A
+source's blocks are chosen by whole passes over its stream and, for what remains, by
+an even spread from a seeded start; the first shard gets as many of them, in that
+order, as its quota says, the second the next, and so on.
 
 Quotas and targets are worked out over one row for each source, in one task: for
 millions of sources, not for as many as there are documents.
 
 Cases: a null text has size 0 and is taken 0 words. Null is a source of its own,
 last in order. Rows are documents of their own, whatever ids they repeat; those
-with a null doc_id are drawn by text and place in the table, so that a rerun
-agrees if it reads the same files. Sources without words get the target 0. An
+with a null doc_id are drawn by text. Rows equal in doc_id, source and size that
+are drawn alike lie side by side in the stream, and it is all one which is which; so
+reruns agree, however the table is cut into files and tasks. Sources without words get the target 0. An
 empty table gives an empty result. Columns beside doc_id, text and source aren't
 read by `mix`, and pass through `mixed`.
 """
@@ -28,17 +28,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from winnow.llm.shared import with_starts, written
+from winnow.llm.shared import dropped, with_starts, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
 SEED = "mix-1"
 SHARDS = 8
-#: Blocks in the mix for each source: a source's quota is exact to one of them.
-BLOCKS_A_SOURCE = 2000
-#: A source whose stream has less than this part of BLOCKS_A_SOURCE blocks is settled in words.
-FEW = 0.25
+#: Blocks that the least target makes, unless it has fewer words: every source's quota is exact to one block.
+BLOCKS_A_SOURCE = 1000
+#: Rows that are drawn alike are dealt over so many windows.
+_SALTS = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -77,7 +77,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
 
 def quotas(wanted: DataFrame, shards: int = SHARDS, blocks_a_source: int = BLOCKS_A_SOURCE) -> DataFrame:
-    """Sainte-Lague: key, shard, quota (blocks), block (words of a block).
+    """Sainte-Lague: key, shard, quota (blocks), block (words of a block, the same for all).
 
     The blocks of the first s shards are apportioned together, and a shard gets
     what they have more than the first s - 1; as no source loses by a larger
@@ -87,14 +87,15 @@ def quotas(wanted: DataFrame, shards: int = SHARDS, blocks_a_source: int = BLOCK
     """
     everything = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     s = wanted.withColumn("total", F.sum("target").over(everything)).withColumn("n", F.count("*").over(everything))
-    s = s.withColumn("block", F.greatest(F.lit(1), F.floor(F.col("total") / (F.col("n") * blocks_a_source))))
+    least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(everything)
+    s = s.withColumn("block", F.greatest(F.lit(1), F.coalesce(F.floor(least / blocks_a_source), F.lit(1))))
     s = s.withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards))))
     s = s.withColumn("house", F.floor(F.floor(F.col("total") / F.col("block")) * F.col("shard") / shards))
     part = F.when(F.col("total") > 0, F.col("target") / F.col("total")).otherwise(0.0)
     s = s.withColumn("sure", F.floor(part * F.greatest(F.col("house") - F.col("n") / 2, F.lit(0)) + 0.5))
     s = s.withColumn("upper", F.floor(part * (F.col("house") + F.col("n") / 2) + 0.5))
     more = s.where("upper > sure").withColumn("seat", F.explode(F.sequence(F.col("sure") + 1, F.col("upper"))))
-    more = more.withColumn("place", F.row_number().over(Window.partitionBy("shard").orderBy((F.col("target") / (2 * F.col("seat") - 1)).desc(), "seat", "key")))
+    more = more.withColumn("place", F.row_number().over(Window.partitionBy("shard").orderBy((F.col("target") / (2 * F.col("seat") - 1)).desc(), "key")))
     sure = s.groupBy("shard").agg(F.sum("sure").alias("all_sure"))
     more = more.join(sure, "shard").where(F.col("place") <= F.col("house") - F.col("all_sure"))
     seats = s.select("key", "shard", "block", F.col("sure").alias("seats")).union(more.select("key", "shard", "block", F.lit(1).cast("bigint")))
@@ -108,25 +109,45 @@ def _phase(seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("key"))), 1, 8), 16, 10).cast("long") / float(2**32)
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows (key, draw, size, bucket, salt and others) with `first`, where each starts in its source's stream.
+
+    Rows alike in key, draw and size are counted by salt, so that they are placed
+    together and numbered apart; which of them is which doesn't matter.
+    """
+    alike = ["key", "draw", "size"]
+    before = Window.partitionBy(*alike).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*alike, "bucket", "salt").agg(F.count("*").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    places = with_starts(counts.withColumn("words", F.col("n") * F.col("size")), ["key"], "bucket", ["draw", "size", "salt"], {"start": (F.sum, F.col("words"), 0)})
+    own = F.row_number().over(Window.partitionBy(*alike, "salt").orderBy("bucket")) - 1
+    numbered = rows.withColumn("own", own).join(places.select(*alike, "salt", "start"), [*alike, "salt"])
+    return numbered.withColumn("first", F.col("start") + F.col("own") * F.col("size")).drop("own", "start")
+
+
+def _plan(wanted: DataFrame, shards: int, most: float, seed: str, blocks_a_source: int) -> DataFrame:
+    """For each source: target, how its blocks are chosen (passes, rate, phase), and `ends`,
+    up to which of the chosen blocks each shard gets them."""
+    quota = quotas(wanted, shards, blocks_a_source)
+    upto = quota.withColumn("end", F.sum("quota").over(Window.partitionBy("key").orderBy("shard")))
+    ends = F.transform(F.array_sort(F.collect_list(F.struct("shard", "end"))), lambda x: x["end"])
+    plan = wanted.join(upto.groupBy("key").agg(ends.alias("ends"), F.first("block").alias("block")), "key")
+    plan = plan.withColumn("blocks", F.ceil(F.col("source_size") / F.col("block"))).withColumn("at_most", F.floor(F.col("blocks") * most))
+    plan = plan.withColumn("ends", F.transform("ends", lambda e: F.least(e, F.col("at_most")))).withColumn("quota", F.element_at("ends", -1))
+    some = F.col("blocks") > 0
+    plan = plan.withColumn("passes", F.when(some, F.floor(F.col("quota") / F.col("blocks"))).otherwise(F.lit(0)))
+    plan = plan.withColumn("rate", F.when(some, (F.col("quota") - F.col("passes") * F.col("blocks")) / F.col("blocks")).otherwise(F.lit(0.0)))
+    return plan.withColumn("phase", _phase(seed)).select("key", "source_size", "target", "block", "blocks", "passes", "rate", "phase", "ends")
+
+
 def _mix(docs: DataFrame, carried: list[Column], weights: Sequence[float], share: float, most: float, seed: str, shards: int, blocks_a_source: int) -> DataFrame:
     """The columns of `mix`, and those carried."""
-    nameless = F.concat_ws("~", F.lit(""), F.md5("text"), F.monotonically_increasing_id().cast("string"))
-    draw = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), nameless)))
-    rows = docs.select(*carried, source_key(F.col("source")).alias("key"), n_words(F.col("text")).alias("size"), draw.alias("draw"))
+    draw = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit(""))))
+    rows = docs.select(*carried, source_key(F.col("source")).alias("key"), n_words(F.col("text")).alias("size"), draw.alias("draw"), (F.spark_partition_id() % _SALTS).alias("salt"))
     rows = written(rows.withColumn("bucket", F.conv(F.substring("draw", 1, 3), 16, 10).cast("int")), "sizes")
     wanted = written(targets(rows.groupBy("key").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
-    quota = quotas(wanted, shards, blocks_a_source).groupBy("key").agg(F.sum("quota").alias("quota"), F.first("block").alias("block"))
-    plan = wanted.join(quota, "key")
-    few = (F.col("block") > 1) & (F.col("source_size") < FEW * blocks_a_source * F.col("block"))
-    plan = plan.withColumn("quota", F.when(few, F.round("target").cast("long")).otherwise(F.col("quota")))
-    plan = plan.withColumn("block", F.when(few, F.lit(1).cast("long")).otherwise(F.col("block")))
-    plan = plan.withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")))
-    plan = plan.withColumn("quota", F.least(F.col("quota"), F.floor(F.col("blocks") * most)))
-    some = F.col("blocks") > 0
-    plan = plan.withColumn("passes", F.when(some, F.floor(F.col("quota") / F.col("blocks"))).otherwise(F.lit(0)))
-    plan = plan.withColumn("rate", F.when(some, (F.col("quota") - F.col("passes") * F.col("blocks")) / F.col("blocks")).otherwise(F.lit(0.0)))
-    plan = written(plan.withColumn("phase", _phase(seed)).select("key", "source_size", "target", "block", "passes", "rate", "phase"), "plan")
-    placed = with_starts(rows, ["key"], "bucket", ["draw", "size"], {"first": (F.sum, F.col("size"), 0)}).join(plan, "key")
+    plan = written(_plan(wanted, shards, most, seed, blocks_a_source), "plan")
+    dropped(wanted)
+    placed = _placed(rows).join(plan, "key")
 
     def chosen(b: Column) -> Column:
         """How many of the blocks before the b-th are chosen, besides the passes."""
@@ -137,18 +158,35 @@ def _mix(docs: DataFrame, carried: list[Column], weights: Sequence[float], share
         b = F.floor(x / F.col("block"))
         return F.col("block") * chosen(b) + (x - b * F.col("block")) * (chosen(b + 1) - chosen(b))
 
-    taken = F.col("passes") * F.col("size") + words(F.col("first") + F.col("size")) - words(F.col("first"))
+    # where the document is among its source's chosen words, pass by pass
+    last, a_pass = F.col("first") + F.col("size"), F.col("blocks") * F.col("block")
+    spread = F.struct((F.col("passes") * a_pass + words(F.col("first"))).alias("a"), (F.col("passes") * a_pass + words(last)).alias("b"))
+    whole = F.transform(F.sequence(F.lit(1), F.col("passes").cast("int")), lambda p: F.struct(((p - 1) * a_pass + F.col("first")).alias("a"), ((p - 1) * a_pass + last).alias("b")))
+    placed = placed.withColumn("runs", F.concat(F.when(F.col("passes") > 0, whole).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>")), F.array(spread)))
+
+    def of_shard(k: Column) -> Column:
+        """How many of the document's chosen words are the k-th shard's."""
+        low, high = F.when(k > 0, F.col("ends")[k - 1]).otherwise(F.lit(0)) * F.col("block"), F.col("ends")[k] * F.col("block")
+        return F.aggregate("runs", F.lit(0).cast("long"), lambda sum_, r: sum_ + F.greatest(F.least(r["b"], high) - F.greatest(r["a"], low), F.lit(0)))
+
+    by_shard = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), of_shard)
     at = F.floor(F.col("first") / F.col("block"))
     copies = F.col("passes") + chosen(at + 1) - chosen(at)
-    return placed.withColumns({"taken": taken.cast("long"), "copies": copies.cast("int")})
+    placed = placed.withColumns({"by_shard": by_shard, "copies": copies.cast("int")})
+    return placed.withColumn("taken", F.aggregate("by_shard", F.lit(0).cast("long"), lambda a, b: a + b))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, shards: int = SHARDS, blocks_a_source: int = BLOCKS_A_SOURCE) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words, repeats counted), first
-    (where the document starts in its source's stream) and copies: how often the
-    mix takes it if it takes documents whole."""
+    """doc_id, size, source_size, target, taken (words, repeats counted), by_shard (words
+    that each shard takes), first (where the document starts in its source's stream) and
+    copies: how often the mix takes it if it takes documents whole."""
     out = _mix(docs, [F.col("doc_id")], weights, share, most, seed, shards, blocks_a_source)
-    return out.select("doc_id", "size", "source_size", "target", "taken", "first", "copies")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "by_shard", "first", "copies")
+
+
+def first_shard(by_shard: Column) -> Column:
+    """The first shard that takes words of a document; null if none does."""
+    return F.nullif(F.array_position(F.transform(by_shard, lambda n: n > 0), F.lit(True)), F.lit(0)).cast("int") - 1
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, shards: int = SHARDS, blocks_a_source: int = BLOCKS_A_SOURCE) -> DataFrame:

@@ -48,7 +48,7 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", mixing.first_shard(F.col("by_shard")).alias("shard"))
 
 
 def op9_minhash_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,21 +114,23 @@ q as (select *, cap / w as ratio from w),
 l as (select *, (1.5::double * sum(source_size) over () - coalesce(sum(cap) over (order by ratio, rk rows between unbounded preceding and 1 preceding), 0))
               / (sum(w) over () - coalesce(sum(w) over (order by ratio, rk rows between unbounded preceding and 1 preceding), 0)) as level from q),
 t as (select source, rk, source_size, round(least(w * (select arg_min(level, [ratio, rk]) from l where level <= ratio), cap), 6) as target from l),
-b as (select *, greatest(1, floor(sum(target) over () / (count(*) over () * 2000)))::bigint as block from t),
+b as (select *, greatest(1, coalesce(floor(min(target) filter (where target > 0) over () / 1000), 1))::bigint as block from t),
 h as (select *, floor(sum(target) over () / block)::bigint as house from b),
-z as (select h.rk, row_number() over (order by target / (2 * seat - 1) desc, seat, rk) as place, house
+z as (select h.rk, row_number() over (order by target / (2 * seat - 1) desc, rk) as place, house
       from h, lateral (select unnest(generate_series(1, (target * 1.01 / block)::bigint + 10)) as seat) where target > 0),
-u as (select rk, count(*) filter (where place <= house) as quota from z group by rk),
-p as (select h.*, ceil(source_size / block)::bigint as blocks, coalesce(quota, 0) as q0 from h left join u using (rk)),
-a as (select *, least(q0, 2 * blocks) as quota from p),
+u as (select rk, list_transform(range(1, 9), lambda s: len(list_filter(list(place), lambda p: p <= house * s // 8))) as e0 from z group by rk, house),
+p as (select h.*, ceil(source_size / block)::bigint as blocks, coalesce(e0, [0, 0, 0, 0, 0, 0, 0, 0]) as e0 from h left join u using (rk)),
+a as (select *, list_transform(e0, lambda e: least(e, 2 * blocks)) as ends, least(e0[8], 2 * blocks) as quota from p),
 c as (select *, case when blocks > 0 then quota // blocks else 0 end as passes,
              case when blocks > 0 then (quota - quota // blocks * blocks) / blocks else 0.0 end as rate,
              ('0x' || substr(md5('mix-1|' || coalesce('0' || source, '1')), 1, 8))::bigint / 4294967296.0 as phase from a),
 o as (select d.*, coalesce(sum(size) over (partition by source order by draw, size rows between unbounded preceding and 1 preceding), 0)::bigint as first from d),
 x as (select o.doc_id, o.size, o.first, c.* exclude (source), first // block as b1, (first + o.size) // block as b2 from o join c on o.source is not distinct from c.source),
 y as (select *, block * floor(b1 * rate + phase) + (first - b1 * block) * (floor((b1 + 1) * rate + phase) - floor(b1 * rate + phase)) as w1,
-             block * floor(b2 * rate + phase) + (first + size - b2 * block) * (floor((b2 + 1) * rate + phase) - floor(b2 * rate + phase)) as w2 from x)
-select doc_id, cast(size as bigint) as size, source_size, target, cast(passes * size + w2 - w1 as bigint) as taken from y
+             block * floor(b2 * rate + phase) + (first + size - b2 * block) * (floor((b2 + 1) * rate + phase) - floor(b2 * rate + phase)) as w2 from x),
+v as (select *, case when size = 0 then null when passes > 0 then first when w2 > w1 then w1 end::bigint as began from y)
+select doc_id, cast(size as bigint) as size, source_size, target, cast(passes * size + w2 - w1 as bigint) as taken,
+       len(list_filter(ends, lambda e: e * block <= began))::integer + case when began is null then null else 0 end as shard from v
 """
 
 _OP2 = """
