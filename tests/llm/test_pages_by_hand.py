@@ -9,6 +9,9 @@ import pytest
 
 from winnow.llm import html_text
 
+#: 144 words; two of them make 20,736 names.
+DEEP = [a + b for a in ("ka", "lo", "mi", "nu", "pe", "qi", "ra", "so", "tu", "ve", "wi", "zo") for b in ("bel", "dor", "fin", "gam", "hul", "jas", "kem", "lip", "mon", "nar", "pus", "ret")]
+
 NEWS = """<!doctype html><html><head><title>x</title><link rel="stylesheet" href="a.css"></head><body class="story-page">
 <header class="masthead"><a class="logo" href="/">The Daily Lantern</a><nav aria-label="Sections"><a href="/w">World</a> <a href="/b">Business</a> <a href="/s">Sport</a></nav></header>
 <div id="cookie-banner"><p>We use cookies to improve your visit. By staying you agree.</p><button>Accept</button></div>
@@ -60,3 +63,28 @@ def test_blocks_that_the_layouts_are_told_by():
         wrong += sum(("+" in b.text) != bool(t) for b, t in zip(marked, told, strict=True))
         total += len(marked)
     assert total > 50 and wrong <= 1
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "".join(f'<div class="{a}{b} name{a}">text {a} {b}' for a in DEEP for b in DEEP),
+        "".join(f'<div class="content sidebar {a}{b}"><b>text {a} {b}' for a in DEEP for b in DEEP),
+        "<ul>" + "<b>" * 20_000 + "<li>one</li>" * 20_000,
+        "<i>" * 20_000 + "</u>" * 20_000 + "<p>text" * 20_000,
+        '<div class="' + "alpha " * 20_000 + '">' + "<p>text</p>" * 20_000,
+    ],
+)
+def test_deep_pages_take_linear_time_and_memory(page):
+    """20,000 unclosed elements, each with names of its own; end tags of nothing; items far from their list."""
+    import time
+    import tracemalloc
+
+    model = html_text.Field({"bias": 1.0, "name:content": 0.5, "name:sidebar": -0.2, "near:content": 0.1, "tag:div": 0.3})
+    began = time.process_time()
+    text = html_text.main_text(page, model)
+    assert time.process_time() - began < 3 and len(text.split("\n")) >= 1
+    tracemalloc.start()
+    assert html_text.main_text(page, model) == text
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()

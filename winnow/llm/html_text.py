@@ -13,8 +13,8 @@ anything of its words, names or layout, goes in when the field is trained.
 Cases: null or empty html, and pages without main blocks, give an empty text.
 Broken markup is read as browsers do in the main: unknown end tags are passed
 over, and paragraphs, items and cells end where the next begins. Null and repeated
-page_ids pass through, one row for each input row. An empty table gives an empty
-result. Columns beside page_id, url and html aren't read.
+page_ids pass through, one row for each input row. Time and memory are linear in a
+page's length, however deep its elements lie. An empty table gives an empty result. Columns beside page_id, url and html aren't read.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from __future__ import annotations
 import html as _html
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +62,7 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 @dataclass
 class Block:
     """A leaf block: its text, its tag, the tags and name words of its ancestors, the innermost
-    of them that is a part of a page and the innermost names, and letters in links."""
+    of them that is a part of a page and the innermost names, whether any has names, and letters in links."""
 
     text: str
     tag: str
@@ -69,6 +70,7 @@ class Block:
     names: frozenset[str]
     area: str
     near: frozenset[str]
+    named: bool
     linked: int
 
 
@@ -97,28 +99,59 @@ def _unread(tokens: list[re.Match[str]]) -> dict[int, int]:
     return out
 
 
-def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page, in order; those without text are left out."""
+class _Open:
+    """The elements that are open, and where each tag and the blocks among them are, so
+    that nothing looks through the whole of a deep page."""
+
+    def __init__(self) -> None:
+        self.path: list[tuple[str, frozenset[str], frozenset[str], str, frozenset[str], bool]] = [("", _no_names, _no_names, "", _no_names, False)]
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, name: str, own: frozenset[str], known: frozenset[str] | None) -> None:
+        _, tags, names, area, near, named = self.path[-1]
+        self.at.setdefault(name, []).append(len(self.path))
+        if name in _BLOCKS:
+            self.blocks.append(len(self.path))
+        named = named or bool(own)
+        kept = own if known is None else own & known
+        # sets are shared by all elements that add nothing to them
+        tags = tags if name in tags or name not in _TAGS else tags | {name}
+        self.path.append((name, tags, names if kept <= names else names | kept, name if name in _AREAS else area, kept if own else near, named))
+
+    def pop(self, to: int) -> None:
+        for name, *_ in self.path[to:]:
+            self.at[name].pop()
+        del self.path[to:]
+        while self.blocks and self.blocks[-1] >= to:
+            self.blocks.pop()
+
+    def last(self, names: Iterable[str]) -> int:
+        """Where the innermost of the open elements with these names is, 0 if none is open."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+
+
+def blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
+    """The leaf blocks of a page, in order; those without text are left out.
+
+    Of the names of ancestors only the known ones are kept, if those are given: what a
+    block has is then bounded, however deep the page is.
+    """
     out: list[Block] = []
-    open_: list[tuple[str, frozenset[str], frozenset[str], str, frozenset[str]]] = [("", _no_names, _no_names, "", _no_names)]
+    open_ = _Open()
     text: list[str] = []
-    linked = links = at = 0
+    linked = at = 0
 
     def close() -> None:
         nonlocal linked
         if text:
             joined = " ".join(_html.unescape("".join(text)).split())
             if joined:
-                tag = next((x[0] for x in reversed(open_) if x[0] in _BLOCKS), "")
-                out.append(Block(joined, tag, *open_[-1][1:], linked))
+                tag = open_.path[open_.blocks[-1]][0] if open_.blocks else ""
+                out.append(Block(joined, tag, *open_.path[-1][1:], linked))
             text.clear()
         linked = 0
 
-    def pop(to: int) -> None:
-        nonlocal links
-        links -= sum(x[0] == "a" for x in open_[to:])
-        del open_[to:]
-
     tokens = list(_TOKEN.finditer(page))
     unread = _unread(tokens)
     for m in tokens:
@@ -126,7 +159,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if m.start() > at:
             text.append(page[at : m.start()])
-            if links:
+            if open_.at.get("a"):
                 linked += m.start() - at
         at = unread.get(m.start(), m.end())
         if at > m.end():
@@ -143,28 +176,23 @@ def blocks(page: str) -> list[Block]:
         if name in _BLOCKS:
             close()
         if m[2] or m[5]:
-            found = next((i for i in range(len(open_) - 1, 0, -1) if open_[i][0] == name), 0)
+            found = open_.last((name,))
             if found:
-                pop(found)
+                open_.pop(found)
             continue
         if name in _VOID:
             continue
         if name in _ENDS:
             ends, within = _ENDS[name]
-            found = next((i for i in range(len(open_) - 1, 0, -1) if open_[i][0] in ends or open_[i][0] in within), 0)
-            if found and open_[found][0] in ends:
-                pop(found)
-        elif name in _BLOCKS:
-            found = next((i for i in range(len(open_) - 1, 0, -1) if open_[i][0] in _BLOCKS), 0)
-            if found and open_[found][0] == "p":
-                pop(found)
+            found = open_.last(ends)
+            if found > open_.last(within):
+                open_.pop(found)
+        elif name in _BLOCKS and open_.blocks and open_.path[open_.blocks[-1]][0] == "p":
+            open_.pop(open_.blocks[-1])
         attributes = m[4] or m[7] or ""
         if attributes.endswith("/"):
             continue
-        _, tags, names, area, near = open_[-1]
-        own = _names(attributes)
-        open_.append((name, tags | {name}, names | own, name if name in _AREAS else area, own or near))
-        links += name == "a"
+        open_.push(name, _names(attributes), known)
     if at < len(page):
         text.append(page[at:])
     close()
@@ -177,12 +205,16 @@ _MARK = re.compile(r"[©®›»·•]|\ball rights\b|\bcopyright\b", re.I)
 
 def features(page: list[Block]) -> list[list[str]]:
     """The features of each block of a page."""
-    out = []
+    return list(each_features(page))
+
+
+def each_features(page: list[Block]) -> Iterator[list[str]]:
+    """The features of one block after another, so that a long page need not have them all at once."""
     for i, b in enumerate(page):
         words = b.text.count(" ") + 1
         share = b.linked / len(b.text)
         f = ["bias", f"tag:{b.tag}", f"words:{min(words.bit_length(), 7)}", f"links:{0 if share < 0.05 else 1 if share < 0.5 else 2}"]
-        f += [f"in:{t}" for t in b.tags & _TAGS]
+        f += [f"in:{t}" for t in b.tags]
         f += [f"name:{n}" for n in b.names]
         f += [f"near:{n}" for n in b.near]
         f += [f"area:{b.area}", f"area:{b.area}:{b.tag}"]
@@ -190,12 +222,11 @@ def features(page: list[Block]) -> list[list[str]]:
         f.append(f"commas:{min(b.text.count(','), 3)}")
         if _MARK.search(b.text):
             f.append("mark")
-        if not b.names and not (b.tags & {"article", "main", "nav", "header", "footer", "aside", "form"}):
+        if not b.named and not (b.tags & {"article", "main", "nav", "header", "footer", "aside", "form"}):
             f.append("plain")
             f.append(f"plain:{min(words.bit_length(), 7)}")
         f += ["first"] * (i == 0) + ["last"] * (i == len(page) - 1)
-        out.append(f)
-    return out
+        yield f
 
 
 @dataclass
@@ -206,18 +237,26 @@ class Field:
     weights: dict[str, float] = field(default_factory=dict)
     pairs: tuple[tuple[float, float], tuple[float, float]] = ((0.0, 0.0), (0.0, 0.0))
 
-    def decode(self, rows: list[list[str]]) -> list[int]:
+    @cached_property
+    def names(self) -> frozenset[str]:
+        """The name words that have a weight."""
+        return frozenset(f.split(":", 1)[1] for f in self.weights if f.startswith(("name:", "near:")))
+
+    def decode(self, rows: Iterable[list[str]]) -> list[int]:
         """The most probable labels, by Viterbi."""
-        if not rows:
-            return []
         (p00, p01), (p10, p11) = self.pairs
         get, back = self.weights.get, []
-        zero, one = 0.0, sum(get(x, 0.0) for x in rows[0])
-        for f in rows[1:]:
+        zero = one = None
+        for f in rows:
             own = sum([get(x, 0.0) for x in f])
+            if zero is None:
+                zero, one = 0.0, own
+                continue
             b0, b1 = zero + p00 < one + p10, zero + p01 < one + p11
             back.append((b0, b1))
             zero, one = (one + p10 if b0 else zero + p00), (one + p11 if b1 else zero + p01) + own
+        if zero is None:
+            return []
         label = int(one > zero)
         out = [label]
         for b in reversed(back):
@@ -439,8 +478,8 @@ def trained_field() -> Field:
 
 def main_text(page: str | None, model: Field) -> str:
     """The main blocks of a page, joined by newlines."""
-    found = blocks(page or "")
-    return "\n".join(b.text for b, label in zip(found, model.decode(features(found)), strict=True) if label)
+    found = blocks(page or "", model.names)
+    return "\n".join(b.text for b, label in zip(found, model.decode(each_features(found)), strict=True) if label)
 
 
 def extract(pages: DataFrame, model: Field | None = None) -> DataFrame:
