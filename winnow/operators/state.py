@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -179,3 +181,15 @@ def appended(log: DataFrame, new: DataFrame) -> DataFrame:
     last = log.groupBy("job_id").agg(F.max("seq").alias("last"))
     more = new.join(last, "job_id", "left").withColumn("seq", F.coalesce("last", F.lit(0)) + F.col("place")).drop("last", "place")
     return log.unionByName(more)
+
+
+def upserted_rows(key: list[str], kept: list[str]) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """For a stored table: (old, new) -> the rows after an upsert. A new row takes the place of the old one
+    of its key, but for the columns that are kept; old rows without a new one stay."""
+
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        was = old.select(*key, *[F.col(c).alias(f"_{c}") for c in kept])
+        out = new.join(was, key, "left").withColumns({c: F.coalesce(f"_{c}", c) for c in kept}) if kept else new
+        return out.select(*old.columns).unionByName(old.join(new.select(*key), key, "left_anti"))
+
+    return merge

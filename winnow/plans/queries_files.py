@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from winnow.functions import media_types, text
 from winnow.plans.prelude import sql
 from winnow.plans.registry import query
 from winnow.sources import adapters as src
-from winnow.sources import files, schemas
+from winnow.sources import files, schemas, store
+from winnow.sources.shared import run_dir
 
 
 def _located(name, kind, bucket, prefix):
@@ -95,6 +99,42 @@ def copied_paths(spark, d):
     return files.copy_plan(paths, paths.where("path like '%originals%'"))
 
 
+_STORED = """select doc_id as id, case lang when 'en' then 'uploads/' else '' end || coalesce(source, 'none') || '/' || doc_id || '.txt' as file_path,
+case when n_chars > 2000 then coalesce(source, 'none') || '/thumbs/' || doc_id end as thumbnail_path, '' as optimized_path, cast(null as {string}) as compiled_path, text from documents"""
+
+
+def _folder(spark, name):
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("a24_migrated_files", f"""with m as ({_STORED.format(string="varchar")})
+select file_path as path, 'copied' as outcome, strlen(coalesce(text, ''))::bigint as size, md5(coalesce(text, '')) as md5 from m union all select thumbnail_path, 'failed', -1, '-' from m where thumbnail_path is not null""")
+def migrated_files(spark, d):
+    """Documents stored as files in one folder of the shared store and copied to another; their thumbnails
+    were never stored, so each of these fails by itself. Sizes and digests are read from the target."""
+    src.table(spark, d, "documents").createOrReplaceTempView("documents")
+    media = spark.sql(_STORED.format(string="string"))
+    one, two = _folder(spark, "store"), _folder(spark, "store")
+    store.save_files(media.select(F.col("file_path").alias("path"), F.col("text").alias("content")), one)
+    outcomes, _ = store.migrate(media, one, two)
+    outcome = F.when(F.col("outcome") == "failed", "failed").otherwise("copied")
+    out = outcomes.select("path", outcome.alias("outcome")).join(store.digests(outcomes, two), "path", "left")
+    return out.select("path", "outcome", F.coalesce("size", F.lit(-1).cast("long")).alias("size"), F.coalesce("md5", F.lit("-")).alias("md5"))
+
+
+@query("a18_merged_files", """with p as (select *, row_number() over (partition by conv_id order by turn, role, text) as part_no from conversations)
+select 'merged/' || conv_id || '.txt' as path, 'merged' as outcome, sum(strlen(coalesce(text, '')))::bigint as size, md5(string_agg(coalesce(text, ''), '' order by part_no)) as md5 from p group by conv_id""")
+def merged_files(spark, d):
+    """Turns stored as the parts of an upload for each conversation, and the uploads merged in the store."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    parts = src.table(spark, d, "conversations").select(F.col("conv_id").alias("upload_id"), F.row_number().over(w).alias("part_no"), F.coalesce("text", F.lit("")).alias("content"))
+    root = _folder(spark, "store")
+    store.save_parts(parts, root)
+    uploads = parts.groupBy("upload_id").agg(F.count("*").alias("total_parts")).withColumn("path", F.concat(F.lit("merged/"), F.col("upload_id"), F.lit(".txt")))
+    done = store.complete_uploads(uploads, root)
+    return done.select("path", "outcome").join(store.digests(uploads, root), "path")
+
+
 @query("a26_thumbnail_sources", sql("media", """select id, coalesce(nullif(thumbnail_path, ''), case when media_type = 'image' then coalesce(nullif(optimized_path, ''), file_path) end) as thumbnail_from,
 nullif(thumbnail_path, '') is null and media_type = 'image' as made from media"""))
 def thumbnail_sources(spark, d):

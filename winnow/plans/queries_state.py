@@ -7,11 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from winnow.operators import state
+from winnow.plans import queries_video
 from winnow.plans.prelude import sql
 from winnow.plans.registry import query
 from winnow.sources import adapters as src
+from winnow.sources import store
 from winnow.sources.shared import run_dir
-from winnow.streaming import progress
+from winnow.sources.tables import Versions, save_bucketed
+from winnow.streaming import heartbeat, ingest, progress
 
 _SEQ = "q as (select *, row_number() over (partition by job_id order by created_at, id) as seq from jobev)"
 
@@ -314,3 +317,100 @@ def nine_step_progress(spark, d):
 def kept_values(spark, d):
     """An update that keeps what is there."""
     return src.media(spark, d).select("id", F.coalesce("quality_score", F.col("width") / 10000).alias("quality_score"))
+
+
+_SEGMENTS = "media_id long, segment_index int, id string, selected boolean"
+
+
+@query("o7_stored_upsert", sql("segs1", """with o as (select media_id, segment_index, 'old' || segment_index as id, segment_index % 2 = 0 as selected from segs1 where segment_index % 5 <> 4), n as (select media_id, segment_index, 'new' || segment_index as id, false as selected from segs1 where segment_index % 3 <> 1 and media_id % 7 = 0)
+select n.media_id, n.segment_index, coalesce(o.id, n.id) as id, coalesce(o.selected, n.selected) as selected from n left join o using (media_id, segment_index) union all select o.media_id, o.segment_index, o.id, o.selected from o anti join n on n.media_id = o.media_id and n.segment_index = o.segment_index"""))
+def stored_upsert(spark, d):
+    """Two analyses written to a stored table, the second of every seventh video: only the parts it falls in are
+    replaced, ids and choices of segments that were there are kept, and so are segments that weren't found again."""
+    s = queries_video.segments(spark, d).select("media_id", "segment_index")
+    i = F.col("segment_index")
+    table = Versions(spark, f"{run_dir(spark)}/segments-{uuid.uuid4().hex}", _SEGMENTS, ["media_id"])
+    table.replace(s.where("segment_index % 5 <> 4").select("media_id", "segment_index", F.concat(F.lit("old"), i).alias("id"), (i % 2 == 0).alias("selected")))
+    new = s.where("segment_index % 3 <> 1 and media_id % 7 = 0").select("media_id", "segment_index", F.concat(F.lit("new"), i).alias("id"), F.lit(False).alias("selected"))
+    table.change(new, state.upserted_rows(["media_id", "segment_index"], ["id", "selected"]))
+    return table.read()
+
+
+@query("o2_stored_decisions", sql("media", """with d as (select id, case when width % 300 = 0 then 'trashed' else 'active' end as status, 'people' as category from media where width % 200 = 0)
+select m.id, coalesce(d.status, m.status) as status, coalesce(d.category, m.category) as category from media m left join d using (id)"""))
+def stored_decisions(spark, d):
+    """Decisions for some media, written to the stored table in one commit."""
+    m = src.media(spark, d).select("id", "status", "category", "width")
+    table = Versions(spark, f"{run_dir(spark)}/media-{uuid.uuid4().hex}", "id string, status string, category string", ["id"])
+    table.replace(m)
+    decided = m.where("width % 200 = 0").select("id", F.when(F.col("width") % 300 == 0, "trashed").otherwise("active").alias("status"), F.lit("people").alias("category"))
+    table.change(decided, state.upserted_rows(["id"], []))
+    return table.read()
+
+
+@query("d3_bucketed_media", sql("trips media", "select m.id, t.title from media m join trips t on t.id = m.trip_id"))
+def bucketed_media(spark, d):
+    """Media joined to their trips as both lie in bucketed tables, without a shuffle."""
+    name = uuid.uuid4().hex
+    t = save_bucketed(src.trips(spark, d).select(F.col("id").alias("trip_id"), "title"), f"trips_{name}", "trip_id", path=f"{run_dir(spark)}/trips-{name}")
+    m = save_bucketed(src.media(spark, d).select("id", "trip_id"), f"media_{name}", "trip_id", path=f"{run_dir(spark)}/media-{name}")
+    return m.join(t.hint("merge"), "trip_id").select("id", "title")
+
+
+def _event_files(spark, d):
+    """The log of jobs as a stream, all files in one batch."""
+    # as a pattern, as the table may be one file or a folder of them
+    files = spark.readStream.schema(src.table(spark, d, "events").schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{d}/events.parque[t]")
+    return src.as_job_events(files)
+
+
+_SIX_HOURS, _DAY = 21_600_000, 86_400_000
+_SENT = f"""with e as (select job_id, id, status, epoch_us(created_at) // 1000 as at_ms from jobev),
+o as (select *, coalesce(count(*) filter (where status in ('completed', 'failed')) over (partition by job_id order by at_ms, id rows between unbounded preceding and 1 preceding), 0) as over_,
+lead(at_ms) over (partition by job_id order by at_ms, id) as next from e), k as (select * from o where over_ = 0)
+select job_id, case status when 'completed' then 'complete' when 'failed' then 'error' else 'progress' end as kind, at_ms, id from k
+union all select job_id, 'heartbeat', unnest(generate_series(at_ms + {_SIX_HOURS}, coalesce(next - 1, (select max(at_ms) - {_DAY} from e)), {_SIX_HOURS})), -1 from k where status not in ('completed', 'failed')"""
+
+
+@query("p5_listeners", sql("jobev", _SENT))
+def listeners(spark, d):
+    """What listeners to all jobs are sent until a day before the log ends: events, a heartbeat after every six
+    hours without one, and nothing after the job's end."""
+    e = src.job_events(spark, d)
+    end = e.agg(F.max(F.unix_millis("created_at")).alias("end")).first()["end"]
+    return heartbeat.sent(e, (end or 0) - _DAY, _SIX_HOURS).withColumn("id", F.coalesce("id", F.lit(-1).cast("long")))
+
+
+@query("p5_listeners_streamed", sql("jobev", _SENT))
+def listeners_streamed(spark, d):
+    """The same by a stream with a state and a timer for each job, of which a batch of timers follows the last events."""
+    top = f"{run_dir(spark)}/listeners-{uuid.uuid4().hex}"
+    out = heartbeat.sent_stream(_event_files(spark, d), "1 day", _SIX_HOURS).writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/cursor").trigger(availableNow=True)
+    with heartbeat.rocksdb(spark):
+        out.start().awaitTermination()
+    return spark.read.schema(heartbeat.SENT).parquet(f"{top}/out").withColumn("id", F.coalesce("id", F.lit(-1).cast("long")))
+
+
+@query("p1_numbered_stream", sql("jobev", "select job_id, id, row_number() over (partition by job_id order by created_at, id) as seq, status from jobev"))
+def numbered_stream(spark, d):
+    """Events appended by a stream through a sink that writes each batch once and numbers a job's events on."""
+    top = f"{run_dir(spark)}/log-{uuid.uuid4().hex}"
+    sink = ingest.Sink(spark, f"{top}/log", "job_id", ["created_at", "id"])
+    progress.tail(_event_files(spark, d), f"{top}/cursor", sink.push).awaitTermination()
+    return sink.rows().select("job_id", "id", "seq", "status")
+
+
+@query("a12_ingested_stream", """with u as (select coalesce(source, 'none') as trip_id, 'f' || doc_id || case doc_id % 4 when 0 then '.jpg' when 1 then '.MP4' when 2 then '.txt' else '.png' end as name, doc_id % 4 as k, coalesce(text, '') as text from documents),
+r as (select md5(trip_id || '/' || name) as id, trip_id, name, case k when 1 then 'video' else 'image' end as media_type, strlen(text)::bigint as file_size, md5(text) as md5, count(*) over (partition by trip_id) as files from u where k <> 2)
+select id, trip_id, trip_id || '/originals/' || id || '.' || case when name like '%.MP4' then 'mp4' else right(name, 3) end as file_path, media_type, name as original_filename, file_size, md5, 'pending' as processing_status, files as last_seq, files as numbers from r""")
+def ingested_stream(spark, d):
+    """Documents as arriving files, in several batches: stored, and their rows numbered for each trip without gaps."""
+    top = f"{run_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    name = "concat('f', doc_id, case doc_id % 4 when 0 then '.jpg' when 1 then '.MP4' when 2 then '.txt' else '.png' end)"
+    arrived = src.table(spark, d, "documents").selectExpr(f"concat_ws('/', coalesce(source, 'none'), {name}) as path", "text as content")
+    n = store.save_files(arrived, f"{top}/in").count()
+    sink = ingest.Sink(spark, f"{top}/media", "trip_id", ["original_filename"])
+    ingest.ingest(ingest.arriving(spark, f"{top}/in", max(1, n // 2)), f"{top}/store", sink, f"{top}/cursor").awaitTermination()
+    rows = sink.rows()
+    seen = rows.groupBy("trip_id").agg(F.max("seq").alias("last_seq"), F.count_distinct("seq").alias("numbers"))
+    return rows.join(seen, "trip_id").select("id", "trip_id", "file_path", "media_type", "original_filename", "file_size", "md5", "processing_status", "last_seq", "numbers")

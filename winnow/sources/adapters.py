@@ -132,7 +132,11 @@ def pictures(spark: SparkSession, sf_dir: str, width: int, height: int, channels
 
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log of jobs, a job for each user of events."""
-    return table(spark, sf_dir, "events").selectExpr(
+    return as_job_events(table(spark, sf_dir, "events"))
+
+
+def as_job_events(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "event_id as id",
         "user_id as job_id",
         "cast(ts as timestamp) as created_at",
