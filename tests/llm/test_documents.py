@@ -506,3 +506,9 @@ def test_sharding_odd_rows(rows):
     assert len(got) == len(ODD)
     assert all(x.size == 8 and x.text_crc32 == 0 for x in got if x.doc_id in (1, 2))
     assert {x.law for x in got} == {"bytes"}
+
+
+def test_the_most_frequent_languages_are_learnt(rows):
+    data = [(i, f"{'abcdef'[k]}la {'uvwxyz'[k]}mi nok", f"l{k}", "s") for k in range(6) for i in range(6 - k)]
+    assert sorted(language.learn(documents(rows, data), languages=4)) == ["l0", "l1", "l2", "l3"]
+    assert sorted(language.learn(documents(rows, data + [(90, "gla", "a5", "s")]), languages=6)) == ["a5", "l0", "l1", "l2", "l3", "l4"]

@@ -273,3 +273,16 @@ def test_pipeline_stages(spark, tmp_path):
     mixed = stages["mixing"](spark, kept, str(tmp_path))
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in kept.collect()}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_chat_sql_with_long_conversations(spark, tmp_path):
+    """Conversations of 700, 300 and 256 turns, the second a prefix of the first: rows of 256 turns, as in the SQL."""
+    import duckdb
+
+    data = [(c, i, "user" if i % 2 else None, f"{'ab'[c == 4]} says {i}") for c, n in ((1, 700), (2, 300), (3, 256), (4, 257)) for i in range(n)]
+    spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = llm_queries.queries()["op4_chat_snapshot_collapse"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.execute(llm_queries.oracle_sql()["op4_chat_snapshot_collapse"]).fetchall())
+    assert sorted((r.conv_id, r.part) for r in got) == [(1, 0), (1, 1), (1, 2), (4, 0), (4, 1)]

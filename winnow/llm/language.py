@@ -220,16 +220,17 @@ class Parser:
         return [UND if n else self.names[b] for n, b in zip(none, best, strict=True)], np.where(none, 0.0, score)
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE, documents: int = DOCUMENTS) -> dict[str, str]:
+def learn(labelled: DataFrame, sample: int = SAMPLE, documents: int = DOCUMENTS, languages: int = LANGUAGES) -> dict[str, str]:
     """Labelled text for each language, from rows with doc_id, text and lang that is not null.
 
     As many whole documents as give `sample` symbols, in the order of a hash of
-    their texts, at most `documents` for each language.
+    their texts, at most `documents` for each language; the `languages` that have most
+    rows are learnt, and others are never told.
     """
     rows = labelled.where("lang is not null and text is not null").select("lang", "text")
-    times = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
-    if len(times) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    # ties in number go by name, so that reruns learn the same languages
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    times = {r["lang"]: r["n"] for r in most.collect()}
     if not times:
         return {}
     # a share of each language's rows that holds twice as many documents as are asked for

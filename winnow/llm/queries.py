@@ -99,9 +99,10 @@ s as (select conv_id, place, '<|im_start|>' || coalesce(role, 'unknown') || chr(
 r as (select conv_id, place, string_agg(said, '') over (partition by conv_id order by place rows between unbounded preceding and current row) as upto,
              count(*) over (partition by conv_id) as n from s),
 w as (select conv_id, n, upto from r where place = n),
-one as (select n, upto, min(conv_id) as conv_id from w group by n, upto)
-select conv_id, cast(0 as integer) as part, cast(n as bigint) as n_turns, upto as rendered from one
-where not exists (select 1 from r where r.place < r.n and r.place = one.n and r.upto = one.upto)
+one as (select n, upto, min(conv_id) as conv_id from w group by n, upto),
+k as (select conv_id, n from one where not exists (select 1 from r where r.place < r.n and r.place = one.n and r.upto = one.upto))
+select k.conv_id, cast((s.place - 1) // 256 as integer) as part, cast(k.n as bigint) as n_turns, string_agg(s.said, '' order by s.place) as rendered
+from k join s on s.conv_id is not distinct from k.conv_id group by all
 """
 
 _OP8 = r"""
