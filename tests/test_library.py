@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import struct
 import zlib
@@ -468,21 +469,97 @@ def test_noise_and_sharpness_by_loops(spark):
         assert got["plain_sharpness"] == pytest.approx(variance([[min(max(v, 0), 255) for v in row] for row in plain_edges(g, 8, 9)]))
         large = [[g[i * 8 // 256][j * 9 // 256] for j in range(256)] for i in range(256)]
         assert got["noise"] == pytest.approx(variance(plain_edges(large, 256, 256)) / (variance(large) + 1), rel=1e-9)
-        # a picture this small has tiles of about one pixel, each of which is stretched on its own
-        rows_, columns = ([n * k // 8 for k in range(9)] for n in (8, 9))
-        e = pixels.equalised(x)
-        for a, b in zip(rows_, rows_[1:], strict=False):
-            for c, d in zip(columns, columns[1:], strict=False):
-                tile = [int(g[i][j]) for i in range(a, b) for j in range(c, d)]
-                counts = [tile.count(v) for v in range(256)]
-                top = max(1.0, 2.0 * len(tile) / 256)
-                over = sum(max(n - top, 0) for n in counts)
-                for i in range(a, b):
-                    for j in range(c, d):
-                        below = sum(min(n, top) + over / 256 for n in counts[: g[i][j] + 1])
-                        assert e[i][j] == pytest.approx(below / len(tile) * 255)
-        assert got["sharpness"] == pytest.approx(variance([[min(max(round(v), 0), 255) for v in row] for row in plain_edges(e.tolist(), 8, 9)]))
-        assert got["blur_sharpness"] == pytest.approx(min(variance(plain_edges(e.tolist(), 8, 9)), variance(plain_edges(g, 8, 9))))
+
+
+def equalised_by_loops(g, h, w, tiles=8, limit=2.0):
+    """Local equalisation pixel by pixel: each tile's mapping, and the four mappings around a pixel weighed by nearness."""
+    down, across = min(tiles, h), min(tiles, w)
+    th, tw = -(-h // down), -(-w // across)
+    mirror = lambda i, n: i if i < n else 2 * n - 2 - i
+    maps = {}
+    for a in range(down):
+        for b in range(across):
+            values = [g[mirror(i, h)][mirror(j, w)] for i in range(a * th, (a + 1) * th) for j in range(b * tw, (b + 1) * tw)]
+            counts = [values.count(v) for v in range(256)]
+            top = max(1, int(limit * len(values) / 256))
+            over = sum(max(n - top, 0) for n in counts)
+            counts = [min(n, top) + over // 256 for n in counts]
+            rest = over % 256
+            at, step = 0, max(1, 256 // rest) if rest else 1
+            while rest:
+                counts[at] += 1
+                at, rest = at + step, rest - 1
+            maps[a, b] = [min(255, round(sum(counts[: v + 1]) * (255 / len(values)))) for v in range(256)]
+    out = []
+    for i in range(h):
+        row = []
+        for j in range(w):
+            y, x = i / th - 0.5, j / tw - 0.5
+            y1, x1 = math.floor(y), math.floor(x)
+            dy, dx = y - y1, x - x1
+            total = 0.0
+            for a, wy in ((max(y1, 0), 1 - dy), (min(y1 + 1, down - 1), dy)):
+                total += wy * sum(wx * maps[a, b][g[i][j]] for b, wx in ((max(x1, 0), 1 - dx), (min(x1 + 1, across - 1), dx)))
+            row.append(total)
+        out.append(row)
+    return out
+
+
+@pytest.mark.parametrize(("h", "w", "high"), [(64, 64, 255), (8, 9, 255), (41, 70, 90), (50, 33, 255), (3, 20, 255)])
+def test_local_equalisation_by_loops(h, w, high):
+    """Of pictures larger than the tiles are many, whose sides aren't whole tiles, and of small ones; and the measures that rest on it."""
+    import numpy as np
+
+    r = random.Random(h * w)
+    g = [[min(255, max(0, int(r.gauss(high / 2 + 40 * math.sin(i / 9 + j / 5), high / 8)))) for j in range(w)] for i in range(h)]
+    want = equalised_by_loops(g, h, w)
+    got = pixels.equalised(np.array(g, dtype=np.float64))
+    assert np.abs(got - np.array(want)).max() <= 0.5 + 1e-6  # rounded to bytes
+    edges = plain_edges(got.tolist(), h, w)
+    m = pixels.measure(w, h, 1, bytes(v for row in g for v in row), ("sharpness", "blur_sharpness"))
+    assert list(m) == ["sharpness", "blur_sharpness"]
+    assert m["sharpness"] == pytest.approx(variance([[min(max(round(v), 0), 255) for v in row] for row in edges]))
+    assert m["blur_sharpness"] == pytest.approx(min(variance(edges), variance(plain_edges(g, h, w))))
+
+
+def test_only_what_is_asked_for_is_measured(rows, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(pixels, "equalised", lambda *a: 1 / 0)
+    monkeypatch.setattr(pixels, "resized", lambda *a: 1 / 0)
+    assert pixels.measure(3, 2, 1, bytes(range(6)), ("brightness", "plain_sharpness"))["brightness"] == 2.5
+    with pytest.raises(ZeroDivisionError):
+        pixels.measure(3, 2, 1, bytes(range(6)), ("noise",))
+    assert np.isfinite(pixels.measure(3, 2, 3, bytes(range(18)), ("cast_r",))["cast_r"])
+
+
+def scene_scores_by_loops(frames):
+    out, was, before = [], None, None
+    for t, p in sorted(frames):
+        change = None if was is None or len(was) != len(p) or not p else sum(abs(a - b) for a, b in zip(was, p, strict=True)) / len(p)
+        out.append((t, change, 0.0 if change is None else min(1.0, min(change, abs(change - (before or 0.0))) / 100)))
+        was, before = p, change
+    return out
+
+
+def test_scene_scores_by_loops(rows):
+    """Frames of several minutes with gaps, a change of size, frames at one time, single frames; in several tasks."""
+    r = random.Random(3)
+    videos = {1: [], 2: [(5.0, b"\x01\x02")], 3: [(0.0, b"")]}
+    base = bytes(r.randrange(256) for _ in range(48))
+    for k in range(300):
+        if r.random() < 0.1:
+            base = bytes(r.randrange(256) for _ in range(48 if k < 200 else 12))
+        videos[1].append((k * 0.9 + (200 if k > 120 else 0), bytes(min(255, b + r.randrange(4)) for b in base)))
+    videos[1].append(videos[1][7])
+    df = rows([(m, t, p, "x") for m, v in videos.items() for t, p in v], "media_id int, t double, pixels binary, step string").repartition(3)
+    got = sorted((x.media_id, x.t, x.change, x.score) for x in video.frame_scores(df).collect() if x.media_id == 1)
+    want = sorted((1, *x) for x in scene_scores_by_loops(videos[1]))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(g[2:] == pytest.approx(w[2:]) or (g[2] is None and w[2] is None) for g, w in zip(got, want, strict=True))
+    cuts = video.scene_cuts(df).collect()
+    assert len(cuts) == sum(w[3] > 0.3 for w in want) > 10
+    assert video.frame_scores(df).where("media_id > 1").count() == 2 and video.scene_cuts(df.where("false")).count() == 0
 
 
 def test_provider_cascade(rows):

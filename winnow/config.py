@@ -50,6 +50,7 @@ class VideoThresholds:
     slightly_shaky: float = 60.0
     segment_seconds: float = 2.0
     cut_margin: float = 0.5
+    scene: float = 0.3
     min_segment: float = 2.0
     score_proximity: float = 0.10
     adjacency_gap: float = 2.0

@@ -7,6 +7,9 @@ at a time. What has no pixels, or fewer bytes than its size says, measures null.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import cached_property
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,18 +52,41 @@ def laplacian(g: np.ndarray) -> np.ndarray:
 
 
 def equalised(g: np.ndarray, tiles: int = 8, limit: float = 2.0) -> np.ndarray:
-    """Contrast-limited equalisation, tile by tile."""
-    out = np.empty_like(g)
-    rows, columns = (np.linspace(0, n, min(tiles, n) + 1).astype(int) for n in g.shape)
-    for a, b in zip(rows, rows[1:], strict=False):
-        for c, d in zip(columns, columns[1:], strict=False):
-            t = np.clip(g[a:b, c:d], 0, 255).astype(np.int64)
-            h = np.bincount(t.ravel(), minlength=256).astype(np.float64)
-            top = max(1.0, limit * t.size / 256)
-            over = np.maximum(h - top, 0).sum()
-            h = np.minimum(h, top) + over / 256
-            out[a:b, c:d] = (np.cumsum(h) / t.size * 255)[t]
-    return out
+    """Contrast-limited local equalisation of a picture of bytes.
+
+    Each tile has a mapping of its own: the cumulated counts of its values, those over
+    the limit spread over all. A pixel's value is mapped by the four tiles whose centres
+    lie around it, by its nearness to them. Pictures are continued by reflection to whole tiles.
+    """
+    v = np.clip(np.rint(g), 0, 255).astype(np.int64)
+    h, w = v.shape
+    down, across = min(tiles, h), min(tiles, w)
+    more = (-h % down, -w % across)
+    v = np.pad(v, ((0, more[0]), (0, more[1])), mode="reflect" if more[0] < h and more[1] < w else "edge")
+    th, tw = v.shape[0] // down, v.shape[1] // across
+    area = th * tw
+    tile = (np.arange(v.shape[0]) // th * across)[:, None] + np.arange(v.shape[1]) // tw
+    counts = np.bincount((tile * 256 + v).ravel(), minlength=down * across * 256).reshape(-1, 256)
+    top = max(1, int(limit * area / 256))
+    over = np.maximum(counts - top, 0).sum(axis=1)
+    counts = np.minimum(counts, top) + (over // 256)[:, None]
+    for t, rest in enumerate(over % 256):
+        if rest:
+            counts[t, : rest * max(1, 256 // rest) : max(1, 256 // rest)] += 1
+    maps = np.clip(np.rint(counts.cumsum(axis=1) * (255 / area)), 0, 255).reshape(down, across, 256)
+
+    def around(n: int, size: int, tiles: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tiles before and after each of n places, and how near the second is."""
+        at = np.arange(n) / size - 0.5
+        first = np.floor(at).astype(np.int64)
+        return np.maximum(first, 0), np.minimum(first + 1, tiles - 1), at - first
+
+    v = v[:h, :w]
+    y1, y2, dy = (x[:, None] for x in around(h, th, down))
+    x1, x2, dx = around(w, tw, across)
+    upper = maps[y1, x1, v] * (1 - dx) + maps[y1, x2, v] * dx
+    lower = maps[y2, x1, v] * (1 - dx) + maps[y2, x2, v] * dx
+    return np.clip(np.rint(upper * (1 - dy) + lower * dy), 0, 255)
 
 
 def sharpness(g: np.ndarray, equalise: bool = True) -> float:
@@ -79,44 +105,64 @@ def hexadecimal(bits: np.ndarray) -> str:
     return np.packbits(bits.ravel().astype(np.uint8)).tobytes().hex()
 
 
-def measure(width: int, height: int, count: int, data: bytes) -> dict | None:
-    """All measures of one image, or None."""
+class Picture:
+    """One image, and what several of its measures need, worked out once and only if asked for."""
+
+    def __init__(self, rgb: np.ndarray) -> None:
+        self.rgb = rgb
+
+    grey = cached_property(lambda self: grey(self.rgb))
+    means = cached_property(lambda self: self.rgb.mean(axis=(0, 1)))
+    edges = cached_property(lambda self: laplacian(self.grey))
+    small = cached_property(lambda self: resized(self.grey, 256, 256))
+    eight = cached_property(lambda self: resized(self.grey, 8, 8))
+    nine = cached_property(lambda self: resized(self.grey, 8, 9))
+    big = cached_property(lambda self: resized(self.grey, 32, 32))
+
+    @cached_property
+    def exposure(self) -> tuple[float, float]:
+        histogram = np.bincount(np.clip(np.round(self.grey), 0, 255).astype(np.int64).ravel(), minlength=256) / self.grey.size
+        mean = float(histogram @ np.arange(256))
+        return mean, float(np.sqrt(max(0.0, histogram @ np.arange(256) ** 2 - mean**2)))
+
+
+_OF = {
+    "sharpness": lambda p: sharpness(p.grey),
+    "centre_sharpness": lambda p: sharpness(centre(p.grey)),
+    "plain_sharpness": lambda p: sharpness(p.grey, False),
+    "plain_centre_sharpness": lambda p: sharpness(centre(p.grey), False),
+    "blur_sharpness": lambda p: float(min(laplacian(equalised(p.grey)).var(), p.edges.var())),
+    "brightness": lambda p: float(p.means.mean()),
+    "contrast": lambda p: float(p.rgb.std(axis=(0, 1)).mean()),
+    "cast_r": lambda p: float(p.means[0] - p.means.mean()),
+    "cast_g": lambda p: float(p.means[1] - p.means.mean()),
+    "cast_b": lambda p: float(p.means[2] - p.means.mean()),
+    "noise": lambda p: float(laplacian(p.small).var() / (p.small.var() + 1)),
+    "exposure_mean": lambda p: p.exposure[0],
+    "exposure_stddev": lambda p: p.exposure[1],
+    "phash": lambda p: hexadecimal(p.eight > p.eight.mean()),
+    "dhash": lambda p: hexadecimal(p.nine[:, :-1] > p.nine[:, 1:]),
+    "legacy_phash": lambda p: hexadecimal(p.big[:8, :8] > p.big.mean()),
+}
+
+
+def measure(width: int, height: int, count: int, data: bytes, names: Sequence[str] = tuple(_OF)) -> dict | None:
+    """The named measures of one image, or None."""
     rgb = channels(width, height, count, data)
     if rgb is None:
         return None
-    g, means = grey(rgb), rgb.mean(axis=(0, 1))
-    small = resized(g, 256, 256)
-    nine, eight, big = resized(g, 8, 9), resized(g, 8, 8), resized(g, 32, 32)
-    histogram = np.bincount(np.clip(np.round(g), 0, 255).astype(np.int64).ravel(), minlength=256) / g.size
-    mean = float(histogram @ np.arange(256))
-    return {
-        "sharpness": sharpness(g),
-        "centre_sharpness": sharpness(centre(g)),
-        "plain_sharpness": sharpness(g, False),
-        "plain_centre_sharpness": sharpness(centre(g), False),
-        "blur_sharpness": float(min(laplacian(equalised(g)).var(), laplacian(g).var())),
-        "brightness": float(means.mean()),
-        "contrast": float(rgb.std(axis=(0, 1)).mean()),
-        "cast_r": float(means[0] - means.mean()),
-        "cast_g": float(means[1] - means.mean()),
-        "cast_b": float(means[2] - means.mean()),
-        "noise": float(laplacian(small).var() / (small.var() + 1)),
-        "exposure_mean": mean,
-        "exposure_stddev": float(np.sqrt(max(0.0, histogram @ np.arange(256) ** 2 - mean**2))),
-        "phash": hexadecimal(eight > eight.mean()),
-        "dhash": hexadecimal(nine[:, :-1] > nine[:, 1:]),
-        "legacy_phash": hexadecimal(big[:8, :8] > big.mean()),
-    }
-
-
-def measured(images: DataFrame) -> DataFrame:
-    """images (width, height, channels, data) with a struct `measures`."""
+    p = Picture(rgb)
+    return {n: _OF[n](p) for n in names}
+
+
+def measured(images: DataFrame, names: Sequence[str] = tuple(_OF)) -> DataFrame:
+    """images (width, height, channels, data) with a struct `measures` of the named ones; no others are worked out."""
     ship(images.sparkSession)
+    kinds = dict(m.split() for m in MEASURES.split(", "))
 
-    @F.pandas_udf(MEASURES)
+    @F.pandas_udf(", ".join(f"{n} {kinds[n]}" for n in names))
     def run(width: pd.Series, height: pd.Series, count: pd.Series, data: pd.Series) -> pd.DataFrame:
-        names = [m.split()[0] for m in MEASURES.split(", ")]
-        return pd.DataFrame([measure(*x) or dict.fromkeys(names) for x in zip(width, height, count, data, strict=True)], columns=names)
+        return pd.DataFrame([measure(*x, names) or dict.fromkeys(names) for x in zip(width, height, count, data, strict=True)], columns=list(names))
 
     return images.withColumn("measures", run("width", "height", "channels", "data"))
 

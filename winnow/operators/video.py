@@ -6,6 +6,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,47 @@ def parse_cuts(logs: DataFrame) -> DataFrame:
     return lines.select("media_id", t.alias("t"), F.coalesce(score, F.lit(0.0)).alias("score")).where("t is not null")
 
 
+#: Seconds of a video whose frames meet in one task.
+FRAME_STEP = 60.0
+
+
+def frame_scores(frames: DataFrame) -> DataFrame:
+    """How much each frame (media_id, t, pixels) starts a new scene: media_id, t, change and score.
+
+    change is the mean absolute difference of bytes to the frame before, score the
+    lesser of it and of its difference to the change before, by 100 and at most 1, as
+    scene filters of video tools have it. The first frame, and one after a frame of
+    another size, has no change and the score 0. Frames at one time go by pixels.
+    Frames meet by steps of time; what a step needs of the one before it is that
+    step's last frame, so no video is too long.
+    """
+    ship(frames.sparkSession)
+
+    @F.pandas_udf("double")
+    def difference(a: pd.Series, b: pd.Series) -> pd.Series:
+        same = lambda x, y: None if not x or not y or len(x) != len(y) else float(np.abs(np.frombuffer(x, np.uint8).astype(np.int16) - np.frombuffer(y, np.uint8)).mean())
+        return pd.Series([same(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    def before(df: DataFrame, column: str, name: str) -> DataFrame:
+        """df with the column's value in the frame before, of the same step or of the last one before it."""
+        w = Window.partitionBy("media_id", "step").orderBy("t", "pixels")
+        last = df.groupBy("media_id", "step").agg(F.max_by(F.struct(F.col(column).alias("x")), F.struct("t", "pixels")).alias("last"))
+        last = last.select("media_id", "step", F.lag("last").over(Window.partitionBy("media_id").orderBy("step")).alias("last"))
+        out = df.withColumns({"_n": F.row_number().over(w), "_lag": F.lag(column).over(w)}).join(last, ["media_id", "step"])
+        return out.withColumn(name, F.when(F.col("_n") == 1, F.col("last.x")).otherwise(F.col("_lag"))).drop("_n", "_lag", "last")
+
+    rows = frames.select("media_id", "t", "pixels", F.floor(F.col("t") / FRAME_STEP).alias("step"))
+    rows = before(rows, "pixels", "was").withColumn("change", difference("pixels", "was")).drop("was")
+    rows = before(rows, "change", "change_before")
+    score = F.least(F.least("change", F.abs(F.col("change") - F.coalesce("change_before", F.lit(0.0)))) / 100, F.lit(1.0))
+    return rows.select("media_id", "t", "change", F.when(F.col("change").isNull(), 0.0).otherwise(score).alias("score"))
+
+
+def scene_cuts(frames: DataFrame, t: VideoThresholds = VideoThresholds()) -> DataFrame:
+    """Scene cuts (media_id, t, score) of videos, from their frames."""
+    return frame_scores(frames).where(F.col("score") > t.scene).select("media_id", "t", "score")
+
+
 def cut_points(videos: DataFrame, cuts: DataFrame) -> DataFrame:
     """Where segments may begin or end (media_id, pos from 0, t): cuts, and the video's own ends, each once, in order."""
     points = videos.select("media_id", F.explode(F.array(F.lit(0.0), F.col("duration"))).alias("t")).union(cuts.select("media_id", "t")).distinct()

@@ -54,6 +54,20 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         from (select a.trip_id, a.seq, a.v, b.w, case when a.seq % 2 = 0 then 0.0::double else (60 + a.seq % 7 * 5)::double / 100 end as c
         from vecs0 a join (select trip_id, scene, arg_min(v, seq) as w from vecs0 group by trip_id, scene) b using (trip_id, scene))""",
     ),
+    "frames": (
+        ("vecs0",),
+        """select a.trip_id as media_id, a.seq / 2.0::double as t, list_transform(list_zip(a.v, b.w), lambda z: least(255, greatest(0, floor(128 + 600 * (z[1] * 0.1::double + z[2] * 0.9::double))))) as p
+        from vecs0 a join (select trip_id, scene, arg_min(v, seq) as w from vecs0 group by trip_id, scene) b using (trip_id, scene)""",
+    ),
+    "changes": (
+        ("frames",),
+        """select media_id, t, list_avg(list_transform(list_zip(p, q), lambda z: abs(z[1] - z[2]))) as change from (select *, lag(p) over (partition by media_id order by t) as q from frames) where q is not null
+        union all select media_id, min(t), null from frames group by media_id""",
+    ),
+    "scores": (
+        ("changes",),
+        """select media_id, t, change, coalesce(least(change, abs(change - coalesce(lag(change) over (partition by media_id order by t), 0))) / 100, 0) as score from changes""",
+    ),
     "hashed": (
         ("vecs",),
         f"""select trip_id, seq, v, xor(('0x' || substr(md5('p' || trip_id || '~' || seq // {SCENE}), 1, 16))::ubigint, ((1 << (seq * 7 % 9)) - 1)::ubigint) as phash,

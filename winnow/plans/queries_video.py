@@ -27,6 +27,24 @@ def _targets(spark, d):
     return src.cuts(spark, d).select("media_id", "duration").distinct().select("media_id", scores.target_duration(F.col("duration")).alias("target"))
 
 
+@query("n1_frame_scores", sql("scores", "select media_id, t, round(coalesce(change, -1), 9) as change, round(score, 9) as score from scores"))
+def frame_scores(spark, d):
+    """How much each frame differs from the one before it, and starts a new scene."""
+    s = video.frame_scores(src.frames(spark, d))
+    return s.select("media_id", "t", F.round(F.coalesce("change", F.lit(-1.0)), 9).alias("change"), F.round("score", 9).alias("score"))
+
+
+@query("n1_segments_from_frames", sql("scores", """with d as (select media_id, max(t) + 0.5 as duration from scores group by media_id), p as (select media_id, t from scores where score > 0.3 union select media_id, 0.0 from d union select media_id, duration from d),
+b as (select *, lead(t) over w as next, row_number() over w as rn, lead(t, 2) over w is null as last from p window w as (partition by media_id order by t)),
+s as (select media_id, case when rn = 1 then t else least(t + 0.5, next) end as s, next, last from b where next is not null), e as (select media_id, s as start, case when last then next else greatest(next - 0.5, s) end as "end" from s)
+select media_id, start, "end", (row_number() over (partition by media_id order by start) - 1)::int as segment_index from e where "end" > start"""))
+def segments_from_frames(spark, d):
+    """From frames to scene cuts to segments."""
+    f = src.frames(spark, d)
+    videos = f.groupBy("media_id").agg((F.max("t") + 0.5).alias("duration"))
+    return video.indexed(video.boundaries(videos, video.scene_cuts(f))).select("media_id", "start", "end", "segment_index")
+
+
 @query("n2_segment_boundaries", sql("segs1", 'select media_id, start, end_ as "end", segment_index from segs1'))
 def segment_boundaries(spark, d):
     return segments(spark, d).select("media_id", "start", "end", "segment_index")

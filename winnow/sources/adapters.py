@@ -122,14 +122,24 @@ def curated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pictures(spark: SparkSession, sf_dir: str, width: int, height: int, channels: int) -> DataFrame:
-    """Decoded images of one size, one for each vector, with bytes made of its number."""
-    n = width * height * channels
-    byte = "hex(cast((seq * 7 + i * 13 + (i * i) % 31 * (seq % 5 + 1)) % 256 as int))"
-    data = f"unhex(array_join(transform(sequence(0, {n - 1}), i -> lpad({byte}, 2, '0')), ''))"
-    e = table(spark, sf_dir, "embeddings").selectExpr("label as trip_id", "vec_id as seq")
+    """Decoded images of one size, one for each vector: a byte is made of the numbers of its row and of its column, turned by channel."""
+    n, row = width * height * channels, width * channels
+    at = lambda k: f"v[cast(({k}) % size(v) as int)]"
+    value = f"floor(128 + 200 * ({at(f'i div {row} + 21 * (i % {channels})')} + {at(f'i % {row} div {channels}')}))"
+    data = f"unhex(array_join(transform(sequence(0, {n - 1}), i -> lpad(hex(cast(least(255, greatest(0, {value})) as int)), 2, '0')), ''))"
+    e = table(spark, sf_dir, "embeddings").selectExpr("label as trip_id", "vec_id as seq", "transform(embedding, x -> cast(x as double)) as v")
     return e.selectExpr("trip_id", "seq", f"{width} as width", f"{height} as height", f"{channels} as channels", f"{data} as data")
 
 
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames (media_id, t, pixels of 8 x 8) of a video for each label, half a second for each number: of
+    each scene its first, with a tenth of each frame's own vector."""
+    e = table(spark, sf_dir, "embeddings").selectExpr("label as media_id", "vec_id as seq", "transform(embedding, x -> cast(x as double)) as v", f"vec_id div {SCENE} as scene")
+    first = e.groupBy("media_id", "scene").agg(F.min_by("v", "seq").alias("w"))
+    pixel = "lpad(hex(cast(least(255, greatest(0, floor(128 + 600 * (x * 0.1D + y * 0.9D)))) as int)), 2, '0')"
+    return e.join(first, ["media_id", "scene"]).selectExpr("media_id", "seq / 2.0D as t", f"unhex(array_join(zip_with(v, w, (x, y) -> {pixel}), '')) as pixels")
+
+
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log of jobs, a job for each user of events."""
     return as_job_events(table(spark, sf_dir, "events"))
