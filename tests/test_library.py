@@ -471,6 +471,42 @@ def test_noise_and_sharpness_by_loops(spark):
         assert got["noise"] == pytest.approx(variance(plain_edges(large, 256, 256)) / (variance(large) + 1), rel=1e-9)
 
 
+@pytest.mark.parametrize("k", [1, 3, 50, 51, 70])
+def test_nearest_by_sorting(k):
+    """Ties at the border included; and only what reaches it is sorted."""
+    import numpy as np
+
+    r = np.random.default_rng(k)
+    s = np.round(r.normal(size=(40, 51)), 1)
+    ids = r.permutation(1000)[:51]
+    rows_, columns = similarity.nearest(s, ids, k)
+    for i in range(40):
+        want = sorted(range(51), key=lambda j: (-s[i, j], ids[j]))[:k]
+        assert columns[rows_ == i].tolist() == want
+    assert similarity.nearest(np.zeros((2, 0)), ids[:0], k)[0].tolist() == []
+
+
+def test_top_k_sorts_little(monkeypatch):
+    import numpy as np
+
+    sizes = []
+    sort = np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sizes.append(len(keys[0])) or sort(keys))
+    similarity.nearest(np.random.default_rng(1).normal(size=(200, 2000)), np.arange(2000), 50)
+    assert sizes == [200 * 50]  # of 400,000 numbers
+
+
+def test_two_parts_of_hashes_are_equal(spark):
+    r = random.Random(9)
+    for _ in range(40):
+        base = r.getrandbits(64)
+        other = base
+        for bit in r.sample(range(64), 4):
+            other ^= 1 << bit
+        keys = [hashing.bands(hashing.parsed(F.lit(f"{x:016x}")), 6, together=2) for x in (base, other)]
+        assert one(spark, F.arrays_overlap(*keys)) and one(spark, F.size(keys[0])) == 15
+
+
 def equalised_by_loops(g, h, w, tiles=8, limit=2.0):
     """Local equalisation pixel by pixel: each tile's mapping, and the four mappings around a pixel weighed by nearness."""
     down, across = min(tiles, h), min(tiles, w)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,8 +60,9 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def bands(hash_: Column, count: int) -> Column:
-    """A number for each of `count` disjoint parts of a hash's 64 bits: two hashes
-    with fewer differences than parts share one."""
+def bands(hash_: Column, count: int, together: int = 1) -> Column:
+    """A number for each choice of `together` of `count` disjoint parts of a hash's 64 bits:
+    two hashes with fewer differences than count - together + 1 share one."""
     cuts = [64 * i // count for i in range(count + 1)]
-    return F.array(*[F.xxhash64(F.lit(i), F.shiftrightunsigned(F.shiftleft(hash_, a), 64 - b + a)) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+    parts = [F.shiftrightunsigned(F.shiftleft(hash_, a), 64 - b + a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return F.array(*[F.xxhash64(F.lit(n), *[parts[i] for i in chosen]) for n, chosen in enumerate(combinations(range(count), together))])

@@ -29,11 +29,12 @@ def with_hashes(rows: DataFrame) -> DataFrame:
 def hash_pairs(rows: DataFrame, distance: int = 4, md5: str | None = None) -> DataFrame:
     """Pairs i < j of a trip whose two hashes are both within the distance, or whose md5 are equal.
 
-    Hashes that differ in no more bits than `distance` share one of distance + 1
-    parts; candidates come from equality of parts, never from all pairs.
+    Hashes that differ in no more bits than `distance` share two of distance + 2
+    parts; candidates come from equality of two parts (a third of the bits at the
+    distance of 4, so that a key is one of two million), never from all pairs.
     """
     hashed = rows.where("phash is not null and dhash is not null")
-    parts = hashed.select("trip_id", "seq", "phash", "dhash", F.explode(hashing.bands(F.col("phash"), distance + 1)).alias("part"))
+    parts = hashed.select("trip_id", "seq", "phash", "dhash", F.explode(hashing.bands(F.col("phash"), distance + 2, together=2)).alias("part"))
     a, b = parts.alias("a"), parts.alias("b")
     near = (hashing.hamming(F.col("a.phash"), F.col("b.phash")) <= distance) & (hashing.hamming(F.col("a.dhash"), F.col("b.dhash")) <= distance)
     found = a.join(b, (F.col("a.trip_id") == F.col("b.trip_id")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.seq") < F.col("b.seq")) & near)
@@ -54,6 +55,21 @@ def hash_links(rows: DataFrame, distance: int = 4) -> DataFrame:
     return hash_pairs(first.withColumnRenamed("i", "seq"), distance).union(copies)
 
 
+def nearest(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k largest numbers of each row, ties to the smaller id. Only those that reach a
+    row's k-th largest are sorted; the rest is told from them by partition."""
+    if s.shape[1] > k:
+        hit = s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
+    else:
+        hit = np.ones(s.shape, dtype=bool)
+    r, c = np.nonzero(hit)
+    order = np.lexsort((ids[c], -s[r, c], r))
+    r, c = r[order], c[order]
+    first = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=len(s)))])[r]
+    kept = np.arange(len(r)) - first < k
+    return r[kept], c[kept]
+
+
 def cosine_pairs(rows: DataFrame, least: float, strict: bool = False, top_k: int | None = None, block: int = BLOCK) -> DataFrame:
     """Pairs i < j of a trip with a cosine of at least (strict: over) `least`, in double precision.
 
@@ -94,9 +110,7 @@ def cosine_pairs(rows: DataFrame, least: float, strict: bool = False, top_k: int
         x, ids = unit(table)
         a = table.column("left").to_numpy(zero_copy_only=False)
         s, p, q = x[a] @ x[~a].T, ids[a], ids[~a]
-        order = np.lexsort((np.broadcast_to(q, s.shape), -s), axis=1)[:, :top_k] if s.size else np.zeros((len(p), 0), dtype=np.int64)
-        r = np.repeat(np.arange(len(p)), order.shape[1])
-        c = order.ravel()
+        r, c = nearest(s, q, top_k)
         return pa.table({"trip_id": pa.array([table.column("trip_id")[0].as_py()] * len(r), table.schema.field("trip_id").type), "i": p[r], "j": q[c], "sim": s[r, c]})
 
     schema = f"trip_id {rows.schema['trip_id'].dataType.simpleString()}, i long, j long, sim double"

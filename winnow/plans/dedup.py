@@ -29,13 +29,20 @@ class Assessment:
         return self.evidence.agg(has("hash").alias("hash"), has("tiered", "gray").alias("tiered"), has("dense").alias("dense"))
 
 
-def review_gray(gray: DataFrame, t: DedupThresholds, reviewer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Gray pairs with `confirmed`: by a reviewer's verdicts (trip_id, i, j, is_duplicate), and where there is none by the strict threshold."""
-    strict = F.col("sim") >= t.strict
+def reviewed(tiers: DataFrame, t: DedupThresholds, reviewer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Pairs of tiers with `confirmed`: sure ones are; of gray ones those that a reviewer's verdicts (trip_id, i, j,
+    is_duplicate) are for, or, where there is none, that reach the strict threshold. Only gray pairs are reviewed."""
+    sure, strict = F.col("tier") == "confirmed", F.col("sim") >= t.strict
     if reviewer is None:
-        return gray.withColumn("confirmed", strict)
-    verdicts = reviewer(gray).select("trip_id", "i", "j", "is_duplicate")
-    return gray.join(verdicts, ["trip_id", "i", "j"], "left").withColumn("confirmed", F.coalesce("is_duplicate", strict)).drop("is_duplicate")
+        return tiers.withColumn("confirmed", sure | strict)
+    verdicts = reviewer(tiers.where(~sure)).select("trip_id", "i", "j", "is_duplicate")
+    told = tiers.join(verdicts, ["trip_id", "i", "j"], "left").withColumn("confirmed", sure | F.coalesce("is_duplicate", strict))
+    return told.drop("is_duplicate")
+
+
+def review_gray(gray: DataFrame, t: DedupThresholds, reviewer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """`reviewed` for pairs that are all gray."""
+    return reviewed(gray.withColumn("tier", F.lit("gray")), t, reviewer).drop("tier")
 
 
 def pair_evidence(rows: DataFrame, t: DedupThresholds = DedupThresholds(), mode: str = "tiered", reviewer=None, by_hash=similarity.hash_pairs) -> DataFrame:
@@ -55,10 +62,9 @@ def pair_evidence(rows: DataFrame, t: DedupThresholds = DedupThresholds(), mode:
         dense = similarity.similar(rows, t.dense, t)
         out = out.union(dense.select("trip_id", "i", "j", F.lit("dense"), "sim", F.lit(True)))
     if mode == "tiered":
-        tiers = similarity.tiered_pairs(hashed, t)
-        sure = tiers.where("tier = 'confirmed'").select("trip_id", "i", "j", F.lit("tiered"), "sim", F.lit(True))
-        gray = review_gray(tiers.where("tier = 'gray'"), t, reviewer).select("trip_id", "i", "j", F.lit("gray"), "sim", "confirmed")
-        out = out.union(sure).union(gray)
+        tiers = reviewed(similarity.tiered_pairs(hashed, t), t, reviewer)
+        source = F.when(F.col("tier") == "confirmed", "tiered").otherwise("gray")
+        out = out.union(tiers.select("trip_id", "i", "j", source, "sim", "confirmed"))
     return out
 
 
