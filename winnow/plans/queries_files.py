@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from winnow.functions import media_types, text
+from winnow.functions import headers, media_types, scores, text
 from winnow.plans.prelude import sql
 from winnow.plans.registry import query
 from winnow.sources import adapters as src
@@ -148,6 +148,31 @@ def missing_settings(spark, d):
     return files.missing_settings(spark.createDataFrame(have, "kind string, name string, value string"))
 
 
+_HEADS = """select doc_id, cast(64 + n_chars % 5000 as int) as w, cast(64 + doc_id % 3000 as int) as h, cast(1 + doc_id % 8 as int) as o, cast(doc_id % 4 as int) as kind from documents"""
+
+
+@query("l14_turned_thumbnails", f"""with f as ({_HEADS}), t as (select *, case when kind = 3 then 0 when kind = 1 and o >= 5 then h else w end as sw, case when kind = 3 then 0 when kind = 1 and o >= 5 then w else h end as sh from f),
+k as (select *, case when kind <> 3 then least(400.0::double / sw, 400.0::double / sh, 1.0) end as k from t)
+select doc_id, ['png', 'jpeg', 'webp', 'unknown'][kind + 1] as kind, sw as width, sh as height, case when kind = 3 then 0 else greatest(1, round(sw * k))::int end as thumbnail_width, case when kind = 3 then 0 else greatest(1, round(sh * k))::int end as thumbnail_height from k""")
+def turned_thumbnails(spark, d):
+    """Sizes of thumbnails from the headers of image files, whose sizes and turns documents give; every fourth is cut short."""
+    src.table(spark, d, "documents").createOrReplaceTempView("documents")
+    f = spark.sql(_HEADS)
+    n = lambda c, digits: F.lpad(F.hex(c), digits, "0")
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), n("w", 8), n("h", 8), F.lit("0802000000"))
+    exif = F.concat(F.lit("FFE10022457869660000" + "4D4D002A00000008" + "0001" + "0112000300000001"), n("o", 4), F.lit("0000" + "00000000"))
+    frame = F.concat(F.lit("FFC0001108"), n("h", 4), n("w", 4), F.lit("03011100021100031100"))
+    jpeg = F.concat(F.lit("FFD8"), exif, frame, F.lit("FFDA"))
+    little = lambda c: F.concat(*[F.substring(n(F.col(c) - 1, 6), i, 2) for i in (5, 3, 1)])
+    webp = F.concat(F.hex(F.lit("RIFF")), F.lit("00000000"), F.hex(F.lit("WEBPVP8X")), F.lit("0A00000000000000"), little("w"), little("h"))
+    content = F.when(F.col("kind") == 0, png).when(F.col("kind") == 1, jpeg).when(F.col("kind") == 2, webp).otherwise(F.substring(png, 1, 36))
+    read = f.select("doc_id", headers.headers(F.unhex(content)).alias("x")).select("doc_id", "x.*")
+    width, height = headers.turned(F.col("width"), F.col("height"), F.col("orientation"))
+    s = scores.fit_inside(width, height, 400)
+    ok = F.col("kind") != "unknown"
+    return read.select("doc_id", "kind", width.alias("width"), height.alias("height"), F.when(ok, s["width"]).otherwise(0).alias("thumbnail_width"), F.when(ok, s["height"]).otherwise(0).alias("thumbnail_height"))
+
+
 @query("i5_trimmed_names", sql("media", "select id, length(trim(category)) > 0 and category is not null as named, trim('  ' || coalesce(category, '') || ' ') as name from media"))
 def trimmed_names(spark, d):
     return src.media(spark, d).select("id", text.non_blank(F.col("category")).alias("named"), F.trim(F.concat(F.lit("  "), F.coalesce("category", F.lit("")), F.lit(" "))).alias("name"))
