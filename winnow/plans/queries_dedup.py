@@ -8,9 +8,9 @@ from winnow.config import DedupThresholds
 from winnow.functions import hashing
 from winnow.operators import graph, selection, similarity
 from winnow.operators.relational import CATEGORIES
-from winnow.plans import curation, dedup
+from winnow.plans import commands, curation, dedup
 from winnow.plans.prelude import sql
-from winnow.plans.registry import query
+from winnow.plans.registry import ORACLES, query
 from winnow.sources import adapters as src
 
 #: The product's distance of hashes.
@@ -181,6 +181,17 @@ def dedup_assessment(spark, d):
     return _assess(spark, d).images
 
 
+@query("s7_assessed_by_sql", ORACLES["s2_dedup_assessment"])
+def assessed_by_sql(spark, d):
+    """The assessment of s2: evidence and components by command, best of group and what is kept from SQL text."""
+    commands.register(spark)
+    src.curated(spark, d).createOrReplaceTempView("curated")
+    commands.run(spark, "assess", "curated", into="assessed", gray_seq_distance=60)
+    return spark.sql("""with grouped as (select c.*, a.label from curated c join assessed a using (trip_id, seq)), best as (select * from keep_best_of(TABLE(select label, seq, sharpness, width, height, file_size, blur_status from grouped
+where label in (select label from grouped group by label having count(*) > 1)) PARTITION BY label ORDER BY seq))
+select g.trip_id, g.seq, g.label, coalesce(b.keep, g.seq) = g.seq as kept from grouped g left join best b using (label)""")
+
+
 @query("h3_kept_and_removed", sql("vecs dist curated", "with recursive " + f"{_TIERS}, {_EVIDENCE}, {_ASSESS}".removeprefix("with ") + " select c.trip_id, count(*) filter (where coalesce(k.keep, c.seq) = c.seq) as kept, count(*) filter (where coalesce(k.keep, c.seq) <> c.seq) as removed from curated c left join g on g.seq = c.seq left join keepers k on k.label = g.label group by c.trip_id"))
 def kept_and_removed(spark, d):
     images = _assess(spark, d).images

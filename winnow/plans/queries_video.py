@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from winnow.config import VideoThresholds
 from winnow.functions import scores
 from winnow.operators import video
+from winnow.plans import commands
 from winnow.plans.prelude import sql
 from winnow.plans.registry import query
 from winnow.sources import adapters as src
@@ -238,6 +239,16 @@ def seconds_before(spark, d):
     return segments(spark, d).select("media_id", "segment_index", F.round(F.coalesce(F.sum("duration").over(w), F.lit(0.0)), 6).alias("before"))
 
 
+@query("s7_segments_by_sql", sql("chosen", "select media_id, segment_index from chosen"))
+def segments_by_sql(spark, d):
+    """The choice of n6 from SQL text."""
+    commands.register(spark)
+    segments(spark, d).createOrReplaceTempView("segments")
+    _targets(spark, d).createOrReplaceTempView("targets")
+    return spark.sql("""select media_id, segment_index from choose_segments(TABLE(select media_id, segment_index, start, `end`, overall, target from segments join targets using (media_id)
+where label in ('good', 'slightly_shaky') and duration >= 2) PARTITION BY media_id ORDER BY (start, segment_index))""")
+
+
 @query("f9_filled_to_target", sql("cands", """with recursive f as (select distinct media_id, 0::bigint as n, []::integer[] as taken, 0.0::double as used from cands where target is not null
 union all select media_id, n, case when ok then list_append(taken, segment_index) else taken end, case when ok then used + duration else used end from (
 select c.media_id, f.n + 1 as n, f.taken, f.used, c.segment_index, c.duration, f.used < c.target and (len(f.taken) = 0 or f.used + c.duration <= c.target * 1.1) as ok from f join cands c on c.media_id = f.media_id and c.rk = f.n + 1))
