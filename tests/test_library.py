@@ -558,6 +558,50 @@ def test_local_equalisation_by_loops(h, w, high):
     assert m["blur_sharpness"] == pytest.approx(min(variance(edges), variance(plain_edges(g, h, w))))
 
 
+def around(g, i, j, r):
+    h, w = len(g), len(g[0])
+    return [[g[min(max(i + a, 0), h - 1)][min(max(j + b, 0), w - 1)] for b in range(-r, r + 1)] for a in range(-r, r + 1)]
+
+
+@pytest.mark.parametrize(("h", "w"), [(17, 23), (2, 5), (1, 1)])
+def test_optimiser_kernels_by_loops(h, w):
+    import numpy as np
+
+    r = random.Random(h)
+    rgb = [[[r.randrange(256) for _ in range(3)] for _ in range(w)] for _ in range(h)]
+    x = np.array(rgb, dtype=np.float64)
+    luma = lambda p: 0.299 * p[0] + 0.587 * p[1] + 0.114 * p[2]
+    byte = lambda v: min(255, max(0, v))
+    near = lambda got, want: np.abs(got.astype(float) - np.clip(np.array(want), 0, 255)).max() <= 0.5 + 1e-6
+    one_ = lambda k: [[p[k] for p in row] for row in rgb]
+    median = [[[sorted(sum(around(one_(k), i, j, 1), []))[4] for k in range(3)] for j in range(w)] for i in range(h)]
+    assert (pixels.optimised(x, median=3) == np.array(median)).all()
+    assert near(pixels.optimised(x, gamma=1.08), [[[255 * (v / 255) ** (1 / 1.08) for v in p] for p in row] for row in rgb])
+    g = [[luma(p) for p in row] for row in rgb]
+    e = pixels.equalised(np.array(g)).tolist()
+    assert near(pixels.optimised(x, equalise=True), [[[v + e[i][j] - g[i][j] for v in p] for j, p in enumerate(row)] for i, row in enumerate(rgb)])
+    tint = (200.0, 100.0, 40.0)
+    assert near(pixels.optimised(x, tint=tint), [[[g[i][j] + t - luma(tint) for t in tint] for j in range(w)] for i in range(h)])
+    for sigma in (0.25, 1.0):
+        k = max(1, math.ceil(3 * sigma))
+        weights = [math.exp(-a * a / (2 * sigma * sigma)) for a in range(-k, k + 1)]
+        total = sum(weights)
+        blur = [[sum(wa * wb * v for wa, row in zip(weights, around(g, i, j, k), strict=True) for wb, v in zip(weights, row, strict=True)) / total**2 for j in range(w)] for i in range(h)]
+        assert near(pixels.optimised(x, sharpen=sigma), [[[v + g[i][j] - blur[i][j] for v in p] for j, p in enumerate(row)] for i, row in enumerate(rgb)])
+    assert byte(-1) == 0 and (pixels.optimised(x) == x).all()
+    # in order: median, then gamma, then sharpened
+    both = pixels.optimised(pixels.median_filtered(x, 3), gamma=0.92, sharpen=0.5)
+    assert (pixels.optimised(x, gamma=0.92, median=3, sharpen=0.5) == both).all()
+
+
+def test_optimised_images(rows):
+    data = [(2, 2, n, bytes(range(10, 10 + 4 * n)), None, 0, None, n) for n in (1, 3, 4)] + [(2, 2, 3, b"short", 1.08, 3, 0.25, 9), (1, 1, 1, b"\x40", 1.08, None, None, 5)]
+    df = rows(data, "width int, height int, channels int, data binary, gamma double, median int, sharpen double, id int")
+    got = {r.id: r for r in pixels.optimised_images(df).collect()}
+    assert all(bytes(got[n].optimised) == bytes(got[n].data) for n in (1, 3, 4))  # laid out as it came
+    assert got[9].optimised is None and got[5].optimised[0] > 0x40
+
+
 def test_only_what_is_asked_for_is_measured(rows, monkeypatch):
     import numpy as np
 

@@ -138,6 +138,23 @@ def analysed_trips(spark, d):
     return _measured(spark, d, "brightness", 3).groupBy("trip_id").agg(F.count("*").alias("images"), F.round(F.avg("brightness"), 6).alias("brightness"))
 
 
+_GAUSS = "exp(-8.0::double)"
+
+
+@query("l12_optimised_pictures", f"""with {_pixels(64, 64)}, m as (select seq, avg(p) as m from px group by seq),
+g as (select seq, r, c, 255 * pow(p / 255.0::double, 1 / case when m < 126 then 1.08 when m > 130 then 0.92 else 1.0 end::double) as p from px join m using (seq)),
+h as (select *, ({_GAUSS} * coalesce(lag(p) over w, p) + p + {_GAUSS} * coalesce(lead(p) over w, p)) / (1 + 2 * {_GAUSS}) as x from g window w as (partition by seq, r order by c)),
+v as (select *, ({_GAUSS} * coalesce(lag(x) over w, x) + x + {_GAUSS} * coalesce(lead(x) over w, x)) / (1 + 2 * {_GAUSS}) as y from h window w as (partition by seq, c order by r)),
+o as (select seq, r * 64 + c as i, least(255, greatest(0, round(p + p - y)))::int as o from v)
+select seq, md5(string_agg(printf('%02x', o), '' order by i)) as md5 from o group by seq""")
+def optimised_pictures(spark, d):
+    """Pictures with gamma by their brightness, sharpened by 0.25: the digest of their bytes in hexadecimal."""
+    p = src.pictures(spark, d, 64, 64, 1)
+    m = pixels.measured(p, ["brightness"]).withColumn("b", F.col("measures.brightness"))
+    m = m.withColumns({"gamma": F.when(F.col("b") < 126, 1.08).when(F.col("b") > 130, 0.92).otherwise(1.0), "median": F.lit(0), "sharpen": F.lit(0.25)})
+    return pixels.optimised_images(m).select("seq", F.md5(F.lower(F.hex("optimised"))).alias("md5"))
+
+
 @query("s5_prepared_trips", f"with {_CHANNELS} select label as trip_id, seq, case when (r + g + b) / 3 < 80 then 1.08 when (r + g + b) / 3 > 180 then 0.92 else 1.0 end::double as gamma, 24 as thumbnail_width, 24 as thumbnail_height from v join embeddings on vec_id = seq")
 def prepared_trips(spark, d):
     """For the images of all trips: how the optimiser would change them by their brightness, and the sizes of thumbnails of 24 pixels."""
