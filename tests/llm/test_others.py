@@ -286,3 +286,23 @@ def test_chat_sql_with_long_conversations(spark, tmp_path):
     con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
     assert sorted(map(tuple, got)) == sorted(con.execute(llm_queries.oracle_sql()["op4_chat_snapshot_collapse"]).fetchall())
     assert sorted((r.conv_id, r.part) for r in got) == [(1, 0), (1, 1), (1, 2), (4, 0), (4, 1)]
+
+
+def test_tables_on_the_way_are_removed(spark, rows, tmp_path):
+    """What operators write on their way is gone once nothing reads it; what their results rest on stays."""
+    from pathlib import Path
+
+    from winnow.llm import token_cache
+    from winnow.llm.shared import run_dir
+
+    top = Path(run_dir(spark).removeprefix("file:"))
+    before = {p.name for p in top.iterdir()} if top.exists() else set()
+    left = lambda: sorted(p.name.rsplit("-", 1)[0] for p in top.iterdir() if p.name not in before)
+    x = clustered(120, groups=3)
+    df = embeddings(rows, [(i, x[i].tolist(), 1) for i in range(120)])
+    near = embedding_dedup.near_embeddings(df)
+    assert left() == ["named"] and near.count() == 120
+    found = ann.search(df, F.col("vec_id") % 10 == 0)
+    assert left() == ["named", "routed"] and found.count() == 120
+    counts = token_cache.count_tokens(rows([(1, "a b"), (2, "a b"), (3, None)], "doc_id long, text string"), str(tmp_path / "cache"))
+    assert left() == ["counts", "named", "routed"] and counts.count() == 3

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from winnow.llm.shared import ship, written
+from winnow.llm.shared import dropped, ship, written
 from winnow.llm.vectors import is_usable, matrix, sample_vectors
 
 #: Vectors of the sample that partitions and classifier are fitted to, at most.
@@ -236,6 +236,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), batch.column(1).take(pa.array(who)), pa.array(np.full(len(who), dim, dtype=np.int32)), pa.array(part), pa.array(asked)], names=["vec_id", "v", "dim", "part", "asked"])
 
     sent = written(good.withColumn("q", F.coalesce(is_query, F.lit(False))).select("vec_id", "v", "q").mapInArrow(assign, "vec_id long, v array<double>, dim int, part int, asked boolean"), "routed")
+    dropped(good)
     key = ["dim", "part"]
     counts = sent.groupBy(*key).agg(F.count_if("asked").alias("nq"), F.count_if(~F.col("asked")).alias("nx")).where("nq > 0 and nx > 0")
     blocks = lambda n: F.ceil(F.col(n) * F.col("dim") / BLOCK_NUMBERS).cast("int").alias(n)

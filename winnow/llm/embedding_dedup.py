@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.shared import components, ship, written
+from winnow.llm.shared import Scratch, components, ship, written
 from winnow.llm.vectors import is_usable, matrix, sample_vectors, spherical_k_means, unit
 
 #: Vectors that cells are fitted to, at most.
@@ -115,12 +115,13 @@ def compare(x, y, x_ids, y_ids, x_times, y_times, least: float, same: bool):
 def near_embeddings(vectors: DataFrame, least: float = 0.93, sample: int = SAMPLE, block: int = BLOCK, choices: Sequence[int] = CELLS) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row; links have equal labels and a cosine of at least `least`."""
     ship(vectors.sparkSession)
+    scratch = Scratch()
     rows = vectors.select("vec_id", "label", F.col("embedding").alias("v"))
     linkable = is_usable("v") & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     # a zero of either sign is one value
     part = rows.where(linkable).withColumn("v", F.transform(F.col("v").cast("array<double>"), lambda x: x + F.lit(0.0)))
     classes = part.groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("times"))
-    classes = written(classes.withColumn("cls", F.monotonically_increasing_id()).withColumn("dim", F.size("v")), "classes")
+    classes = scratch.written(classes.withColumn("cls", F.monotonically_increasing_id()).withColumn("dim", F.size("v")), "classes")
     fitted = sample_vectors(classes, "cls", "v", sample)
     # vectors of the label that a vector has on the average
     by_label = classes.groupBy("label").agg(F.count("*").cast("double").alias("n"))
@@ -142,7 +143,7 @@ def near_embeddings(vectors: DataFrame, least: float = 0.93, sample: int = SAMPL
                     yield pa.RecordBatch.from_arrays([*(own.column(i).take(pa.array(who)) for i in range(4)), pa.array(cell.astype(np.int32)), pa.array(guest), pa.array(list(x[who]), pa.list_(pa.float64()))], names=["cls", "label", "times", "dim", "cell", "guest", "v"])
 
     sent = classes.select("cls", "label", "times", "dim", "v").mapInArrow(assign, "cls long, label int, times long, dim int, cell int, guest boolean, v array<double>")
-    sent = written(sent, "cells")
+    sent = scratch.written(sent, "cells")
     key = ["label", "dim", "cell"]
     counts = sent.groupBy(*key).agg(F.count_if(~F.col("guest")).alias("own"), F.count_if("guest").alias("guests"))
     size = F.greatest(F.lit(1), F.least(F.greatest(F.lit(block), F.col("own") / BLOCKS), F.floor(BLOCK_NUMBERS / F.col("dim"))))
@@ -168,14 +169,15 @@ def near_embeddings(vectors: DataFrame, least: float = 0.93, sample: int = SAMPL
         e = np.array(edges, dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": np.append(who[some], e[:, 0]), "b": np.append(np.full(some.sum(), -1), e[:, 1]), "n": np.append(n[some], np.zeros(len(e), dtype=np.int64))})
 
-    found = written(sent.groupBy(*key, "i", "j").applyInArrow(links, "a long, b long, n long"), "links")
-    labels = components(found.where("b >= 0").select("a", "b"))
+    found = scratch.written(sent.groupBy(*key, "i", "j").applyInArrow(links, "a long, b long, n long"), "links")
+    labels = scratch.own(components(found.where("b >= 0").select("a", "b")))
     per = found.where("b < 0").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n"))
     named = classes.select("cls", F.col("label").alias("of"), "v", "least", "times").join(per, "cls", "left").join(labels, F.col("cls") == F.col("node"), "left")
     n_links = (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links")
-    named = written(named.select("of", "v", "least", n_links, F.coalesce("label", "cls").alias("root")), "named")
-    lowest = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "lowest")
+    named = scratch.written(named.select("of", "v", "least", n_links, F.coalesce("label", "cls").alias("root")), "named")
+    lowest = scratch.written(named.groupBy("root").agg(F.min("least").alias("component_id")), "lowest")
     named = written(named.join(lowest, "root").select("of", F.col("v").alias("w"), "n_links", "component_id"), "named")
+    scratch.drop()
     keyed = part.join(named, (F.col("label") == F.col("of")) & (F.col("v") == F.col("w"))).select("vec_id", "n_links", "component_id")
     alone = rows.where(~linkable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return keyed.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

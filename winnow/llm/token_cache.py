@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm.shared import written
+from winnow.llm.shared import Scratch, written
 from winnow.llm.tokens import counted, file_digest, tokenizer_path
 
 CACHE_SCHEMA = "digest binary, n_tokens long, version string"
@@ -48,9 +48,9 @@ def stored(spark: SparkSession, cache: str, version: str) -> DataFrame:
     return own.groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
 
 
-def missing(docs: DataFrame, known: DataFrame) -> DataFrame:
+def missing(docs: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
     """digest and text, one row for each digest of docs (text, digest) that isn't known."""
-    misses = written(docs.select("digest").distinct().join(known, "digest", "left_anti"), "misses")
+    misses = scratch.written(docs.select("digest").distinct().join(known, "digest", "left_anti"), "misses")
     if misses.count() <= FEW_MISSES:
         return docs.join(F.broadcast(misses), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
     # copies meet within each task before they are dealt, and what is known is dropped after
@@ -67,8 +67,10 @@ def count_tokens(docs: DataFrame, cache: str, path: str | None = None, limit: in
     spark, path = docs.sparkSession, path or tokenizer_path()
     version = file_digest(path)
     keyed = docs.select(normalised(F.col("text")).alias("text"), digest(F.col("text")).alias("digest"))
-    encoded = counted(missing(keyed, stored(spark, cache, version).select("digest")), "text", "n_tokens", path)
+    scratch = Scratch()
+    encoded = counted(missing(keyed, stored(spark, cache, version).select("digest"), scratch), "text", "n_tokens", path)
     encoded.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(cache)
+    scratch.drop()
     rows = docs.select("doc_id", F.octet_length(normalised(F.col("text"))).cast("long").alias("n_bytes"), digest(F.col("text")).alias("digest"))
     # a table of its own, so that a digest that many rows share can be dealt over tasks
     counts = written(stored(spark, cache, version), "counts")
