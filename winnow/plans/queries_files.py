@@ -141,11 +141,14 @@ def thumbnail_sources(spark, d):
     return files.thumbnail_source(src.media(spark, d)).select("id", "thumbnail_from", "made")
 
 
-@query("a29_missing_settings", "select * from (values ('s3', 'REGION'), ('oss', 'SECRET'), ('oss', 'KEY'), ('cos', 'BUCKET'), ('cos', 'REGION'), ('cos', 'KEY'), ('cos', 'SECRET')) as t(kind, name)")
+@query("a29_missing_settings", """with n as (select * from (values ('s3', 'BUCKET'), ('s3', 'REGION'), ('oss', 'BUCKET'), ('oss', 'REGION'), ('oss', 'KEY'), ('oss', 'SECRET'), ('cos', 'BUCKET'), ('cos', 'REGION'), ('cos', 'KEY'), ('cos', 'SECRET')) as t(kind, name)),
+h as (select ['local', 's3', 'oss', 'cos'][s_suppkey % 4 + 1] as kind, ['BUCKET', 'REGION', 'KEY', 'SECRET'][s_nationkey % 4 + 1] as name, case when s_acctbal < 8000 then '' else s_name end as value from supplier)
+select kind, name from n where not exists (select 1 from h where h.kind = n.kind and h.name = n.name and h.value <> '')""")
 def missing_settings(spark, d):
-    """What stores still need, where some settings are there."""
-    have = [("s3", "BUCKET", "b"), ("s3", "REGION", ""), ("oss", "BUCKET", "b"), ("oss", "REGION", "r"), ("oss", "KEY", None)]
-    return files.missing_settings(spark.createDataFrame(have, "kind string, name string, value string"))
+    """What stores still need, of settings that suppliers give: those of small balance have no value."""
+    pick = lambda c, *names: F.element_at(F.array(*map(F.lit, names)), (F.col(c) % 4 + 1).cast("int"))
+    have = src.table(spark, d, "supplier").select(pick("s_suppkey", "local", "s3", "oss", "cos").alias("kind"), pick("s_nationkey", "BUCKET", "REGION", "KEY", "SECRET").alias("name"), F.when(F.col("s_acctbal") < 8000, "").otherwise(F.col("s_name")).alias("value"))
+    return files.missing_settings(have)
 
 
 _HEADS = """select doc_id, cast(64 + n_chars % 5000 as int) as w, cast(64 + doc_id % 3000 as int) as h, cast(1 + doc_id % 8 as int) as o, cast(doc_id % 4 as int) as kind from documents"""
