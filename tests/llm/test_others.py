@@ -288,6 +288,38 @@ def test_chat_sql_with_long_conversations(spark, tmp_path):
     assert sorted((r.conv_id, r.part) for r in got) == [(1, 0), (1, 1), (1, 2), (4, 0), (4, 1)]
 
 
+@pytest.mark.parametrize("spread", [0.4, None])
+def test_search_on_two_levels(spark, spread):
+    """12,000 vectors of which a sample of 1,500 tells at most 6 partitions apart, so that each is divided again:
+    the recall holds, and of clustered vectors fewer are met than on one level."""
+    n, r = 12_000, np.random.default_rng(31)
+    x = r.normal(size=(n, 24))
+    if spread:
+        x = r.normal(size=(80, 24))[np.arange(n) % 80] + spread * x
+    df = wide(spark, x, lambda i: F.lit(1))
+    asks, met = np.arange(0, n, 40), {}
+    x = x.astype(np.float32).astype(np.float64)
+    d = ((x[asks][:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    d[np.arange(len(asks)), asks] = np.inf
+    true = np.argsort(d, axis=1)[:, :10]
+    for roots in (5, 18):  # at 18 roots a partition no more than one level is wanted
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(ann, "ROOTS", roots)
+            calls = []
+            divide = ann.divided
+            m.setattr(ann, "divided", lambda *a: calls.append(divide(*a)) or calls[-1])
+            got: dict = {}
+            for g in ann.search(df, F.col("vec_id") % 40 == 0, sample=1500, most=6).collect():
+                got.setdefault(g.query_id, []).append((g.rank, g.vec_id, g.score))
+            recall = np.mean([len({v for _, v, _ in got[int(q)]} & set(true[i].tolist())) for i, q in enumerate(asks)]) / 10
+            assert recall >= 0.9 and all([a for a, _, _ in sorted(v)] == list(range(1, 11)) for v in got.values())
+            assert all(abs(s - np.sqrt(((x[q] - x[v]) ** 2).sum())) < 1e-9 for q, rows_ in got.items() for _, v, s in rows_)
+            assert bool(calls) == (roots == 5)
+            if calls:
+                met[roots] = calls[0].groupBy("part", "sub").agg(F.count_if("asked").alias("a"), F.count_if(~F.col("asked")).alias("c")).selectExpr("sum(a * c) as met", "count(*) as parts").first()
+    assert met[5].parts > 12 and (spread is None or met[5].met < 0.35 * n * len(asks))
+
+
 def test_tables_on_the_way_are_removed(spark, rows, tmp_path):
     """What operators write on their way is gone once nothing reads it; what their results rest on stays."""
     from pathlib import Path

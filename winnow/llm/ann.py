@@ -9,7 +9,8 @@ of the sample that the classifier hadn't seen; what it meets there is reranked b
 exact distance.
 
 The number of partitions grows with the root of the number of vectors, alike at
-every size, up to what the sample can tell apart; each partition is searched block
+every size, up to what the sample can tell apart; where more are wanted, each
+partition is divided again by a sample of its own. Each partition is searched block
 by block, so that neither a large partition nor many queries meet in one task. A
 block is as large as a task can well hold, as vectors are sent to as many tasks as
 there are blocks of what they are compared with. Vectors without clusters have
@@ -26,6 +27,7 @@ embedding aren't read.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -208,6 +210,45 @@ def top(q: np.ndarray, x: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, k: int
     return np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64), np.array(dist, dtype=np.float64)
 
 
+def divided(sent: DataFrame, k: int = K, recall: float = RECALL, sample: int = SAMPLE, most: int = PARTITIONS) -> DataFrame:
+    """sent (vec_id, v, dim, part, asked) with `sub`: the partition within the partition.
+
+    Each partition's own sample, drawn by a hash, is fitted in a task like the whole
+    one's on the driver; a query is sent to the most probable of its partition's
+    partitions. The routers, at most as many as there are partitions, go to all tasks.
+    """
+    there = sent.where(~F.col("asked"))
+    counts = there.groupBy("dim", "part").agg(F.count("*").alias("n"))
+    draw = F.pmod(F.xxhash64("vec_id", F.lit("second")), F.lit(1 << 30)) < 1.2 * sample / F.col("n") * (1 << 30)
+    drawn = there.join(counts, ["dim", "part"]).where(draw).select("dim", "part", "n", "vec_id", "v")
+
+    def fitted(table: pa.Table) -> pa.Table:
+        table = table.sort_by("vec_id").slice(0, sample)
+        router = fit(matrix(table.column("v")), table.column("n")[0].as_py(), k, recall, most)
+        return pa.table({"dim": table.column("dim")[:1], "part": table.column("part")[:1], "router": pa.array([pickle.dumps(router)], pa.binary())})
+
+    found = drawn.groupBy("dim", "part").applyInArrow(fitted, "dim int, part int, router binary").collect()
+    routers = {(r["dim"], r["part"]): pickle.loads(r["router"]) for r in found}
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            where = np.stack([batch.column(2).to_numpy(), batch.column(3).to_numpy()], axis=1)
+            asked = batch.column(4).to_numpy(zero_copy_only=False)
+            for dim, part in np.unique(where, axis=0).tolist():
+                own = np.flatnonzero((where == (dim, part)).all(axis=1))
+                router = routers.get((dim, part))
+                if router is None:  # no candidate is there
+                    continue
+                o = router.logits(matrix(batch.column(1).take(pa.array(own))))
+                asks, rest = np.flatnonzero(asked[own]), np.flatnonzero(~asked[own])
+                to = np.argsort(-o[asks], axis=1, kind="stable")[:, : router.probes]
+                who = own[np.append(rest, np.repeat(asks, to.shape[1]))]
+                sub = np.append(o[rest].argmax(axis=1) if len(rest) else np.zeros(0, np.int64), to.ravel()).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(who)) for c in batch.columns), pa.array(sub)], names=[*batch.schema.names, "sub"])
+
+    return sent.select("vec_id", "v", "dim", "part", "asked").mapInArrow(assign, "vec_id long, v array<double>, dim int, part int, asked boolean, sub int")
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = RECALL, sample: int = SAMPLE, most: int = PARTITIONS) -> DataFrame:
     """The k nearest found for each query row: query_id, rank (from 1), vec_id and score
     (the Euclidean distance in double precision), against all rows but those with its id."""
@@ -215,7 +256,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
     good = vectors.select("vec_id", F.col("embedding").alias("v")).where(F.col("vec_id").isNotNull() & is_usable("v"))
     good = written(good.select("vec_id", F.col("v").cast("array<double>").alias("v")), "vectors")
     total = good.count()
-    routers = {d: fit(x, total, k, recall, most) for d, x in sample_vectors(good, "vec_id", "v", sample).items()}
+    nested = round(total**0.5 / ROOTS) > min(most, sample // LEAST)
+    each = recall**0.5 if nested else recall  # found on both levels
+    routers = {d: fit(x, total, k, each, most) for d, x in sample_vectors(good, "vec_id", "v", sample).items()}
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,7 +280,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
 
     sent = written(good.withColumn("q", F.coalesce(is_query, F.lit(False))).select("vec_id", "v", "q").mapInArrow(assign, "vec_id long, v array<double>, dim int, part int, asked boolean"), "routed")
     dropped(good)
-    key = ["dim", "part"]
+    sent = written(divided(sent, k, each, sample, most), "divided") if nested else sent.withColumn("sub", F.lit(0))
+    key = ["dim", "part", "sub"]
     counts = sent.groupBy(*key).agg(F.count_if("asked").alias("nq"), F.count_if(~F.col("asked")).alias("nx")).where("nq > 0 and nx > 0")
     blocks = lambda n: F.ceil(F.col(n) * F.col("dim") / BLOCK_NUMBERS).cast("int").alias(n)
     counts = counts.select(*key, blocks("nq"), blocks("nx"))
