@@ -234,7 +234,7 @@ def test_long_chats_take_several_rows(rows):
 
 def test_queries_are_registered():
     names = set(llm_queries.queries())
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)}
     assert set(llm_queries.oracle_sql()) <= names
 
 
