@@ -128,6 +128,7 @@ def pictures(spark: SparkSession, sf_dir: str, width: int, height: int, channels
     value = f"floor(128 + 200 * ({at(f'i div {row} + 21 * (i % {channels})')} + {at(f'i % {row} div {channels}')}))"
     data = f"unhex(array_join(transform(sequence(0, {n - 1}), i -> lpad(hex(cast(least(255, greatest(0, {value})) as int)), 2, '0')), ''))"
     e = table(spark, sf_dir, "embeddings").selectExpr("label as trip_id", "vec_id as seq", "transform(embedding, x -> cast(x as double)) as v")
+    e = e.repartition(spark.sparkContext.defaultParallelism)  # the table is one small file, its pictures are not
     return e.selectExpr("trip_id", "seq", f"{width} as width", f"{height} as height", f"{channels} as channels", f"{data} as data")
 
 
