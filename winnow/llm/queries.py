@@ -48,7 +48,7 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", mixing.first_shard(F.col("by_shard")).alias("shard"))
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.coalesce(mixing.first_shard(F.col("by_shard")), F.lit(-1)).alias("shard"))
 
 
 def op9_minhash_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +131,7 @@ y as (select *, block * floor(b1 * rate + phase) + (first - b1 * block) * (floor
              block * floor(b2 * rate + phase) + (first + size - b2 * block) * (floor((b2 + 1) * rate + phase) - floor(b2 * rate + phase)) as w2 from x),
 v as (select *, case when size = 0 then null when passes > 0 then first when w2 > w1 then w1 end::bigint as began from y)
 select doc_id, cast(size as bigint) as size, source_size, target, cast(passes * size + w2 - w1 as bigint) as taken,
-       len(list_filter(ends, lambda e: e * block <= began))::integer + case when began is null then null else 0 end as shard from v
+       case when began is null then -1 else len(list_filter(ends, lambda e: e * block <= began)) end::integer as shard from v
 """
 
 _OP2 = """
