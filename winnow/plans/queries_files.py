@@ -103,6 +103,11 @@ _STORED = """select doc_id as id, case lang when 'en' then 'uploads/' else '' en
 case when n_chars > 2000 then coalesce(source, 'none') || '/thumbs/' || doc_id end as thumbnail_path, '' as optimized_path, cast(null as {string}) as compiled_path, text from documents"""
 
 
+def _of_documents(spark, d, text):
+    """Rows of SQL text over documents that both engines read alike."""
+    return spark.sql(text.replace("from documents", "from {documents}"), documents=src.table(spark, d, "documents"))
+
+
 def _folder(spark, name):
     return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -112,8 +117,7 @@ select file_path as path, 'copied' as outcome, strlen(coalesce(text, ''))::bigin
 def migrated_files(spark, d):
     """Documents stored as files in one folder of the shared store and copied to another; their thumbnails
     were never stored, so each of these fails by itself. Sizes and digests are read from the target."""
-    src.table(spark, d, "documents").createOrReplaceTempView("documents")
-    media = spark.sql(_STORED.format(string="string"))
+    media = _of_documents(spark, d, _STORED.format(string="string"))
     one, two = _folder(spark, "store"), _folder(spark, "store")
     store.save_files(media.select(F.col("file_path").alias("path"), F.col("text").alias("content")), one)
     outcomes, _ = store.migrate(media, one, two)
@@ -159,8 +163,7 @@ k as (select *, case when kind <> 3 then least(400.0::double / sw, 400.0::double
 select doc_id, ['png', 'jpeg', 'webp', 'unknown'][kind + 1] as kind, sw as width, sh as height, case when kind = 3 then 0 else greatest(1, round(sw * k))::int end as thumbnail_width, case when kind = 3 then 0 else greatest(1, round(sh * k))::int end as thumbnail_height from k""")
 def turned_thumbnails(spark, d):
     """Sizes of thumbnails from the headers of image files, whose sizes and turns documents give; every fourth is cut short."""
-    src.table(spark, d, "documents").createOrReplaceTempView("documents")
-    f = spark.sql(_HEADS)
+    f = _of_documents(spark, d, _HEADS)
     n = lambda c, digits: F.lpad(F.hex(c), digits, "0")
     png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), n("w", 8), n("h", 8), F.lit("0802000000"))
     exif = F.concat(F.lit("FFE10022457869660000" + "4D4D002A00000008" + "0001" + "0112000300000001"), n("o", 4), F.lit("0000" + "00000000"))
