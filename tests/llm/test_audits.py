@@ -258,3 +258,16 @@ def test_matrices():
     for at in range(120):
         own = slice(5 * at, 5 * at + 5)
         assert (m["kept"][:, own][:, -1] + m["removed"][:, own].sum(axis=1) == 1).all()
+
+
+def test_quality_of_held_out_documents(spark):
+    """On the given tables: labels that weren't learnt from are told right, and every document has a score."""
+    from winnow.llm import queries as llm_queries
+
+    sf = "/root/testdata/sf0.1"
+    got = llm_queries.queries()["op12_additive_quality"](spark, sf)
+    told = got.where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("predicted", "quality", "score").collect()
+    good, bad = [t for t in told if t.quality == 1], [t for t in told if t.quality == 0]
+    assert len(good) > 500 and len(bad) > 100
+    assert sum(t.predicted for t in good) >= 0.99 * len(good) and sum(t.predicted for t in bad) <= 0.06 * len(bad)
+    assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
