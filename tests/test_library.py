@@ -9,6 +9,7 @@ import zlib
 from datetime import datetime
 from itertools import permutations
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -471,6 +472,74 @@ def test_noise_and_sharpness_by_loops(spark):
         assert got["noise"] == pytest.approx(variance(plain_edges(large, 256, 256)) / (variance(large) + 1), rel=1e-9)
 
 
+def cosines_by_loops(trip, x, least, k=None):
+    import numpy as np
+
+    u = x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, n)
+    s = np.round(u @ u.T, 12)
+    out = set()
+    for i in range(len(x)):
+        own = sorted((j for j in range(len(x)) if trip[j] == trip[i]), key=lambda j: (-s[i, j], j))
+        out |= {(min(i, j), max(i, j)) for j in own[:k] if j != i and s[i, j] >= least}
+    return out
+
+
+@pytest.mark.parametrize(("least", "k"), [(0.9, None), (0.3, None), (-0.2, None), (0.8, 3), (-1.0, 5)])
+def test_cosine_pairs_over_cells(rows, least, k):
+    """Clusters, copies in a third of the rows, multiples of one vector, zero vectors, and a trip of one block."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    x = r.normal(size=(12, 6))[r.integers(0, 12, 240)] + r.normal(size=(240, 6)) * 0.3
+    x[:60] *= r.uniform(0.5, 2, size=(60, 1))
+    if k is None:  # copies tie, and which of those that tie is nearest is told by rounding
+        x[60:140] = x[60] * r.integers(1, 9, size=(80, 1))
+        x[[150, 151]] = 0
+    trip = [0 if i < 230 else 1 for i in range(240)]
+    df = rows([(trip[i], i, x[i].tolist()) for i in range(240)], "trip_id int, seq long, v array<double>")
+    found = [(p.i, p.j) for p in similarity.cosine_pairs(df, least, top_k=k, block=20, sending=0).collect()]
+    assert len(found) == len(set(found)) and set(found) == cosines_by_loops(trip, x, least, k)
+
+
+def test_cells_spare_comparisons(rows):
+    """Vectors in clusters meet a fraction of their trip; random ones are no worse off than without cells, and few vectors stay together."""
+    import numpy as np
+
+    r = np.random.default_rng(6)
+
+    def compared(x, sending=0):
+        df = rows([(0, i, v.tolist()) for i, v in enumerate(x)], "trip_id int, seq long, v array<double>")
+        cells = similarity.in_cells(df, 0.9, block=64, sending=sending).groupBy("cell").agg(F.count_if(~F.col("guest")).alias("n"), F.count_if("guest").alias("g"))
+        return cells.selectExpr("sum(n * (n - 1) / 2 + n * g)").first()[0] / (len(x) * (len(x) - 1) / 2)
+
+    x = r.normal(size=(40, 16))[r.integers(0, 40, 1000)] + r.normal(size=(1000, 16)) * 0.05
+    assert compared(x) < 0.2
+    assert compared(r.normal(size=(1000, 16))) <= 1
+    assert compared(x, similarity.SENDING) == 1
+
+
+def test_cells_are_chosen_by_their_cost():
+    """Ten million vectors in clusters are worth dividing; without clusters they aren't."""
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    clustered = similarity.unit(pa.chunked_array([list(r.normal(size=(40, 16))[r.integers(0, 40, 1024)] + r.normal(size=(1024, 16)) * 0.05)]))
+    assert len(similarity.fit_pivots(clustered, 10_000_000, 0.9)) == 256
+    alike = r.normal(size=(1024, 64))
+    alike /= np.linalg.norm(alike, axis=1, keepdims=True)
+    assert len(similarity.fit_pivots(alike, 20_000, 0.86)) == 1
+
+
+def test_cosines_are_held_a_tile_at_a_time(rows, monkeypatch):
+    import numpy as np
+
+    x = np.random.default_rng(7).normal(size=(90, 4))
+    df = rows([(0, i, v.tolist()) for i, v in enumerate(x)], "trip_id int, seq long, v array<double>")
+    monkeypatch.setattr(similarity, "TILE_NUMBERS", 64)
+    for k in (None, 4):
+        assert {(p.i, p.j) for p in similarity.cosine_pairs(df, 0.5, top_k=k).collect()} == cosines_by_loops([0] * 90, x, 0.5, k)
+
+
 @pytest.mark.parametrize("k", [1, 3, 50, 51, 70])
 def test_nearest_by_sorting(k):
     """Ties at the border included; and only what reaches it is sorted."""

@@ -10,9 +10,14 @@ from pyspark.sql.window import Window
 
 from winnow.config import DedupThresholds
 from winnow.functions import hashing
+from winnow.sources.shared import written
 
 #: Rows of a block at least, numbers in it at most, and blocks of a trip that lies between.
 BLOCK, BLOCK_NUMBERS, BLOCKS = 1024, 1 << 21, 16
+#: Numbers of cells of a trip that are tried, rows that they are tried on at most, and what it costs to send a row to one cell more, in comparisons.
+CELLS, SAMPLE, SENDING = (1, 4, 16, 64, 256), 1024, 1000
+#: Cosines that a task holds at a time, and how far rounding may put a cosine or an angle off.
+TILE_NUMBERS, ROUNDING = 1 << 22, 1e-6
 
 
 def exact_duplicates(rows: DataFrame, content: Column, key: str) -> DataFrame:
@@ -55,13 +60,12 @@ def hash_links(rows: DataFrame, distance: int = 4) -> DataFrame:
     return hash_pairs(first.withColumnRenamed("i", "seq"), distance).union(copies)
 
 
-def nearest(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the k largest numbers of each row, ties to the smaller id. Only those that reach a
-    row's k-th largest are sorted; the rest is told from them by partition."""
+def nearest(s: np.ndarray, ids: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k largest numbers of each row that are `least` or over, ties to the smaller id.
+    Only those that reach a row's k-th largest are sorted; the rest is told from them by partition."""
+    hit = s >= least
     if s.shape[1] > k:
-        hit = s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
-    else:
-        hit = np.ones(s.shape, dtype=bool)
+        hit &= s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
     r, c = np.nonzero(hit)
     order = np.lexsort((ids[c], -s[r, c], r))
     r, c = r[order], c[order]
@@ -70,51 +74,145 @@ def nearest(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return r[kept], c[kept]
 
 
-def cosine_pairs(rows: DataFrame, least: float, strict: bool = False, top_k: int | None = None, block: int = BLOCK) -> DataFrame:
+def unit(v: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as rows of length one; zero vectors stay zero."""
+    x = v.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n == 0, 1, n)
+
+
+def cells_of(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pivot of c that each row of x is nearest to, its angles to all, and whose cells it may have to be sent to as well."""
+    near = x @ c.T
+    home = near.argmax(axis=1)
+    reach = np.sqrt(max(0.0, 2 - 2 * least))
+    apart = np.sqrt(np.maximum(0, (c * c).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * (c @ c.T)))
+    to = near[np.arange(len(x)), home][:, None] - near <= reach * apart[home] + ROUNDING
+    return home, np.arccos(np.clip(near, -1, 1)), to & (np.arange(len(c))[None, :] < home[:, None])
+
+
+def fit_pivots(x: np.ndarray, n: int, least: float, sending: int = SENDING) -> np.ndarray:
+    """The first rows of x, a sample of n, as many of them as make comparing and sending cheapest for its other rows."""
+    best, k = np.inf, 1
+    for tried in CELLS:
+        if tried > 1 and tried * 4 > len(x):
+            break
+        home, angle, to = cells_of(x, x[:tried], least)
+        radius = np.zeros(tried)
+        np.maximum.at(radius, home, angle[np.arange(len(x)), home])
+        to = (to & (angle <= radius + np.arccos(least)))[tried:]
+        own = np.bincount(home[tried:], minlength=tried) / max(1, len(to))
+        sent = to.sum(axis=0) / max(1, len(to))
+        cost = (own * (own / 2 + sent)).sum() * n + sending * sent.sum()
+        if cost < best:
+            best, k = cost, tried
+    return x[:k]
+
+
+def in_cells(rows: DataFrame, least: float, block: int = BLOCK, sending: int = SENDING) -> DataFrame:
+    """Rows (trip_id, seq, v) with a cell of their trip, whether they are guests in it, and how many blocks its
+    own rows and its guests make (`own`, `guests`).
+
+    A trip of several blocks is divided by nearness to pivots. They are the first of
+    a sample of SAMPLE rows drawn by a hash, on which is measured how many pay off:
+    one, so no division, where vectors have no clusters. Two rows with a cosine of at
+    least `least` may lie in two cells: if x and y are at most r apart, and y is
+    nearest to pivot d, then x . (c - d) <= r |c - d| for any c, and x is no farther
+    from d than the farthest row of its cell and the angle of `least`. A row is
+    therefore a guest in each cell of a smaller number that passes both, so that no
+    pair is lost, whatever the pivots, and each is met in one cell.
+    """
+    size = F.greatest(F.lit(1), F.least(F.greatest(F.lit(block), F.count("*") / BLOCKS), F.floor(BLOCK_NUMBERS / F.max(F.size("v")))))
+    sizes = rows.groupBy("trip_id").agg(F.count("*").alias("n"), size.cast("double").alias("size"), F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    rows = rows.select("trip_id", "seq", "v")
+    one_cell = {"cell": F.lit(0), "guest": F.lit(False)}
+    if (sizes.agg(F.max("blocks")).first()[0] or 0) < 2:
+        return rows.withColumns(one_cell | {"own": F.lit(1), "guests": F.lit(0)})
+    sized = rows.join(sizes, "trip_id")
+    large = sized.where("blocks > 1")
+    kinds = {f.name: f.dataType.simpleString() for f in sized.schema}
+    rank = F.row_number().over(Window.partitionBy("trip_id").orderBy(F.xxhash64("seq", F.lit("pivot")), "seq"))
+    sample = large.withColumn("rank", rank).where(F.col("rank") <= SAMPLE)
+
+    def fit(drawn: pa.Table) -> pa.Table:
+        c = fit_pivots(unit(drawn.sort_by("rank").column("v")), drawn.column("n")[0].as_py(), least, sending)
+        trip, blocks = (pa.array([drawn.column(n)[0].as_py()] * len(c), drawn.schema.field(n).type) for n in ("trip_id", "blocks"))
+        return pa.table({"trip": trip, "blocks": blocks, "n": np.arange(len(c)), "pivot": pa.array(list(c), pa.list_(pa.float64()))})
+
+    def place(own: pa.Table, pivots: pa.Table) -> pa.Table:
+        home, angles, who, cell, to_angle = np.zeros(len(own), dtype=np.int64), [np.zeros(0)], [], [], []
+        if len(own):
+            x, c = unit(own.column("v")), unit(pivots.sort_by("n").column("pivot"))
+            for at in range(0, len(x), 4096):
+                home[at : at + 4096], angle, to = cells_of(x[at : at + 4096], c, least)
+                angles.append(angle[np.arange(len(angle)), home[at : at + 4096]])
+                r, d = np.nonzero(to)
+                who.append(r + at)
+                cell.append(d)
+                to_angle.append(angle[r, d])
+        out = own.select(["trip_id", "seq", "v", "size"]).take(pa.array(np.concatenate([np.arange(len(own)), *who])))
+        out = out.append_column("cell", pa.array(np.concatenate([home, *cell]).astype(np.int32)))
+        out = out.append_column("angle", pa.array(np.concatenate([*angles, *to_angle])))
+        return out.append_column("guest", pa.array(np.arange(len(out)) >= len(own)))
+
+    pivots = sample.groupBy("trip_id").applyInArrow(fit, f"trip {kinds['trip_id']}, blocks int, n long, pivot array<double>")
+    pivots = pivots.select("trip", "n", "pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"))
+    dealt = large.withColumn("bucket", F.pmod(F.xxhash64("seq"), F.col("blocks")).cast("int"))
+    schema = ", ".join(f"{n} {kinds[n]}" for n in ("trip_id", "seq", "v", "size")) + ", cell int, angle double, guest boolean"
+    placed = dealt.groupBy("trip_id", "bucket").cogroup(pivots.groupBy("trip", "to")).applyInArrow(place, schema)
+    small = sized.where("blocks = 1").drop("blocks", "n").withColumns(one_cell | {"angle": F.lit(0.0)})
+    placed = written(small.unionByName(placed), "cells")
+    key, blocks = ["trip_id", "cell"], F.ceil(F.count("*") / F.max("size")).cast("int")
+    own = placed.where(~F.col("guest")).groupBy(*key).agg(F.max("angle").alias("radius"), blocks.alias("own"))
+    near = F.col("angle") <= F.col("radius") + float(np.arccos(least)) + ROUNDING
+    placed = placed.join(own, key).where(~F.col("guest") | near).drop("angle", "radius")
+    guests = placed.where("guest").groupBy(*key).agg(blocks.alias("guests"))
+    return placed.join(guests, key, "left").drop("size").withColumn("guests", F.coalesce("guests", F.lit(0)))
+
+
+def cosine_pairs(rows: DataFrame, least: float, strict: bool = False, top_k: int | None = None, block: int = BLOCK, sending: int = SENDING) -> DataFrame:
     """Pairs i < j of a trip with a cosine of at least (strict: over) `least`, in double precision.
 
     top_k: only pairs in which one is among the k most similar of the other, itself
-    among them and ties to the smaller seq. Trips are compared block by block as
-    products of matrices; a zero vector is similar to none. Blocks grow with the
-    trip, as a row is sent to as many tasks as its trip has blocks.
+    among them and ties to the smaller seq. Who is below `least` is never before one
+    who isn't, so lists need only the others. Trips are compared cell by cell
+    (`in_cells`), a cell block by block, as products of matrices, a tile at a time; a
+    zero vector is similar to none. Blocks grow with the trip, until one is as large
+    as a task can well hold. Trips of several blocks are divided, and written, when
+    this is called.
     """
-    size = F.greatest(F.lit(1), F.least(F.greatest(F.lit(block), F.count("*") / BLOCKS), F.floor(BLOCK_NUMBERS / F.max(F.size("v")))))
-    sizes = rows.groupBy("trip_id").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("seq"), F.col("blocks")).cast("int")
-    sent = rows.select("trip_id", "seq", "v").join(sizes, "trip_id").withColumn("own", own)
-    sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    if top_k is None:
-        sent = sent.select("trip_id", "seq", "v", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
-    else:  # every row needs its whole list: rows are on the left in one pair of blocks, on the right in all
-        left = sent.select("trip_id", "seq", "v", F.lit(True).alias("left"), F.col("own").alias("bi"), F.col("other").alias("bj"))
-        sent = left.union(sent.select("trip_id", "seq", "v", F.lit(False), F.col("other"), F.col("own")))
-
-    def unit(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        v = table.column("v").combine_chunks()
-        x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
-        n = np.linalg.norm(x, axis=1, keepdims=True)
-        return x / np.where(n == 0, 1, n), table.column("seq").to_numpy()
-
-    def pairs(table: pa.Table) -> pa.Table:
-        x, ids = unit(table)
-        mine = table.column("own").to_numpy()
+    placed = in_cells(rows, least, block, sending)
+    # a cell's own rows are in blocks from 0, its guests in blocks from there on; guests don't meet
+    part = F.pmod(F.xxhash64("seq", F.lit("block")), F.when(F.col("guest"), F.col("guests")).otherwise(F.col("own"))).cast("int")
+    mine = F.when(F.col("guest"), F.col("own")).otherwise(F.lit(0)) + part
+    others = F.sequence(F.lit(0), F.col("own") - 1 + F.when(F.col("guest"), F.lit(0)).otherwise(F.col("guests")))
+    sent = placed.select("trip_id", "cell", "seq", "v", mine.alias("mine"), F.explode(others).alias("other"))
+    sent = sent.withColumns({"bi": F.least("mine", "other"), "bj": F.greatest("mine", "other")})
+
+    def compare(table: pa.Table) -> pa.Table:
+        x, ids, mine = unit(table.column("v")), table.column("seq").to_numpy(), table.column("mine").to_numpy()
         i, j = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
-        a, b = mine == i, mine == j
-        s = x[a] @ x[b].T
-        hit = (s > least) if strict else (s >= least)
-        r, c = np.nonzero(hit & (ids[a][:, None] < ids[b][None, :] if i == j else hit))
-        p, q = ids[a][r], ids[b][c]
-        return pa.table({"trip_id": pa.array([table.column("trip_id")[0].as_py()] * len(p), table.schema.field("trip_id").type), "i": np.minimum(p, q), "j": np.maximum(p, q), "sim": s[r, c]})
-
-    def lists(table: pa.Table) -> pa.Table:
-        x, ids = unit(table)
-        a = table.column("left").to_numpy(zero_copy_only=False)
-        s, p, q = x[a] @ x[~a].T, ids[a], ids[~a]
-        r, c = nearest(s, q, top_k)
-        return pa.table({"trip_id": pa.array([table.column("trip_id")[0].as_py()] * len(r), table.schema.field("trip_id").type), "i": p[r], "j": q[c], "sim": s[r, c]})
+        a, b = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        found = [(ids[:0], ids[:0], np.zeros(0))]
+        # each list needs its row on the left
+        for left, right in [(a, b)] if top_k is None or i == j else [(a, b), (b, a)]:
+            y, step = x[right].T, max(1, TILE_NUMBERS // max(1, len(right)))
+            for at in range(0, len(left), step):
+                tile = left[at : at + step]
+                s = x[tile] @ y
+                if top_k is not None:
+                    r, c = nearest(s, ids[right], top_k, least)
+                    found.append((ids[tile[r]], ids[right[c]], s[r, c]))
+                    continue
+                hit = (s > least) if strict else (s >= least)
+                r, c = np.nonzero(hit & (ids[tile][:, None] < ids[right][None, :]) if i == j else hit)
+                p, q = ids[tile[r]], ids[right[c]]
+                found.append((np.minimum(p, q), np.maximum(p, q), s[r, c]))
+        p, q, sims = map(np.concatenate, zip(*found, strict=True))
+        return pa.table({"trip_id": pa.array([table.column("trip_id")[0].as_py()] * len(p), table.schema.field("trip_id").type), "i": p, "j": q, "sim": sims})
 
     schema = f"trip_id {rows.schema['trip_id'].dataType.simpleString()}, i long, j long, sim double"
-    found = sent.groupBy("trip_id", "bi", "bj").applyInArrow(pairs if top_k is None else lists, schema)
+    found = sent.groupBy("trip_id", "cell", "bi", "bj").applyInArrow(compare, schema)
     if top_k is None:
         return found
     rank = F.row_number().over(Window.partitionBy("trip_id", "i").orderBy(F.desc("sim"), "j"))
