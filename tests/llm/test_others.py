@@ -50,6 +50,37 @@ def test_near_embeddings_brute_force(rows, monkeypatch, choices):
     assert all(got[i].n_links == 0 and got[i].kept and got[i].component_id == i for i, _, _ in BAD)
 
 
+@pytest.mark.parametrize("large", [embedding_dedup.LARGE, 50])
+def test_multiples_of_one_vector_are_linked(rows, large):
+    """Centroids that are the same but for rounding: wherever a vector lies, it meets all others."""
+    x = np.random.default_rng(3).normal(size=16)
+    data = [(i, (x * (1 + 0.37 * i)).tolist(), 1) for i in range(300)]
+    got = embedding_dedup.near_embeddings(embeddings(rows, data), block=64, choices=(8,), large=large, sending=0).collect()
+    assert len(got) == 300 and all((r.n_links, r.component_id) == (299, 0) for r in got)
+
+
+def test_large_cells_are_divided_again(spark, monkeypatch):
+    """Few cells of 8,000 vectors, divided by samples of 1,000 of their own; guests of the cells and copies included."""
+    n, r = 8_000, np.random.default_rng(13)
+    x = r.normal(size=(200, 24))[np.arange(n) % 200] + r.choice([0.05, 0.2, 0.4], size=(n, 1)) * r.normal(size=(n, 24))
+    x[5_000:5_900] = x[17]
+    seen = []
+    divided = embedding_dedup.divided
+
+    def spy(*a):
+        out = divided(*a)
+        seen.extend(out.groupBy("cell", "sub").agg(F.count_if("guest").alias("guests")).collect())
+        return out
+
+    monkeypatch.setattr(embedding_dedup, "divided", spy)
+    got = embedding_dedup.near_embeddings(wide(spark, x, lambda i: F.lit(1)), sample=1_000, block=256, choices=(2, 8), large=1_000, sending=0).toPandas().sort_values("vec_id")
+    assert len(seen) > len({s.cell for s in seen}) and sum(s.guests for s in seen) > 0
+    u = x.astype(np.float32).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    links = np.concatenate([(u[i : i + 2000] @ u.T >= 0.93).sum(axis=1) - 1 for i in range(0, n, 2000)])
+    assert (got.n_links.to_numpy() == links).all() and links.sum() > 100_000
+
+
 def test_many_cells_and_blocks_at_shipped_settings(spark, monkeypatch):
     """20,000 clustered vectors: several cells pay off, and every link is found."""
     n, r = 20_000, np.random.default_rng(12)

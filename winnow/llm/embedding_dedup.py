@@ -7,7 +7,9 @@ farther than such a pair can reach: if x and y are at most r apart, and y is
 nearest to centroid d, then x . (c - d) <= r |c - d| for any c. So no link is
 lost, whatever the cells. How many cells pay off is measured on the sample that
 they are fitted to: where vectors have no clusters, borders are everywhere near,
-and the least number of cells is cheapest.
+and the least number of cells is cheapest. One sample can't tell more cells apart
+than CELLS has; a cell of a label with more than LARGE vectors is therefore divided
+again, by k-means over a sample of its own, if that pays off, and by the same bound.
 
 Vectors with equal label and components are one class, which counts as often as
 it occurs. Cells are compared block by block, as products of matrices in double
@@ -44,20 +46,28 @@ BLOCK, BLOCK_NUMBERS, BLOCKS = 2048, 1 << 21, 16
 CELLS = (2, 8, 32, 128, 512)
 #: What it costs to send a vector to one cell more, in comparisons.
 SENDING = 1000
+#: Vectors of a cell beyond which it is divided again, and vectors that a task places then.
+LARGE, PLACED = 100_000, 50_000
 _TILE = 512
 
 
-def guests(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The cell of each row of x, and for each row which other cells it must be sent to."""
+def within(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of each row of x, and for each row which cells may hold vectors as near to it as is asked, its own among them."""
     near = x @ c.T
     home = near.argmax(axis=1)
     reach = np.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
     apart = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
-    to = near[np.arange(len(x)), home][:, None] - near <= reach * apart[home]
+    # of centroids that are the same but for rounding, either may be the nearest
+    return home, near[np.arange(len(x)), home][:, None] - near <= reach * apart[home] + 1e-9
+
+
+def guests(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of each row of x, and for each row which other cells it must be sent to."""
+    home, to = within(x, c, least)
     return home, to & (np.arange(len(c))[None, :] < home[:, None])
 
 
-def fit_cells(x: np.ndarray, least: float, total: float, choices: Sequence[int] = CELLS) -> np.ndarray:
+def fit_cells(x: np.ndarray, least: float, total: float, choices: Sequence[int] = CELLS, sending: int = SENDING) -> np.ndarray:
     """Centroids, as many as make comparisons and sendings of `total` vectors of a label cheapest."""
     best, cells = np.inf, x[:1]
     for k in choices:
@@ -66,7 +76,7 @@ def fit_cells(x: np.ndarray, least: float, total: float, choices: Sequence[int]
         c = spherical_k_means(x, k)
         home, to = guests(x, c, least)
         own = np.bincount(home, minlength=len(c)) / len(x)
-        cost = (own * (own + to.mean(axis=0))).sum() * total + SENDING * to.sum() / len(x)
+        cost = (own * (own + to.mean(axis=0))).sum() * total + sending * to.sum() / len(x)
         if cost < 0.8 * best:
             best, cells = cost, c
     return cells
@@ -112,7 +122,53 @@ def compare(x, y, x_ids, y_ids, x_times, y_times, least: float, same: bool):
     return xs, ys, edges
 
 
-def near_embeddings(vectors: DataFrame, least: float = 0.93, sample: int = SAMPLE, block: int = BLOCK, choices: Sequence[int] = CELLS) -> DataFrame:
+def divided(sent: DataFrame, key: list[str], least: float, large: int, sample: int, choices: Sequence[int], sending: int = SENDING) -> DataFrame | None:
+    """Vectors sent to cells, with a cell within each cell (`sub`); None if no cell has more than `large` of its own.
+
+    A cell's sample, drawn by a hash, is fitted in one task. Its own vectors lie in
+    one sub-cell and are guests in those of smaller numbers that are near; its guests
+    are guests in each that is near, as they must meet all of its own vectors.
+    """
+    sizes = sent.groupBy(*key).agg(F.count_if(~F.col("guest")).alias("n"))
+    if sizes.where(F.col("n") > large).isEmpty():
+        return None
+    sized = sent.join(sizes, key)
+    rows = sized.where(F.col("n") > large)
+    draw = F.pmod(F.xxhash64("cls", F.lit("second")), F.lit(1 << 30)) * F.col("n") < int(1.2 * sample) * (1 << 30)
+
+    def fit(table: pa.Table) -> pa.Table:
+        drawn = table.sort_by("cls").slice(0, sample)
+        c = fit_cells(matrix(drawn.column("v")), least, drawn.column("n")[0].as_py(), (1, *choices), sending)
+        out = {f"of_{k}": pa.array([drawn.column(k)[0].as_py()] * len(c), pa.int32()) for k in key}
+        return pa.table(out | {"n": pa.array([drawn.column("n")[0].as_py()] * len(c), pa.int64()), "number": np.arange(len(c)), "c": pa.array(list(c), pa.list_(pa.float64()))})
+
+    def place(table: pa.Table, fitted: pa.Table) -> pa.Table:
+        who, sub, guest = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=bool)]
+        if len(table):
+            x, visits = matrix(table.column("v")), table.column("guest").to_numpy(zero_copy_only=False)
+            c = matrix(fitted.sort_by("number").column("c")) if len(fitted) else x[:1] * 0
+            for at in range(0, len(x), 4096):
+                home, to = within(x[at : at + 4096], c, least)
+                mine = ~visits[at : at + 4096]
+                to &= (np.arange(len(c))[None, :] < home[:, None]) | ~mine[:, None]
+                r, d = np.nonzero(to)
+                who += [np.flatnonzero(mine) + at, r + at]
+                sub += [home[mine], d]
+                guest += [np.zeros(mine.sum(), dtype=bool), np.ones(len(r), dtype=bool)]
+        out = table.select(["cls", "label", "times", "dim", "cell", "v"]).take(pa.array(np.concatenate(who)))
+        out = out.append_column("guest", pa.array(np.concatenate(guest)))
+        return out.append_column("sub", pa.array(np.concatenate(sub).astype(np.int32)))
+
+    tasks = F.ceil(F.col("n") / PLACED).cast("int")
+    fitted = rows.where(draw & ~F.col("guest")).groupBy(*key).applyInArrow(fit, ", ".join(f"of_{k} int" for k in key) + ", n long, number long, c array<double>")
+    fitted = fitted.select(*(f"of_{k}" for k in key), "number", "c", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("to_task"))
+    dealt = rows.withColumn("task", F.pmod(F.xxhash64("cls"), tasks).cast("int"))
+    grouped = dealt.groupBy(*key, "task").cogroup(fitted.groupBy(*(f"of_{k}" for k in key), "to_task"))
+    again = grouped.applyInArrow(place, "cls long, label int, times long, dim int, cell int, v array<double>, guest boolean, sub int")
+    return again.unionByName(sized.where(F.col("n") <= large).drop("n").withColumn("sub", F.lit(0)))
+
+
+def near_embeddings(vectors: DataFrame, least: float = 0.93, sample: int = SAMPLE, block: int = BLOCK, choices: Sequence[int] = CELLS, large: int = LARGE, sending: int = SENDING) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row; links have equal labels and a cosine of at least `least`."""
     ship(vectors.sparkSession)
     scratch = Scratch()
@@ -126,7 +182,7 @@ def near_embeddings(vectors: DataFrame, least: float = 0.93, sample: int = SAMPL
     # vectors of the label that a vector has on the average
     by_label = classes.groupBy("label").agg(F.count("*").cast("double").alias("n"))
     total = by_label.agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("n")).first()["n"] or 0.0
-    cells = {k: fit_cells(unit(x), least, total, choices) for k, x in fitted.items()}
+    cells = {k: fit_cells(unit(x), least, total, choices, sending) for k, x in fitted.items()}
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,6 +201,8 @@ def near_embeddings(vectors: DataFrame, least: float = 0.93, sample: int = SAMPL
     sent = classes.select("cls", "label", "times", "dim", "v").mapInArrow(assign, "cls long, label int, times long, dim int, cell int, guest boolean, v array<double>")
     sent = scratch.written(sent, "cells")
     key = ["label", "dim", "cell"]
+    if (again := divided(sent, key, least, large, sample, choices, sending)) is not None:
+        sent, key = scratch.written(again, "divided"), [*key, "sub"]
     counts = sent.groupBy(*key).agg(F.count_if(~F.col("guest")).alias("own"), F.count_if("guest").alias("guests"))
     size = F.greatest(F.lit(1), F.least(F.greatest(F.lit(block), F.col("own") / BLOCKS), F.floor(BLOCK_NUMBERS / F.col("dim"))))
     counts = counts.select(*key, F.greatest(F.lit(1), F.ceil(F.col("own") / size)).cast("int").alias("own"), F.ceil(F.col("guests") / size).cast("int").alias("guests"))
