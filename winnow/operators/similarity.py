@@ -131,8 +131,11 @@ def in_cells(rows: DataFrame, least: float, block: int = BLOCK, sending: int = S
     sized = rows.join(sizes, "trip_id")
     large = sized.where("blocks > 1")
     kinds = {f.name: f.dataType.simpleString() for f in sized.schema}
-    rank = F.row_number().over(Window.partitionBy("trip_id").orderBy(F.xxhash64("seq", F.lit("pivot")), "seq"))
-    sample = large.withColumn("rank", rank).where(F.col("rank") <= SAMPLE)
+    # of a large trip, only rows that may be in the sample are ranked: some four times as many
+    drawn = F.xxhash64("seq", F.lit("pivot"))
+    likely = F.pmod(drawn, F.lit(1 << 30)) * F.col("n") < 4 * SAMPLE * (1 << 30)
+    rank = F.row_number().over(Window.partitionBy("trip_id").orderBy(F.pmod(drawn, F.lit(1 << 30)), "seq"))
+    sample = large.where(likely).withColumn("rank", rank).where(F.col("rank") <= SAMPLE)
 
     def fit(drawn: pa.Table) -> pa.Table:
         c = fit_pivots(unit(drawn.sort_by("rank").column("v")), drawn.column("n")[0].as_py(), least, sending)
@@ -142,7 +145,8 @@ def in_cells(rows: DataFrame, least: float, block: int = BLOCK, sending: int = S
     def place(own: pa.Table, pivots: pa.Table) -> pa.Table:
         home, angles, who, cell, to_angle = np.zeros(len(own), dtype=np.int64), [np.zeros(0)], [], [], []
         if len(own):
-            x, c = unit(own.column("v")), unit(pivots.sort_by("n").column("pivot"))
+            x = unit(own.column("v"))
+            c = unit(pivots.sort_by("n").column("pivot")) if len(pivots) else np.zeros((1, x.shape[1]))
             for at in range(0, len(x), 4096):
                 home[at : at + 4096], angle, to = cells_of(x[at : at + 4096], c, least)
                 angles.append(angle[np.arange(len(angle)), home[at : at + 4096]])
