@@ -749,3 +749,8 @@ def test_shared_folder_is_needed_on_a_cluster(spark):
     assert kept.count() == 3
     with pytest.raises(Exception, match="(?i)not exist|not found"):
         spark.read.parquet(gone._winnow_path).count()
+
+
+def test_manifest_lines_keep_digits(spark):
+    """A line's place in the list is nothing to trim; blanks at its ends are."""
+    assert one(spark, text.manifest_lines(F.lit("0a0\n12b1\n\n  c 2 \n3"))) == ["0a0", "12b1", "c 2", "3"]

@@ -99,4 +99,4 @@ def last_json_line(output: Column) -> Column:
 
 def manifest_lines(content: Column) -> Column:
     """The paths of a list of files, one a line, trimmed; blank lines are left out."""
-    return F.filter(F.transform(F.split(content, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(content, "\n"), lambda x: F.trim(x)), lambda x: x != "")  # F.trim by itself would take places as the characters to trim
