@@ -754,3 +754,11 @@ def test_shared_folder_is_needed_on_a_cluster(spark):
 def test_manifest_lines_keep_digits(spark):
     """A line's place in the list is nothing to trim; blanks at its ends are."""
     assert one(spark, text.manifest_lines(F.lit("0a0\n12b1\n\n  c 2 \n3"))) == ["0a0", "12b1", "c 2", "3"]
+
+
+def test_layers_lose_no_pair_of_many_alike(rows):
+    """Of 520 copies, far more than a list of nearest ones holds, every pair is found: by dense vectors."""
+    n = 520
+    df = rows([(1, i, [1.0, 2.0], 0, 0) for i in range(n)], "trip_id int, seq long, v array<double>, phash long, dhash long")
+    evidence = dedup.pair_evidence(df, mode="dense", by_hash=similarity.hash_links)
+    assert evidence.where("source = 'dense'").count() == n * (n - 1) // 2

@@ -31,7 +31,6 @@ class DedupThresholds:
     strict: float = 0.92
     dense: float = 0.90
     top_k: int = 50
-    exact_limit: int = 500
     blur: float = 15.0
     clear: float = 50.0
     technical_blur: float = 25.0

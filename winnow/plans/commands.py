@@ -90,7 +90,7 @@ def _analyze(images: DataFrame, blur_threshold: float = 15.0, clear_threshold: f
 
 def _dedup(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
     """Groups (label, size, members) of rows (trip_id, seq, v) by cosine."""
-    pairs = similarity.similar(rows, threshold)
+    pairs = similarity.cosine_pairs(rows, threshold)
     return graph.groups(pairs.select(F.col("i").alias("a"), F.col("j").alias("b")))
 
 
