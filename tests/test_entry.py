@@ -76,3 +76,14 @@ def test_segments_are_chosen(spark):
     assert not alone <= chosen  # neighbours that are drawn in take the place of better ones
     assert {r.plan for r in queries["n7_edit_plans"](spark, d).collect()} == {"keep", "compile", "error"}
     assert queries["d18_adjacent_segments"](spark, d).count() > 1000
+
+
+SEGMENTS = """n11_upserted_segments n16_videos_kept_whole n10_reselected_all s6_edited_videos n15_videos_after_proxy n6_segment_selection
+n7_edit_plans s6_edited_to_target s7_segments_by_sql b10_segment_details b6_segment_rows_defaults""".split()
+
+
+@pytest.mark.parametrize("name", SEGMENTS)
+def test_no_task_holds_all_segments(spark, name):
+    """A table whose file is small is broadcast in joins, and is then whole in every task; a video's rows lie in a task of their own number."""
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "REPARTITION_BY_NUM" in plan

@@ -763,3 +763,11 @@ def test_layers_lose_no_pair_of_many_alike(rows):
     assert similarity.tiered_pairs(df, whole=True).where("tier = 'confirmed'").count() == n * (n - 1) // 2
     evidence = dedup.pair_evidence(df, mode="dense", by_hash=similarity.hash_links)
     assert evidence.where("source = 'dense'").count() == n * (n - 1) // 2
+
+
+def test_boundaries_of_videos_with_and_without_cuts(rows):
+    """Cuts at the ends of a video, one beyond them, no cuts, no length, and cuts of a video that isn't known."""
+    videos = rows([(1, 10.0), (2, 5.0), (3, 0.0), (4, None), (5, 4.0)], "media_id int, duration double")
+    cuts = rows([(1, 0.0), (1, 3.0), (1, 3.4), (5, 9.0), (6, 1.0), (6, 4.0), (None, 1.0)], "media_id int, t double")
+    got = sorted(tuple(r) for r in video.boundaries(videos, cuts).collect())
+    assert got == [(1, 0.0, 2.5), (1, 3.9, 10.0), (2, 0.0, 2.0), (2, 2.0, 4.0), (2, 4.0, 5.0), (5, 0.0, 3.5), (5, 4.5, 9.0), (6, 1.0, 4.0)]

@@ -79,18 +79,21 @@ def boundaries(videos: DataFrame, cuts: DataFrame, t: VideoThresholds = VideoThr
 
     Between cuts, ends drawn in by a margin but for the video's own; without cuts,
     in steps of equal length, the last cut short. Empty segments are left out.
+
+    Whether a video has cuts is told by a window and not by joins: of these Spark may
+    broadcast a side, which is as large as all videos.
     """
+    lines = videos.select("media_id", "duration", F.lit(None).cast("double").alias("t")).union(cuts.where("media_id is not null and t is not null").select("media_id", F.lit(None).cast("double"), "t"))
+    lines = lines.withColumn("cut", F.max("t").over(Window.partitionBy("media_id")).isNotNull())
+    n = F.ceil(F.col("duration") / t.segment_seconds)
+    steps = F.when(n > 0, F.concat(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: i * t.segment_seconds), F.array("duration")))
+    own = F.when(F.col("t").isNotNull(), F.array("t")).when(F.col("cut"), F.array(F.lit(0.0), F.col("duration"))).otherwise(steps)
+    points = lines.select("media_id", "cut", F.explode(own).alias("t")).distinct()
     w = Window.partitionBy("media_id").orderBy("t")
-    between = cut_points(videos, cuts).select("media_id", F.col("t").alias("a"), F.lead("t").over(w).alias("b"), "pos", F.lead("t", 2).over(w).isNull().alias("last")).where("b is not null")
-    start = F.when(F.col("pos") == 0, F.col("a")).otherwise(F.least(F.col("a") + t.cut_margin, F.col("b")))
-    between = between.withColumn("start", start)
-    end = F.when(F.col("last"), F.col("b")).otherwise(F.greatest(F.col("b") - t.cut_margin, F.col("start")))
-    cut = cuts.select("media_id").distinct()
-    by_cut = between.join(cut, "media_id", "left_semi").select("media_id", "start", end.alias("end")).where("end > start")
-    plain = videos.join(cut, "media_id", "left_anti").withColumn("n", F.ceil(F.col("duration") / t.segment_seconds)).where("n > 0")
-    plain = plain.select("media_id", "duration", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    steps = plain.select("media_id", (F.col("i") * t.segment_seconds).alias("start"), F.least((F.col("i") + 1) * t.segment_seconds, F.col("duration")).alias("end"))
-    return by_cut.union(steps)
+    between = points.select("media_id", "cut", F.col("t").alias("a"), F.lead("t").over(w).alias("b"), F.row_number().over(w).alias("n"), F.lead("t", 2).over(w).isNull().alias("last")).where("b is not null")
+    start = F.when((F.col("n") == 1) | ~F.col("cut"), F.col("a")).otherwise(F.least(F.col("a") + t.cut_margin, F.col("b")))
+    end = F.when(F.col("last") | ~F.col("cut"), F.col("b")).otherwise(F.greatest(F.col("b") - t.cut_margin, F.col("start")))
+    return between.withColumn("start", start).select("media_id", "start", end.alias("end")).where("end > start")
 
 
 def indexed(segments: DataFrame) -> DataFrame:
@@ -169,17 +172,24 @@ def select_segments(segments: DataFrame, targets: DataFrame, t: VideoThresholds
 
     A video's candidates meet in one task, many videos in each: they are as many as its segments.
     """
+    return _selected(segments, targets, t, excluded).select("media_id", "segment_index")
+
+
+def _selected(segments: DataFrame, targets: DataFrame, t: VideoThresholds, excluded: list[int] | None = None) -> DataFrame:
+    """`select_segments` with start, end and the place (pos, from 0) of each in its summary, which need no join to be had."""
     ship(segments.sparkSession)
-    pool = candidates(segments, t, excluded).join(targets, "media_id").select("media_id", "segment_index", "start", "end", "overall", "target")
+    pool = candidates(segments, t, excluded).join(targets.hint("merge"), "media_id").select("media_id", "segment_index", "start", "end", "overall", "target")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for video in _runs(batches, "media_id"):
             start, end, overall = (video.column(c).to_pylist() for c in ("start", "end", "overall"))
             taken = choose(start, end, overall, video.column("target")[0].as_py(), t)
-            yield from video.select(["media_id", "segment_index"]).take(pa.array(taken, pa.int64())).combine_chunks().to_batches()
+            out = video.select(["media_id", "segment_index", "start", "end"]).take(pa.array(taken, pa.int64()))
+            yield from out.append_column("pos", pa.array(range(len(taken)), pa.int32())).combine_chunks().to_batches()
 
-    ordered = pool.repartition("media_id").sortWithinPartitions("media_id", "start", "segment_index")
-    return ordered.mapInArrow(run, pool.select("media_id", "segment_index").schema)
+    # the window has each video's rows in order, and leaves them where they are if they lie together already
+    ordered = pool.withColumn("n", F.row_number().over(Window.partitionBy("media_id").orderBy("start", "segment_index")))
+    return ordered.mapInArrow(run, pool.select("media_id", "segment_index", "start", "end", F.lit(0).alias("pos")).schema)
 
 
 def adjacent(segments: DataFrame, t: VideoThresholds = VideoThresholds()) -> DataFrame:
@@ -200,18 +210,22 @@ def adjacent(segments: DataFrame, t: VideoThresholds = VideoThresholds()) -> Dat
 
 def processed(segments: DataFrame, targets: DataFrame, t: VideoThresholds = VideoThresholds()) -> DataFrame:
     """Videos in one go, from scored segments: each one's segments, how many are kept, seconds of these and the plan."""
-    chosen = select_segments(segments, targets, t)
-    kept = segments.join(chosen, ["media_id", "segment_index"], "left_semi").groupBy("media_id").agg(F.sum(F.col("end") - F.col("start")).alias("seconds"))
-    return edit_plans(segments, chosen, targets).join(kept, "media_id", "left").withColumn("seconds", F.coalesce("seconds", F.lit(0.0)))
+    chosen = _selected(segments, targets, t)
+    kept = chosen.groupBy("media_id").agg(F.count("*").alias("selected"), F.sum(F.col("end") - F.col("start")).alias("seconds"))
+    return _plans(segments, kept, targets, "seconds").withColumn("seconds", F.coalesce("seconds", F.lit(0.0)))
 
 
 def edit_plans(segments: DataFrame, selected: DataFrame, targets: DataFrame) -> DataFrame:
     """What becomes of each video: kept as it is, compiled from n segments, or an error as nothing is left."""
+    return _plans(segments, selected.groupBy("media_id").agg(F.count("*").alias("selected")), targets)
+
+
+def _plans(segments: DataFrame, kept: DataFrame, targets: DataFrame, *more: str) -> DataFrame:
+    """`edit_plans` from the number kept of each video (media_id, selected), with more columns of that table."""
     n = segments.groupBy("media_id").agg(F.count("*").alias("segments"))
-    k = selected.groupBy("media_id").agg(F.count("*").alias("selected"))
-    out = n.join(k, "media_id", "left").join(targets, "media_id").withColumn("selected", F.coalesce("selected", F.lit(0)))
+    out = n.join(kept.hint("merge"), "media_id", "left").join(targets.hint("merge"), "media_id").withColumn("selected", F.coalesce("selected", F.lit(0)))
     plan = F.when(F.col("target").isNull() & (F.col("selected") == F.col("segments")), "keep").when(F.col("selected") == 0, "error").otherwise("compile")
-    return out.select("media_id", "segments", "selected", plan.alias("plan"))
+    return out.select("media_id", "segments", "selected", plan.alias("plan"), *more)
 
 
 def transitions(segments: DataFrame, kind: str = "fade", seconds: float = 0.5) -> DataFrame:
@@ -220,21 +234,26 @@ def transitions(segments: DataFrame, kind: str = "fade", seconds: float = 0.5) -
     fade: in and out, if the segment is twice as long. crossfade: with the one
     before, if both are; the offset counts from the start of that one alone.
     """
+    return _with_transitions(segments, kind, seconds).select("media_id", "pos", "transition", "offset")
+
+
+def _with_transitions(segments: DataFrame, kind: str = "fade", seconds: float = 0.5) -> DataFrame:
+    """segments with `transitions`' columns."""
     before = F.lag("duration").over(Window.partitionBy("media_id").orderBy("pos"))
     long_ = F.col("duration") >= 2 * seconds
     if kind == "fade":
-        return segments.select("media_id", "pos", F.when(long_, "fade").otherwise("none").alias("transition"), F.when(long_, F.col("duration") - seconds).alias("offset"))
+        return segments.withColumns({"transition": F.when(long_, "fade").otherwise("none"), "offset": F.when(long_, F.col("duration") - seconds)})
     if kind == "crossfade":
         both = long_ & (before >= 2 * seconds)
-        return segments.select("media_id", "pos", F.when(before.isNull(), "start").when(both, "crossfade").otherwise("concat").alias("transition"), F.when(both, before - seconds).alias("offset"))
-    return segments.select("media_id", "pos", F.lit("none").alias("transition"), F.lit(None).cast("double").alias("offset"))
+        return segments.withColumns({"transition": F.when(before.isNull(), "start").when(both, "crossfade").otherwise("concat"), "offset": F.when(both, before - seconds)})
+    return segments.withColumns({"transition": F.lit("none"), "offset": F.lit(None).cast("double")})
 
 
 def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
     """Segments of the new analysis, with the id and choice of the old where it had that number; other videos stay."""
     kept = old.select("media_id", "segment_index", F.col("id").alias("old_id"), F.col("selected").alias("old_selected"))
-    out = new.join(kept, ["media_id", "segment_index"], "left").withColumns({"id": F.coalesce("old_id", "id"), "selected": F.coalesce("old_selected", "selected")}).drop("old_id", "old_selected")
-    return out.unionByName(old.join(new.select("media_id").distinct(), "media_id", "left_anti"))
+    out = new.join(kept.hint("merge"), ["media_id", "segment_index"], "left").withColumns({"id": F.coalesce("old_id", "id"), "selected": F.coalesce("old_selected", "selected")}).drop("old_id", "old_selected")
+    return out.unionByName(old.join(new.select("media_id").distinct().hint("merge"), "media_id", "left_anti"))
 
 
 def requested(order: DataFrame, segments: DataFrame, strict: bool = False) -> DataFrame:
@@ -264,7 +283,5 @@ def probed(videos: DataFrame) -> DataFrame:
 
 def edited(segments: DataFrame, targets: DataFrame, kind: str = "fade", t: VideoThresholds = VideoThresholds()) -> DataFrame:
     """The segments of each video's summary in order of time (media_id, pos, segment_index, start, end), with their transitions."""
-    chosen = segments.join(select_segments(segments, targets, t), ["media_id", "segment_index"], "left_semi")
-    placed = chosen.withColumn("pos", F.row_number().over(Window.partitionBy("media_id").orderBy("start", "segment_index")) - 1)
-    placed = placed.select("media_id", "pos", "segment_index", "start", "end", "duration")
-    return placed.drop("duration").join(transitions(placed, kind), ["media_id", "pos"])
+    chosen = _selected(segments, targets, t).withColumn("duration", F.col("end") - F.col("start"))
+    return _with_transitions(chosen, kind).select("media_id", "pos", "segment_index", "start", "end", "transition", "offset")

@@ -28,6 +28,10 @@ def _targets(spark, d):
     return src.cuts(spark, d).select("media_id", "duration").distinct().select("media_id", scores.target_duration(F.col("duration")).alias("target"))
 
 
+def _no_targets(spark, d):
+    return src.cuts(spark, d).select("media_id").distinct().withColumn("target", F.lit(None).cast("double"))
+
+
 @query("n1_frame_scores", sql("scores", "select media_id, t, round(coalesce(change, -1), 9) as change, round(score, 9) as score from scores"))
 def frame_scores(spark, d):
     """How much each frame differs from the one before it, and starts a new scene."""
@@ -96,9 +100,7 @@ def edit_plans(spark, d):
 @query("n10_reselected_all", sql("segs", f"select media_id, segment_index from (select *, {_LABEL} as label from segs) where label in ('good', 'slightly_shaky') and duration >= 2 and segment_index not in (1, 3)"))
 def reselected(spark, d):
     """With no target all that is left after the exclusions stays."""
-    s = segments(spark, d)
-    none = s.select("media_id").distinct().withColumn("target", F.lit(None).cast("double"))
-    return video.select_segments(s, none, excluded=[1, 3])
+    return video.select_segments(segments(spark, d), _no_targets(spark, d), excluded=[1, 3])
 
 
 _CHOSEN = "p as (select media_id, segment_index as pos, duration from segs where {l} in ('good', 'slightly_shaky'))".format(l=_LABEL)
@@ -227,9 +229,7 @@ select media_id, count(*) as segments, count(*) filter (where ok) as selected, c
 round(coalesce(sum(end_ - start) filter (where ok), 0.0), 3) as seconds from l group by media_id"""))
 def videos_kept_whole(spark, d):
     """Videos that are processed without a target keep all candidates."""
-    s = segments(spark, d)
-    none = s.select("media_id").distinct().withColumn("target", F.lit(None).cast("double"))
-    return video.processed(s, none).select("media_id", "segments", "selected", "plan", F.round("seconds", 3).alias("seconds"))
+    return video.processed(segments(spark, d), _no_targets(spark, d)).select("media_id", "segments", "selected", "plan", F.round("seconds", 3).alias("seconds"))
 
 
 @query("f9_seconds_before", sql("segs", "select media_id, segment_index, round(coalesce(sum(duration) over (partition by media_id order by 0.4 * sharpness + 0.3 * stability + 0.3 * exposure desc, segment_index rows between unbounded preceding and 1 preceding), 0.0), 6) as before from segs"))
@@ -245,7 +245,7 @@ def segments_by_sql(spark, d):
     commands.register(spark)
     segments(spark, d).createOrReplaceTempView("segments")
     _targets(spark, d).createOrReplaceTempView("targets")
-    return spark.sql("""select media_id, segment_index from choose_segments(TABLE(select media_id, segment_index, start, `end`, overall, target from segments join targets using (media_id)
+    return spark.sql("""select media_id, segment_index from choose_segments(TABLE(select /*+ MERGE(targets) */ media_id, segment_index, start, `end`, overall, target from segments join targets using (media_id)
 where label in ('good', 'slightly_shaky') and duration >= 2) PARTITION BY media_id ORDER BY (start, segment_index))""")
 
 
@@ -283,5 +283,4 @@ def label_counts(spark, d):
 select media_id, pos, segment_index, start, end_ as "end", case when duration >= 1 then 'fade' else 'none' end as transition, duration - 0.5 as "offset" from c"""))
 def edited_videos(spark, d):
     """From segments to what is rendered, of videos without a target."""
-    s = segments(spark, d)
-    return video.edited(s, s.select("media_id").distinct().withColumn("target", F.lit(None).cast("double")))
+    return video.edited(segments(spark, d), _no_targets(spark, d))

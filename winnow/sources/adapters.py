@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from winnow.functions import hashing
 
@@ -158,17 +159,28 @@ def as_job_events(events: DataFrame) -> DataFrame:
     )
 
 
+#: Events of a task.
+VIDEO_ROWS = 100_000
+
 #: Seconds of events that make one of video, by kind of video: short ones of few cuts and of many, middling and long ones.
 SPEEDS = "case media_id % 4 when 2 then 4.0 when 3 then 1.0 else 32.0 end"
 
 
 def cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scene cuts of one video for each user of events, at seconds from its first: an event a day is
-    a minute, or a part of it by the kind of video; the short ones of few cuts have them every 16 seconds."""
-    e = table(spark, sf_dir, "events").selectExpr("user_id as media_id", "floor(unix_timestamp(cast(ts as timestamp)) / 1440.0) as minute", "value", f"cast({SPEEDS} as double) as speed")
-    first = e.groupBy("media_id").agg(F.min("minute").alias("first"), ((F.max("minute") - F.min("minute") + 5) / F.first("speed")).alias("duration"))
+    a minute, or a part of it by the kind of video; the short ones of few cuts have them every 16 seconds.
+
+    A video's events lie together from here on, in tasks of VIDEO_ROWS rows or so
+    however large the log is. There is no join: the file is small enough for its size
+    to have it broadcast, its rows are not.
+    """
+    e = table(spark, sf_dir, "events")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-e.count() // VIDEO_ROWS))
+    e = e.where("user_id is not null").selectExpr("user_id as media_id", "floor(unix_timestamp(cast(ts as timestamp)) / 1440.0) as minute", "value", f"cast({SPEEDS} as double) as speed")
+    w = Window.partitionBy("media_id")
+    e = e.repartition(tasks, "media_id").withColumns({"first": F.min("minute").over(w), "last": F.max("minute").over(w)})
     t = "(minute - first) / speed"
-    return e.join(first, "media_id").selectExpr("media_id", f"case when media_id % 4 = 0 then floor({t} / 16) * 16.0D else {t} end as t", "duration", "value")
+    return e.withColumn("duration", (F.col("last") - F.col("first") + 5) / F.col("speed")).selectExpr("media_id", f"case when media_id % 4 = 0 then floor({t} / 16) * 16.0D else {t} end as t", "duration", "value")
 
 
 def measured_segments(segments: DataFrame) -> DataFrame:
