@@ -87,3 +87,14 @@ def test_no_task_holds_all_segments(spark, name):
     """A table whose file is small is broadcast in joins, and is then whole in every task; a video's rows lie in a task of their own number."""
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_pictures_are_few_in_a_task(spark, tmp_path, monkeypatch):
+    """However many there are, so that no task's time or batch grows with the table."""
+    from winnow.sources import adapters
+
+    spark.read.parquet(f"{SF}/embeddings.parquet").write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(adapters, "PICTURES", 50, raising=False)
+    got = adapters.pictures(spark, str(tmp_path), 4, 4, 3)
+    assert got.rdd.getNumPartitions() == 10
+    assert max(got.rdd.glom().map(len).collect()) < 100

@@ -6,11 +6,14 @@ media with content, embeddings their vectors, and events the log of jobs.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from winnow.functions import hashing
+from winnow.sources.packages import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,15 +125,34 @@ def curated(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Pictures of a task.
+PICTURES = 1000
+
+
 def pictures(spark: SparkSession, sf_dir: str, width: int, height: int, channels: int) -> DataFrame:
-    """Decoded images of one size, one for each vector: a byte is made of the numbers of its row and of its column, turned by channel."""
-    n, row = width * height * channels, width * channels
-    at = lambda k: f"v[cast(({k}) % size(v) as int)]"
-    value = f"floor(128 + 200 * ({at(f'i div {row} + 21 * (i % {channels})')} + {at(f'i % {row} div {channels}')}))"
-    data = f"unhex(array_join(transform(sequence(0, {n - 1}), i -> lpad(hex(cast(least(255, greatest(0, {value})) as int)), 2, '0')), ''))"
-    e = table(spark, sf_dir, "embeddings").selectExpr("label as trip_id", "vec_id as seq", "transform(embedding, x -> cast(x as double)) as v")
-    e = e.repartition(spark.sparkContext.defaultParallelism)  # the table is one small file, its pictures are not
-    return e.selectExpr("trip_id", "seq", f"{width} as width", f"{height} as height", f"{channels} as channels", f"{data} as data")
+    """Decoded images of one size, one for each vector: a byte is made of the numbers of its row and of its column, turned by channel.
+
+    Tasks, and so the batches of what measures them, are of some PICTURES however many there are.
+    """
+    ship(spark)
+
+    @F.pandas_udf("binary")
+    def drawn(v: pd.Series) -> pd.Series:
+        i = np.arange(width * height * channels)
+        down, across = i // (width * channels) + 21 * (i % channels), i % (width * channels) // channels
+
+        def draw(x: np.ndarray) -> bytes | None:
+            if x is None or not len(x):
+                return None
+            x = np.asarray(x, dtype=np.float64)
+            return np.clip(np.floor(128 + 200 * (x[down % len(x)] + x[across % len(x)])), 0, 255).astype(np.uint8).tobytes()
+
+        return v.map(draw)
+
+    e = table(spark, sf_dir, "embeddings")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-e.count() // PICTURES))
+    e = e.selectExpr("label as trip_id", "vec_id as seq", "transform(embedding, x -> cast(x as double)) as v").repartition(tasks)
+    return e.select("trip_id", "seq", F.lit(width).alias("width"), F.lit(height).alias("height"), F.lit(channels).alias("channels"), drawn("v").alias("data"))
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
