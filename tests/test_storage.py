@@ -291,3 +291,17 @@ def test_numbered_tail_over_restarts(spark, rows, tmp_path):
     for j, n in ((0, 9), (1, 6)):
         own = sorted((r.seq, r.id) for r in sink.rows().where(f"job_id = {j}").collect())
         assert [s for s, _ in own] == list(range(1, n + 1)) and [i for _, i in own] == sorted(i for _, i in own)
+
+
+def test_uploads_are_merged_by_many_tasks(spark, tmp_path):
+    """Rows of uploads are small, so that a shuffle would leave them in one task."""
+    from winnow.sources import store
+
+    parts = spark.range(60).selectExpr("id as upload_id", "1 as part_no", "cast(cast(id as string) as binary) as content")
+    store.save_parts(parts, str(tmp_path.as_uri()))
+    uploads = parts.groupBy("upload_id").count().selectExpr("upload_id", "concat('m/', upload_id) as path", "1 as total_parts")
+    done = store.complete_uploads(uploads, str(tmp_path.as_uri()))
+    assert done.where("outcome = 'merged'").count() == 60
+    assert len(list((tmp_path / "m").iterdir())) == 60
+    assert len([f for f in done.inputFiles()]) > 4
+    assert store.digests(uploads, str(tmp_path.as_uri())).rdd.getNumPartitions() > 4

@@ -160,6 +160,12 @@ def _each(rows: DataFrame, work: Callable[[dict], tuple[str, int | None]], name:
     return written(rows.mapInArrow(run, OUTCOME), name)
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows (path) over many tasks: by their bytes they are few, and would be in one, but a file is far more work than its row."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), "path")
+
+
 def save_files(contents: DataFrame, root: str, settings: dict[str, str] | None = None) -> DataFrame:
     """Stores the contents (path, content) as files below the root; OUTCOME with `saved` or `failed`."""
 
@@ -206,7 +212,8 @@ def save_parts(parts: DataFrame, root: str, settings: dict[str, str] | None = No
         return "saved", len(row["content"])
 
     path = F.concat(F.lit("_parts/"), F.col("upload_id").cast("string"), F.lit("/part_"), F.col("part_no").cast("string"))
-    return _each(parts.select(path.alias("path"), F.col("upload_id").cast("string").alias("upload_id"), F.col("part_no").cast("int").alias("part_no"), F.col("content").cast("binary").alias("content")), save, "parts")
+    rows = parts.select(path.alias("path"), F.col("upload_id").cast("string").alias("upload_id"), F.col("part_no").cast("int").alias("part_no"), F.col("content").cast("binary").alias("content"))
+    return _each(rows, save, "parts")
 
 
 def complete_uploads(uploads: DataFrame, root: str, settings: dict[str, str] | None = None) -> DataFrame:
@@ -219,7 +226,8 @@ def complete_uploads(uploads: DataFrame, root: str, settings: dict[str, str] | N
             return "merged", store.size(row["path"])
         return "merged", store.complete(row["path"], row["upload_id"], list(range(1, row["total_parts"] + 1)))
 
-    return _each(uploads.select("path", F.col("upload_id").cast("string").alias("upload_id"), F.col("total_parts").cast("int").alias("total_parts")), merge, "merged")
+    rows = uploads.select("path", F.col("upload_id").cast("string").alias("upload_id"), F.col("total_parts").cast("int").alias("total_parts"))
+    return _each(_dealt(rows), merge, "merged")
 
 
 def digests(paths: DataFrame, root: str, settings: dict[str, str] | None = None) -> DataFrame:
@@ -238,7 +246,7 @@ def digests(paths: DataFrame, root: str, settings: dict[str, str] | None = None)
             columns = zip(*out, strict=True) if out else [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["path", "size", "md5"])
 
-    return paths.select("path").distinct().mapInArrow(run, "path string, size long, md5 string")
+    return _dealt(paths.select("path").distinct()).mapInArrow(run, "path string, size long, md5 string")
 
 
 def migrate(media: DataFrame, source: str, target: str, **settings) -> tuple[DataFrame, DataFrame]:
