@@ -243,6 +243,63 @@ def test_ingest_tells_what_could_not_be_stored(spark, tmp_path):
     assert row.processing_status == "failed" and row.processing_error and row.seq == 1
 
 
+def test_ingest_of_a_log_takes_each_file_once(spark, rows, tmp_path, monkeypatch):
+    """It fails in the second batch before the commit; one file is named twice, one isn't there, and one has odd characters."""
+    sink = ingest.Sink(spark, f"{tmp_path}/media", "trip_id", ["original_filename"])
+    for n, part in enumerate([["t/a.jpg", "t/a.jpg", "a b/50%.MP4", "t/note.txt"], ["t/gone.png", "x/y/c.png", "/top.jpg"]]):
+        for p in part:
+            if "gone" not in p:
+                store.Store(str(tmp_path / "in")).save(p, f"content of {p}".encode())
+        rows([(p,) for p in part], "path string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+        log = next(p for p in (tmp_path / "log").glob("part-*") if p.stat().st_mtime > 1_700_001_000)
+        os.utime(log, (1_700_000_000 + n, 1_700_000_000 + n))
+    run = lambda: ingest.ingest_logged(ingest.logged(spark, f"{tmp_path}/log", 1), f"{tmp_path}/in", f"{tmp_path}/store", sink, f"{tmp_path}/cursor").awaitTermination()
+    commit, failures = sink.commit, []
+
+    def failing(number):
+        if number == 1 and not failures:
+            failures.append(number)
+            raise RuntimeError("before the commit")
+        commit(number)
+
+    monkeypatch.setattr(sink, "commit", failing)
+    with pytest.raises(Exception, match="before the commit"):
+        run()
+    assert sink.batches() == [0]
+    run()
+    run()
+    got = {(r.trip_id, r.original_filename): r for r in sink.rows().collect()}
+    assert sink.batches() == [0, 1] and sink.rows().count() == 5
+    assert {k: (r.processing_status, r.seq, r.media_type) for k, r in got.items()} == {
+        ("t", "a.jpg"): ("pending", 1, "image"), ("a b", "50%.MP4"): ("pending", 1, "video"), ("t", "gone.png"): ("failed", 2, "image"), ("x/y", "c.png"): ("pending", 1, "image"), ("", "top.jpg"): ("pending", 1, "image"),
+    }
+    gone = got.pop(("t", "gone.png"))
+    assert "FileNotFoundError" in gone.processing_error and gone.file_size is None and gone.md5 is None
+    there = {(r.path, r.size, r.md5) for r in store.digests(sink.rows().select(F.col("file_path").alias("path")), f"{tmp_path}/store").collect()}
+    assert there == {(r.file_path, r.file_size, r.md5) for r in got.values()}
+
+
+def test_ingested_files_are_not_each_a_task(spark, rows, tmp_path):
+    """The driver lists no files: of 400, a stage has as few tasks as of ten."""
+    from winnow.plans import catalog
+
+    def tasks(n):
+        top = tmp_path / f"{n}"
+        rows([(i, f"text {i}", "en", f"s{i % 3}", 6) for i in range(n)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{top}/documents.parquet")
+        tracker, first = spark.sparkContext.statusTracker(), spark.sparkContext.parallelize([0], 1)
+        spark.sparkContext.setJobGroup(f"before{n}", "")
+        first.count()
+        (job,) = tracker.getJobIdsForGroup(f"before{n}")
+        stage = max(tracker.getJobInfo(job).stageIds)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        got = catalog.queries()["a12_ingested_stream"](spark, str(top)).collect()
+        assert len(got) == sum(i % 4 != 2 for i in range(n)) and {r.processing_status for r in got} == {"pending"}
+        assert all(r.last_seq == r.numbers == sum(x.trip_id == r.trip_id for x in got) for r in got)
+        return max(s.numTasks for i in range(stage, stage + 200) if (s := tracker.getStageInfo(i)))
+
+    assert tasks(400) == tasks(10)
+
+
 JOBS = "id long, job_id long, created_at timestamp, status string"
 START = datetime(2024, 1, 1)
 

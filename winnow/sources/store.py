@@ -26,6 +26,8 @@ from winnow.sources.packages import ship
 from winnow.sources.shared import written
 
 PIECE = 1 << 20
+#: First bytes that tell a file's kind.
+HEAD = 16
 _PART = re.compile(r"part_(\d+)")
 
 
@@ -136,13 +138,15 @@ class Store:
 OUTCOME = "path string, outcome string, size long, error string"
 
 
-def _each(rows: DataFrame, work: Callable[[dict], tuple[str, int | None]], name: str) -> DataFrame:
+def _each(rows: DataFrame, work: Callable[[dict], tuple], name: str, schema: str = OUTCOME, more: tuple[pa.DataType, ...] = ()) -> DataFrame:
     """OUTCOME of work on each row, whose first column is a path, once for each row.
 
-    work gives the outcome and a size; what it raises becomes the outcome `failed`
-    with the error, and the other rows go on.
+    work gives the outcome, a size and what the schema has more; what it raises becomes
+    the outcome `failed` with the error, and the other rows go on.
     """
     ship(rows.sparkSession)
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), *more)
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,17 +154,17 @@ def _each(rows: DataFrame, work: Callable[[dict], tuple[str, int | None]], name:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 try:
-                    out.append((row["path"], *work(row), None))
+                    outcome, size, *rest = work(row)
+                    out.append((row["path"], outcome, size, None, *rest))
                 except Exception as e:  # of this file alone
-                    out.append((row["path"], "failed", None, f"{type(e).__name__}: {e}"))
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.string())
-            columns = zip(*out, strict=True) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "outcome", "size", "error"])
+                    out.append((row["path"], "failed", None, f"{type(e).__name__}: {e}", *[None] * len(more)))
+            columns = zip(*out, strict=True) if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return written(rows.mapInArrow(run, OUTCOME), name)
+    return written(rows.mapInArrow(run, schema), name)
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
+def dealt(rows: DataFrame) -> DataFrame:
     """rows (path) over many tasks: by their bytes they are few, and would be in one, but a file is far more work than its row."""
     spark = rows.sparkSession
     return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), "path")
@@ -192,6 +196,31 @@ def copy_files(paths: DataFrame, source: str, target: str, source_settings: dict
     return _each(paths.where("path is not null and path <> ''").select("path").distinct(), copy, "copied")
 
 
+#: Outcomes of `take_files`.
+TAKEN = f"{OUTCOME}, md5 string, head binary"
+
+
+def take_files(files: DataFrame, source: str, target: str, source_settings: dict[str, str] | None = None, target_settings: dict[str, str] | None = None) -> DataFrame:
+    """Copies files (path, place) from one root to their places below another, each path once and read once;
+    TAKEN with `taken`, the MD5 and the first bytes, or `failed`."""
+
+    def take(row: dict) -> tuple[str, int, str, bytes]:
+        md5, head = hashlib.md5(), b""
+
+        def pieces() -> Iterator[bytes]:
+            nonlocal head
+            for piece in Store(source, source_settings).pieces(row["path"]):
+                head = head or piece[:HEAD]
+                md5.update(piece)
+                yield piece
+
+        size = Store(target, target_settings).save(row["place"], pieces())
+        return "taken", size, md5.hexdigest(), head
+
+    rows = dealt(files.select("path", "place")).dropDuplicates(["path"])
+    return _each(rows, take, "taken", TAKEN, (pa.string(), pa.binary()))
+
+
 def delete_files(paths: DataFrame, root: str, settings: dict[str, str] | None = None) -> DataFrame:
     """Removes files (path); OUTCOME with `deleted`, `absent` or `failed`."""
 
@@ -227,7 +256,7 @@ def complete_uploads(uploads: DataFrame, root: str, settings: dict[str, str] | N
         return "merged", store.complete(row["path"], row["upload_id"], list(range(1, row["total_parts"] + 1)))
 
     rows = uploads.select("path", F.col("upload_id").cast("string").alias("upload_id"), F.col("total_parts").cast("int").alias("total_parts"))
-    return _each(_dealt(rows), merge, "merged")
+    return _each(dealt(rows), merge, "merged")
 
 
 def digests(paths: DataFrame, root: str, settings: dict[str, str] | None = None) -> DataFrame:
@@ -246,7 +275,7 @@ def digests(paths: DataFrame, root: str, settings: dict[str, str] | None = None)
             columns = zip(*out, strict=True) if out else [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["path", "size", "md5"])
 
-    return _dealt(paths.select("path").distinct()).mapInArrow(run, "path string, size long, md5 string")
+    return dealt(paths.select("path").distinct()).mapInArrow(run, "path string, size long, md5 string")
 
 
 def migrate(media: DataFrame, source: str, target: str, **settings) -> tuple[DataFrame, DataFrame]:

@@ -6,17 +6,22 @@ may have left there, and then adds a commit of that number. A batch that comes a
 after its commit is passed over; one that failed before it is written anew. Readers see
 committed batches only. Rows are numbered on from what the commits before hold for their
 key.
+
+Files come from a folder that the driver lists (`arriving`, `ingest`), or from a log that
+names them (`logged`, `ingest_logged`). With a log the driver keeps only the log's own
+files, and tasks read what these name, so that it is the way for millions of files.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
 from winnow.functions import media_types
 from winnow.sources import store
+from winnow.sources.shared import dropped
 
 
 class Sink:
@@ -64,21 +69,34 @@ FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def arriving(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Files below a folder as they arrive."""
+    """Files below a folder as they arrive; the driver lists all of them for each batch."""
     return spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).load(path)
 
 
-def media_rows(files: DataFrame) -> DataFrame:
-    """Rows of media for files of a supported kind, in the folder of their trip, with content.
+def logged(spark: SparkSession, path: str, files_per_trigger: int = 50) -> DataFrame:
+    """Paths that a log of arrivals names: a folder of Parquet files (path) that grows by files."""
+    return spark.readStream.schema("path string").option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
+def _placed(files: DataFrame, trip: Column) -> DataFrame:
+    """Files (path) of a supported kind with trip_id, original_filename, id and file_path.
 
     An id is the digest of the trip and the name: a file that comes again is the same media.
     """
-    parts = F.split("path", "/")
-    f = files.select(F.element_at(parts, -2).alias("trip_id"), F.element_at(parts, -1).alias("original_filename"), F.col("length").alias("file_size"), "content")
+    f = files.withColumns({"trip_id": trip, "original_filename": F.substring_index("path", "/", -1)})
     f = f.where(media_types.supported(F.lit(""), F.col("original_filename"))).withColumn("id", F.md5(F.concat_ws("/", "trip_id", "original_filename")))
+    return f.withColumn("file_path", F.concat(F.col("trip_id"), F.lit("/originals/"), F.col("id"), media_types.file_extension(F.col("original_filename"), F.lit(""))))
+
+
+def media_rows(files: DataFrame) -> DataFrame:
+    """Rows of media for files of a supported kind, in the folder of their trip, with content."""
+    f = _placed(files, F.element_at(F.split("path", "/"), -2))
     kind = media_types.classified(F.col("content"), F.col("original_filename"))
-    place = F.concat(F.col("trip_id"), F.lit("/originals/"), F.col("id"), media_types.file_extension(F.col("original_filename"), F.lit("")))
-    return f.select("id", "trip_id", place.alias("file_path"), kind["kind"].alias("media_type"), kind["mime"].alias("mime_type"), "original_filename", "file_size", F.md5("content").alias("md5"), "content")
+    return f.select("id", "trip_id", "file_path", kind["kind"].alias("media_type"), kind["mime"].alias("mime_type"), "original_filename", F.col("length").alias("file_size"), F.md5("content").alias("md5"), "content")
+
+
+def _status() -> Column:
+    return F.when(F.col("processing_error").isNull(), "pending").otherwise("failed")
 
 
 def ingest(files: DataFrame, root: str, sink: Sink, checkpoint: str) -> StreamingQuery:
@@ -91,6 +109,25 @@ def ingest(files: DataFrame, root: str, sink: Sink, checkpoint: str) -> Streamin
         outcomes = store.save_files(rows.select(F.col("file_path").alias("path"), "content"), root)
         failed = outcomes.where("outcome = 'failed'").select(F.col("path").alias("file_path"), F.col("error").alias("processing_error"))
         rows = rows.drop("content").join(failed, "file_path", "left")
-        sink.push(rows.withColumn("processing_status", F.when(F.col("processing_error").isNull(), "pending").otherwise("failed")), number)
+        sink.push(rows.withColumn("processing_status", _status()), number)
 
     return files.writeStream.foreachBatch(push).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_logged(log: DataFrame, source: str, root: str, sink: Sink, checkpoint: str) -> StreamingQuery:
+    """The same for files below `source` that a log names, trip/name: tasks copy each to its place, reading it once.
+
+    What could not be read or stored has neither size nor MD5.
+    """
+    trip = F.regexp_extract("path", "(?s)^(.*)/", 1)
+
+    def push(batch: DataFrame, number: int) -> None:
+        if number in sink.batches():
+            return
+        taken = store.take_files(_placed(batch, trip).withColumnRenamed("file_path", "place"), source, root)
+        kind = media_types.classified(F.col("head"), F.col("original_filename"))
+        rows = _placed(taken, trip).select("id", "trip_id", "file_path", kind["kind"].alias("media_type"), kind["mime"].alias("mime_type"), "original_filename", F.col("size").alias("file_size"), "md5", F.col("error").alias("processing_error"))
+        sink.push(rows.withColumn("processing_status", _status()), number)
+        dropped(taken)
+
+    return log.writeStream.foreachBatch(push).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
